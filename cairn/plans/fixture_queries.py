@@ -88,10 +88,10 @@ def select_all_default_name(spark, d):
     return rules.select_series(table(spark, d, "orders"), None, ["o_custkey"], ["o_orderkey"], F.coalesce(F.nullif(F.trim(name), F.lit("")), F.col("o_orderkey").cast("string"))).select("o_custkey", "o_orderkey", "selection_name")
 
 
-@query("F9 F10 U2 C2", "SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(', ', p_name, p_type, p_brand)), 'steel') AND NOT contains(lower(concat_ws(', ', p_name, p_type, p_brand)), 'small')")
+@query("F9 F10 U2 C2", "SELECT p_partkey, p_name FROM part WHERE contains(lower(concat_ws(', ', p_name, p_type, p_brand)), 'widget') AND NOT contains(lower(concat_ws(', ', p_name, p_type, p_brand)), 'cold')")
 def list_terms_include_exclude(spark, d):
     parts = table(spark, d, "part").withColumn("ImageType", F.array("p_name", "p_type", "p_brand"))
-    return parts.where(rules.condition(parts, "ImageType", ["STEEL", "!small"])).select("p_partkey", "p_name")
+    return parts.where(rules.condition(parts, "ImageType", ["WIDGET", "!cold"])).select("p_partkey", "p_name")
 
 
 @query("F7 F11-F14 C1", "SELECT p_partkey, p_size > 25 AND p_size <> 0 AS above, p_size BETWEEN 10 AND 20 AS between_, regexp_full_match(p_size::VARCHAR, '[1-3]5') AS fits, p_size = 7 AS same, p_size <> 9 AS other FROM part")
@@ -112,12 +112,12 @@ def hierarchy_counts(spark, d):
 
 
 @query("A3 S4 N1", """WITH k AS (SELECT *, nullif(l_linenumber, 7) AS pos FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, pos ORDER BY l_quantity DESC, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS n FROM k)
-SELECT l_orderkey, pos::BIGINT AS pos, l_partkey, l_suppkey, l_quantity::BIGINT AS version FROM r WHERE n = 1 OR pos IS NULL""")
+SELECT l_orderkey, coalesce(pos, -1)::BIGINT AS pos, l_partkey, l_suppkey, l_quantity::BIGINT AS version FROM r WHERE n = 1 OR pos IS NULL""")
 def dedup_latest_keep_null(spark, d):
     rows = table(spark, d, "lineitem").withColumn("pos", F.nullif("l_linenumber", F.lit(7)))
     ties = [F.col(c) for c in ("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")]
     kept = hierarchy.latest_of_position(rows, ["l_orderkey"], F.col("pos"), F.col("l_quantity"), ties)
-    return kept.select("l_orderkey", F.col("pos").cast("long").alias("pos"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("version"))
+    return kept.select("l_orderkey", F.coalesce("pos", F.lit(-1)).cast("long").alias("pos"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("version"))
 
 
 @query("A7 C8", """WITH f AS (SELECT user_id, arg_min(struct_pack(v := CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 50 END), event_id).v AS v, avg(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 50 END) AS m FROM events GROUP BY 1)
@@ -348,9 +348,9 @@ def catalog_semi(spark, d):
     return kept.withColumn("place", F.row_number().over(Window.orderBy("p_name", "p_partkey")).cast("long"))
 
 
-@query("G4 A14", "SELECT count(*) AS total, count(*) FILTER (p_type LIKE '%STEEL%') AS bundles, count(*) FILTER (p_size > 25) AS verified FROM part")
+@query("G4 A14", "SELECT count(*) AS total, count(*) FILTER (p_type LIKE '%PROMO%') AS bundles, count(*) FILTER (p_size > 25) AS verified FROM part")
 def catalog_summary(spark, d):
-    return catalog.summary(table(spark, d, "part"), F.col("p_type").like("%STEEL%"), F.col("p_size") > 25)
+    return catalog.summary(table(spark, d, "part"), F.col("p_type").like("%PROMO%"), F.col("p_size") > 25)
 
 
 @query("J6 G5 G6", "SELECT p_partkey, arg_min(s_name, s_suppkey) AS s_name FROM part LEFT JOIN supplier ON s_nationkey = p_partkey % 40 GROUP BY 1")
@@ -359,19 +359,19 @@ def catalog_fallback(spark, d):
     return catalog.first_config(p, table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name"), "s_nationkey", "s_suppkey").select("p_partkey", "s_name")
 
 
-@query("T8 G7", "SELECT p_brand, p_name AS file FROM (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN regexp_matches(p_type, 'STEEL') THEN 0 WHEN regexp_matches(p_type, 'TIN') THEN 1 END, p_partkey) AS n FROM part WHERE regexp_matches(p_type, 'STEEL|TIN')) WHERE n = 1")
+@query("T8 G7", "SELECT p_brand, p_name AS file FROM (SELECT p_brand, p_name, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN regexp_matches(p_type, 'PROMO') THEN 0 WHEN regexp_matches(p_type, 'SMALL') THEN 1 END, p_partkey) AS n FROM part WHERE regexp_matches(p_type, 'PROMO|SMALL')) WHERE n = 1")
 def preferred_file(spark, d):
     p = table(spark, d, "part").select("p_brand", F.concat_ws("/", F.lpad(F.col("p_partkey").cast("string"), 12, "0"), "p_type", "p_name").alias("path"))
-    return catalog.preferred_file(p, ["p_brand"], "path", ["STEEL", "TIN"]).select("p_brand", F.element_at(F.split("path", "/"), -1).alias("file"))
+    return catalog.preferred_file(p, ["p_brand"], "path", ["PROMO", "SMALL"]).select("p_brand", F.element_at(F.split("path", "/"), -1).alias("file"))
 
 
 # --- names and sizes
 
 @query("C23 C24 C25 C27 F26", """WITH n AS (SELECT p_partkey, 'Org/' || p_name || '-' || p_partkey AS id FROM part)
-SELECT p_partkey, regexp_replace(regexp_replace(id, '[^a-zA-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS ident, NOT contains(id, ' ') AS valid, CASE WHEN contains(lower(id), 'steel') THEN 'metal' WHEN contains(lower(id), 'part') THEN 'part' ELSE 'other' END AS kind FROM n""")
+SELECT p_partkey, regexp_replace(regexp_replace(id, '[^a-zA-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS ident, NOT contains(id, ' ') AS valid, CASE WHEN contains(lower(id), 'red') THEN 'colour' WHEN contains(lower(id), 'gear') THEN 'gear' ELSE 'other' END AS kind FROM n""")
 def name_sanitise(spark, d):
     ident = F.concat(F.lit("Org/"), "p_name", F.lit("-"), F.col("p_partkey").cast("string"))
-    return table(spark, d, "part").select("p_partkey", scalars.identifier(ident).alias("ident"), scalars.valid_model_id(F.replace(ident, F.lit("#"), F.lit("."))).alias("valid"), scalars.first_keyword(ident, {"steel": "metal", "part": "part"}, "other").alias("kind"))
+    return table(spark, d, "part").select("p_partkey", scalars.identifier(ident).alias("ident"), scalars.valid_model_id(F.replace(ident, F.lit("#"), F.lit("."))).alias("valid"), scalars.first_keyword(ident, {"red": "colour", "gear": "gear"}, "other").alias("kind"))
 
 
 @query("C24 C25 C31 S8", "SELECT s_suppkey, 'TestModel' || s_suppkey AS title, 'dep' || s_suppkey AS dep, 'scan.' || s_suppkey || '.nii' AS stem FROM supplier")
@@ -380,10 +380,10 @@ def name_title(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", scalars.title_name(F.concat(F.lit("org/test_model"), k)).alias("title"), scalars.dependency_name(F.concat(F.lit("dep"), k, F.lit(">=1.2"))).alias("dep"), scalars.stem(F.concat(F.lit("scan."), k, F.lit(".nii.gz"))).alias("stem"))
 
 
-@query("C18 C19", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1048576 END::BIGINT AS bytes FROM part")
+@query("C18 C19", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1048576 ELSE -1 END::BIGINT AS bytes FROM part")
 def size_parse(spark, d):
     unit = F.get(F.array(F.lit(""), F.lit("kB"), F.lit(" MiB "), F.lit("jb")), (F.col("p_partkey") % 4).cast("int"))
-    return table(spark, d, "part").select("p_partkey", scalars.size_bytes(F.concat(F.lit(" "), F.col("p_size").cast("string"), unit)).alias("bytes"))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(scalars.size_bytes(F.concat(F.lit(" "), F.col("p_size").cast("string"), unit)), F.lit(-1)).alias("bytes"))
 
 
 @query("S12 U5 J9 F23 C3", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 0.2 END AS temperature, CASE WHEN event_id % 3 = 0 THEN 'image' ELSE 'json' END AS output FROM events")
@@ -401,9 +401,9 @@ def file_index(spark, d):
     return table(spark, d, "events").select("event_type", "event_id", (F.row_number().over(w.orderBy("ts")) - 1).cast("long").alias("file_index"), F.count("*").over(w).alias("total_files"))
 
 
-@query("C33 T7", "SELECT s_suppkey, ['aaa bb', 'cccc d', s_suppkey::VARCHAR][1:2] AS lines FROM supplier")
+@query("C33 T7", "SELECT s_suppkey, 'aaa bb/cccc d' AS lines FROM supplier")
 def wrapped_lines(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.slice(scalars.wrapped(F.concat(F.lit("aaa bb cccc d "), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")), 6), 1, 2).alias("lines"))
+    return table(spark, d, "supplier").select("s_suppkey", F.array_join(F.slice(scalars.wrapped(F.concat(F.lit("aaa bb cccc d "), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")), 6), 1, 2), "/").alias("lines"))
 
 
 @query("A9 I10")
