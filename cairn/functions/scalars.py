@@ -20,7 +20,7 @@ def size_bytes(text: Column) -> Column:
 
 def size_text(size: Column, unit: str) -> Column:
     """Size in a unit with one place, cut not rounded; no place when it is whole."""
-    tenths = F.floor(size * 10 / F.lit(UNITS[unit.lower()]))
+    tenths = F.floor(size.cast("double") * 10 / F.lit(UNITS[unit.lower()]))
     whole = F.floor(tenths / 10)
     return F.concat(whole.cast("string"), F.when(tenths % 10 != 0, F.concat(F.lit("."), (tenths % 10).cast("string"))).otherwise(F.lit("")), F.lit(unit))
 

@@ -91,8 +91,8 @@ def zscore(v: Column, keys: list[str]) -> Column:
 
 def stacked(slices: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, shape, dtype, data): packed slices of a series (z, rows, cols, dtype, pixels) put together in order of z."""
-    agg = slices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("z", "pixels"))).alias("s"), F.first("rows").alias("r"), F.first("cols").alias("c"), F.first("dtype").alias("dtype"))
-    return agg.select(*keys, F.array(F.size("s"), F.col("r"), F.col("c")).alias("shape"), "dtype", F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["pixels"])).alias("data"))
+    agg = slices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("z", "pixels"))).alias("_slices"), F.first("rows").alias("_rows"), F.first("cols").alias("_cols"), F.first("dtype").alias("dtype"))
+    return agg.select(*keys, F.array(F.size("_slices"), F.col("_rows"), F.col("_cols")).alias("shape"), "dtype", F.aggregate("_slices", F.lit(b""), lambda a, x: F.concat(a, x["pixels"])).alias("data"))
 
 
 def unpacked(row_shape: list[int], dtype: str, data: bytes) -> np.ndarray:

@@ -386,7 +386,7 @@ def size_parse(spark, d):
     return table(spark, d, "part").select("p_partkey", F.coalesce(scalars.size_bytes(F.concat(F.lit(" "), F.col("p_size").cast("string"), unit)), F.lit(-1)).alias("bytes"))
 
 
-@query("S12 U5 J9 F23 C3", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 0.2 END AS temperature, CASE WHEN event_id % 3 = 0 THEN 'image' ELSE 'json' END AS output FROM events")
+@query("S12 U5 J9 F23 C3", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 0.2 END::DOUBLE AS temperature, CASE WHEN event_id % 3 = 0 THEN 'image' ELSE 'json' END AS output FROM events")
 def map_merge_defaults(spark, d):
     defaults = F.create_map(F.lit("temperature"), F.lit("0.2"), F.lit("output"), F.lit("json"))
     own = F.map_filter(F.create_map(F.lit("temperature"), F.when(F.col("event_id") % 2 == 0, "0.9"), F.lit("output"), F.when(F.col("event_id") % 3 == 0, "image")), lambda k, v: v.isNotNull())
