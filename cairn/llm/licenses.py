@@ -9,7 +9,7 @@ A cheap exact bound comes first: coverage can't exceed the share of template wor
 all, so other texts are passed over without loss. Templates are a parameter: a list that the caller bounds.
 
 Defined results: a null or empty text has no license; texts that repeat a notice get a row for each stretch; repeated
-rows each get their rows; templates of equal coverage over the same words are all reported; columns other than the id
+rows each get their rows; of templates over the same words those with the most matched words are reported, equals all; columns other than the id
 and the text are ignored.
 """
 
@@ -125,7 +125,16 @@ class Scanner:
         self.vocabulary = frozenset().union(*self.bags) if self.bags else frozenset()
 
     def scan(self, text: str) -> Iterator[tuple[str, str, float, int, int, int]]:
-        """(license, kind, coverage, matched words, first character, end character) of each stretch."""
+        """(license, kind, coverage, matched words, first character, end character) of each stretch.
+
+        Where stretches overlap, the template with the most matched words explains them; only equals stay beside it."""
+        kept: list[tuple] = []
+        for hit in sorted(self.hits(text), key=lambda h: -h[3]):
+            if all(k[3] == hit[3] or k[5] <= hit[4] or hit[5] <= k[4] for k in kept):
+                kept.append(hit)
+        yield from sorted(kept, key=lambda h: (h[4], h[0], h[1]))
+
+    def hits(self, text: str) -> Iterator[tuple[str, str, float, int, int, int]]:
         if not self.vocabulary.intersection(x.lower() for x in _WORD.findall(text)) - _COMMON:
             return
         words, begin, end = tokens(text)
@@ -150,7 +159,6 @@ class Scanner:
                     if sum(min(n, own[w]) for w, n in bag.items()) < need:
                         break
                     found = align(stretch, template)
-                    # a match far from the others belongs to the prose around
                     if len(found) < need:
                         break
                     first, last = lo + found[0][0], lo + found[-1][0]
