@@ -1,7 +1,7 @@
 """Folders of part-10 files as instances, series and studies.
 
 Files are read by Spark's own reader, so any store will do, and parsed in Arrow workers a batch at a time. A file that
-can't be parsed gives a row with parse_ok false and the reason; nothing is dropped in silence.
+can't be parsed gives a row with parse_ok false and the reason; only empty files, which Spark's reader passes over, give none.
 """
 
 from __future__ import annotations

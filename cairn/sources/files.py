@@ -9,7 +9,7 @@ from ..functions.scalars import stem
 
 
 def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
-    """(path, modificationTime, length, content) of each file; content is read only where a plan asks for it."""
+    """(path, modificationTime, length, content) of each file; content is read only where a plan asks for it. Spark's reader passes over empty files."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
 
 
