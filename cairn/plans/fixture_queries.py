@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import aggregate, catalog, detect, geometry, hierarchy, volume
-from ..sources import files
+from ..sinks import dicom_objects, mesh, pictures, results
+from ..sources import dicom, files
 from . import rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,3 +426,68 @@ def stream_files(spark, d):
     from ..streaming import micro_batch
 
     return micro_batch.replayed(spark, table(spark, d, "region"), lambda df: df.withColumn("name_length", F.length("r_name")))
+
+
+def _volumes(spark, d):
+    """Each embedding as a mask of 4 x 4 x 4 voxels."""
+    bits = F.unhex(F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "01").otherwise("00")), ""))
+    eye = F.array(*[F.array(*[F.lit(1.0 if i == j else 0.0) for j in range(4)]) for i in range(4)])
+    return table(spark, d, "embeddings").select("vec_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), F.lit("uint8").alias("dtype"), bits.alias("data"), eye.alias("affine"))
+
+
+@query("W3 W6 W7 W8 S2 S3 S4 S5", "SELECT o_orderkey::VARCHAR AS accession, o_custkey::VARCHAR AS patient, o_orderpriority AS description, 'SR' AS modality, true AS parse_ok FROM orders")
+def report_objects_round_trip(spark, d):
+    tags = F.create_map(F.lit("AccessionNumber"), F.col("o_orderkey").cast("string"), F.lit("PatientID"), F.col("o_custkey").cast("string"), F.lit("StudyDescription"), F.col("o_orderpriority"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("text"), tags.alias("tags"))
+    read = dicom.parsed(dicom_objects.text_reports(rows, "key").withColumnRenamed("name", "path"))
+    return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["PatientID"].alias("patient"), F.col("tags")["StudyDescription"].alias("description"), F.col("tags")["Modality"].alias("modality"), "parse_ok")
+
+
+@query("W4 W5 S2", "SELECT s_suppkey::VARCHAR AS accession, 'OT' AS modality, 1 AS rows, 2 AS cols, 'uint8' AS dtype, '0102' AS pixels FROM supplier")
+def capture_objects_round_trip(spark, d):
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.array(F.lit(1), F.lit(2)).alias("shape"), F.unhex(F.lit("0102")).alias("data"), F.create_map(F.lit("AccessionNumber"), F.col("s_suppkey").cast("string")).alias("tags"))
+    read = dicom.parsed(dicom_objects.captures(rows, "key").withColumnRenamed("name", "path"))
+    return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["Modality"].alias("modality"), "rows", "cols", "dtype", F.hex("pixels").alias("pixels"))
+
+
+@query("W1 W2", """WITH v AS (SELECT vec_id, unnest(embedding) > 0 AS b, unnest(range(64)) // 16 AS z FROM embeddings)
+SELECT vec_id::VARCHAR AS accession, count(DISTINCT z) FILTER (WHERE b)::VARCHAR AS frames FROM v GROUP BY vec_id""")
+def segmentation_frames(spark, d):
+    slices = F.sequence(F.lit(1), F.lit(4))
+    rows = _volumes(spark, d).select(F.col("vec_id").alias("key"), "shape", "dtype", "data", F.transform(slices, lambda k: F.concat(F.lit("1.2."), k.cast("string"))).alias("sop_uids"), F.lit("1.2").alias("sop_class_uid"),
+                                     F.transform(slices, lambda k: F.array(F.lit(0.0), F.lit(0.0), k.cast("double"))).alias("positions"), F.create_map(F.lit("AccessionNumber"), F.col("vec_id").cast("string")).alias("tags"))
+    part = {"label": "part", "value": 1, "category": ("85756007", "SCT", "Tissue"), "type": ("85756007", "SCT", "Tissue")}
+    read = dicom.parsed(dicom_objects.segmentations(rows, "key", [part]).withColumnRenamed("name", "path"))
+    return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["NumberOfFrames"].alias("frames"))
+
+
+@query("W13 M10 M11", """WITH p AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS p FROM embeddings)
+SELECT vec_id, ['A', 'B', 'C', 'D'][list_position(p, list_max(p))] AS predicted_class, round(list_max(p), 6) AS confidence FROM p""")
+def best_classes(spark, d):
+    probs = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    best = results.best_class(probs)
+    return table(spark, d, "embeddings").select("vec_id", best.alias("b")).select("vec_id", "b.predicted_class", F.round("b.confidence", 6).alias("confidence"))
+
+
+@query("W16 W18 M12", """SELECT p_partkey::VARCHAR || CASE WHEN p_partkey % 7 = 0 OR p_partkey % 4 = 2 THEN '_error.json' WHEN p_partkey % 4 = 1 THEN '.png' ELSE '.json' END AS name FROM part""")
+def routed_results(spark, d):
+    k = F.col("p_partkey")
+    kind = F.get(F.array(F.lit("json"), F.lit("image"), F.lit("image_overlay"), F.lit("odd")), (k % 4).cast("int"))
+    rows = table(spark, d, "part").select(k.alias("request_id"), kind.alias("output_type"), F.col("p_name").alias("text"), F.when(k % 4 == 1, F.encode("p_name", "UTF-8")).alias("picture"), F.when(k % 7 == 0, "failed").alias("error"))
+    return results.routed(rows).select("name")
+
+
+@query("W10 I12 I11 I13")
+def mask_meshes(spark, d):
+    return mesh.meshes(_volumes(spark, d), "vec_id").select("name", F.length("content").alias("n_bytes"))
+
+
+@query("W9 W15 I7", "SELECT vec_id::VARCHAR || '/' || z || '.png' AS name, '89504E47' AS mark FROM embeddings, range(4) r(z)")
+def slice_pictures(spark, d):
+    return pictures.slice_pictures(_volumes(spark, d), "vec_id").select("name", F.hex(F.substring("content", 1, 4)).alias("mark"))
+
+
+@query("W17 W11 S16", "SELECT 'nations' AS collection, n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+def stored_documents(spark, d):
+    docs = results.documents(table(spark, d, "nation").select("n_nationkey", "n_name"), "nations")
+    return docs.select("collection", F.get_json_object("document", "$.n_nationkey").cast("long").alias("k"), F.get_json_object("document", "$.n_name").alias("name"))

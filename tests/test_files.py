@@ -1,8 +1,10 @@
 """Files in and out: standard objects, volumes, pictures, meshes, prompts and results, by round trips and hand-built cases."""
 
 import gzip
+import io
 import json
 import struct
+import zipfile
 import zlib
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cairn.errors import PlanError
 from cairn.sinks import dicom_objects, files, mesh, pictures, results
-from cairn.sources import dicom, dicom_format, images, nifti, prompts
+from cairn.sources import dicom, dicom_format, images, models, nifti, prompts
 
 IMAGE = {"SOPClassUID": "1.2.840.10008.5.1.4.1.1.2", "StudyInstanceUID": "1.5", "SeriesInstanceUID": "1.6", "Modality": "CT", "SeriesNumber": 3, "ImageType": ["ORIGINAL", "PRIMARY"], "PatientName": "Ä^B", "Rows": 2, "Columns": 2, "BitsAllocated": 16, "PixelRepresentation": 1}
 
@@ -193,3 +195,42 @@ def test_results(spark):
     assert spark.range(1).select(results.filled("{a}-{b}", {"a": F.lit(1), "b": F.lit("x")}).alias("x")).first().x == "1-x"
     paths = spark.createDataFrame([("b_seg.nii.gz",), ("a.nii.gz",), ("c.txt",)], "path string")
     assert tuple(results.mask_and_density(paths).first()) == ("b_seg.nii.gz", "a.nii.gz")
+
+
+def zipped(**names):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in names.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_models(spark):
+    script = zipped(**{"m/data.pkl": "", "m/code/a.py": "", "m/constants.pkl": ""})
+    newer = zipped(**{"data.pkl": "", "code/a.py": "", "constants/0": ""})
+    other = zipped(**{"m/data.pkl": "", "m/code/a.py": ""})
+
+    def found(**files):
+        return models.archives(spark.createDataFrame([(p, d) for p, d in files.items()], "path string, content binary"))
+
+    assert [r.kind for r in models.kinds(found(a=script, b=newer, c=other, d=b"no", e=None)).collect()] == ["script", "script", "generic", "generic", "generic"]
+    good = {"/r/x/m.ts": script, "/r/y/1/m.ts": script, "/r/y/config.pbtxt": b"", "/r/z/m.ts": other}
+    named = models.repository(found(**good), "/r")
+    assert sorted(map(tuple, named.collect())) == [("x", "/r/x/m.ts", "script"), ("y", "/r/y", "served")]
+    assert models.repository(found(**good, **{"/r/loose": b""}), "/r").count() == 0
+    assert models.repository(found(**good, **{"/r/x/more": b""}), "/r").count() == 0
+    assert models.chosen(named, "x").first().kind == "script"
+    for name in ("", "q"):
+        with pytest.raises(PlanError):
+            models.chosen(named, name)
+    assert models.chosen(named.limit(1)).count() == 1
+
+
+def test_bundle_configs(spark):
+    one = zipped(**{"b/configs/Inference.JSON": "1", "b/configs/inference.yaml": "2", "b/metadata.json": "3", "b/metadata.yml": "4", "b/readme": "5"})
+    files_ = spark.createDataFrame([("p", one), ("q", b"no zip")], "path string, content binary")
+    got = models.configs(models.members(files_, r"[.](json|ya?ml)$"), ["inference", "metadata", "train"]).collect()
+    assert {(r.path, r.name, r.config) for r in got} == {("p", "inference", "2"), ("p", "metadata", "3")}
+    bad = spark.createDataFrame([("p", zipped(**{"a/../../x.json": ""}))], "path string, content binary")
+    with pytest.raises(Exception, match="leaves the archive"):
+        models.members(bad, "json").collect()
