@@ -27,6 +27,8 @@ COPIED = ("PatientName", "PatientID", "PatientBirthDate", "PatientSex", "Patient
 VERSION_CHARS = 15
 
 OUT = "name string, content binary"
+#: Objects are handed on when they have so many bytes together.
+BATCH_BYTES = 1 << 22
 
 
 def uid_of(*parts: object) -> str:
@@ -49,11 +51,18 @@ def common(kind: str, modality: str, key: object, tags: dict[str, str] | None, e
 
 def _objects(rows: DataFrame, columns: list[str], make: Callable[[dict], dict[str, object]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, contents, size = [], [], 0
         for pdf in batches:
             for r in pdf.to_dict("records"):
                 tags = r.get("tags")
                 made = make(r | {"tags": dict(tags) if tags is not None else None})
-                yield pd.DataFrame({"name": [f"{made['SOPInstanceUID']}.dcm"], "content": [encoded(made)]})
+                names.append(f"{made['SOPInstanceUID']}.dcm")
+                contents.append(encoded(made))
+                size += len(contents[-1])
+                if size >= BATCH_BYTES:
+                    yield pd.DataFrame({"name": names, "content": contents})
+                    names, contents, size = [], [], 0
+        yield pd.DataFrame({"name": names, "content": contents})
 
     return rows.select(*columns).mapInPandas(run, OUT)
 

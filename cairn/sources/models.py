@@ -54,10 +54,8 @@ def repository(found: DataFrame, root: str) -> DataFrame:
         F.count_distinct(F.get("parts", F.lit(1))).alias("n"), F.bool_or((F.col("depth") == 2) & (F.get("parts", F.lit(1)) == SERVED)).alias("served"),
         F.min("path").alias("file"), F.bool_or(is_script(F.col("entries")) & (F.col("depth") == 2)).alias("script"),
     )
-    loose = rows.where("depth = 1").agg(F.count("*").alias("loose"))
-    odd = folders.agg(F.count_if((F.col("n") != 1) & ~F.col("served")).alias("odd"))
-    # two counts of one row each
-    good = folders.join(F.broadcast(loose.join(odd)), (F.col("loose") == 0) & (F.col("odd") == 0))
+    against = rows.where("depth = 1").select("path").union(folders.where("n <> 1 AND NOT served").select("model"))
+    good = folders if against.isEmpty() else folders.where(F.lit(False))
     kind = F.when(F.col("served"), "served").when(F.col("script"), "script")
     return good.select("model", F.when(F.col("served"), F.concat(F.lit(root.rstrip("/") + "/"), "model")).otherwise(F.col("file")).alias("path"), kind.alias("kind")).where("kind IS NOT NULL")
 

@@ -7,9 +7,11 @@ import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.volume import unpacked
 from .files import contents, with_extension
 
 #: Numbers of the format's value types (fixed values).
@@ -90,3 +92,21 @@ def volumes(spark: SparkSession, folder: str, recursive: bool = True) -> DataFra
                 yield pa.RecordBatch.from_pylist([row(path.as_py(), data.as_py() or b"")], schema=arrow)
 
     return files.mapInArrow(run, VOLUME)
+
+
+def files_of(packed: DataFrame, key: str, postfix: str = "seg", extension: str = ".nii.gz") -> DataFrame:
+    """(name, content): <key>_<postfix><extension> for each packed volume (shape [z, y, x] or with axes of length one before it, dtype, data, affine).
+
+    A null affine is the identity; a postfix that names a transform by @ becomes trans."""
+    tail = f"_{'trans' if postfix.startswith('@') else postfix}{extension}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, s, t, d, m in zip(pdf[key], pdf["shape"], pdf["dtype"], pdf["data"], pdf["affine"]):
+                array = unpacked(list(s), t, d)
+                while array.ndim > 3 and array.shape[0] == 1:
+                    array = array[0]
+                affine = None if m is None else np.array([list(r) for r in m])
+                yield pd.DataFrame({"name": [f"{k}{tail}"], "content": [encoded(array.transpose(*reversed(range(array.ndim))), affine, extension.endswith(".gz"))]})
+
+    return packed.select(key, "shape", "dtype", "data", "affine").mapInPandas(run, "name string, content binary")

@@ -101,6 +101,17 @@ def volumes(spark, a, **more):
     return spark.createDataFrame([tuple(row.values())], "key string, shape array<int>, dtype string, data binary" + "".join(f", {k} {kinds[k]}" for k in more))
 
 
+def test_nifti_files(spark, tmp_path):
+    a, affine = np.arange(24, dtype=np.int16).reshape(1, 2, 3, 4), np.diag([2.0, 3, 4, 1]).tolist()
+    rows = volumes(spark, a, affine=affine)
+    assert files.saved(nifti.files_of(rows, "key"), str(tmp_path)) == 1
+    back = nifti.volumes(spark, str(tmp_path)).first()
+    assert back.path.endswith("/v_seg.nii.gz") and back.shape == [2, 3, 4] and back.affine == affine
+    assert (np.frombuffer(back.data, back.dtype) == a.ravel()).all()
+    (r,) = nifti.files_of(rows.withColumn("affine", F.lit(None).cast("array<array<double>>")), "key", "@x", ".nii").collect()
+    assert r.name == "v_trans.nii" and (nifti.decoded(r.content)[1] == np.eye(4)).all()
+
+
 def test_segmentation(spark):
     a = np.zeros((3, 2, 5), np.uint8)
     a[1, 0, 1], a[1, 1, 4], a[2, 0, 0] = 1, 1, 2
