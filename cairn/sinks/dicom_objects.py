@@ -62,7 +62,8 @@ def _objects(rows: DataFrame, columns: list[str], make: Callable[[dict], dict[st
                 if size >= BATCH_BYTES:
                     yield pd.DataFrame({"name": names, "content": contents})
                     names, contents, size = [], [], 0
-        yield pd.DataFrame({"name": names, "content": contents})
+        if names:
+            yield pd.DataFrame({"name": names, "content": contents})
 
     return rows.select(*columns).mapInPandas(run, OUT)
 
