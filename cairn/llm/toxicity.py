@@ -9,7 +9,8 @@ Training reads at most TRAIN_ROWS labelled rows, chosen by a hash of their ids (
 sample), in one task; scoring is one pass over whole texts.
 
 Defined results: a null text counts as empty and gets the score of the bias alone; without labelled rows every score
-is 0; labels that are null are ignored, of repeated labels of an id the largest counts; repeated rows each get a row;
+is 0; labels that are null are ignored, of repeated labels of an id the largest counts; of
+repeated ids the smallest text is learned from; repeated rows each get a row;
 columns other than the id and the text are never read for a score.
 """
 
@@ -80,7 +81,8 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, i
     chosen = known.groupBy(F.col(id_col).alias("k")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k").limit(train_rows)
     own = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text"))
     # at most train_rows rows of an id and a bit: a bound that no table exceeds
-    rows = own.join(F.broadcast(chosen), "k").select("k", "text", "y")
+    # of a repeated id the smallest text counts, so that the learning task reads at most train_rows rows too
+    rows = own.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("k", "text", "y")
 
     def learn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = []

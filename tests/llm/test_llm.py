@@ -235,6 +235,13 @@ def test_language_scores_without_training(spark, docs):
     assert {r.train_tokens for r in out} == {0} and {r.base_score for r in out} == {0.0}
 
 
+def test_seed_texts_are_bounded_and_distinct(spark):
+    df = spark.createDataFrame([("the same text",)] * 400 + [(f"text {k}",) for k in range(200)] + [(None,)], "text string")
+    got = [r.text for r in hmm.seed_texts(df, 601, 100).collect()]
+    assert len(got) == 100 and len(set(got)) == 100
+    assert hmm.seed_texts(df, 601, 10_000).count() == 202 and hmm.seed_texts(df.limit(0), 0).count() == 0
+
+
 # 6
 
 
@@ -264,6 +271,8 @@ def test_toxicity(spark, real, docs):
     assert np.mean([p == y for p, y in away]) > 0.97
     assert {r.doc_id for r in toxicity.clean(made, model).collect()} == {k for k, p in got.items() if not p}
     assert toxicity.scored(docs, model).count() == docs.count() and toxicity.clean(docs, model).schema == docs.schema
+    again = made.unionByName(made.where("doc_id = 1")).unionByName(made.where("doc_id = 4"))
+    assert toxicity.fit(again, made.select("doc_id", "toxic")) == model
     assert toxicity.fit(made, labels.limit(0)) == {} and {r.score for r in toxicity.scored(docs, {}).collect()} == {0.0}
 
 
