@@ -239,6 +239,17 @@ def neighbour_gaussian(spark, d):
     return _kernel(lambda r: volume.smoothed(["vec_id"], "x", "v"))(spark, d)
 
 
+_NEXT = "SELECT vec_id, x, v, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM {} WINDOW w AS (PARTITION BY vec_id ORDER BY x)"
+
+
+@query("P1", f"{_LINES}, s AS (SELECT vec_id, x, b - a AS v FROM n), sn AS ({_NEXT.format('s')}), m AS (SELECT vec_id, x, list_sort([a, v, b])[2] AS v FROM sn), mn AS ({_NEXT.format('m')}) SELECT vec_id, x, round(0.25 * a + 0.5 * v + 0.25 * b, 6) AS v FROM mn")
+def edges_then_smooth(spark, d):
+    rows = volume.lines(table(spark, d, "embeddings"), ["vec_id"], "embedding")
+    edges = rows.withColumn("v", volume.gradient(rows, ["vec_id"], "x", "v"))
+    calm = edges.withColumn("v", volume.median3(["vec_id"], "x", "v"))
+    return calm.select("vec_id", F.col("x").cast("long").alias("x"), F.round(volume.smoothed(["vec_id"], "x", "v"), 6).alias("v"))
+
+
 @query("I9", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS x FROM embeddings), l AS (SELECT vec_id, x, CASE WHEN v > 0.1 THEN 2 WHEN v > 0 THEN 1 ELSE 0 END AS label FROM e)
 SELECT vec_id, x, label::BIGINT AS label FROM (SELECT *, label <> 0 AND (coalesce(lag(label) OVER w <> label, false) OR coalesce(lead(label) OVER w <> label, false)) AS c FROM l WINDOW w AS (PARTITION BY vec_id ORDER BY x)) WHERE c""")
 def contour_labels(spark, d):
