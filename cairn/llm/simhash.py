@@ -167,15 +167,17 @@ def components(edges: DataFrame, label: str = "stars", most_rounds: int = 60) ->
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """((id, fp) of each row, (fp, component_id, n) of each distinct fingerprint); both in the shared folder."""
+    """((id, fp) of each row, (fp, root, component_id, n) of each distinct fingerprint); both in the shared folder.
+
+    root is the component's smallest fingerprint: its key, as component_id is shared where ids are null or repeated."""
     rows = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "distinct")
     stars = components(links(distinct.select("fp")))
     member = stars.select(F.col("a").alias("fp"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("fp"), F.col("b").alias("root")).distinct())
     joined = member.join(distinct, "fp")
     smallest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
-    labelled = member.join(smallest, "root").select("fp", "component_id")
-    named = distinct.join(labelled, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"), "n")
+    labelled = member.join(smallest, "root").select("fp", "root", "component_id")
+    named = distinct.join(labelled, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"), "n")
     return rows, stored(named, "components")
 
 
@@ -186,9 +188,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with all their columns, one for each component: that of the smallest id (of repeated rows any one)."""
+    """The rows of docs with all their columns, one for each component: that of the smallest id (of repeated rows any one).
+
+    Unlinked texts stay even if their ids are null or the same."""
     rows, named = classes(docs, id_col, text_col)
-    stay = rows.join(named, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("fp").alias("fp"))
+    stay = rows.join(named, "fp").where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("fp").alias("fp"), F.min("component_id").alias("component_id"))
     plain = docs.schema.names
     number = {c: f"c{i}" for i, c in enumerate(plain)}
     at = number[id_col]

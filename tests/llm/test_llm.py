@@ -118,6 +118,14 @@ def test_one_of_each(spark, docs):
     assert sorted(r.doc_id for r in got.where("doc_id IS NOT NULL").collect()) == sorted(c for c in comps if c is not None)
 
 
+def test_one_of_each_keeps_unlinked_texts(spark):
+    """A row for each component, also where ids are null or repeated."""
+    apart = ["red apples fall far from here", "nine boats sail north at dawn", "old maps show no such road", "we never met the new mayor"]
+    df = spark.createDataFrame([(None, apart[0]), (None, apart[1]), (None, apart[1]), (5, apart[2]), (5, apart[3]), (5, apart[3]), (6, apart[3])], "doc_id long, text string")
+    assert len(brute_components([(k, brute_fingerprint(t)) for k, t in enumerate(apart)])) == 4
+    assert pairs(simhash.one_of_each(df), "doc_id", "text") == sorted([(None, apart[0]), (None, apart[1]), (5, apart[2]), (5, apart[3])], key=str)
+
+
 # 2
 
 
