@@ -9,7 +9,7 @@ the last step merges a query's blocks. Work is queries times vectors over blocks
 Equal vectors answer alike, so only the k + 1 smallest ids of each distinct vector are indexed (a further copy can
 never be among anyone's k nearest, ties going to smaller ids), and each distinct query vector is searched once.
 
-The pivots are a bounded sample: PIVOTS vectors of smallest hash. Everything else covers all rows.
+The pivots are a bounded sample: PIVOTS distinct vectors of smallest hash. Everything else covers all rows.
 
 Defined results: null or zero vectors and those that hold null or non-finite components take no part; a null id takes
 no part; of repeated ids the first vector (by its components) counts; with fewer candidates than k all are returned;
@@ -91,8 +91,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         return empty
     if len(width) > 1:
         raise ValueError(f"vectors of different lengths: {sorted(r.n for r in width)}")
-    table = np.array([r.v for r in rows.orderBy(F.xxhash64("v"), "id").select("v").limit(pivots).collect()])
-    table = np.unique(table, axis=0)
+    table = np.array([r.v for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()])
     shared = spark.sparkContext.broadcast(table)
     # copies: the smallest k + 1 ids of each vector by pairwise merging, so no task ever holds a vector's whole group
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "v")

@@ -316,6 +316,17 @@ def test_ties_and_copies(spark):
     assert [r.vec_id for r in out] == [k for k in range(21) if k != 20]
 
 
+def test_recall_where_all_vectors_have_copies(spark):
+    """Hundreds of copies of each vector don't use up the pivots."""
+    x = np.random.default_rng(4).normal(size=(400, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    base = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "base long, embedding array<double>")
+    df = base.crossJoin(spark.range(200).withColumnRenamed("id", "copy")).select((F.col("copy") * 400 + F.col("base")).alias("vec_id"), "embedding")
+    out = permutation_index.nearest(df, (F.col("vec_id") < 400) & (F.col("vec_id") % 8 == 0)).collect()
+    want = {(q, q + 400 * c) for q in range(0, 400, 8) for c in range(1, 21)}
+    assert len({(r.query_id, r.vec_id) for r in out} & want) >= 0.9 * len(want)
+
+
 # 9
 
 
