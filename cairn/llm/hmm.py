@@ -26,13 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, slices, stored
+from .common import bytes_of, discard, slices, stored
 
 STATES = 8
 #: Most frequent words that are symbols of their own: the bound of what is broadcast and collected.
 HEAD = 8192
-ROUNDS = 2
-#: The first parameters come from rounds over a bounded sample of distinct texts (of smallest hash); the rounds over all texts follow.
+#: Baum-Welch rounds over all training texts.
+ROUNDS = 10
+#: They begin with parameters from rounds over a bounded sample of distinct texts (of smallest hash).
 SEED_TEXTS, SEED_ROUNDS = 1500, 8
 STRETCH = 64
 #: A worker's table of counts is handed on when it has so many words.
@@ -200,14 +201,41 @@ def next_model(model: Model, flat: np.ndarray) -> Model:
     return Model(model.head, share(start + 1), share(within + 1), share(move.reshape(k, k) + 1), share(emit + PSEUDO * s * (smooth + 1 / s)))
 
 
+def encoded(texts: DataFrame, model: Model) -> DataFrame:
+    """(symbols): each (text)'s symbols with the end, as int32 bytes; what every round reads instead of the words."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in slices(batches, 256):
+            out = [np.append(own.symbols(words_of(x)), np.int32(0)).astype(np.int32).tobytes() for x in bytes_of(b, 0)]
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["symbols"])
+
+    return texts.mapInArrow(run, "symbols binary")
+
+
+def _sequences(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Symbol sequences of about TOKENS tokens at a time."""
+    seqs: list[np.ndarray] = []
+    size = 0
+    for b in slices(batches, 128):
+        seqs += [np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()]
+        size += sum(map(len, seqs[-b.num_rows :]))
+        if size >= TOKENS:
+            yield seqs
+            seqs, size = [], 0
+    if seqs:
+        yield seqs
+
+
 def improved(texts: DataFrame, model: Model) -> Model:
-    """One round of Baum-Welch over all (text): expected counts added up within tasks, then across them."""
+    """One round of Baum-Welch over all (symbols): expected counts added up within tasks, then across them."""
     shared = texts.sparkSession.sparkContext.broadcast(model)
     k, s = model.move.shape[0], model.emit.shape[1]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = shared.value, None
-        for _, _, seqs in _batches(own, batches, 0):
+        for seqs in _sequences(batches):
             got = expected(own, seqs)
             total = got if total is None else tuple(a + b for a, b in zip(total, got))
         if total is not None:
@@ -225,8 +253,8 @@ def improved(texts: DataFrame, model: Model) -> Model:
 
 
 def seed_texts(texts: DataFrame, n_texts: int, most: int = SEED_TEXTS) -> DataFrame:
-    """At most `most` distinct texts of smallest hash. All but a few times as many are left out where they are read,
-    so that the last step sorts few rows however many tasks there are; copies count once."""
+    """At most `most` distinct texts of smallest hash; n_texts: how many distinct ones there are. All but a few times as many
+    are left out where they are read, so that the last step sorts few rows however many tasks there are; copies count once."""
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     few = texts.where(place < F.lit(min(1 << 40, (8 * most << 40) // max(1, n_texts))))
     return few.distinct().orderBy(place, "text").limit(most)
@@ -263,9 +291,11 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rest_n, rest_kinds = total - ends - sum(head_n), kinds - len(head) - (ends > 0)
     model = first_model(head, np.array([ends, rest_n, *head_n], float), states)
     if total:
-        model = seeded(texts, model, ends)
+        model = seeded(texts, model, texts.select(F.xxhash64("text")).distinct().count())
+    symbols = stored(encoded(texts, model), "symbols")
     for _ in range(rounds if total else 0):
-        model = improved(texts, model)
+        model = improved(symbols, model)
+    discard(symbols)
     base_unit, rest_unit = math.log10(total + kinds + 1), math.log10(rest_n + rest_kinds + 1)
     known = [math.log10(n + 1) for n in [ends, 0, *head_n]]
     shared = docs.sparkSession.sparkContext.broadcast((model, np.array(known), ends > 0))

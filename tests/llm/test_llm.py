@@ -250,6 +250,17 @@ def test_seed_texts_are_bounded_and_distinct(spark):
     assert hmm.seed_texts(df, 601, 10_000).count() == 202 and hmm.seed_texts(df.limit(0), 0).count() == 0
 
 
+def test_every_round_reads_all_texts(spark, monkeypatch):
+    """Copies neither shrink the sample that the first parameters come from nor what the rounds read."""
+    seen, texts_seen = [], []
+    whole, seeded = hmm.improved, hmm.seeded
+    monkeypatch.setattr(hmm, "improved", lambda texts, model: seen.append(texts.count()) or whole(texts, model))
+    monkeypatch.setattr(hmm, "seeded", lambda texts, model, n: texts_seen.append(hmm.seed_texts(texts, n, 100).count()) or seeded(texts, model, n))
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.format_string("word%d of text %d", F.col("id") % 150, F.col("id") % 150).alias("text"))
+    hmm.scored(df, F.lit(True), head_words=50)
+    assert seen == [60_000] * 10 and texts_seen == [100]
+
+
 # 6
 
 
