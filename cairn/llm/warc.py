@@ -38,7 +38,10 @@ DERIVED = (
     "content_type string, content_length long, block_digest string, source_payload_digest string, source_headers string, block string"
 )
 
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+#: Only comments, scripts and styles run to the end of the page if nothing ends them.
+_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template|svg)\b(?:[^>]*[^>/])?>.*?</\2\s*>", re.S | re.I)
+#: A head ends before the first thing that can't be in one, as </head> may be left out.
+_HEAD = re.compile(r"<head\b[^>]*>(?:\s|<title\b[^>]*>.*?</title\s*>|</?(?:meta|link|base)\b[^>]*>)*(?:</head\s*>)?", re.S | re.I)
 _BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|aside|blockquote|pre|hr|title|form|dl|dt|dd|body)\b[^>]*>", re.I)
 _TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
 _LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -56,7 +59,7 @@ def derived_id(source: str | None, kind: str) -> str | None:
 
 def plain_text(page: str) -> str:
     """The page's text: scripts, styles and comments gone, block elements end lines, entities resolved, space collapsed."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _DROPPED.sub(" ", page))))
+    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", _DROPPED.sub(" ", page)))))
     lines = (" ".join(x.split()) for x in text.split("\n"))
     return "\n".join(x for x in lines if x)
 

@@ -202,6 +202,13 @@ def test_warc_round_trip(spark, tmp_path):
     assert {h["warc-type"] for h, _ in again} == {"metadata", "conversion"} and all(int(h["content-length"]) == len(b) for h, b in again)
 
 
+def test_text_after_an_unclosed_head():
+    assert warc.plain_text("<html><head><title>a</title><body><p>real text</p></body></html>") == "real text"
+    assert warc.plain_text("<head><title>a</title><meta x><script>'<p>'</script>bare text") == "bare text"
+    assert warc.plain_text("<head><style>p{}</style></head><p>one<svg/> two <template/>three<svg><text>no</text></svg>") == "one two three"
+    assert warc.plain_text("<p>one<script>never ends <p>two") == "one"
+
+
 def test_warc_edges(spark):
     rows = [(1, "u", None), (None, None, ""), (1, "u", None)]
     out = warc.derivatives(warc.responses_of(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()
