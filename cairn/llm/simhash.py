@@ -11,7 +11,8 @@ gives one edge a fingerprint, never all pairs; connected components are found by
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and links like any other; a
 null id never is a component's smallest id unless all are null (then the component is null); repeated rows each get a
-row; columns other than the id and the text are ignored.
+row; an empty table gives no rows; a very long text is hashed in blocks of words, all of them; columns other than the id
+and the text are ignored, whatever their names (``one_of_each`` gives all columns back).
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ SHINGLE = 3
 #: A bucket with more fingerprints is dealt again by the masks of the second level.
 DEAL_AGAIN = 256
 
+_ALL = (1 << 64) - 1
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 _LANES = (np.arange(8, dtype=np.uint16) * 256)[None, :]
 
@@ -84,15 +86,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _walk(fps: list[int]) -> Iterator[tuple[int, int]]:
-    """(fingerprint, smallest fingerprint it reaches), for those that reach a smaller one; fps are distinct."""
+    """(fingerprint, smallest fingerprint it reaches), for those that reach a smaller one; fps are distinct signed longs, compared as 64 bits."""
     if len(fps) <= 24:
         left = sorted(fps)
         while left:
             root, reach = left[0], [left.pop(0)]
             while reach and left:
                 x = reach.pop()
-                if near := [y for y in left if (x ^ y).bit_count() <= RADIUS]:
-                    left = [y for y in left if (x ^ y).bit_count() > RADIUS]
+                if near := [y for y in left if ((x ^ y) & _ALL).bit_count() <= RADIUS]:
+                    left = [y for y in left if ((x ^ y) & _ALL).bit_count() > RADIUS]
                     reach += near
                     for y in near:
                         yield y, root
