@@ -9,7 +9,8 @@ Pieces are those of the vocabulary's own split pattern, so that only equal piece
 worker keeps a table of those it has met, emptied when full.
 
 Defined results: a null text counts as empty (no tokens); special strings inside texts are the single tokens that the
-library makes of them; repeated rows each get a row; columns other than the id and the text are ignored.
+library makes of them; repeated rows each get a row; an empty table gives no rows; very long texts are counted whole, in
+time linear in their length; columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ KEPT_PAIRS = 1_000_000
 #: The pattern by which byte-level vocabularies of this family split text (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: The pattern's alternatives that are more than a mark and one letter.
+CONTRACTIONS = frozenset(("'re", "'ve", "'ll"))
+
 #: Cutting at single spaces is safe unless one of these occurs.
 _UNSAFE = re.compile(r"\s\s|^\s|\s$|[\x1c-\x1f]")
 
@@ -158,30 +162,32 @@ class PrefixCounter:
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """counts[k] is the token count of text[:k], for k from 0 to len(text)."""
-        out, base, before, start = [0], 0, "", 0
+        out, base, last, start = [0], 0, "", 0
         for part in self._segments(text):
             if part is None:
                 special = next(s for s in self.special if text.startswith(s, len(out) - 1))
-                # cut short, a special string is ordinary text that goes on from what stands before it
-                out += [start + self.count(before + special[:k]) for k in range(1, len(special))]
+                # cut short, a special string is ordinary text that goes on from the last piece before it
+                out += [start + self.count(last + special[:k]) for k in range(1, len(special))]
                 out.append(base := base + 1)
+                last, start = "", base
                 continue
-            before, start = part, base
             for m in self.pattern.finditer(part):
-                piece = m[0]
-                counts = self.piece_counts(piece.encode())
-                ends = np.cumsum([len(c.encode()) for c in piece])
+                last, start = m[0], base
+                counts = self.piece_counts(last.encode())
+                ends = np.cumsum([len(c.encode()) for c in last])
                 at = [counts[e] for e in ends]
-                if piece[0] == "'" and len(piece) > 2:  # a cut contraction falls into mark and letters
-                    at[:-1] = [self.piece_counts(b"'")[-1] + (self.piece_counts(piece[1:k].encode())[-1] if k > 1 else 0) for k in range(1, len(piece))]
+                if last in CONTRACTIONS:  # cut short, it falls into the mark and letters
+                    at[:-1] = [self.piece_counts(b"'")[-1] + (self.piece_counts(last[1:k].encode())[-1] if k > 1 else 0) for k in range(1, len(last))]
                 out += [base + x for x in at]
                 base += counts[-1]
             # a run of space that single pieces end with is one piece while it is the end
             for m in regex.finditer(r"\s{2,}(?=\S)", part):
                 offset = len(out) - len(part) - 1
                 lead = out[offset + m.start()]
-                for k in range(m.start() + 1, m.end() + 1):
-                    out[offset + k] = lead + self.piece_counts(part[m.start() : k].encode())[-1]
+                run = self.piece_counts(m[0].encode())
+                ends = np.cumsum([len(c.encode()) for c in m[0]])
+                for k, e in zip(range(m.start() + 1, m.end() + 1), ends):
+                    out[offset + k] = lead + run[e]
         return np.array(out, np.int64)
 
 
