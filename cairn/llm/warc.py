@@ -5,12 +5,14 @@ conversion record (the page's plain text). Both name the response they derive fr
 URI and date), and carry their own block digests as well as the source's payload digest. Record ids are UUIDs of the
 source's id, so that a task that runs again gives the same records.
 
-``parse`` and ``serialize`` read and write the record format (gzip per record or plain), ``read_warc`` reads files
-through Spark's binaryFile source, and ``as_records`` gives derived records as the bytes of the file format.
+``parse`` and ``serialize`` read and write the record format (gzip per record or plain), ``read_warc`` streams files
+that Spark lists, and ``as_records`` gives derived records as the bytes of the file format.
 
 Defined results: a null page or header counts as empty; a response without an id has null ids for itself and its
 derived records are still made, without links; a record that can't be parsed comes back with its error and no
-content; repeated rows each give their records; other columns are ignored.
+content; a charset that isn't one of pages counts as UTF-8, with what can't be read replaced; repeated rows each give
+their records; an empty table gives none; very long pages are read whole, in time linear in their length; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ import html
 import io
 import re
 import uuid
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,14 +44,22 @@ DERIVED = (
 )
 
 #: Only comments, scripts and styles run to the end of the page if nothing ends them.
-_DROPPED = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(noscript|template|svg)\b(?:[^>]*[^>/])?>.*?</\2\s*>", re.S | re.I)
-#: A head ends before the first thing that can't be in one, as </head> may be left out.
-_HEAD = re.compile(r"<head\b[^>]*>(?:\s|<title\b[^>]*>.*?</title\s*>|</?(?:meta|link|base)\b[^>]*>)*(?:</head\s*>)?", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|main|aside|blockquote|pre|hr|title|form|dl|dt|dd|body)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_ENDLESS = frozenset(("script", "style"))
+#: Their contents aren't text.
+_DROPPED = _ENDLESS | {"noscript", "template", "svg"}
+_IN_HEAD = frozenset(("meta", "link", "base"))
+_BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav main aside blockquote pre hr title form dl dt dd body".split())
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b")
+_CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_DROPPED, "title")}
+_HREF = re.compile(r"\bhref\s*=\s*", re.I)
+_BARE = re.compile(r"[^\s>]+")
+_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
+_SURROGATE = re.compile("[\ud800-\udfff]")
+#: Text encodings that no page is read by: they aren't safe or linear.
+_ODD_CHARSETS = frozenset(("idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "utf_7"))
+#: Bytes of payload that are read before rows are handed on.
+READ_BYTES = 8 << 20
 
 
 def digest(data: bytes) -> str:
@@ -57,36 +70,118 @@ def derived_id(source: str | None, kind: str) -> str | None:
     return source and f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{source}#{kind}')}>"
 
 
-def plain_text(page: str) -> str:
-    """The page's text: scripts, styles and comments gone, block elements end lines, entities resolved, space collapsed."""
-    text = html.unescape(_TAG.sub("", _BREAK.sub("\n", _HEAD.sub(" ", _DROPPED.sub(" ", page)))))
-    lines = (" ".join(x.split()) for x in text.split("\n"))
-    return "\n".join(x for x in lines if x)
+class Page:
+    """One pass over a page: text with line ends, title, language and links. No part is looked at more than a few times."""
+
+    def __init__(self, page: str):
+        self.page, self.parts, self.links = page, [], []
+        self.title: str | None = None
+        self.language: str | None = None
+        self._none_after: dict[str, int] = {}
+        self._read()
+
+    def _closed(self, name: str, at: int) -> re.Match | None:
+        """The end tag of that name after at. That there is none is found out once."""
+        if at >= self._none_after.get(name, len(self.page) + 1):
+            return None
+        found = _CLOSERS[name].search(self.page, at)
+        if not found:
+            self._none_after[name] = at
+        return found
+
+    def _link(self, at: int, end: int) -> None:
+        if not (m := _HREF.search(self.page, at, end)):
+            return
+        quote = self.page[m.end() : m.end() + 1]
+        if quote in ("'", '"') and (z := self.page.find(quote, m.end() + 1)) >= 0:
+            self.links.append(self.page[m.end() + 1 : z])
+        elif bare := _BARE.match(self.page, m.end(), end):
+            self.links.append(bare[0])
+
+    def _read(self) -> None:
+        page, parts, at, in_head = self.page, self.parts, 0, False
+        while (lt := page.find("<", at)) >= 0:
+            if lt > at:
+                text = page[at:lt]
+                in_head = in_head and not text.strip()
+                parts.append(" " if in_head else text)
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                parts.append(" ")
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            begins = page[lt + 1 : lt + 3].lstrip("/")[:1]
+            gt = page.find(">", lt) if begins in ("!", "?") or (begins.isascii() and begins.isalpha()) else -2
+            if gt < 0:
+                if gt == -1:  # no tag ends after this
+                    break
+                parts.append("<")
+                in_head, at = False, lt + 1
+                continue
+            named, closing, at = _NAME.match(page, lt, gt + 1), page[lt + 1] == "/", gt + 1
+            name = named[1].lower() if named else ""
+            if name in _DROPPED and not closing and (name in _ENDLESS or page[gt - 1] != "/"):
+                end = self._closed(name, at)
+                if end or name in _ENDLESS:
+                    parts.append(" ")
+                    at = end.end() if end else len(page)
+                    continue
+            if name == "a" and not closing:
+                self._link(lt, gt)
+            elif name == "title" and not closing and (self.title is None or in_head) and (end := self._closed(name, at)):
+                self.title = page[at : end.start()] if self.title is None else self.title
+                if in_head:
+                    at = end.end()
+                    continue
+            elif name == "html" and self.language is None and (m := _LANG.search(page, lt, gt)):
+                self.language = m[1]
+            if name == "head":
+                in_head = not closing
+                continue
+            if in_head and name in _IN_HEAD:
+                continue
+            in_head = False
+            if name in _BREAKS:
+                parts.append("\n")
+        parts.append(page[at:])
+
+    def text(self) -> str:
+        lines = (" ".join(x.split()) for x in html.unescape("".join(self.parts)).split("\n"))
+        return "\n".join(x for x in lines if x)
+
+    def fields(self) -> list[tuple[str, str]]:
+        """Names and values of the metadata record: title, language, links in order without repeats."""
+        out = [("title", " ".join(html.unescape(self.title).split()))] if self.title is not None else []
+        out += [("language", self.language)] if self.language else []
+        links = (html.unescape(x).strip() for x in self.links)
+        return out + [("outlink", x) for x in dict.fromkeys(links) if x and "\n" not in x]
 
 
-def described(page: str) -> list[tuple[str, str]]:
-    """Names and values of the metadata record: title, language, links in order without repeats."""
-    out = [("title", " ".join(html.unescape(m[1]).split()))] if (m := _TITLE.search(page)) else []
-    out += [("language", m[1])] if (m := _LANG.search(page)) else []
-    links = (html.unescape(next(g for g in m.groups() if g is not None)).strip() for m in _LINK.finditer(re.sub(r"<!--.*?(?:-->|\Z)", " ", page, flags=re.S)))
-    return out + [("outlink", x) for x in dict.fromkeys(links) if x and "\n" not in x]
+def plain_text(page: str) -> str:
+    """The page's text: scripts, styles and comments gone, block elements end lines, entities resolved, space collapsed."""
+    return Page(page).text()
 
 
-def charset(headers: str) -> str:
-    m = re.search(r"charset=[\"']?([\w.:-]+)", headers, re.I)
+def decoded(payload: bytes, headers: str) -> str:
+    """The page by the charset of its headers; by UTF-8 where that is none, unknown or no encoding of pages."""
+    m, name = _CHARSET.search(headers), "utf-8"
     try:
-        return codecs.lookup(m[1]).name if m else "utf-8"
-    except LookupError:
-        return "utf-8"
+        found = codecs.lookup(m[1]) if m else None
+        if found and found._is_text_encoding and found.name.replace("-", "_") not in _ODD_CHARSETS:
+            name = found.name
+        page = payload.decode(name, "replace")
+    except (LookupError, ValueError):  # unknown names; codecs that refuse the bytes
+        page = payload.decode("utf-8", "replace")
+    return _SURROGATE.sub("\ufffd", page)
 
 
 def derived_records(record_id: str | None, uri: str | None, date: str | None, headers: str | None, payload: bytes | None) -> list[tuple]:
     headers, payload = headers or "", payload or b""
-    page, source = payload.decode(charset(headers), "replace"), digest(payload)
+    page, source = Page(decoded(payload, headers)), digest(payload)
     kept = [x for x in headers.replace("\r\n", "\n").split("\n")[1:] if ":" in x]
-    fields = described(page) + [("source-header", x.strip()) for x in kept]
+    fields = page.fields() + [("source-header", x.strip()) for x in kept]
     out = []
-    for kind, mime, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain", plain_text(page))):
+    for kind, mime, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain", page.text())):
         data = block.encode()
         out.append((derived_id(record_id, kind), kind, record_id, uri, date, uri, date, mime, len(data), digest(data), source, headers, block))
     return out
@@ -123,9 +218,10 @@ def serialize(headers: list[tuple[str, str]], block: bytes, compress: bool = Tru
     return gzip.compress(data, mtime=0) if compress else data
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of a file, gzip or plain."""
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+def parse(source: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of each record of a file, gzip or plain; holds one record at a time."""
+    raw = io.BufferedReader(io.BytesIO(source) if isinstance(source, bytes) else source)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if raw.peek(2)[:2] == b"\x1f\x8b" else raw
     while line := stream.readline():
         if not line.strip():
             continue
@@ -137,39 +233,65 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             headers[name.strip().lower()] = value.strip()
         n = int(headers.get("content-length", 0))
         block = stream.read(n)
-        if len(block) < n:
+        if n < 0 or len(block) < n:
             raise ValueError("a record is cut short")
         yield headers, block
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, one task a file at least; error tells of files that end badly."""
+def opened(path: str) -> BinaryIO:
+    """A file of any store that Arrow knows (local, HDFS, S3, ...), as a stream."""
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(at, compression=None)
+
+
+def read_warc(spark: SparkSession, path: str, open_file: Callable[[str], BinaryIO] = opened) -> DataFrame:
+    """Response records of WARC files; error tells of files that end badly (a record of its own, after the good ones).
+
+    Spark lists the files; each is read as a stream in a worker, so only READ_BYTES and one record are held however
+    long the file is. open_file: how a worker opens a listed path, for stores that Arrow doesn't know."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("date", pa.string()), ("http_headers", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
-        for b in slices(batches, 1):
-            rows = []
-            try:
-                for h, block in parse(b.column(0)[0].as_py()):
-                    if h.get("warc-type") == "response":
-                        head, _, body = block.partition(b"\r\n\r\n")
-                        rows.append((h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), head.decode("utf-8", "replace") + "\r\n", body, None))
-            except (ValueError, OSError, EOFError) as e:
-                rows.append((None, b.column(1)[0].as_py(), None, None, None, str(e)))
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
-    return spark.read.format("binaryFile").load(path).select("content", "path").mapInArrow(run, RESPONSES + ", error string")
+        rows: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            made = pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            rows.clear()
+            return made
+
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                try:
+                    size = 0
+                    with open_file(at) as source:
+                        for h, block in parse(source):
+                            if h.get("warc-type") == "response":
+                                head, _, body = block.partition(b"\r\n\r\n")
+                                rows.append((h.get("warc-record-id"), h.get("warc-target-uri"), h.get("warc-date"), head.decode("utf-8", "replace") + "\r\n", body, None))
+                                size += len(body)
+                                if size >= READ_BYTES:
+                                    yield out()
+                                    size = 0
+                except (ValueError, OSError, EOFError, zlib.error) as e:
+                    rows.append((None, at, None, None, None, str(e)))
+                if rows:
+                    yield out()
+
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(max(1, min(files.count(), 10_000)), "path").mapInArrow(run, RESPONSES + ", error string")
 
 
 def as_records(derived: DataFrame) -> DataFrame:
-    """(record_id, record binary): each derived record in the file format, gzip by itself."""
+    """(record_id, record binary): each derived record in the file format, gzip by itself.
+
+    WARC-Payload-Digest is that of the payload referred to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 256):
             out = []
             for r in b.to_pylist():
                 head = [("WARC-Type", r["type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Date", r["date"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Refers-To-Target-URI", r["refers_to_target_uri"]),
-                        ("WARC-Refers-To-Date", r["refers_to_date"]), ("WARC-Block-Digest", r["block_digest"]), ("Content-Type", r["content_type"])]
+                        ("WARC-Refers-To-Date", r["refers_to_date"]), ("WARC-Block-Digest", r["block_digest"]), ("WARC-Payload-Digest", r["source_payload_digest"]), ("Content-Type", r["content_type"])]
                 out.append(serialize(head, (r["block"] or "").encode()))
             yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], names=["record_id", "record"])
 
