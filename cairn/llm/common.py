@@ -19,9 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; one of this machine only where all runs on it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir is unset; with master {master} it must name a folder that driver and executors share")
         root = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
