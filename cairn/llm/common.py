@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
+#: By application, the folder of this machine where none is named.
+_LOCAL: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,8 +29,8 @@ def scratch_root(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise RuntimeError(f"spark.checkpoint.dir is unset; with master {master} it must name a folder that driver and executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _LOCAL[app] = _LOCAL.get(app) or f"file://{tempfile.mkdtemp(prefix='cairn-')}"
     return root.rstrip("/")
 
 
@@ -42,8 +46,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, buckets: int, key: str, label: str) -> DataFrame:
+    """As ``stored``, dealt by key into buckets, so that what is grouped or joined by the key time and again isn't shuffled again."""
+    spark = df.sparkSession
+    name = f"cairn_{label}_{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}"
+    df.repartition(buckets, key).write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    out = spark.read.table(name)
+    out._cairn_path, out._cairn_table = path, name
+    return out
+
+
 def discard(df: DataFrame) -> None:
-    """Deletes what ``stored`` wrote."""
+    """Deletes what ``stored`` or ``bucketed`` wrote."""
+    if name := getattr(df, "_cairn_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
     if path := getattr(df, "_cairn_path", None):
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

@@ -1,24 +1,31 @@
 """A hidden Markov language model over words.
 
-Counts of all training words are gathered across partitions. The HEAD most frequent words (the bound of what is
-broadcast) are the model's own symbols; all other words share one symbol, within which a word has its add-one share
-(with one place for words never seen). Baum-Welch runs over every training document: each task adds up the expected
-counts of its stretches of STRETCH tokens, the sums over all tasks are the next parameters. A text's score is the
-exact likelihood by the scaled forward recursion over all its words and the end symbol.
+Texts are read once: each task turns its texts into chunks of bounded size, one row a chunk, that hold the texts as
+numbers of the chunk's own distinct words. What follows joins tables by word with (chunk, word) rows, of which there
+are far fewer than (text, word) rows, and brings the result back to the chunk. So no vocabulary is ever sent to all
+workers or to the driver, and tables by word grow with the corpus.
 
-Words outside the head are joined with the counts by a shuffle, one row for each text and distinct word, so no
-vocabulary of the corpus's size is ever sent to all workers or to the driver.
+Every word that occurs MIN_COUNT times or more in training has emissions of its own, however many words that are. Rarer
+words share one symbol, within which a word has its add-one share (with one place for words never seen). A round of
+Baum-Welch runs over every training text whole: each chunk gives the expected counts of its words and of the states'
+moves, they are summed by word across chunks, and those sums are the next parameters. A text's score is the exact
+likelihood by the scaled forward recursion over all its words and the end symbol.
+
+Emissions are worked with as ratios to the words' own shares, which keeps the recursions within range; a share SHARE of
+each state's emissions is the words' own share, so every state gives every word.
 
 Defined results: a null text counts as empty (the end symbol only); repeated rows each get a row and each count in
-training; a null id falls in fold zero of the empty text; with no training rows every word is unseen, N and V are
-zero; columns other than the id and the text are ignored.
+training; a null id falls in fold zero of the empty text; a null in `learn` is no; with no training rows every word is
+unseen, N and V are zero; an empty table gives no rows; a very long text is a chunk by itself, its recursion is carried
+on in slabs of bounded memory; columns other than the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import gc
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,305 +33,375 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, discard, slices, stored
+from .common import bucketed, bytes_of, discard, slices, stored
 
 STATES = 8
-#: Most frequent words that are symbols of their own: the bound of what is broadcast and collected.
-HEAD = 8192
-#: Baum-Welch rounds over all training texts.
-ROUNDS = 10
-#: They begin with parameters from rounds over a bounded sample of distinct texts (of smallest hash).
-SEED_TEXTS, SEED_ROUNDS = 1500, 8
-STRETCH = 64
-#: A worker's table of counts is handed on when it has so many words.
-KEPT_WORDS = 200_000
-#: Tokens that a task works on at a time.
-TOKENS = 400_000
-PSEUDO = 0.02
+#: Words that occur so often in training have emissions of their own.
+MIN_COUNT = 10
+ROUNDS = 8
+#: The part of each state's emissions that is the words' own share, and of its moves that is even.
+SHARE, EVEN = 0.02, 0.001
+#: Bytes of text of a chunk, at most about, unless one text is longer.
+CHUNK_BYTES = 32 << 20
+#: Tokens that are worked on at a time within a chunk.
+TOKENS = 1 << 20
+#: Steps between two scalings. A step's factor is between SHARE and a state's largest ratio.
+SCALE_EVERY = 4
 
 
 def words_of(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def counted(texts: DataFrame) -> DataFrame:
-    """(word binary, n): of all words in (text); the end of each text has the null word."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        ends = 0
-
-        def out() -> pa.RecordBatch:
-            b = pa.record_batch([pa.array([*seen, None], pa.binary()), pa.array([*seen.values(), ends], pa.int64())], names=["word", "n"])
-            seen.clear()
-            return b
-
-        for b in slices(batches, 256):
-            for x in bytes_of(b, 0):
-                seen.update(words_of(x))
-                ends += 1
-            if len(seen) > KEPT_WORDS:
-                yield out()
-                ends = 0
-        yield out()
+def planes(x: np.ndarray) -> bytes:
+    """int32 numbers by byte planes, which compress well where numbers are small."""
+    return np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
+def unplanes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
-class Model:
-    """Symbols: 0 the end, 1 any word outside the head, 2... the head's words."""
 
-    def __init__(self, head: list[bytes], start: np.ndarray, within: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.head, self.start, self.within, self.move, self.emit = head, start, within, move, emit
-        self._symbol: dict[bytes, int] | None = None
+class _Numbers(dict):
+    """Numbers of words, in order of first use."""
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        if self._symbol is None:
-            self._symbol = {w: k + 2 for k, w in enumerate(self.head)}
-        get = self._symbol.get
-        return np.fromiter((get(w, 1) for w in words), np.int32, len(words))
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
 
-    def __getstate__(self):
-        return self.__dict__ | {"_symbol": None}
 
+def chunked(docs: DataFrame, kind: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(chunk, ids, lengths, learn, tokens, words, own) from (id, text, learn): own are the words' counts in training texts.
 
-def first_model(head: list[bytes], counts: np.ndarray, states: int, seed: int = 7) -> Model:
-    """Sticky states whose emissions are the words' shares, each multiplied by a random factor."""
-    rng = np.random.default_rng(seed)
-    emit = (counts + 0.5)[None, :] * rng.gamma(0.5, 1.0, (states, len(counts))).clip(1e-3)
-    emit[:, :2] = (counts + 0.5)[None, :2]
-    move = np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(move, 0.9)
-    even = np.full(states, 1 / states)
-    return Model(head, even, even, move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
-
-
-def expected(model: Model, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts (start, within, move, emit) of symbol sequences, cut into stretches.
-
-    The first stretch of a text starts by `start`, all others by `within`; every token is in one stretch."""
-    k, s = model.move.shape[0], model.emit.shape[1]
-    lengths = np.array([len(d) for d in docs])
-    flat = np.concatenate(docs)
-    begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    parts = -(-lengths // STRETCH)
-    doc = np.repeat(np.arange(len(docs)), parts)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
-    at, n = begins[doc] + nth * STRETCH, np.minimum(STRETCH, lengths[doc] - nth * STRETCH)
-    order = np.argsort(-n, kind="stable")
-    at, n, first = at[order], n[order], (nth[order] == 0)
-    live = [int(np.searchsorted(-n, -t, side="left")) for t in range(STRETCH)]  # stretches longer than t
-    emit, move = np.ascontiguousarray(model.emit.T, np.float32), model.move.astype(np.float32)
-    alphas, scales = [], []
-    a = np.where(first[:, None], model.start, model.within).astype(np.float32) * emit[flat[at]]
-    for t in range(STRETCH):
-        m = live[t]
-        if not m:
-            break
-        if t:
-            a = (a[:m] @ move) * emit[flat[at[:m] + t]]
-        c = a.sum(1)
-        a = a / c[:, None]
-        alphas.append(a)
-        scales.append(c)
-    b = np.zeros((0, k), np.float32)
-    moved, emitted = np.zeros((k, k)), np.zeros((s, k))
-    gammas, where = [], []
-    for t in reversed(range(len(alphas))):
-        m = live[t]
-        full = np.ones((m, k), np.float32)
-        full[: len(b)] = b  # stretches that end here have ones
-        g = alphas[t] * full
-        g /= g.sum(1, keepdims=True)
-        gammas.append(g)
-        where.append(flat[at[:m] + t])
-        if t:
-            e = emit[flat[at[:m] + t]] * full / scales[t][:, None]
-            moved += (alphas[t - 1][:m].T @ e) * model.move
-            b = e @ move.T
-    g, w = np.concatenate(gammas), np.concatenate(where)
-    for j in range(k):
-        emitted[:, j] = np.bincount(w, weights=g[:, j], minlength=s)
-    last = gammas[-1]  # those of the first token of each stretch
-    return last[first].sum(0), last[~first].sum(0), moved, emitted.T
-
-
-def forward(model: Model, docs: list[np.ndarray]) -> np.ndarray:
-    """Log10 likelihood of each symbol sequence, by the scaled forward recursion over all of it."""
-    lengths = np.array([len(d) for d in docs])
-    order = np.argsort(-lengths, kind="stable")
-    flat = np.concatenate([docs[i] for i in order])
-    n = lengths[order]
-    at = np.cumsum(n) - n
-    emit, out = np.ascontiguousarray(model.emit.T), np.zeros(len(docs))
-    steps = n[0]
-    live = np.searchsorted(-n, -np.arange(steps), side="left")
-    a = model.start[None, :] * emit[flat[at]]
-    for t in range(steps):
-        m = live[t]
-        if t:
-            a = (a[:m] @ model.move) * emit[flat[at[:m] + t]]
-        c = a.sum(1)
-        a /= c[:, None]
-        out[:m] += np.log10(c)
-    result = np.empty(len(docs))
-    result[order] = out
-    return result
-
-
-def _batches(model: Model, batches: Iterable[pa.RecordBatch], column: int) -> Iterator[tuple[list, list[list[bytes]], list[np.ndarray]]]:
-    """(ids, words, symbols with the end) of about TOKENS tokens at a time."""
-    ids: list = []
-    words: list[list[bytes]] = []
-    seqs: list[np.ndarray] = []
-    size = 0
-    for b in slices(batches, 128):
-        ids.append(b.column(0))
-        for x in bytes_of(b, column):
-            words.append(words_of(x))
-            seqs.append(np.append(model.symbols(words[-1]), np.int32(0)))
-            size += len(seqs[-1])
-        if size >= TOKENS:
-            yield ids, words, seqs
-            ids, words, seqs, size = [], [], [], 0
-    if seqs:
-        yield ids, words, seqs
-
-
-def next_model(model: Model, flat: np.ndarray) -> Model:
-    """The parameters that expected counts (start, within, move, emit, one after the other) give."""
-    k, s = model.move.shape[0], model.emit.shape[1]
-    start, within, move, emit = np.split(flat, [k, 2 * k, 2 * k + k * k])
-    share = lambda x: x / x.sum(-1, keepdims=True)
-    emit = emit.reshape(k, s)
-    smooth = emit.sum(0) / max(1.0, emit.sum())
-    return Model(model.head, share(start + 1), share(within + 1), share(move.reshape(k, k) + 1), share(emit + PSEUDO * s * (smooth + 1 / s)))
-
-
-def encoded(texts: DataFrame, model: Model) -> DataFrame:
-    """(symbols): each (text)'s symbols with the end, as int32 bytes; what every round reads instead of the words."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    lengths and tokens (numbers in `words`, text after text) are int32 planes, learn is a byte a text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for b in slices(batches, 256):
-            out = [np.append(own.symbols(words_of(x)), np.int32(0)).astype(np.int32).tobytes() for x in bytes_of(b, 0)]
-            yield pa.record_batch([pa.array(out, pa.binary())], names=["symbols"])
+        chunk = TaskContext.get().partitionId() << 32
+        numbers, ids, learn, texts, size = _Numbers(), [], [], [], 0
 
-    return texts.mapInArrow(run, "symbols binary")
+        def out() -> pa.RecordBatch:
+            lengths = np.array([len(t) for t in texts], np.int32)
+            tokens, own = np.concatenate(texts), np.concatenate(learn)
+            counts = np.bincount(tokens[np.repeat(own, lengths)], minlength=len(numbers))
+            row = [chunk, None, planes(lengths), own.tobytes(), planes(tokens), list(numbers), counts]
+            return pa.record_batch(
+                [pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.concat_arrays(ids)) if k == 1 else pa.array([x], t) for k, (x, t) in enumerate(zip(row, types))],
+                names=["chunk", "ids", "lengths", "learn", "tokens", "words", "own"],
+            )
 
+        types = [pa.int64(), None, pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+        for b in slices(batches, 64):
+            begun, flags = 0, b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for k, x in enumerate(bytes_of(b, 1)):
+                ws = words_of(x)
+                texts.append(np.fromiter(map(numbers.__getitem__, ws), np.int32, len(ws)))
+                size += len(x) + 1
+                if size >= chunk_bytes or k == b.num_rows - 1:
+                    ids.append(b.column(0).slice(begun, k + 1 - begun))
+                    learn.append(flags[begun : k + 1])
+                    begun = k + 1
+                if size >= chunk_bytes:
+                    yield out()
+                    chunk, numbers, ids, learn, texts, size = chunk + 1, _Numbers(), [], [], [], 0
+        if texts:
+            yield out()
+
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, lengths binary, learn binary, tokens binary, words array<binary>, own array<long>")
+
+
+@dataclass(frozen=True)
+class Shares:
+    """Sums over the training tokens: all, ends, distinct words, words with emissions, and the rest's tokens."""
+
+    total: int
+    ends: int
+    kinds: int
+    named: int
+    rest: int
+    least: int
+
+    @property
+    def places(self) -> float:
+        return self.total + 0.5 * (self.named + 2)
+
+    def share(self, n):
+        """The share of a symbol that occurs n times; over all words with emissions, the rest and the end it adds up to one."""
+        return (n + 0.5) / self.places
+
+
+def numbered(raw: DataFrame, counts: DataFrame, shares: Shares, kind: str) -> DataFrame:
+    """The chunks with symbols (0 the end, 1 a rare word, then the chunk's words with emissions) and each text's sums.
+
+    (chunk, ids, lengths, learn, symbols, words, n, known, base, fixed): lengths with the end; words and their counts n
+    are those with emissions; known: tokens met in training; base: the base score; fixed: the log10 of what in the
+    score doesn't hang on states."""
+    pairs = raw.select("chunk", F.posexplode("words").alias("pos", "word"))
+    named = pairs.join(counts, "word").select(F.col("chunk").alias("to"), "pos", "n")
+    schema = f"chunk long, ids array<{kind}>, lengths binary, learn binary, symbols binary, words array<binary>, n array<long>, known array<long>, base array<double>, fixed array<double>"
+    base_unit = math.log10(shares.total + shares.kinds + 1)
+    rest_unit = math.log10(shares.rest + shares.kinds - shares.named - (shares.ends > 0) + 1)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["chunk", "ids", "lengths", "learn", "symbols", "words", "n", "known", "base", "fixed"]
+        lengths, tokens, learn = (left[c][0].as_py() for c in ("lengths", "tokens", "learn"))
+        lengths, tokens, words = unplanes(lengths), unplanes(tokens), left["words"].chunk(0).flatten()
+        n = np.zeros(len(words), np.int64)
+        n[right["pos"].to_numpy()] = right["n"].to_numpy()
+        often = np.flatnonzero(n >= shares.least)
+        symbol = np.ones(len(words), np.int32)
+        symbol[often] = np.arange(2, len(often) + 2)
+        logs = np.log10(n + 1.0)
+        fixed = np.where(symbol == 1, logs - rest_unit + math.log10(shares.share(shares.rest)), np.log10(shares.share(n)))
+        ends = np.cumsum(lengths + 1) - 1
+        seq = np.zeros(len(tokens) + len(lengths), np.int32)
+        inner = np.ones(len(seq), bool)
+        inner[ends] = False
+        seq[inner] = symbol[tokens]
+
+        def per_text(of_word: np.ndarray, of_end: float) -> np.ndarray:
+            x = np.empty(len(seq))
+            x[inner], x[ends] = of_word[tokens], of_end
+            return np.add.reduceat(x, ends - lengths) if len(ends) else x
+
+        known = per_text((n > 0).astype(float), float(shares.ends > 0))
+        base = per_text(logs - base_unit, math.log10(shares.ends + 1) - base_unit)
+        logs = per_text(fixed, math.log10(shares.share(shares.ends)))
+        one = [left["chunk"][0].as_py(), None, planes(lengths + 1), learn, planes(seq), None, n[often], np.round(known).astype(np.int64), base, logs]
+        columns = [left["ids"] if c == "ids" else pa.ListArray.from_arrays(pa.array([0, len(often)], pa.int32()), words.take(pa.array(often))) if c == "words" else pa.array([x], t) for c, x, t in zip(names, one, types)]
+        return pa.table(columns, names=names)
+
+    types = [pa.int64(), pa.list_(pa.null()), *[pa.binary()] * 3, pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+    return raw.select("chunk", "ids", "lengths", "learn", "tokens", "words").groupBy("chunk").cogroup(named.groupBy("to")).applyInArrow(run, schema)
+
+
+@dataclass(frozen=True)
+class Moves:
+    """What of the model doesn't grow: begins, moves, the sums of the states, and the ratios of the end and of rare words."""
+
+    start: np.ndarray
+    move: np.ndarray
+    total: np.ndarray
+    end: np.ndarray
+    rare: np.ndarray
+
+
+def ratio(g, total, share):
+    """A state's emission over the symbol's own share, from its expected count g and the state's sum."""
+    return (1 - SHARE) * (g / share + 1) / (total + 1) + SHARE
+
+
+class Batch:
+    """Sequences laid out step by step, longest first, with the recursions over them."""
+
+    def __init__(self, flat: np.ndarray, begin: np.ndarray, n: np.ndarray, ratios: np.ndarray, start: np.ndarray, move: np.ndarray):
+        self.flat, self.begin, self.n = flat, begin, n
+        self.ratios, self.start, self.move = ratios.astype(np.float32), start.astype(np.float32), move.astype(np.float32)
+        self.live = np.searchsorted(-n, -np.arange(n[0] + 1), side="left")  # how many are longer than t
+        cuts, size = [0], 0
+        sums = np.concatenate([[0], np.cumsum(self.live)])
+        while cuts[-1] < n[0]:
+            size = int(np.searchsorted(sums, sums[cuts[-1]] + TOKENS, side="right")) - 1
+            cuts.append(min(int(n[0]), max(cuts[-1] + 1, size)))
+        self.slabs = list(zip(cuts, cuts[1:]))
+
+    def _places(self, t0: int, t1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first row of each step, live of each step, symbols) of a slab."""
+        m = self.live[t0:t1]
+        off = np.concatenate([[0], np.cumsum(m)])
+        doc = np.arange(off[-1]) - np.repeat(off[:-1], m)
+        return off, m, self.flat[self.begin[doc] + np.repeat(np.arange(t0, t1), m)]
+
+    def _forward(self, t0: int, t1: int, off: np.ndarray, m: np.ndarray, emit: np.ndarray, a: np.ndarray | None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+        """Scaled alphas of a slab that begins with those of the step before; the scales of the steps that have one."""
+        out, scales = np.empty_like(emit), {}
+        move, ones = self.move, np.ones(len(self.move), np.float32)
+        for t, o, k in zip(range(t0, t1), off.tolist(), m.tolist()):
+            now = out[o : o + k]
+            if a is None:
+                now[:] = self.start
+            else:
+                np.matmul(a[:k], move, out=now)
+            now *= emit[o : o + k]
+            if t % SCALE_EVERY == SCALE_EVERY - 1:
+                c = scales[t] = now @ ones
+                now /= c[:, None]
+            a = now
+        return out, scales
+
+    def likely(self) -> np.ndarray:
+        """Log10 of each sequence's likelihood over that of its symbols' own shares."""
+        logs, a = np.zeros(len(self.n)), None
+        for t0, t1 in self.slabs:
+            off, m, symbols = self._places(t0, t1)
+            alphas, scales = self._forward(t0, t1, off, m, self.ratios[symbols], a)
+            for c in scales.values():
+                logs[: len(c)] += np.log10(c)
+            done = np.arange(self.live[t1], self.live[t0])  # those that end within the slab
+            logs[done] += np.log10(alphas[off[self.n[done] - 1 - t0] + done].sum(1, dtype=np.float64))
+            a = alphas[off[-2] :].copy()
+        return logs
+
+    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts: of the states at the begin, of moves, of each symbol by state."""
+        k, s = len(self.move), len(self.ratios)
+        start, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((s, k))
+        befores, a = [], None
+        for t0, t1 in self.slabs:  # where there are several, each is worked out once more on the way back
+            befores.append(a)
+            if len(self.slabs) > 1:
+                off, m, symbols = self._places(t0, t1)
+                a = self._forward(t0, t1, off, m, self.ratios[symbols], a)[0][off[-2] :].copy()
+        after = None
+        for (t0, t1), a in zip(reversed(self.slabs), reversed(befores)):
+            off, m, symbols = self._places(t0, t1)
+            x = self.ratios[symbols]  # emissions, then emissions times betas over scales
+            alphas, scales = self._forward(t0, t1, off, m, x, a)
+            betas, back = np.ones_like(x), np.ascontiguousarray(self.move.T)
+            if after is not None:
+                betas[off[-2] : off[-2] + len(after[0])] = after[0] @ back
+                moved += alphas[off[-2] : off[-2] + len(after[1])].T @ after[1]
+            places = list(zip(range(t0, t1), off.tolist(), m.tolist()))
+            for j in reversed(range(len(places))):
+                t, o, n = places[j]
+                now = x[o : o + n]
+                now *= betas[o : o + n]
+                if t in scales:
+                    now /= scales[t][:, None]
+                if j:
+                    np.matmul(now, back, out=betas[places[j - 1][1] : places[j - 1][1] + n])
+            betas *= alphas
+            norm = betas.sum(1)
+            betas /= norm[:, None]
+            first = x[: m[0]].copy()
+            x /= norm[:, None]
+            if len(m) > 1:
+                before = np.arange(off[1], off[-1]) - np.repeat(m[:-1], m[1:])
+                moved += alphas[before].T @ x[off[1] :]
+            after = (first, x[: m[0]].copy())
+            if t0 == 0:
+                start += betas[: m[0]].sum(0)
+            for z in range(k):
+                emitted[:, z] += np.bincount(symbols, weights=betas[:, z], minlength=s)
+        return start, moved * self.move, emitted
+
+
+def batches_of(lengths: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of sequences, longest first, of about TOKENS tokens together."""
+    order = which[np.argsort(-lengths[which], kind="stable")]
+    cut = np.flatnonzero(np.diff(np.cumsum(lengths[order]) // TOKENS, prepend=0)) if len(order) else []
+    yield from (x for x in np.split(order, cut) if len(x))
+
+
+def _opened(left: pa.Table, right: pa.Table, model: Moves) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, lengths, begins, ratios by symbol) of a chunk."""
+    flat, lengths = unplanes(left["symbols"][0].as_py()), unplanes(left["lengths"][0].as_py())
+    k = len(model.start)
+    ratios = np.empty((len(left["words"][0]) + 2, k))
+    ratios[0], ratios[1] = model.end, model.rare
+    at = right["pos"].to_numpy() + 2
+    for z in range(k):
+        ratios[at, z] = right[f"r{z}"].to_numpy()
+    return flat, lengths, np.cumsum(lengths) - lengths, ratios
+
+
+def improved(held: DataFrame, vectors: DataFrame, model: Moves) -> DataFrame:
+    """(part, word, g0, g1, ...): expected counts over all training texts. part 0 has the words', 1 the begins, 2 the ends,
+    3 rare words, 4 each state's sum, from 10 on the moves."""
+    k = len(model.start)
+    schema = pa.schema([("part", pa.int32()), ("word", pa.binary()), *[(f"g{z}", pa.float64()) for z in range(k)]])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        learn = np.frombuffer(left["learn"][0].as_py(), bool) if left.num_rows else np.zeros(0, bool)
+        if not learn.any():
+            return schema.empty_table()
+        flat, lengths, begin, ratios = _opened(left, right, model)
+        start, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((len(ratios), k))
+        for own in batches_of(lengths, np.flatnonzero(learn)):
+            s, m, e = Batch(flat, begin[own], lengths[own], ratios, model.start, model.move).expected()
+            start, moved, emitted = start + s, moved + m, emitted + e
+        met = np.flatnonzero(emitted[2:].sum(1))
+        sums = np.vstack([emitted[2:][met], start, emitted[0], emitted[1], emitted.sum(0), moved])
+        part = pa.array([0] * len(met) + [1, 2, 3, 4, *range(10, 10 + k)], pa.int32())
+        word = pa.concat_arrays([left["words"].chunk(0).flatten().take(pa.array(met)), pa.nulls(4 + k, pa.binary())])
+        return pa.table([part, word, *[pa.array(np.ascontiguousarray(sums[:, z])) for z in range(k)]], schema=schema)
+
+    found = held.select("chunk", "lengths", "learn", "symbols", "words").groupBy("chunk").cogroup(vectors.groupBy("to")).applyInArrow(run, ", ".join(["part int, word binary", *[f"g{z} double" for z in range(k)]]))
+    return found.groupBy("part", "word").agg(*[F.sum(f"g{z}").alias(f"g{z}") for z in range(k)])
+
+
+def moves_of(sums: DataFrame, shares: Shares, states: int) -> Moves:
+    """The part of the model that doesn't grow, from sums of expected counts: 4 + states rows."""
+    rows = {r.part: np.array([r[f"g{z}"] for z in range(states)]) for r in sums.where("part > 0").collect()}
+    move = np.array([rows[10 + z] for z in range(states)]) + 1e-9
+    total = rows[4]
+    return Moves(
+        (rows[1] + 1) / (rows[1] + 1).sum(), (1 - EVEN) * move / move.sum(1, keepdims=True) + EVEN / states, total,
+        ratio(rows[2], total, shares.share(shares.ends)), ratio(rows[3], total, shares.share(shares.rest)),
+    )
 
-def _sequences(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """Symbol sequences of about TOKENS tokens at a time."""
-    seqs: list[np.ndarray] = []
-    size = 0
-    for b in slices(batches, 128):
-        seqs += [np.frombuffer(x, np.int32) for x in b.column(0).to_pylist()]
-        size += sum(map(len, seqs[-b.num_rows :]))
-        if size >= TOKENS:
-            yield seqs
-            seqs, size = [], 0
-    if seqs:
-        yield seqs
 
+def first_sums(counts: DataFrame, shares: Shares, states: int) -> tuple[DataFrame, Moves]:
+    """What the first round begins with: words' counts times a factor of word and state, by a hash; states that stay."""
+    factor = lambda z: -F.log((F.pmod(F.xxhash64("word", F.lit(z)), F.lit(1 << 20)) + 0.5) / float(1 << 20))
+    words = counts.where(F.col("n") >= shares.least).select(F.lit(0).alias("part"), "word", *[(F.col("n") * factor(z)).alias(f"g{z}") for z in range(states)])
+    got = words.agg(*[F.coalesce(F.sum(f"g{z}"), F.lit(0.0)) for z in range(states)]).first()
+    total = np.array(got, float) + shares.ends + shares.rest
+    move = np.full((states, states), 0.1 / max(1, states - 1))
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    even = np.full(states, 1 / states)
+    return words, Moves(even, move, total, ratio(shares.ends * np.ones(states), total, shares.share(shares.ends)), ratio(shares.rest * np.ones(states), total, shares.share(shares.rest)))
 
-def improved(texts: DataFrame, model: Model) -> Model:
-    """One round of Baum-Welch over all (symbols): expected counts added up within tasks, then across them."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
-    k, s = model.move.shape[0], model.emit.shape[1]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = shared.value, None
-        for seqs in _sequences(batches):
-            got = expected(own, seqs)
-            total = got if total is None else tuple(a + b for a, b in zip(total, got))
-        if total is not None:
-            flat = np.concatenate([x.ravel() for x in total])
-            at = np.flatnonzero(flat > 1e-9)
-            yield pa.record_batch([pa.array(at // 1024), pa.array((at % 1024).astype(np.int32)), pa.array(flat[at])], names=["block", "at", "n"])
-
-    sums = texts.mapInArrow(run, "block long, at int, n double").groupBy("block", "at").agg(F.sum("n").alias("n"))
-    flat = np.zeros(2 * k + k * k + k * s)
-    rows = sums.select((F.col("block") * 1024 + F.col("at")).alias("at"), "n").toArrow()  # at most states times (head + states + 4) numbers
-    if rows.num_rows == 0:
-        return model
-    flat[rows["at"].to_numpy()] = rows["n"].to_numpy()
-    return next_model(model, flat)
-
-
-def seed_texts(texts: DataFrame, n_texts: int, most: int = SEED_TEXTS) -> DataFrame:
-    """At most `most` distinct texts of smallest hash; n_texts: how many distinct ones there are. All but a few times as many
-    are left out where they are read, so that the last step sorts few rows however many tasks there are; copies count once."""
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    few = texts.where(place < F.lit(min(1 << 40, (8 * most << 40) // max(1, n_texts))))
-    return few.distinct().orderBy(place, "text").limit(most)
-
-
-def seeded(texts: DataFrame, model: Model, n_texts: int) -> Model:
-    """The model after rounds over a bounded sample, in one task: what the rounds over all texts begin with."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+def emissions(words: DataFrame, sums: DataFrame, model: Moves, shares: Shares) -> DataFrame:
+    """(to, pos, r0, r1, ...): the emission ratios of each chunk's words. words: (chunk, pos, word, n)."""
+    share = (F.col("n") + 0.5) / shares.places
+    ratios = [ratio(F.col(f"g{z}"), float(t), share).cast("float").alias(f"r{z}") for z, t in enumerate(model.total)]
+    return words.join(sums.where("part = 0").drop("part"), "word").select(F.col("chunk").alias("to"), "pos", *ratios)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        held = [[s[at : at + STRETCH * 64] for s in seqs for at in range(0, len(s), STRETCH * 64)] for _, _, seqs in _batches(own, batches, 0)]
-        for _ in range(SEED_ROUNDS if held else 0):
-            sums = [expected(own, seqs) for seqs in held]
-            own = next_model(own, np.concatenate([sum(x).ravel() for x in zip(*sums)]))
-        yield pa.record_batch([pa.array([own.start, own.within, *own.move, *own.emit], pa.list_(pa.float64()))], names=["x"])
 
-    rows = [np.array(r.x) for r in seed_texts(texts, n_texts).repartition(1).mapInArrow(run, "x array<double>").collect()]
-    if not rows:
-        return model
-    k = len(rows[0])
-    return Model(model.head, rows[0], rows[1], np.array(rows[2 : 2 + k]), np.array(rows[2 + k :]))
+def released(spark) -> None:
+    """Lets the driver drop plans that are done with, and so the shuffle files that they own."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
-def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, head_words: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
+def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, least: int = MIN_COUNT, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score); learn: which rows to learn from."""
-    text = F.col(text_col).cast("string")
-    texts = docs.where(F.coalesce(learn, F.lit(False))).select(text.alias("text"))
-    counts = stored(counted(texts), "words")
-    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(head_words).collect()
-    ends = counts.where("word IS NULL").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    head, head_n = [bytes(r.word) for r in top], [r.n for r in top]
-    rest_n, rest_kinds = total - ends - sum(head_n), kinds - len(head) - (ends > 0)
-    model = first_model(head, np.array([ends, rest_n, *head_n], float), states)
-    if total:
-        model = seeded(texts, model, texts.select(F.xxhash64("text")).distinct().count())
-    symbols = stored(encoded(texts, model), "symbols")
-    for _ in range(rounds if total else 0):
-        model = improved(symbols, model)
-    discard(symbols)
-    base_unit, rest_unit = math.log10(total + kinds + 1), math.log10(rest_n + rest_kinds + 1)
-    known = [math.log10(n + 1) for n in [ends, 0, *head_n]]
-    shared = docs.sparkSession.sparkContext.broadcast((model, np.array(known), ends > 0))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, logs, end_known = shared.value
-        row = TaskContext.get().partitionId() << 33
-        for ids, words, seqs in _batches(own, batches, 1):
-            likely = forward(own, seqs)
-            rest = [Counter(w for w, k in zip(ws, q.tolist()) if k == 1) for ws, q in zip(words, seqs)]
-            n = np.array([len(q) for q in seqs], np.int64)
-            n_rest = np.array([sum(r.values()) for r in rest], np.int64)
-            base = np.array([logs[q].sum() for q in seqs])
-            tail = pa.array([list(r) for r in rest], pa.list_(pa.binary()))
-            often = pa.array([list(r.values()) for r in rest], pa.list_(pa.int64()))
-            yield pa.record_batch(
-                [pa.array(np.arange(row, row + len(seqs))), pa.concat_arrays(ids), pa.array(n), pa.array(n_rest), pa.array(n - n_rest - (not end_known)), pa.array(base), pa.array(likely), tail, often],
-                names=["row", "id", "n_tokens", "n_rest", "n_head", "base", "likely", "words", "often"],
-            )
-            row += len(seqs)
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    passed = docs.select(F.col(id_col).alias("id"), text.alias("text")).mapInArrow(run, f"row long, id {kind}, n_tokens long, n_rest long, n_head long, base double, likely double, words array<binary>, often array<long>")
-    rows = stored(passed, "scored")
-    tail = rows.select("row", F.explode(F.arrays_zip("words", "often")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.often").alias("often"))
-    found = tail.join(counts.where("word IS NOT NULL").withColumnRenamed("n", "c"), "word", "left")
-    sums = found.groupBy("row").agg(F.sum(F.col("often") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("logs"), F.sum(F.when(F.col("c").isNotNull(), F.col("often")).otherwise(0)).alias("met"))
-    logs, met = F.coalesce("logs", F.lit(0.0)), F.coalesce("met", F.lit(0))
-    return rows.drop("words", "often").join(sums, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_head") + met).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + logs - F.col("n_tokens") * base_unit).alias("base_score"), (F.col("likely") + logs - F.col("n_rest") * rest_unit).alias("score"),
-    )
+    spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
+    raw = stored(chunked(rows, kind, chunk_bytes), "chunks")
+    own = raw.select(F.posexplode("words").alias("pos", "word"), "own").select("word", F.get("own", F.col("pos")).alias("n")).where("n > 0")
+    counts = stored(own.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    often = F.col("n") >= least
+    n, kinds, named, rest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(often), F.coalesce(F.sum(F.when(~often, F.col("n"))), F.lit(0))).first()
+    chunks, pairs = raw.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    ends = rows.where("learn").count()
+    shares = Shares(n + ends, ends, kinds + (ends > 0), named, rest, least)
+    held = bucketed(numbered(raw, counts, shares, kind), max(1, min(20_000, chunks)), "chunk", "held")
+    discard(raw)
+    places = held.select("chunk", F.posexplode("words").alias("pos", "word"), "n").select("chunk", "pos", "word", F.get("n", F.col("pos")).alias("n"))
+    words = bucketed(places, max(1, min(20_000, pairs // 250_000)), "word", "places")
+    sums, model = first_sums(counts, shares, states)
+    for _ in range(rounds if ends else 0):
+        then = stored(improved(held, emissions(words, sums, model, shares), model), "sums")
+        model = moves_of(then, shares, states)
+        discard(sums)
+        sums = then
+        released(spark)
+    vectors = emissions(words, sums, model, shares)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return pa.table([left["ids"].combine_chunks().flatten(), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=["id", "n_tokens", "n_known", "base_score", "score"])
+        flat, lengths, begin, ratios = _opened(left, right, model)
+        likely = np.zeros(len(lengths))
+        for own in batches_of(lengths, np.arange(len(lengths))):
+            likely[own] = Batch(flat, begin[own], lengths[own], ratios, model.start, model.move).likely()
+        flat_of = lambda c: left[c].combine_chunks().flatten()
+        return pa.table([flat_of("ids"), pa.array(lengths.astype(np.int64)), flat_of("known"), flat_of("base"), pa.array(flat_of("fixed").to_numpy() + likely)], names=["id", "n_tokens", "n_known", "base_score", "score"])
+
+    texts = held.select("chunk", "ids", "lengths", "symbols", "words", "known", "base", "fixed").groupBy("chunk").cogroup(vectors.groupBy("to"))
+    out = stored(texts.applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double"), "scored")
+    for x in (held, words, sums, counts):
+        discard(x)
+    return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(shares.total).cast("long").alias("train_tokens"), "base_score", "score")
