@@ -1,42 +1,50 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is stood for by the ranks of its nearest pivots. Vectors are dealt into blocks of bounded size; each block
-posts its vectors in pivot inverted files (for each pivot, the ranks at which the block's vectors name it). A block of
-queries meets every block of vectors: by the posted ranks each vector's footrule distance is summed up over the
-query's pivots, the nearest RERANK_SHARE of the block is ranked again by the inner product, and the best k are kept;
-the last step merges a query's blocks. Work is queries times vectors over blocks, never a join of single rows.
+A vector's direction is stood for by the order of its nearest pivots. Pivot inverted files: each vector is posted in
+the files of its POSTS nearest pivots, long vectors in more (they are likelier to have large inner products), and a
+query opens only the files of its own nearest pivots. Of what stands in an open file, the footrule distance between the
+two orders, scaled by the vector's length, gives the rank; the better half is ranked again by the inner product itself,
+and the best k of all files are the answer. A vector that stands in several open files is looked at in the first only.
+
+The number of pivots grows with the root of the table's rows and the share of opened files falls with it, so the
+vectors that a query touches grow slower than the table. Files are dealt into blocks of bounded size, one task each;
+a file larger than that is split, and its queries go to every part.
 
 Equal vectors answer alike, so only the k + 1 smallest ids of each distinct vector are indexed (a further copy can
 never be among anyone's k nearest, ties going to smaller ids), and each distinct query vector is searched once.
 
-The pivots are a bounded sample: PIVOTS distinct vectors of smallest hash. Everything else covers all rows.
+The pivots are a bounded sample: at most MOST_PIVOTS distinct vectors of smallest hash. Everything else covers all rows.
 
 Defined results: null or zero vectors and those that hold null or non-finite components take no part; a null id takes
-no part; of repeated ids the first vector (by its components) counts; with fewer candidates than k all are returned;
-an empty table gives no rows; columns other than the id and the vector are ignored.
+no part; of repeated ids the first vector (by its components) counts; ties go to smaller ids; with fewer candidates than
+k all are returned; an empty table gives no rows; vectors of different lengths raise; columns
+other than the id and the vector are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, slices, stored
 
-PIVOTS = 128
+#: Pivots: so many times the root of the rows, within these bounds.
+PIVOTS_A_ROOT, LEAST_PIVOTS, MOST_PIVOTS = 1.5, 64, 4096
 #: How many of its nearest pivots stand for a vector.
 NAMED = 48
-RERANK_SHARE = 0.2
-#: A block's candidates that are ranked again, at least.
-RERANK_LEAST = 64
-#: Rows of a block, at most about; a small table is dealt into up to FEW blocks of SMALL rows, for parallelism.
-VECTOR_BLOCK = 16_384
-QUERY_BLOCK = 8192
-FEW, SMALL = 24, 256
+#: Files in which a vector of median length is posted, and any vector at most.
+POSTS, MOST_POSTS = 3, 12
+#: A query opens OPENED * pivots ** (2 / 3) files.
+OPENED = 1.6
+#: Of what an open file holds, the share that is ranked again.
+RERANK_SHARE = 0.5
+#: Rows and bytes of vectors of a block, at most.
+BLOCK_ROWS, BLOCK_BYTES = 16_384, 16 << 20
 
 
 def usable(v: Column) -> Column:
@@ -45,76 +53,158 @@ def usable(v: Column) -> Column:
     return F.coalesce(v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def permutations(x: np.ndarray, pivots: np.ndarray, named: int) -> np.ndarray:
-    """For each vector the ranks of the pivots, `named` for those beyond. Shape (vectors, pivots)."""
-    named = min(named, len(pivots))
-    near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :named]
-    ranks = np.full((len(x), len(pivots)), named, np.uint8)
-    np.put_along_axis(ranks, near, np.arange(named, dtype=np.uint8)[None, :], 1)
-    return ranks
-
-
-def footrule(posted: np.ndarray, total: np.ndarray, ranks: np.ndarray, named: int) -> np.ndarray:
-    """Footrule distances of one query to a block. posted: (pivots, vectors) ranks; total: sum of (named - rank) of each vector."""
-    mine = np.flatnonzero(ranks < named)
-    files = posted[mine].astype(np.int16)
-    gap = np.abs(files - ranks[mine].astype(np.int16)[:, None]).sum(0, dtype=np.int32)
-    return gap + total - (named - files).sum(0, dtype=np.int32)
-
-
-def search_block(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, pivots: np.ndarray, k: int, named: int = NAMED, share: float = RERANK_SHARE, least: int = RERANK_LEAST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's place, ids, scores), best first; vectors sorted by id."""
-    named = min(named, len(pivots))
-    ranks = permutations(vectors, pivots, named)
-    posted, total = np.ascontiguousarray(ranks.T), (named - ranks.astype(np.int32)).sum(1)
-    keep = min(len(ids), max(least, k, int(np.ceil(share * len(ids)))))
-    for at, own in enumerate(permutations(queries, pivots, named)):
-        if keep < len(ids):
-            key = footrule(posted, total, own, named).astype(np.int64) * len(ids) + np.arange(len(ids))
-            near = np.sort(np.argpartition(key, keep - 1)[:keep])
-        else:
-            near = np.arange(len(ids))
-        scores = (vectors[near] * queries[at]).sum(1)
-        best = np.lexsort((ids[near], -scores))[:k]
-        yield at, ids[near][best], scores[best]
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", pivots: int = PIVOTS, named: int = NAMED, share: float = RERANK_SHARE) -> DataFrame:
+def directions(x: np.ndarray) -> np.ndarray:
+    """Vectors over their lengths; components are brought near one first, so that no square over- or underflows."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def order_of(x: np.ndarray, pivots: np.ndarray, most: int) -> np.ndarray:
+    """For each vector its nearest pivots, nearest first."""
+    return np.argsort(-(directions(x) @ pivots.T), axis=1, kind="stable")[:, :most]
+
+
+def posts_of(lengths: np.ndarray, median: float, posts: int = POSTS, most: int = MOST_POSTS) -> np.ndarray:
+    """In how many files vectors are posted: more with the square of their length."""
+    with np.errstate(over="ignore"):
+        return np.clip(np.round(posts * (lengths / median) ** 2), 1, most).astype(int)
+
+
+def opened_files(pivots: int, opened: float = OPENED) -> int:
+    return min(pivots, math.ceil(opened * pivots ** (2 / 3)))
+
+
+class File:
+    """A pivot's inverted file, or a part of it: by pivot, the ranks at which its vectors name it."""
+
+    def __init__(self, pivot: int, ids: np.ndarray, vectors: np.ndarray, near: np.ndarray, posts: np.ndarray, n_pivots: int):
+        self.pivot, self.ids, self.vectors, self.named = pivot, ids, vectors, near.shape[1]
+        self.lengths = (directions(vectors) * vectors).sum(1)
+        self.ranks = np.full((n_pivots, len(ids)), self.named, np.uint8)
+        self.ranks[near, np.arange(len(ids))[:, None]] = np.arange(self.named, dtype=np.uint8)
+        wide = int(posts.max(initial=1))
+        self.posted = np.where(np.arange(wide) < posts[:, None], near[:, :wide], n_pivots)
+        # what two orders have on average that share pivots by chance
+        self.chance = self.named * (self.named + 1) * (1 - self.named / n_pivots / 2)
+
+    def footrule(self, own: np.ndarray) -> np.ndarray:
+        """Footrule distances of the vectors' orders to a query's."""
+        r = np.arange(self.named, dtype=np.uint8)
+        late = np.maximum(self.ranks[own[: self.named]], r[:, None]).sum(0, dtype=np.int32) - int(r.sum())
+        return self.named * (self.named + 1) // 2 + int(r.sum()) - self.named * self.named + 2 * late
+
+    def search(self, query: np.ndarray, own: np.ndarray, place: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """(places in the file, inner products) of the best k. place: rank of each pivot in the query's order."""
+        here = np.flatnonzero(place[self.posted].min(1) == place[self.pivot])
+        keep = max(k, math.ceil(share * len(here)))
+        if keep < len(here):
+            far = (self.footrule(own)[here] - self.chance) * self.lengths[here]
+            here = here[np.argpartition(far, keep - 1)[:keep]]
+        scores = (self.vectors[here] * query).sum(1)
+        best = np.lexsort((self.ids[here], -scores))[:k]
+        return here[best], scores[best]
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", named: int = NAMED, share: float = RERANK_SHARE, opened: float = OPENED, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, id_col, score): k nearest by inner product in double precision, for each row where is_query holds."""
     spark = vectors.sparkSession
     asked = F.coalesce(is_query, F.lit(False))
     good = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double") + 0.0).alias("v"), asked.alias("q"))
     rows = stored(good.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
-    width = rows.select(F.size("v").alias("n")).groupBy("n").count().collect()
-    empty = spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
-    if not width:
-        return empty
-    if len(width) > 1:
-        raise ValueError(f"vectors of different lengths: {sorted(r.n for r in width)}")
-    table = np.array([r.v for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(pivots).collect()])
-    shared = spark.sparkContext.broadcast(table)
+    big = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    length = big * F.sqrt(F.aggregate(F.transform("v", lambda x: (x / big) * (x / big)), F.lit(0.0), lambda a, x: a + x))
+    n, least, most, median = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v")), F.percentile_approx(length, 0.5)).first()
+    if not n:
+        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
+    if least != most:
+        raise ValueError(f"vectors of different lengths: {least} to {most}")
+    wanted = max(LEAST_PIVOTS, min(MOST_PIVOTS, math.ceil(PIVOTS_A_ROOT * math.sqrt(n))))
+    table = directions(np.array([r.v for r in rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(wanted).collect()]))
+    shared = spark.sparkContext.broadcast(table)  # at most MOST_PIVOTS vectors
+    n_pivots = len(table)
+    named, files = min(named, n_pivots), opened_files(n_pivots, opened)
     # copies: the smallest k + 1 ids of each vector by pairwise merging, so no task ever holds a vector's whole group
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1).select("id", "v")
     queries = stored(rows.where("q").groupBy("v").agg(F.min("id").alias("key")), "queries")
-    n_v, n_q = rows.count(), queries.count()
-    vb, qb = max(1, -(-n_v // VECTOR_BLOCK), min(FEW, -(-n_v // SMALL))), max(1, -(-n_q // QUERY_BLOCK))
-    left = first.select(F.pmod(F.xxhash64("id"), F.lit(vb)).cast("int").alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("qb"), F.lit(False).alias("is_q"), "id", "v")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).alias("vb"), F.pmod(F.xxhash64("key"), F.lit(qb)).cast("int").alias("qb"), F.lit(True).alias("is_q"), F.col("key").alias("id"), "v")
+
+    def placed(df: DataFrame, own: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int) -> DataFrame:
+        """(id, v, near, files): the order of the nearest pivots as 16-bit numbers, and in how many of these files a row belongs."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, 1024):
+                x = b.column(1).flatten().to_numpy().reshape(b.num_rows, -1)
+                near = order_of(x, shared.value, most)
+                files = own(x, near)
+                near = near.astype("<u2")
+                kept = [r[: max(named, m)].tobytes() for r, m in zip(near, files)]
+                yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(kept, pa.binary()), pa.array([r[:m].astype(np.int32) for r, m in zip(near, files)], pa.list_(pa.int32()))], names=["id", "v", "near", "files"])
+
+        return stored(df.mapInArrow(run, "id long, v binary, near binary, files array<int>"), "orders")
+
+    def size(df: DataFrame) -> dict[int, int]:  # at most MOST_PIVOTS rows
+        return {r.file: r["count"] for r in df.select(F.explode("files").alias("file")).groupBy("file").count().collect()}
+
+    def posts(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        return np.minimum(named, posts_of((directions(x) * x).sum(1), median))
+
+    posted = placed(first, posts, named)
+    of_vectors = size(posted)
+    sizes = np.array([of_vectors.get(f, 0) for f in range(n_pivots)])
+
+    def opens(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Where the nearest files hold few vectors, more are opened, until they hold k + 1 different ones."""
+        enough = np.cumsum(sizes[near], axis=1) >= MOST_POSTS * (k + 1)
+        return np.maximum(files, np.where(enough.any(1), enough.argmax(1) + 1, n_pivots))
+
+    probes = placed(queries.select(F.col("key").alias("id"), "v"), opens, n_pivots)
+    of_queries = size(probes)
+    block_rows = max(16, min(block_rows, BLOCK_BYTES // (8 * least)))
+    deal, block, held, asks = [], 0, 0, 0
+    for file in range(n_pivots):
+        nv, nq = of_vectors.get(file, 0), of_queries.get(file, 0)
+        parts, ask_parts = max(1, -(-nv // block_rows)), max(1, -(-nq // block_rows))
+        if held + nv > block_rows or asks + nq > block_rows:
+            block, held, asks = block + 1, 0, 0
+        deal.append((file, block, parts, ask_parts))
+        held, asks = held + nv, asks + nq
+        if parts * ask_parts > 1:
+            block, held, asks = block + parts * ask_parts, 0, 0
+    dealt = F.broadcast(spark.createDataFrame(deal, "file int, block int, parts int, asks int"))
+    part, ask = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id"), F.col("asks")).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("e")
+    left = posted.select(F.explode("files").alias("file"), F.size("files").alias("posts"), "id", "v", "near").join(dealt, "file").select("*", every("asks")).select((F.col("block") + part * F.col("asks") + F.col("e")).alias("block"), "file", F.lit(False).alias("asked"), "posts", "id", "v", "near")
+    right = probes.select(F.explode("files").alias("file"), F.lit(0).alias("posts"), "id", "v", "near").join(dealt, "file").select("*", every("parts")).select((F.col("block") + F.col("e") * F.col("asks") + ask).alias("block"), "file", F.lit(True).alias("asked"), "posts", "id", "v", "near")
 
     def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
-        v = np.array(table["v"].combine_chunks().flatten().to_numpy()).reshape(len(ids), -1)
-        q = table["is_q"].to_numpy(zero_copy_only=False)
-        own = np.flatnonzero(~q)
-        own = own[np.argsort(ids[own])]
-        keys, asks = ids[q], v[q]
-        found = list(search_block(v[own], ids[own], asks, shared.value, k + 1, named, share)) if len(own) and len(keys) else []
-        flat = [np.concatenate(x) if found else [] for x in ([np.full(len(i), keys[a]) for a, i, _ in found], [i for _, i, _ in found], [s for _, _, s in found])]
-        return pa.table([pa.array(flat[0], pa.int64()), pa.array(flat[1], pa.int64()), pa.array(flat[2], pa.float64())], names=["key", "id", "score"])
-
-    hits = left.unionByName(right).groupBy("vb", "qb").applyInArrow(run, "key long, id long, score double")
+        file, posts, ids = (table[c].to_numpy() for c in ("file", "posts", "id"))
+        asked = table["asked"].to_numpy(zero_copy_only=False)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for f in np.unique(file):
+            own, asks = np.flatnonzero((file == f) & ~asked), np.flatnonzero((file == f) & asked)
+            if not len(own) or not len(asks):
+                continue
+            array = lambda c, at, kind: np.frombuffer(b"".join(table[c].take(pa.array(at)).to_pylist()), kind).reshape(len(at), -1)
+            here = File(int(f), ids[own], array("v", own, "<f8"), array("near", own, "<u2").astype(np.int64), posts[own], n_pivots)
+            place = np.full(n_pivots + 1, 1 << 14, np.int16)
+            orders = (np.frombuffer(x, "<u2").astype(np.int64) for x in table["near"].take(pa.array(asks)).to_pylist())
+            for q, v, near in zip(ids[asks], array("v", asks, "<f8"), orders):
+                place[near] = np.arange(len(near))
+                at, scores = here.search(v, near, place, k + 1, share)
+                parts.append((np.full(len(at), q), here.ids[at], scores))
+                place[near] = 1 << 14
+        key, got, scores = (np.concatenate(x) for x in zip(*parts)) if parts else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        best = np.lexsort((got, -scores, key))
+        key, got, scores = key[best], got[best], scores[best]
+        new = np.flatnonzero(np.diff(key, prepend=key[:1] - 1))
+        top = np.arange(len(key)) - np.repeat(new, np.diff(np.append(new, len(key)))) <= k
+        return pa.table([pa.array(key[top]), pa.array(got[top]), pa.array(scores[top])], names=["key", "id", "score"])
+
+    hits = left.unionByName(right).groupBy("block").applyInArrow(run, "key long, id long, score double")
     top = hits.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "id"))).where(F.col("n") <= k + 1)
     best = stored(top.groupBy("key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))).alias("hits")), "hits")
     answers = rows.where("q").select("id", "v").join(queries, "v").select(F.col("id").alias("query_id"), "key").join(best, "key")
     own = F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, k)
-    return answers.select("query_id", F.posexplode(own).alias("p", "h")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("h.id").alias(id_col), (-F.col("h.s")).alias("score"))
+    out = stored(answers.select("query_id", F.posexplode(own).alias("p", "h")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("h.id").alias(id_col), (-F.col("h.s")).alias("score")), "answers")
+    for x in (rows, queries, posted, probes, best):
+        discard(x)
+    return out
