@@ -1,23 +1,26 @@
 """Cost-balanced packing of documents into training sequences.
 
 A piece of n tokens costs n + n * n / window (linear work and attention within the piece). Documents are dealt in
-descending order, each to the sequence of lowest cost that still has room for all of it; when none has, it is cut and
-fills the rooms largest first. The sequences of a batch have together just as many places as it has tokens: full ones
-of `window` tokens, and for what is over, ones of descending powers of two, which need no padding.
-
-A task packs what it reads, in batches of bounded tokens, so ids are made once and nothing is shuffled; sequence ids
-carry the partition's number and don't clash. The same input partitions give the same sequences again after a loss.
-
-Defined results: a null or empty text has its end id alone; repeated rows are packed each; ties go by the order
-read; a text longer than the batch bound is a batch by itself; columns other than the id and the text are ignored.
+descending order, each to the sequence of lowest cost that still has room for all of it. A batch has one sequence more
+than its tokens need, so what fits a window is hardly ever cut; when no sequence has room, a document is cut and fills
+the rooms largest first. A small batch has just as many places as tokens: full sequences, and for what is over ones of
+descending powers of two, which need no padding.
+
+Documents become ids first and are then dealt to tasks evenly, whatever their source or order, so that each task sees
+the corpus's own mix of lengths; a task packs what it gets in batches of bounded tokens. Sequence ids carry the
+partition's number and don't clash. The same input partitions give the same sequences again after a loss.
+
+Defined results: a null or empty text has its end id alone; repeated rows are packed each; equal lengths go by the order
+read; a text longer than a batch is a batch by itself, cut at windows; an empty table gives no rows; columns other than
+the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -34,8 +37,10 @@ from .common import slices, texts_of
 
 WINDOW = 4096
 END_ID = 2
-#: Tokens that a task packs at a time.
-BATCH_TOKENS = 1 << 21
+#: Tokens that a task packs at a time, at least, if it has so many; at most twice that and one document.
+BATCH_TOKENS = 1 << 22
+#: From so many full sequences on, a batch has a spare one: padding of less than two windows in so many.
+SPARE_FROM = 256
 KEPT_WORDS = 400_000
 
 #: The split pattern of this vocabulary's family (a fixed value).
@@ -119,13 +124,15 @@ def cost(tokens: int, window: int = WINDOW) -> float:
 
 
 def capacities(total: int, window: int = WINDOW) -> list[int]:
-    """Places of the sequences for so many tokens: full windows, then descending powers of two for the rest."""
-    rest = total % window
-    return [window] * (total // window) + [1 << k for k in reversed(range(window.bit_length())) if rest >> k & 1]
+    """Places of the sequences for so many tokens: full windows and a spare one, or powers of two for the rest of a small batch."""
+    full, rest = divmod(total, window)
+    if full >= SPARE_FROM:
+        return [window] * (full + (rest > 0) + 1)
+    return [window] * full + [1 << k for k in reversed(range(window.bit_length())) if rest >> k & 1]
 
 
 def deal(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
-    """(document, start, length, sequence, offset) of each piece; every sequence is filled."""
+    """(document, start, length, sequence, offset) of each piece."""
     room = capacities(sum(lengths), window)
     used, spent = [0] * len(room), [0.0] * len(room)
     pieces: list[tuple[int, int, int, int, int]] = []
@@ -172,46 +179,66 @@ def deal(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int,
     return pieces
 
 
-def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, batch_tokens: int = BATCH_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), with_ids also ids array<int>."""
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids): each text's ids and the end id, as little-endian 32-bit numbers; 16-bit ones if the vocabulary allows it."""
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
+    narrow = number_type(path)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = word_ids(path)
+        for b in slices(batches, 256):
+            made = [np.frombuffer(own.ids(text) + end, "<u4").astype(narrow).tobytes() for text in texts_of(b, 1)]
+            yield pa.record_batch([b.column(0), pa.array(made, pa.binary())], names=["id", "ids"])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary")
+
+
+@functools.cache
+def number_type(path: str) -> str:
+    return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
+def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, batch_tokens: int = BATCH_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """A row for each piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), with_ids also ids array<int>."""
+    kind, number = docs.schema[id_col].dataType.simpleString(), number_type(path)
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, first = word_ids(path), TaskContext.get().partitionId() << 33
+        first = TaskContext.get().partitionId() << 33
         names: list[pa.Array] = []
-        held: list[bytes] = []
-        size = 0
+        held: list[np.ndarray] = []
+        size, half = 0, None  # half: how many documents and arrays of ids make up the first batch of those held
 
-        def out() -> pa.RecordBatch:
-            nonlocal first, size
-            lengths = [len(x) // 4 for x in held]
+        def out(docs_n: int, names_n: int) -> pa.RecordBatch:
+            nonlocal first
+            own, ids = held[:docs_n], pa.concat_arrays(names[:names_n])
+            lengths = [len(x) for x in own]
             found = sorted(deal(lengths, window))
             doc, start, n, seq, offset = (np.array(x, np.int64) for x in zip(*found))
-            parts = [held[d][4 * s : 4 * (s + k)] for d, s, k, _, _ in found]
-            ids = pa.concat_arrays(names).take(pa.array(doc))
-            columns = [ids, start, n, np.array([zlib.crc32(p) for p in parts], np.int64), np.array(lengths, np.int64)[doc], seq + first, offset]
+            parts = [own[d][s : s + k].astype("<u4") for d, s, k, _, _ in found]
+            columns = [ids.take(pa.array(doc)), start, n, np.array([zlib.crc32(p.tobytes()) for p in parts], np.int64), np.array(lengths, np.int64)[doc], seq + first, offset]
             if with_ids:
-                columns.append(pa.array([np.frombuffer(p, "<i4") for p in parts], pa.list_(pa.int32())))
+                columns.append(pa.array([p.view("<i4") for p in parts], pa.list_(pa.int32())))
             first += int(seq.max()) + 1
-            names.clear()
-            held.clear()
-            size = 0
+            del held[:docs_n], names[:names_n]
             return pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[f.split()[0] for f in schema.split(", ")])
 
         for b in slices(batches, 256):
             at = 0
-            for k, text in enumerate(texts_of(b, 1)):
-                held.append(own.ids(text) + end)
-                size += len(held[-1]) // 4
-                if size >= batch_tokens:
+            for k, data in enumerate(b.column(1).to_pylist()):
+                held.append(np.frombuffer(data, number))
+                size += len(held[-1])
+                if size >= batch_tokens * (1 if half is None else 2):
                     names.append(b.column(0).slice(at, k + 1 - at))
                     at = k + 1
-                    yield out()
+                    if half is not None:
+                        yield out(*half)
+                    half, size = (len(held), len(names)), sum(map(len, held))
             if at < b.num_rows:
                 names.append(b.column(0).slice(at))
         if held:
-            yield out()
+            yield out(len(held), len(names))
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    spread = F.xxhash64(F.monotonically_increasing_id())
+    return tokenized(docs, path, end_id, id_col, text_col).repartition(spread).mapInArrow(run, schema).withColumnRenamed("id", id_col)
