@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from cairn.llm import hmm, licenses, packing, permutation_index, quality, queries, sentencepiece_codec, simhash, token_counts, toxicity, warc
+from cairn.llm import common, hmm, licenses, packing, permutation_index, quality, queries, sentencepiece_codec, simhash, token_counts, toxicity, warc
 
 D = "/root/testdata/sf0.001"
 ODD = ["", " ", "  a", "a  b\n\n c's 're \t x", "a\x1cb c", "<|endoftext|> x <|endoftext|>y", "ΑΣ Σ İx ǅ é é 日本 😀", "a b c", "I'll 'r 've''s  x  ", "▁x y▁", " lead", "trail ", "a\n\n foo\n \nb", "x" * 3000, "don't １２٣", "\x00a", "ab " * 400]
@@ -223,15 +223,84 @@ def test_warc_edges(spark):
 # 5
 
 
-def test_forward_is_the_sum_over_paths():
+def brute_recursions(start, move, ratios, seq):
+    """(log10 likelihood, begins, moves, emissions) by plain forward and backward recursions without scaling."""
+    alphas, betas = [start * ratios[seq[0]]], [np.ones(len(start))]
+    for x in seq[1:]:
+        alphas.append((alphas[-1] @ move) * ratios[x])
+    for x in reversed(seq[1:]):
+        betas.append(move @ (ratios[x] * betas[-1]))
+    betas, total = betas[::-1], alphas[-1].sum()
+    moved, emitted = np.zeros_like(move), np.zeros_like(ratios)
+    for t, x in enumerate(seq):
+        emitted[x] += alphas[t] * betas[t] / total
+        if t:
+            moved += np.outer(alphas[t - 1], ratios[x] * betas[t]) * move / total
+    return math.log10(total), alphas[0] * betas[0] / total, moved, emitted
+
+
+@pytest.mark.parametrize("tokens", [1 << 20, 50, 7])
+def test_recursions_are_brute_force(monkeypatch, tokens):
+    """Texts longer than a slab, of equal length and of one token; slabs that are worked out again on the way back."""
+    monkeypatch.setattr(hmm, "TOKENS", tokens)
     rng = np.random.default_rng(0)
     share = lambda x: x / x.sum(-1, keepdims=True)
-    m = hmm.Model([b"a", b"b"], share(rng.random(2)), share(rng.random(2)), share(rng.random((2, 2))), share(rng.random((2, 4))))
-    seq = np.array([2, 3, 1, 0], np.int32)
-    total = sum(m.start[p[0]] * m.emit[p[0], seq[0]] * math.prod(m.move[p[t - 1], p[t]] * m.emit[p[t], seq[t]] for t in range(1, 4)) for p in np.ndindex(2, 2, 2, 2))
-    assert hmm.forward(m, [seq, seq[:1]])[0] == pytest.approx(math.log10(total))
-    start, within, move, emit = hmm.expected(m, [seq, np.full(200, 2, np.int32)])
-    assert start.sum() == pytest.approx(2, rel=1e-5) and within.sum() == pytest.approx(3, rel=1e-5) and emit.sum() == pytest.approx(204, rel=1e-5) and move.sum() == pytest.approx(199, rel=1e-5)
+    start, move, ratios = share(rng.random(3)), share(rng.random((3, 3))), rng.random((6, 3)) * 2 + 0.05
+    seqs = [rng.integers(0, 6, n) for n in (70, 1, 5, 130, 64, 65, 2, 130, 9)]
+    n, flat = np.array([len(s) for s in seqs]), np.concatenate(seqs).astype(np.int32)
+    begin, likely, sums = np.cumsum(n) - n, np.zeros(len(n)), [0, 0, 0]
+    for own in hmm.batches_of(n, np.arange(len(n))):
+        b = hmm.Batch(flat, begin[own], n[own], ratios, start, move)
+        likely[own] = b.likely()
+        sums = [x + y for x, y in zip(sums, b.expected())]
+    want = [brute_recursions(start, move, ratios, s) for s in seqs]
+    assert likely == pytest.approx([w[0] for w in want], abs=1e-5)
+    for k, got in enumerate(sums):
+        assert got == pytest.approx(sum(w[k + 1] for w in want), abs=1e-3)
+    paths = sum(start[p[0]] * ratios[seqs[6][0], p[0]] * move[p[0], p[1]] * ratios[seqs[6][1], p[1]] for p in np.ndindex(3, 3))
+    assert likely[6] == pytest.approx(math.log10(paths), abs=1e-5)
+
+
+def brute_training(rows, learn, states, least, rounds):
+    """{id: score}: the whole model in plain Python over all words, by the operator's definitions."""
+    texts_ = {d: t.encode().lower().split() for d, t in rows}
+    c = Counter(w for d, ws in texts_.items() if learn(d) for w in ws)
+    ends = sum(map(learn, texts_))
+    names = [w for w, n in c.items() if n >= least]
+    total, rest = sum(c.values()) + ends, sum(n for n in c.values() if n < least)
+    shares = hmm.Shares(total, ends, len(c) + 1, len(names), rest, least)
+    number = {w: k + 2 for k, w in enumerate(names)}
+    n = np.array([ends, rest, *(c[w] for w in names)], float)
+    p = shares.share(n)
+    assert p.sum() == pytest.approx(1)
+    seqs = {d: np.array([*(number.get(w, 1) for w in ws), 0]) for d, ws in texts_.items()}
+    return c, names, n, p, shares, seqs, rest, len(c) - len(names)
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 25, 300])
+def test_training_is_brute_force(spark, real, chunk_bytes):
+    """All rounds over all training texts, whatever the chunks: the same scores as plain Python over whole texts."""
+    rows = [(d, t[:1500]) for d, t in texts(real.where("doc_id < 25"))]
+    learn = lambda d: d % 3 != 1
+    c, names, n, p, shares, seqs, rest, rest_kinds = brute_training(rows, learn, 3, 4, 3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    words = spark.createDataFrame([(w, c[w]) for w in names], "word binary, n long")
+    first, model = hmm.first_sums(words, shares, 3)
+    got = {bytes(r.word): [r.g0, r.g1, r.g2] for r in first.collect()}
+    g = np.array([[n[0]] * 3, [n[1]] * 3, *(got[w] for w in names)])
+    start, move, total = model.start, model.move, g.sum(0)
+    assert total == pytest.approx(model.total)
+    for _ in range(3):
+        ratios = hmm.ratio(g, total, p[:, None])
+        assert (ratios * p[:, None]).sum(0) == pytest.approx(np.ones(3))  # each state gives all words together one
+        sums = [brute_recursions(start, move, ratios, q) for d, q in seqs.items() if learn(d)]
+        start, move, g = (sum(x[k] for x in sums) for k in (1, 2, 3))
+        start, move, total = (start + 1) / (start + 1).sum(), (1 - hmm.EVEN) * (move + 1e-9) / (move + 1e-9).sum(1, keepdims=True) + hmm.EVEN / 3, g.sum(0)
+    ratios = hmm.ratio(g, total, p[:, None])
+    rare = lambda d, ws: sum(math.log10((c[w] + 1) / (rest + rest_kinds + 1)) for w in ws if c[w] < 4)
+    want = {d: brute_recursions(start, move, ratios, q)[0] + np.log10(p[q]).sum() + rare(d, t.encode().lower().split()) for (d, t), q in zip(rows, seqs.values())}
+    out = hmm.scored(df, F.col("doc_id") % 3 != 1, states=3, least=4, rounds=3, chunk_bytes=chunk_bytes)
+    assert {r.doc_id: r.score for r in out.collect()} == pytest.approx(want, abs=2e-3)
 
 
 @pytest.mark.parametrize("which", ["docs", "real"])
@@ -242,7 +311,7 @@ def test_language_scores(which, request):
     c = Counter(w for d, ws in rows if not held(d) for w in ws)
     n, v = sum(c.values()), len(c)
     want = sorted((str(d), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in rows)
-    out = hmm.scored(df, queries.fold(F.col("doc_id"), 7) != 2, head_words=500).collect()
+    out = hmm.scored(df, queries.fold(F.col("doc_id"), 7) != 2, least=3, rounds=6).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
     if which == "real":
         away = [r for r in out if held(r.doc_id)]
@@ -255,22 +324,26 @@ def test_language_scores_without_training(spark, docs):
     assert {r.train_tokens for r in out} == {0} and {r.base_score for r in out} == {0.0}
 
 
-def test_seed_texts_are_bounded_and_distinct(spark):
-    df = spark.createDataFrame([("the same text",)] * 400 + [(f"text {k}",) for k in range(200)] + [(None,)], "text string")
-    got = [r.text for r in hmm.seed_texts(df, 601, 100).collect()]
-    assert len(got) == 100 and len(set(got)) == 100
-    assert hmm.seed_texts(df, 601, 10_000).count() == 202 and hmm.seed_texts(df.limit(0), 0).count() == 0
+def test_every_round_reads_all_texts(spark, monkeypatch):
+    """Copies and chunks change nothing: each round's expected counts add up to all training tokens."""
+    seen, whole = [], hmm.improved
+    monkeypatch.setattr(hmm, "improved", lambda *a: seen.append(whole(*a).where("part = 4").selectExpr("g0 + g1 + g2 + g3 + g4 + g5 + g6 + g7 AS g").first().g) or whole(*a))
+    df = spark.range(6_000).select(F.col("id").alias("doc_id"), F.format_string("word%d of text %d", F.col("id") % 150, F.col("id") % 150).alias("text"))
+    hmm.scored(df, F.lit(True), rounds=3, chunk_bytes=5_000)
+    assert seen == pytest.approx([30_000] * 3, rel=1e-4)
 
 
-def test_every_round_reads_all_texts(spark, monkeypatch):
-    """Copies neither shrink the sample that the first parameters come from nor what the rounds read."""
-    seen, texts_seen = [], []
-    whole, seeded = hmm.improved, hmm.seeded
-    monkeypatch.setattr(hmm, "improved", lambda texts, model: seen.append(texts.count()) or whole(texts, model))
-    monkeypatch.setattr(hmm, "seeded", lambda texts, model, n: texts_seen.append(hmm.seed_texts(texts, n, 100).count()) or seeded(texts, model, n))
-    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.format_string("word%d of text %d", F.col("id") % 150, F.col("id") % 150).alias("text"))
-    hmm.scored(df, F.lit(True), head_words=50)
-    assert seen == [60_000] * 10 and texts_seen == [100]
+def test_no_texts_to_score(spark):
+    empty = spark.createDataFrame([], "doc_id string, text string, score long, chunk int")
+    assert hmm.scored(empty, F.lit(True)).count() == 0 and hmm.scored(empty, F.lit(True)).schema["doc_id"].dataType.simpleString() == "string"
+
+
+def test_what_is_written_is_deleted(spark, tmp_path, monkeypatch):
+    """Nothing but the result stays in the shared folder."""
+    monkeypatch.setattr(common, "scratch_root", lambda spark: f"file://{tmp_path}")
+    hmm.scored(spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string"), F.lit(True), rounds=2).collect()
+    permutation_index.nearest(spark.createDataFrame([(k, [1.0, float(k)]) for k in range(50)], "vec_id long, embedding array<double>"), F.col("vec_id") == 20).collect()
+    assert sorted(p.name.split("-")[1] for p in tmp_path.iterdir()) == ["answers", "scored"] and not [t for t in spark.catalog.listTables() if t.name.startswith("cairn_")]
 
 
 # 6
