@@ -1,14 +1,15 @@
 """A hidden Markov language model over words.
 
 Texts are read once: each task turns its texts into chunks of bounded size, one row a chunk, that hold the texts as
-numbers of the chunk's own distinct words. What follows joins tables by word with (chunk, word) rows, of which there
-are far fewer than (text, word) rows, and brings the result back to the chunk. So no vocabulary is ever sent to all
-workers or to the driver, and tables by word grow with the corpus.
+numbers of the chunk's own distinct words. Words are dealt by hash into buckets, and what chunks and buckets tell each
+other are blocks of numbers, one row for a chunk and a bucket: counts first, then in each round emissions one way and
+expected counts the other way. So no vocabulary is ever sent to all workers or to the driver; there are as many buckets
+as keep each to a bounded size, and what is kept by word grows with the corpus.
 
 Every word that occurs MIN_COUNT times or more in training has emissions of its own, however many words that are. Rarer
 words share one symbol, within which a word has its add-one share (with one place for words never seen). A round of
 Baum-Welch runs over every training text whole: each chunk gives the expected counts of its words and of the states'
-moves, they are summed by word across chunks, and those sums are the next parameters. A text's score is the exact
+moves, they are summed by word across chunks in the words' buckets, and those sums are the next parameters. A text's score is the exact
 likelihood by the scaled forward recursion over all its words and the end symbol.
 
 Emissions are worked with as ratios to the words' own shares, which keeps the recursions within range; a share SHARE of
@@ -26,6 +27,7 @@ import gc
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +40,15 @@ from .common import bucketed, bytes_of, discard, slices, stored
 STATES = 8
 #: Words that occur so often in training have emissions of their own.
 MIN_COUNT = 10
-ROUNDS = 8
+ROUNDS = 5
 #: The part of each state's emissions that is the words' own share, and of its moves that is even.
 SHARE, EVEN = 0.02, 0.001
 #: Bytes of text of a chunk, at most about, unless one text is longer.
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 16 << 20
+#: (chunk, word) pairs of a bucket, about: what bounds a task that sums by word.
+BUCKET_PAIRS = 500_000
 #: Tokens that are worked on at a time within a chunk.
-TOKENS = 1 << 20
+TOKENS = 1 << 19
 #: Steps between two scalings. A step's factor is between SHARE and a state's largest ratio.
 SCALE_EVERY = 4
 
@@ -118,7 +122,6 @@ class Shares:
     kinds: int
     named: int
     rest: int
-    least: int
 
     @property
     def places(self) -> float:
@@ -129,27 +132,89 @@ class Shares:
         return (n + 0.5) / self.places
 
 
+def _ints(data: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.frombuffer(data, kind)
+
+
+def counted(raw: DataFrame, buckets: int, least: int, states: int) -> DataFrame:
+    """Counts of all words, by bucket: (bucket, chunk, pos, n, idx, first, stats).
+
+    For each chunk that has words of the bucket, a row with their places in the chunk, their counts over all chunks and
+    their numbers among the bucket's words with emissions (-1 for rarer ones). For the bucket itself (chunk -1), a row with
+    the counts of its words with emissions, the factors that the first round begins with, and sums: (tokens, words, words
+    with emissions, tokens of rarer words)."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            words, own = b.column(1).flatten(), b.column(2).flatten().to_numpy()
+            bucket = np.fromiter((crc32(w) % buckets for w in words.to_pylist()), np.int32, len(words))
+            order = np.argsort(bucket, kind="stable").astype(np.int32)
+            found, first = np.unique(bucket[order], return_index=True)
+            ends = np.append(first, len(order))
+            parts = [order[x:y] for x, y in zip(ends, ends[1:])]
+            yield pa.record_batch(
+                [pa.array(found, pa.int32()), pa.array([b.column(0)[0].as_py()] * len(found), pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), words.take(pa.array(order))), pa.array([own[x].tobytes() for x in parts], pa.binary())],
+                names=["bucket", "chunk", "pos", "words", "own"],
+            )
+
+    def count(t: pa.Table) -> pa.Table:
+        words = t["words"].combine_chunks().flatten().dictionary_encode()
+        code, own = words.indices.to_numpy(), np.concatenate([_ints(x, "<i8") for x in t["own"].to_pylist()])
+        n = np.zeros(len(words.dictionary), np.int64)
+        np.add.at(n, code, own)
+        named = n >= least
+        idx = np.where(named, np.cumsum(named) - 1, -1).astype("<i4")
+        ends = np.cumsum([len(x) // 4 for x in t["pos"].to_pylist()])
+        spans = list(zip(np.append(0, ends[:-1]), ends))
+        key = np.array([crc32(w) for w in words.dictionary.filter(pa.array(named)).to_pylist()], np.uint64)
+        factor = np.stack([-np.log(_uniform(key, z)) for z in range(states)], axis=1)
+        met = n > 0
+        stats = [int(n.sum()), int(met.sum()), int(named.sum()), int(n[~named].sum())]
+        m = len(spans)
+        return pa.table(
+            [pa.array([t["bucket"][0].as_py()] * (m + 1), pa.int32()), pa.concat_arrays([t["chunk"].combine_chunks(), pa.array([-1], pa.int64())]), pa.array([*t["pos"].to_pylist(), None], pa.binary()),
+             pa.array([*(n[code[x:y]].tobytes() for x, y in spans), n[named].tobytes()], pa.binary()), pa.array([*(idx[code[x:y]].tobytes() for x, y in spans), None], pa.binary()),
+             pa.array([None] * m + [(n[named][:, None] * factor).astype("<f8").tobytes()], pa.binary()), pa.array([None] * m + [stats], pa.list_(pa.int64()))],
+            names=["bucket", "chunk", "pos", "n", "idx", "first", "stats"],
+        )
+
+    dealt = raw.select("chunk", "words", "own").mapInArrow(deal, "bucket int, chunk long, pos binary, words array<binary>, own binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "bucket int, chunk long, pos binary, n binary, idx binary, first binary, stats array<long>")
+
+
+def _uniform(key: np.ndarray, z: int) -> np.ndarray:
+    """Numbers between zero and one that hang on key and z only."""
+    x = key * np.uint64(0x9E3779B97F4A7C15) + np.uint64((z + 1) * 0xD1B54A32D192ED03 % (1 << 64))
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
 def numbered(raw: DataFrame, counts: DataFrame, shares: Shares, kind: str) -> DataFrame:
-    """The chunks with symbols (0 the end, 1 a rare word, then the chunk's words with emissions) and each text's sums.
-
-    (chunk, ids, lengths, learn, symbols, words, n, known, base, fixed): lengths with the end; words and their counts n
-    are those with emissions; known: tokens met in training; base: the base score; fixed: the log10 of what in the
-    score doesn't hang on states."""
-    pairs = raw.select("chunk", F.posexplode("words").alias("pos", "word"))
-    named = pairs.join(counts, "word").select(F.col("chunk").alias("to"), "pos", "n")
-    schema = f"chunk long, ids array<{kind}>, lengths binary, learn binary, symbols binary, words array<binary>, n array<long>, known array<long>, base array<double>, fixed array<double>"
+    """The chunks with symbols (0 the end, 1 a rare word, then the chunk's words with emissions, bucket by bucket) and each text's sums.
+
+    (chunk, ids, lengths, learn, symbols, buckets, sizes, known, base, fixed): lengths with the end; how many of the
+    words with emissions each bucket has; known: tokens met in training; base: the base score; fixed: the log10 of what
+    in the score doesn't hang on states."""
+    named = counts.where("chunk >= 0").select(F.col("chunk").alias("to"), "bucket", "pos", "n", "idx")
+    schema = f"chunk long, ids array<{kind}>, lengths binary, learn binary, symbols binary, buckets array<int>, sizes array<int>, known array<long>, base array<double>, fixed array<double>"
     base_unit = math.log10(shares.total + shares.kinds + 1)
     rest_unit = math.log10(shares.rest + shares.kinds - shares.named - (shares.ends > 0) + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["chunk", "ids", "lengths", "learn", "symbols", "words", "n", "known", "base", "fixed"]
         lengths, tokens, learn = (left[c][0].as_py() for c in ("lengths", "tokens", "learn"))
-        lengths, tokens, words = unplanes(lengths), unplanes(tokens), left["words"].chunk(0).flatten()
-        n = np.zeros(len(words), np.int64)
-        n[right["pos"].to_numpy()] = right["n"].to_numpy()
-        often = np.flatnonzero(n >= shares.least)
-        symbol = np.ones(len(words), np.int32)
-        symbol[often] = np.arange(2, len(often) + 2)
+        lengths, tokens, size = unplanes(lengths), unplanes(tokens), left["size"][0].as_py()
+        n, symbol, next_ = np.zeros(size, np.int64), np.ones(size, np.int32), 2
+        buckets, sizes = [], []
+        for _, r in sorted((r["bucket"], r) for r in right.to_pylist()):
+            pos, idx = _ints(r["pos"]), _ints(r["idx"])
+            n[pos] = _ints(r["n"], "<i8")
+            own = pos[idx >= 0]
+            symbol[own] = np.arange(next_, next_ + len(own))
+            next_ += len(own)
+            buckets.append(r["bucket"])
+            sizes.append(len(own))
         logs = np.log10(n + 1.0)
         fixed = np.where(symbol == 1, logs - rest_unit + math.log10(shares.share(shares.rest)), np.log10(shares.share(n)))
         ends = np.cumsum(lengths + 1) - 1
@@ -161,17 +226,20 @@ def numbered(raw: DataFrame, counts: DataFrame, shares: Shares, kind: str) -> Da
         def per_text(of_word: np.ndarray, of_end: float) -> np.ndarray:
             x = np.empty(len(seq))
             x[inner], x[ends] = of_word[tokens], of_end
-            return np.add.reduceat(x, ends - lengths) if len(ends) else x
+            return np.add.reduceat(x, ends - lengths)
 
         known = per_text((n > 0).astype(float), float(shares.ends > 0))
         base = per_text(logs - base_unit, math.log10(shares.ends + 1) - base_unit)
         logs = per_text(fixed, math.log10(shares.share(shares.ends)))
-        one = [left["chunk"][0].as_py(), None, planes(lengths + 1), learn, planes(seq), None, n[often], np.round(known).astype(np.int64), base, logs]
-        columns = [left["ids"] if c == "ids" else pa.ListArray.from_arrays(pa.array([0, len(often)], pa.int32()), words.take(pa.array(often))) if c == "words" else pa.array([x], t) for c, x, t in zip(names, one, types)]
-        return pa.table(columns, names=names)
+        cells = [planes(lengths + 1), learn, planes(seq)]
+        lists = [(buckets, pa.int32()), (sizes, pa.int32()), (np.round(known).astype(np.int64), pa.int64()), (base, pa.float64()), (logs, pa.float64())]
+        return pa.table(
+            [left["chunk"], left["ids"], *[pa.array([x], pa.binary()) for x in cells], *[pa.array([x], pa.list_(t)) for x, t in lists]],
+            names=["chunk", "ids", "lengths", "learn", "symbols", "buckets", "sizes", "known", "base", "fixed"],
+        )
 
-    types = [pa.int64(), pa.list_(pa.null()), *[pa.binary()] * 3, pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
-    return raw.select("chunk", "ids", "lengths", "learn", "tokens", "words").groupBy("chunk").cogroup(named.groupBy("to")).applyInArrow(run, schema)
+    chunks = raw.select("chunk", "ids", "lengths", "learn", "tokens", F.size("words").alias("size"))
+    return chunks.groupBy("chunk").cogroup(named.groupBy("to")).applyInArrow(run, schema)
 
 
 @dataclass(frozen=True)
@@ -209,7 +277,7 @@ class Batch:
         m = self.live[t0:t1]
         off = np.concatenate([[0], np.cumsum(m)])
         doc = np.arange(off[-1]) - np.repeat(off[:-1], m)
-        return off, m, self.flat[self.begin[doc] + np.repeat(np.arange(t0, t1), m)]
+        return off, m, np.take(self.flat, self.begin[doc] + np.repeat(np.arange(t0, t1), m))
 
     def _forward(self, t0: int, t1: int, off: np.ndarray, m: np.ndarray, emit: np.ndarray, a: np.ndarray | None) -> tuple[np.ndarray, dict[int, np.ndarray]]:
         """Scaled alphas of a slab that begins with those of the step before; the scales of the steps that have one."""
@@ -233,7 +301,7 @@ class Batch:
         logs, a = np.zeros(len(self.n)), None
         for t0, t1 in self.slabs:
             off, m, symbols = self._places(t0, t1)
-            alphas, scales = self._forward(t0, t1, off, m, self.ratios[symbols], a)
+            alphas, scales = self._forward(t0, t1, off, m, np.take(self.ratios, symbols, axis=0), a)
             for c in scales.values():
                 logs[: len(c)] += np.log10(c)
             done = np.arange(self.live[t1], self.live[t0])  # those that end within the slab
@@ -250,11 +318,11 @@ class Batch:
             befores.append(a)
             if len(self.slabs) > 1:
                 off, m, symbols = self._places(t0, t1)
-                a = self._forward(t0, t1, off, m, self.ratios[symbols], a)[0][off[-2] :].copy()
+                a = self._forward(t0, t1, off, m, np.take(self.ratios, symbols, axis=0), a)[0][off[-2] :].copy()
         after = None
         for (t0, t1), a in zip(reversed(self.slabs), reversed(befores)):
             off, m, symbols = self._places(t0, t1)
-            x = self.ratios[symbols]  # emissions, then emissions times betas over scales
+            x = np.take(self.ratios, symbols, axis=0)  # emissions, then emissions times betas over scales
             alphas, scales = self._forward(t0, t1, off, m, x, a)
             betas, back = np.ones_like(x), np.ascontiguousarray(self.move.T)
             if after is not None:
@@ -270,18 +338,18 @@ class Batch:
                 if j:
                     np.matmul(now, back, out=betas[places[j - 1][1] : places[j - 1][1] + n])
             betas *= alphas
-            norm = betas.sum(1)
-            betas /= norm[:, None]
+            norm = (1 / (betas @ np.ones(k, np.float32)))[:, None]
+            betas *= norm
             first = x[: m[0]].copy()
-            x /= norm[:, None]
+            x *= norm
             if len(m) > 1:
                 before = np.arange(off[1], off[-1]) - np.repeat(m[:-1], m[1:])
-                moved += alphas[before].T @ x[off[1] :]
+                moved += np.take(alphas, before, axis=0).T @ x[off[1] :]
             after = (first, x[: m[0]].copy())
             if t0 == 0:
                 start += betas[: m[0]].sum(0)
-            for z in range(k):
-                emitted[:, z] += np.bincount(symbols, weights=betas[:, z], minlength=s)
+            for z, g in enumerate(betas.T.astype(float)):
+                emitted[:, z] += np.bincount(symbols, weights=g, minlength=s)
         return start, moved * self.move, emitted
 
 
@@ -293,70 +361,105 @@ def batches_of(lengths: np.ndarray, which: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def _opened(left: pa.Table, right: pa.Table, model: Moves) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, lengths, begins, ratios by symbol) of a chunk."""
+    """(symbols, lengths, begins, ratios by symbol) of a chunk. right: (bucket, ratios), in any order."""
     flat, lengths = unplanes(left["symbols"][0].as_py()), unplanes(left["lengths"][0].as_py())
     k = len(model.start)
-    ratios = np.empty((len(left["words"][0]) + 2, k))
-    ratios[0], ratios[1] = model.end, model.rare
-    at = right["pos"].to_numpy() + 2
-    for z in range(k):
-        ratios[at, z] = right[f"r{z}"].to_numpy()
+    blocks = [x for _, x in sorted(zip(right["bucket"].to_pylist(), right["ratios"].to_pylist()))]
+    ratios = np.vstack([model.end, model.rare, np.frombuffer(b"".join(blocks), "<f4").reshape(-1, k)]).astype(np.float32)
     return flat, lengths, np.cumsum(lengths) - lengths, ratios
 
 
-def improved(held: DataFrame, vectors: DataFrame, model: Moves) -> DataFrame:
-    """(part, word, g0, g1, ...): expected counts over all training texts. part 0 has the words', 1 the begins, 2 the ends,
-    3 rare words, 4 each state's sum, from 10 on the moves."""
+def emissions(slots: DataFrame, sums: DataFrame, model: Moves, shares: Shares) -> DataFrame:
+    """(to, bucket, ratios): for each chunk and bucket the emission ratios of its words. slots: (bucket, chunk, idx, n); sums: (part, g)."""
     k = len(model.start)
-    schema = pa.schema([("part", pa.int32()), ("word", pa.binary()), *[(f"g{z}", pa.float64()) for z in range(k)]])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        learn = np.frombuffer(left["learn"][0].as_py(), bool) if left.num_rows else np.zeros(0, bool)
-        if not learn.any():
-            return schema.empty_table()
-        flat, lengths, begin, ratios = _opened(left, right, model)
-        start, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((len(ratios), k))
-        for own in batches_of(lengths, np.flatnonzero(learn)):
-            s, m, e = Batch(flat, begin[own], lengths[own], ratios, model.start, model.move).expected()
-            start, moved, emitted = start + s, moved + m, emitted + e
-        met = np.flatnonzero(emitted[2:].sum(1))
-        sums = np.vstack([emitted[2:][met], start, emitted[0], emitted[1], emitted.sum(0), moved])
-        part = pa.array([0] * len(met) + [1, 2, 3, 4, *range(10, 10 + k)], pa.int32())
-        word = pa.concat_arrays([left["words"].chunk(0).flatten().take(pa.array(met)), pa.nulls(4 + k, pa.binary())])
-        return pa.table([part, word, *[pa.array(np.ascontiguousarray(sums[:, z])) for z in range(k)]], schema=schema)
+        to, out, bucket = [], [], -1
+        rows = left.to_pylist()
+        if rows:
+            bucket = rows[0]["bucket"]
+            n = next(_ints(r["n"], "<i8") for r in rows if r["chunk"] < 0)
+            table = ratio(np.frombuffer(right["g"][0].as_py(), "<f8").reshape(-1, k), model.total, shares.share(n)[:, None]).astype("<f4")
+            for r in rows:
+                if r["chunk"] >= 0:
+                    idx = _ints(r["idx"])
+                    to.append(r["chunk"])
+                    out.append(table[idx[idx >= 0]].tobytes())
+        return pa.table([pa.array(to, pa.int64()), pa.array([bucket] * len(to), pa.int32()), pa.array(out, pa.binary())], names=["to", "bucket", "ratios"])
+
+    return slots.groupBy("bucket").cogroup(sums.where("part >= 0").groupBy("part")).applyInArrow(run, "to long, bucket int, ratios binary")
+
+
+#: The sums of chunks that don't go by word are added up in so many groups.
+SPREAD = 64
+
 
-    found = held.select("chunk", "lengths", "learn", "symbols", "words").groupBy("chunk").cogroup(vectors.groupBy("to")).applyInArrow(run, ", ".join(["part int, word binary", *[f"g{z} double" for z in range(k)]]))
-    return found.groupBy("part", "word").agg(*[F.sum(f"g{z}").alias(f"g{z}") for z in range(k)])
+def improved(held: DataFrame, slots: DataFrame, vectors: DataFrame, model: Moves) -> DataFrame:
+    """(part, g): expected counts over all training texts. part: a bucket, with its words' sums by state; below zero, groups
+    of the other sums (begins, ends, rare words, each state's sum, moves)."""
+    k = len(model.start)
+
+    def expect(left: pa.Table, right: pa.Table) -> pa.Table:
+        part, chunk, out = [], [], []
+        learn = np.frombuffer(left["learn"][0].as_py(), bool) if left.num_rows else np.zeros(0, bool)
+        if learn.any():
+            flat, lengths, begin, ratios = _opened(left, right, model)
+            start, moved, emitted = np.zeros(k), np.zeros((k, k)), np.zeros((len(ratios), k))
+            for own in batches_of(lengths, np.flatnonzero(learn)):
+                s, m, e = Batch(flat, begin[own], lengths[own], ratios, model.start, model.move).expected()
+                start, moved, emitted = start + s, moved + m, emitted + e
+            part, sizes = left["buckets"][0].as_py(), left["sizes"][0].as_py()
+            at = 2 + np.cumsum([0, *sizes])
+            out = [emitted[x:y].astype("<f4").tobytes() for x, y in zip(at, at[1:])]
+            number = left["chunk"][0].as_py()
+            part = [*part, -1 - number % SPREAD]
+            out.append(np.vstack([start, emitted[0], emitted[1], emitted.sum(0), moved]).astype("<f8").tobytes())
+            chunk = [number] * len(part)
+        return pa.table([pa.array(part, pa.int32()), pa.array(chunk, pa.int64()), pa.array(out, pa.binary())], names=["part", "chunk", "g"])
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = left.to_pylist()
+        if rows:
+            part = rows[0]["bucket"]
+            total = np.zeros((next(len(r["n"]) // 8 for r in rows if r["chunk"] < 0), k))
+            found = dict(zip(right["chunk"].to_pylist(), right["g"].to_pylist()))
+            for r in rows:
+                if r["chunk"] in found:
+                    idx = _ints(r["idx"])
+                    total[idx[idx >= 0]] += np.frombuffer(found[r["chunk"]], "<f4").reshape(-1, k)  # a word is in a chunk once
+        else:
+            part = right["part"][0].as_py()
+            total = sum(np.frombuffer(x, "<f8") for x in right["g"].to_pylist())
+        return pa.table([pa.array([part], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["part", "g"])
+
+    found = held.select("chunk", "lengths", "learn", "symbols", "buckets", "sizes").groupBy("chunk").cogroup(vectors.groupBy("to")).applyInArrow(expect, "part int, chunk long, g binary")
+    return slots.groupBy("bucket").cogroup(found.groupBy("part")).applyInArrow(add, "part int, g binary")
 
 
 def moves_of(sums: DataFrame, shares: Shares, states: int) -> Moves:
-    """The part of the model that doesn't grow, from sums of expected counts: 4 + states rows."""
-    rows = {r.part: np.array([r[f"g{z}"] for z in range(states)]) for r in sums.where("part > 0").collect()}
-    move = np.array([rows[10 + z] for z in range(states)]) + 1e-9
-    total = rows[4]
-    return Moves(
-        (rows[1] + 1) / (rows[1] + 1).sum(), (1 - EVEN) * move / move.sum(1, keepdims=True) + EVEN / states, total,
-        ratio(rows[2], total, shares.share(shares.ends)), ratio(rows[3], total, shares.share(shares.rest)),
-    )
-
-
-def first_sums(counts: DataFrame, shares: Shares, states: int) -> tuple[DataFrame, Moves]:
-    """What the first round begins with: words' counts times a factor of word and state, by a hash; states that stay."""
-    factor = lambda z: -F.log((F.pmod(F.xxhash64("word", F.lit(z)), F.lit(1 << 20)) + 0.5) / float(1 << 20))
-    words = counts.where(F.col("n") >= shares.least).select(F.lit(0).alias("part"), "word", *[(F.col("n") * factor(z)).alias(f"g{z}") for z in range(states)])
-    got = words.agg(*[F.coalesce(F.sum(f"g{z}"), F.lit(0.0)) for z in range(states)]).first()
-    total = np.array(got, float) + shares.ends + shares.rest
-    move = np.full((states, states), 0.1 / max(1, states - 1))
-    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    even = np.full(states, 1 / states)
-    return words, Moves(even, move, total, ratio(shares.ends * np.ones(states), total, shares.share(shares.ends)), ratio(shares.rest * np.ones(states), total, shares.share(shares.rest)))
+    """The part of the model that doesn't grow: from at most SPREAD rows of sums."""
+    rows = [np.frombuffer(bytes(r.g), "<f8").reshape(-1, states) for r in sums.where("part < 0").collect()]
+    start, end, rare, total, *move = sum(rows)
+    move = np.array(move) + 1e-9
+    return Moves((start + 1) / (start + 1).sum(), (1 - EVEN) * move / move.sum(1, keepdims=True) + EVEN / states, total, ratio(end, total, shares.share(shares.ends)), ratio(rare, total, shares.share(shares.rest)))
 
 
-def emissions(words: DataFrame, sums: DataFrame, model: Moves, shares: Shares) -> DataFrame:
-    """(to, pos, r0, r1, ...): the emission ratios of each chunk's words. words: (chunk, pos, word, n)."""
-    share = (F.col("n") + 0.5) / shares.places
-    ratios = [ratio(F.col(f"g{z}"), float(t), share).cast("float").alias(f"r{z}") for z, t in enumerate(model.total)]
-    return words.join(sums.where("part = 0").drop("part"), "word").select(F.col("chunk").alias("to"), "pos", *ratios)
+def first_moves(firsts: DataFrame, shares: Shares, states: int) -> Moves:
+    """What the first round begins with: states that stay; sums of the words' counts times their factors."""
+
+    def total(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(states)
+        for b in slices(batches, 8):
+            for x in b.column(0).to_pylist():
+                sums += np.frombuffer(x, "<f8").reshape(-1, states).sum(0)
+        yield pa.record_batch([pa.array([sums], pa.list_(pa.float64()))], names=["t"])
+
+    got = firsts.select("g").mapInArrow(total, "t array<double>").agg(*[F.coalesce(F.sum(F.get("t", F.lit(z))), F.lit(0.0)) for z in range(states)]).first()
+    own = np.array(got, float) + shares.ends + shares.rest
+    move = np.full((states, states), 0.1 / max(1, states - 1))
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    even, ones = np.full(states, 1 / states), np.ones(states)
+    return Moves(even, move, own, ratio(shares.ends * ones, own, shares.share(shares.ends)), ratio(shares.rest * ones, own, shares.share(shares.rest)))
 
 
 def released(spark) -> None:
@@ -365,34 +468,34 @@ def released(spark) -> None:
     spark._jvm.System.gc()
 
 
-def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, least: int = MIN_COUNT, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, least: int = MIN_COUNT, rounds: int = ROUNDS, chunk_bytes: int = CHUNK_BYTES, bucket_pairs: int = BUCKET_PAIRS) -> DataFrame:
     """(id_col, n_tokens, n_known, train_tokens, base_score, score); learn: which rows to learn from."""
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"))
     raw = stored(chunked(rows, kind, chunk_bytes), "chunks")
-    own = raw.select(F.posexplode("words").alias("pos", "word"), "own").select("word", F.get("own", F.col("pos")).alias("n")).where("n > 0")
-    counts = stored(own.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    often = F.col("n") >= least
-    n, kinds, named, rest = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(often), F.coalesce(F.sum(F.when(~often, F.col("n"))), F.lit(0))).first()
-    chunks, pairs = raw.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
-    ends = rows.where("learn").count()
-    shares = Shares(n + ends, ends, kinds + (ends > 0), named, rest, least)
-    held = bucketed(numbered(raw, counts, shares, kind), max(1, min(20_000, chunks)), "chunk", "held")
+    # a training text is a byte of one in `learn`
+    ones = F.length(F.replace(F.hex("learn"), F.lit("00"), F.lit(""))) / 2
+    chunks, pairs, ends = raw.agg(F.count("*"), F.coalesce(F.sum(F.size("words")), F.lit(0)), F.coalesce(F.sum(ones), F.lit(0)).cast("long")).first()
+    buckets = max(1, min(1 << 20, -(-pairs // bucket_pairs)))
+    counts = stored(counted(raw, buckets, least, states), "counts")
+    n, kinds, named, rest = counts.where("chunk < 0").agg(*[F.coalesce(F.sum(F.get("stats", F.lit(i))), F.lit(0)) for i in range(4)]).first()
+    shares = Shares(n + ends, ends, kinds + (ends > 0), named, rest)
+    spread = max(1, min(20_000, chunks))
+    held = bucketed(numbered(raw, counts, shares, kind), spread, "chunk", "held")
     discard(raw)
-    places = held.select("chunk", F.posexplode("words").alias("pos", "word"), "n").select("chunk", "pos", "word", F.get("n", F.col("pos")).alias("n"))
-    words = bucketed(places, max(1, min(20_000, pairs // 250_000)), "word", "places")
-    sums, model = first_sums(counts, shares, states)
+    slots = bucketed(counts.select("bucket", "chunk", "idx", F.when(F.col("chunk") < 0, F.col("n")).alias("n")), max(1, min(20_000, buckets)), "bucket", "slots")
+    sums = stored(counts.where("chunk < 0").select(F.col("bucket").alias("part"), F.col("first").alias("g")), "sums")
+    discard(counts)
+    model = first_moves(sums, shares, states)
     for _ in range(rounds if ends else 0):
-        then = stored(improved(held, emissions(words, sums, model, shares), model), "sums")
+        then = stored(improved(held, slots, emissions(slots, sums, model, shares), model), "sums")
         model = moves_of(then, shares, states)
         discard(sums)
         sums = then
         released(spark)
-    vectors = emissions(words, sums, model, shares)
+    vectors = emissions(slots, sums, model, shares)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table([left["ids"].combine_chunks().flatten(), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=["id", "n_tokens", "n_known", "base_score", "score"])
         flat, lengths, begin, ratios = _opened(left, right, model)
         likely = np.zeros(len(lengths))
         for own in batches_of(lengths, np.arange(len(lengths))):
@@ -400,8 +503,8 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         flat_of = lambda c: left[c].combine_chunks().flatten()
         return pa.table([flat_of("ids"), pa.array(lengths.astype(np.int64)), flat_of("known"), flat_of("base"), pa.array(flat_of("fixed").to_numpy() + likely)], names=["id", "n_tokens", "n_known", "base_score", "score"])
 
-    texts = held.select("chunk", "ids", "lengths", "symbols", "words", "known", "base", "fixed").groupBy("chunk").cogroup(vectors.groupBy("to"))
+    texts = held.select("chunk", "ids", "lengths", "symbols", "known", "base", "fixed").groupBy("chunk").cogroup(vectors.groupBy("to"))
     out = stored(texts.applyInArrow(run, f"id {kind}, n_tokens long, n_known long, base_score double, score double"), "scored")
-    for x in (held, words, sums, counts):
+    for x in (held, slots, sums):
         discard(x)
     return out.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(shares.total).cast("long").alias("train_tokens"), "base_score", "score")
