@@ -8,9 +8,11 @@ template's words that the alignment matches.
 A cheap exact bound comes first: coverage can't exceed the share of template words (with repeats) that the text has at
 all, so other texts are passed over without loss. Templates are a parameter: a list that the caller bounds.
 
-Defined results: a null or empty text has no license; texts that repeat a notice get a row for each stretch; repeated
-rows each get their rows; of templates over the same words those with the most matched words are reported, equals all; columns other than the id
-and the text are ignored.
+Defined results: a null or empty text has no license; texts that repeat a notice get a row for each stretch; a notice
+may be spread over twice its template's length; repeated rows each get their rows; an empty table gives none; of
+templates over the same words those with the most matched words are reported, equals all; very long texts are scanned
+whole, by windows of a template's length, in time linear in theirs; columns other than the id and the text are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "sentence", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
+#: Characters of a cell in which stretches are looked up.
+CELL = 256
+
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 #: Words so common in prose that they don't open or bound a stretch.
 _COMMON = frozenset("a an and any as at be by for from if in is it may not of on or shall that the this to was with you".split())
@@ -129,15 +134,19 @@ class Scanner:
 
         Where stretches overlap, the template with the most matched words explains them; only equals stay beside it."""
         kept: list[tuple] = []
+        explained: dict[int, list[tuple]] = {}  # by place, so that a text with many notices isn't compared with all of them
         for hit in sorted(self.hits(text), key=lambda h: -h[3]):
-            if all(k[3] == hit[3] or k[5] <= hit[4] or hit[5] <= k[4] for k in kept):
+            cells = range(hit[4] // CELL, (hit[5] - 1) // CELL + 1)
+            if all(k[3] == hit[3] or k[5] <= hit[4] or hit[5] <= k[4] for c in cells for k in explained.get(c, ())):
                 kept.append(hit)
+                for c in cells:
+                    explained.setdefault(c, []).append(hit)
         yield from sorted(kept, key=lambda h: (h[4], h[0], h[1]))
 
     def hits(self, text: str) -> Iterator[tuple[str, str, float, int, int, int]]:
         if not self.vocabulary.intersection(x.lower() for x in _WORD.findall(text)) - _COMMON:
             return
-        words, begin, end = tokens(text)
+        words, begin, end_of = tokens(text)
         have = self.vocabulary.intersection(words)
         for (name, kind, template), bag, marks in zip(self.templates, self.bags, self.marks):
             need = self.coverage * len(template)
@@ -154,16 +163,19 @@ class Scanner:
             for r in runs:
                 lo, hi = max(0, r[0] - reach // 4 - 4), min(len(words), r[-1] + reach // 4 + 5)
                 while hi > lo:
-                    stretch = words[lo:hi]
+                    # a window holds any stretch of up to twice the template's length that begins in its first half
+                    end = min(hi, lo + 4 * reach + 16)
+                    stretch = words[lo:end]
                     own = Counter(stretch)
-                    if sum(min(n, own[w]) for w, n in bag.items()) < need:
-                        break
-                    found = align(stretch, template)
-                    if len(found) < need:
+                    found = align(stretch, template) if sum(min(n, own[w]) for w, n in bag.items()) >= need else []
+                    if len(found) >= need:
+                        first, last = lo + found[0][0], lo + found[-1][0]
+                        yield name, kind, len(found) / len(template), len(found), begin[first], end_of[last]
+                        lo = last + 1  # the same notice may follow again
+                    elif end == hi:
                         break
-                    first, last = lo + found[0][0], lo + found[-1][0]
-                    yield name, kind, len(found) / len(template), len(found), begin[first], end[last]
-                    lo = last + 1  # the same notice may follow again
+                    else:
+                        lo += 2 * reach + 8
 
 
 def scanned(docs: DataFrame, templates=TEMPLATES, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
