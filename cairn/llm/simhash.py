@@ -180,7 +180,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     smallest = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     labelled = member.join(smallest, "root").select("fp", "root", "component_id")
     named = distinct.join(labelled, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "rep").alias("component_id"), "n")
-    return rows, stored(named, "components")
+    out = stored(named, "components")
+    discard(distinct)
+    discard(stars)
+    return rows, out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
