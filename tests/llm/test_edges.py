@@ -2,16 +2,19 @@
 
 import base64
 import hashlib
+import math
 import random
 import time
 from html.parser import HTMLParser
 
+import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm import common, quality, simhash, token_counts, warc
+from cairn.llm import common, licenses, packing, permutation_index, quality, sentencepiece_codec, simhash, token_counts, toxicity, warc
 
 D = "/root/testdata/sf0.001"
 
@@ -83,6 +86,60 @@ def test_counts_of_an_empty_table(spark):
     assert token_counts.token_counts(empty, path).count() == 0 and token_counts.prefix_table(empty, path).count() == 0
 
 
+# 3
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def test_alignment_against_the_exhaustive_best():
+    """Never more than the longest common subsequence, and close to it for edited notices."""
+    rng = random.Random(2)
+    for name, kind, text in licenses.TEMPLATES:
+        words = licenses.tokens(text)[0]
+        assert len(licenses.align(words, words)) == len(words)
+        for _ in range(20):
+            edited = [w for w in words if rng.random() > 0.08]
+            for _ in range(len(words) // 12):
+                edited.insert(rng.randint(0, len(edited)), rng.choice(["foo", "bar", *words]))
+            got, best = len(licenses.align(edited, words)), longest_common(edited, words)
+            assert 0.9 * best <= got <= best
+
+
+def test_notices_that_the_exhaustive_best_covers_are_found():
+    rng = random.Random(4)
+    scan = licenses.Scanner().scan
+    prose = "once upon a time there lived seven sailors near some harbour town".split()
+    for name, kind, text in licenses.TEMPLATES:
+        words = text.split()
+        for _ in range(10):
+            cut = [w for w in words if rng.random() > 0.06]
+            around = " ".join(rng.choice(prose) for _ in range(30))
+            found = list(scan(f"{around} {' '.join(cut)} {around}"))
+            template = licenses.tokens(text)[0]
+            if longest_common(licenses.tokens(" ".join(cut))[0], template) >= 0.86 * len(template):
+                assert any(n == name for n, *_ in found), (name, kind, cut)
+
+
+def test_many_notices_take_linear_time():
+    scan, line = licenses.Scanner().scan, "Released under the MIT License.\n"
+    for text, n in ((line * 20_000, 20_000), ("mit license under " * 60_000, 0), ((line + "word " * 40) * 4000, 4000)):
+        began = time.perf_counter()
+        assert sum(k == "notice" for _, k, *_ in scan(text)) >= n
+        assert time.perf_counter() - began < 30
+
+
+def test_scan_of_an_empty_table(spark):
+    assert licenses.scanned(spark.createDataFrame([], "doc_id long, text string, license int")).count() == 0
+
+
 # 4
 
 
@@ -230,3 +287,140 @@ def test_a_cluster_must_name_its_shared_folder(spark):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.scratch_root(Session())
+
+
+# 1 and 9
+
+
+def test_long_and_clashing_rows(spark):
+    long = " ".join(f"w{k}" for k in range(150_000))
+    df = spark.createDataFrame([(1, long, "a", 0), (2, long + " w0", "b", 1), (3, None, "c", 2)], "doc_id long, text string, fp string, component_id int")
+    got = {r.doc_id: r for r in simhash.near_duplicates(df).collect()}
+    assert got[3].fingerprint == "0" * 16 and got[1].component_id == got[2].component_id == 1
+    assert simhash.one_of_each(df).columns == df.columns and {r.fp for r in simhash.one_of_each(df).collect()} == {"a", "c"}
+
+
+# 6
+
+
+def test_sentencepiece_digests_row_by_row(spark):
+    """op6's columns are the library's for each row."""
+    path = P.path("piece_bpe_32k.model")
+    lib = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()] + [(-1, ""), (-2, "a  b\t▁c 😀 x" * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("ids", F.lit(1))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in sentencepiece_codec.round_trip(df, path).collect()}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for d, t in rows:
+        ids = lib.encode(t)
+        assert got[d] == (len(ids), sha(",".join(map(str, ids))), sha(lib.decode(ids))), d
+    assert sentencepiece_codec.round_trip(df.limit(0), path).count() == 0
+
+
+# 7
+
+
+def test_training_is_plain_ftrl():
+    """Weights and scores against FTRL-proximal written out place by place."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(60):
+        y = rng.random() < 0.4
+        at = sorted({rng.randrange(40) for _ in range(6)} | ({3, 7} if y else {11}))
+        rows.append((np.array(at, np.int32), int(y)))
+    z, n = [0.0] * 64, [0.0] * 64
+    pos = sum(y for _, y in rows)
+    bias, bias_n = math.log((pos + 0.5) / (len(rows) - pos + 0.5)), 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= toxicity.L1 else -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+    for _ in range(30):
+        for at, y in rows:
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-(bias + sum(w.values())))) - y
+            for i in at:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+            bias_n += g * g
+            bias -= 0.05 * g / (1 + math.sqrt(bias_n))
+    got = toxicity.trained(rows, bits=6, epochs=30)
+    assert got.pop(-1) == pytest.approx(bias) and got == pytest.approx({i: weight(i) for i in range(64) if weight(i)}) and got
+
+
+def test_toxicity_of_odd_texts(spark):
+    model = {-1: -1.0, 5: 2.0}
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "x " * 500_000), (None, "y")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    got = {r.doc_id: r.score for r in toxicity.scored(df, model).collect()}
+    assert got[1] == got[2] == pytest.approx(1 / (1 + math.e)) and 0 <= got[3] <= 1
+    assert toxicity.scored(df.limit(0), model).count() == 0 and toxicity.clean(df, model).columns == df.columns
+
+
+# 8
+
+
+@pytest.mark.parametrize("kind", ["equal", "wide", "long tail"])
+@pytest.mark.parametrize("n", [1500, 6000])
+def test_recall_by_lengths(spark, kind, n):
+    """0.9 of the nearest are found whatever the vectors' lengths."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= {"equal": np.ones((n, 1)), "wide": rng.uniform(0.2, 3, (n, 1)), "long tail": np.exp(0.5 * rng.normal(size=(n, 1)))}[kind]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    ask = F.col("vec_id") % 20 == 0
+    out = permutation_index.nearest(df, ask, block_rows=500).collect()  # files are split and share blocks
+    found = {}
+    for r in out:
+        found.setdefault(r.query_id, []).append(r.vec_id)
+        assert r.score == pytest.approx(float(x[r.query_id] @ x[r.vec_id]))
+    hit = 0
+    for q in range(0, n, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(found[q]) == 20 == len(set(found[q])) and q not in found[q]
+        hit += len(set(np.argsort(-s)[:20].tolist()) & set(found[q]))
+    assert hit >= 0.9 * 20 * len(found)
+
+
+def test_a_query_opens_a_falling_share_of_files():
+    pivots = [max(permutation_index.LEAST_PIVOTS, math.ceil(permutation_index.PIVOTS_A_ROOT * math.sqrt(n))) for n in (2_000, 50_000, 1_000_000)]
+    share = [permutation_index.opened_files(p) / p for p in pivots]
+    assert share[0] > share[1] > share[2] and share[2] < 0.2
+
+
+# 10
+
+
+def test_what_fits_is_hardly_cut(spark):
+    """In batches with a spare sequence nothing that fits a window is cut, and little is padded."""
+    rng = random.Random(3)
+    lengths = [min(9000, int(rng.lognormvariate(5.5, 1.3)) + 1) for _ in range(4000)]
+    pieces = packing.deal(lengths)
+    by_doc, by_seq = {}, {}
+    for d, s, n, q, o in pieces:
+        by_doc.setdefault(d, []).append((s, n))
+        by_seq.setdefault(q, []).append((o, n))
+    assert sum(lengths) // 4096 >= packing.SPARE_FROM
+    assert not [d for d, p in by_doc.items() if len(p) > 1 and lengths[d] <= 4096]
+    for d, p in by_doc.items():
+        assert sorted(p)[0][0] == 0 and sum(n for _, n in p) == lengths[d]
+    for p in by_seq.values():
+        at = 0
+        for o, n in sorted(p):
+            assert o == at
+            at += n
+        assert at <= 4096
+    assert len(by_seq) * 4096 - sum(lengths) < 2 * 4096
+
+
+def test_batches_of_a_task(spark):
+    """Batches hold all documents once, whatever their bound; ids are those of the library."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").repartition(3)
+    path = P.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    want = {r.doc_id: [*lib.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    for bound in (500, 20_000):
+        got = {}
+        for r in packing.packed(docs, path, batch_tokens=bound, with_ids=True).collect():
+            got.setdefault(r.doc_id, []).append((r.start, r.ids))
+        assert {d: [i for _, x in sorted(p) for i in x] for d, p in got.items()} == want
+    assert packing.packed(docs.limit(0), path).count() == 0

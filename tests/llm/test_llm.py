@@ -268,7 +268,7 @@ def brute_training(rows, learn, states, least, rounds):
     ends = sum(map(learn, texts_))
     names = [w for w, n in c.items() if n >= least]
     total, rest = sum(c.values()) + ends, sum(n for n in c.values() if n < least)
-    shares = hmm.Shares(total, ends, len(c) + 1, len(names), rest, least)
+    shares = hmm.Shares(total, ends, len(c) + 1, len(names), rest)
     number = {w: k + 2 for k, w in enumerate(names)}
     n = np.array([ends, rest, *(c[w] for w in names)], float)
     p = shares.share(n)
@@ -277,19 +277,16 @@ def brute_training(rows, learn, states, least, rounds):
     return c, names, n, p, shares, seqs, rest, len(c) - len(names)
 
 
-@pytest.mark.parametrize("chunk_bytes", [1 << 25, 300])
-def test_training_is_brute_force(spark, real, chunk_bytes):
-    """All rounds over all training texts, whatever the chunks: the same scores as plain Python over whole texts."""
+@pytest.mark.parametrize("chunk_bytes, pairs", [(1 << 25, 500_000), (300, 40)])
+def test_training_is_brute_force(spark, real, chunk_bytes, pairs):
+    """All rounds over all training texts, whatever the chunks and buckets: the same scores as plain Python over whole texts."""
     rows = [(d, t[:1500]) for d, t in texts(real.where("doc_id < 25"))]
     learn = lambda d: d % 3 != 1
     c, names, n, p, shares, seqs, rest, rest_kinds = brute_training(rows, learn, 3, 4, 3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    words = spark.createDataFrame([(w, c[w]) for w in names], "word binary, n long")
-    first, model = hmm.first_sums(words, shares, 3)
-    got = {bytes(r.word): [r.g0, r.g1, r.g2] for r in first.collect()}
-    g = np.array([[n[0]] * 3, [n[1]] * 3, *(got[w] for w in names)])
-    start, move, total = model.start, model.move, g.sum(0)
-    assert total == pytest.approx(model.total)
+    factor = -np.log(np.stack([hmm._uniform(np.array([crc32(w) for w in names], np.uint64), z) for z in range(3)], axis=1))
+    g = np.vstack([[n[0]] * 3, [n[1]] * 3, n[2:, None] * factor])
+    start, move, total = np.full(3, 1 / 3), np.full((3, 3), 0.05) + np.eye(3) * 0.85, g.sum(0)
     for _ in range(3):
         ratios = hmm.ratio(g, total, p[:, None])
         assert (ratios * p[:, None]).sum(0) == pytest.approx(np.ones(3))  # each state gives all words together one
@@ -299,7 +296,7 @@ def test_training_is_brute_force(spark, real, chunk_bytes):
     ratios = hmm.ratio(g, total, p[:, None])
     rare = lambda d, ws: sum(math.log10((c[w] + 1) / (rest + rest_kinds + 1)) for w in ws if c[w] < 4)
     want = {d: brute_recursions(start, move, ratios, q)[0] + np.log10(p[q]).sum() + rare(d, t.encode().lower().split()) for (d, t), q in zip(rows, seqs.values())}
-    out = hmm.scored(df, F.col("doc_id") % 3 != 1, states=3, least=4, rounds=3, chunk_bytes=chunk_bytes)
+    out = hmm.scored(df, F.col("doc_id") % 3 != 1, states=3, least=4, rounds=3, chunk_bytes=chunk_bytes, bucket_pairs=pairs)
     assert {r.doc_id: r.score for r in out.collect()} == pytest.approx(want, abs=2e-3)
 
 
@@ -327,7 +324,12 @@ def test_language_scores_without_training(spark, docs):
 def test_every_round_reads_all_texts(spark, monkeypatch):
     """Copies and chunks change nothing: each round's expected counts add up to all training tokens."""
     seen, whole = [], hmm.improved
-    monkeypatch.setattr(hmm, "improved", lambda *a: seen.append(whole(*a).where("part = 4").selectExpr("g0 + g1 + g2 + g3 + g4 + g5 + g6 + g7 AS g").first().g) or whole(*a))
+    def counted(*given):
+        out = whole(*given)
+        seen.append(sum(np.frombuffer(bytes(r.g), "<f8").reshape(-1, 8)[3].sum() for r in out.where("part < 0").collect()))
+        return out
+
+    monkeypatch.setattr(hmm, "improved", counted)
     df = spark.range(6_000).select(F.col("id").alias("doc_id"), F.format_string("word%d of text %d", F.col("id") % 150, F.col("id") % 150).alias("text"))
     hmm.scored(df, F.lit(True), rounds=3, chunk_bytes=5_000)
     assert seen == pytest.approx([30_000] * 3, rel=1e-4)
