@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..errors import PlanError
+
 
 def label_volumes(counts: DataFrame, n: str, voxel_mm3: Column, digits: int = 0, truncate: bool = False) -> DataFrame:
     """counts with volume_ml: voxels times their size over 1000, rounded half to even (or rounded, then cut to whole)."""
@@ -21,6 +23,12 @@ def softmax(v: Column, keys: list[str]) -> Column:
     return e / F.sum(e).over(w)
 
 
+def softmax_of(values: Column) -> Column:
+    """The same within an array."""
+    e = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
+    return F.element_at(F.transform(F.array(e), lambda x: F.transform(x, lambda y: y / F.aggregate(x, F.lit(0.0), lambda a, z: a + z))), 1)
+
+
 def sigmoid(v: Column) -> Column:
     return 1 / (1 + F.exp(-v))
 
@@ -32,9 +40,20 @@ def ensemble(predictions: DataFrame, item: list[str], klass: str, prob: str) ->
     return mean.groupBy(*item).agg(best).select(*item, F.col(f"b.{klass}").alias(klass), F.col("b._p").alias(prob))
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this machine only where all runs on it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise PlanError(f"spark.checkpoint.dir is unset; with master {master} it must name a folder that driver and executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='cairn-')}"
+    return root.rstrip("/")
+
+
 def checkpointing(spark: SparkSession) -> None:
     """Sees that checkpoints have a folder: the cluster's shared one, a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cairn-')}"
+    root = shared_root(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
 

@@ -62,3 +62,43 @@ def non_maximum(detections: DataFrame, image: str = "image_id", box: str = "box"
         return rows.iloc[suppressed(np.array(rows[box].tolist(), float), np.arange(len(rows)), overlap, most)]
 
     return top.groupBy(image).applyInPandas(run, top.schema)
+
+
+def findings_of(boxes: DataFrame, slices: DataFrame, keys: list[str], id_: str = "box_id", box: str = "box", score: str = "score", z: str = "z") -> DataFrame:
+    """(keys, findings): for each key its boxes (x0, y0, z0, x1, y1, z1) by id, each with its score and the places of the slices that it touches."""
+    ends = boxes.select(*keys, id_, box, score, F.element_at(box, 3).alias("_low"), F.element_at(box, 6).alias("_high"))
+    # a box's own depth is the bucket, so a box touches two or three buckets whatever the units are
+    depth = ends.agg(F.percentile_approx(F.col("_high") - F.col("_low"), 0.5)).first()[0]
+    met = range_join(slices.select(*keys, z), ends, keys, z, "_low", "_high", max(1.0, float(depth or 1.0)))
+    touched = met.groupBy(*keys, id_).agg(F.array_sort(F.collect_list(F.col(z).cast("int"))).alias("slices"))
+    each = boxes.select(*keys, id_, box, score).join(touched, [*keys, id_], "left")
+    shaped = F.struct(F.col(id_).alias("id"), F.col(box).alias("box"), F.col(score).alias("score"), F.coalesce("slices", F.array().cast("array<int>")).alias("slices"))
+    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(shaped)).alias("findings"))
+
+
+def observations(found: DataFrame, keys: list[str], what: str = "Finding") -> DataFrame:
+    """(keys, id, z, percent, qualifier, note): one for each finding and slice that it touches."""
+    each = found.select(*keys, F.explode("findings").alias("f")).select(*keys, "f.id", F.explode("f.slices").alias("z"), F.bround(F.col("f.score") * 100, 2).alias("percent"))
+    return each.select("*", band(F.col("percent")).alias("qualifier"), F.concat(F.lit(f"{what} present with probability "), F.col("percent").cast("string"), F.lit("%")).alias("note"))
+
+
+def diagnostics(found: DataFrame, keys: list[str], what: str = "Finding") -> DataFrame:
+    """(keys, report): a JSON document with a conclusion and the observations of each key, those without any included."""
+    seen = observations(found, keys, what)
+    row = F.struct("id", "z", F.col("percent").alias("probability"), "qualifier", "note")
+    lists = seen.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("observations"))
+    ended = F.concat(F.lit(f"{what}s are "), F.when(F.size("findings") == 0, "not present.").otherwise("present."))
+    report = F.to_json(F.struct(ended.alias("conclusion"), F.coalesce("observations", F.array().cast(lists.schema["observations"].dataType)).alias("observations")))
+    return found.join(lists, keys, "left").select(*keys, report.alias("report"))
+
+
+def to_grid(box: Column, matrix: Column) -> Column:
+    """A box (x0, y0, z0, x1, y1, z1) of patient places in the grid of a diagonal affine, ends in order."""
+    cell = lambda i, j: F.get(F.get(matrix, F.lit(i)), F.lit(j))
+    at = lambda k: F.try_divide(F.get(box, F.lit(k)) - cell(k % 3, 3), cell(k % 3, k % 3))
+    return F.array(*[F.least(at(k), at(k + 3)) for k in range(3)], *[F.greatest(at(k), at(k + 3)) for k in range(3)])
+
+
+def clipped(box: Column, size: Column) -> Column:
+    """A box cut to the grid 0 ... size; size: array of three."""
+    return F.transform(box, lambda x, k: F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.get(size, (k % 3).cast("int")).cast("double")))

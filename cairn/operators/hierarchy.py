@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregate import checkpointing
+
 #: The class of directory records, which are no images (a fixed value).
 IGNORED_CLASSES = ("1.2.840.10008.1.3.10",)
 
@@ -35,3 +37,17 @@ def gated_mean(rows: DataFrame, keys: list[str], order: Column, tag: str, digits
     """The tag's mean, rounded, where the group's first row has it; otherwise the given text."""
     agg = rows.groupBy(*keys).agg(F.min_by(F.struct(tag), order).alias("f"), F.avg(tag).alias("m"))
     return agg.select(*keys, F.when(F.col(f"f.{tag}").isNotNull(), F.round("m", digits).cast("string")).otherwise(F.lit(absent)).alias(f"mean_{tag}"))
+
+
+def numbered(rows: DataFrame, order: list[str], name: str, total: str | None = None) -> DataFrame:
+    """rows with their place in the order (from 0) and, if named, how many there are; no task gets them all.
+
+    Rows are sorted by range, and each range's places begin where the ranges before it end."""
+    checkpointing(rows.sparkSession)
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    # ranges come from a sample, so they are fixed by a checkpoint before they are counted
+    held = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": at}).checkpoint()
+    sizes = held.groupBy("_part").count()  # one row a partition
+    before = sizes.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_before"), F.sum("count").over(Window.partitionBy()).alias("_total"))
+    out = held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_at"))
+    return (out.withColumn(total, F.col("_total")) if total else out).drop("_part", "_at", "_before", "_total")

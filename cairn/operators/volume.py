@@ -37,35 +37,6 @@ def lines(df: DataFrame, ids: list[str], values: str, at: str = "x", name: str =
     return df.select(*ids, F.posexplode(values).alias(at, name))
 
 
-def _along(keys: list[str], at: str) -> object:
-    return Window.partitionBy(*keys).orderBy(at)
-
-
-def gradient(df: DataFrame, keys: list[str], at: str, v: str) -> Column:
-    """Central difference (edges repeat the border value)."""
-    w = _along(keys, at)
-    own = F.col(v).cast("double")
-    return F.coalesce(F.lead(own).over(w), own) - F.coalesce(F.lag(own).over(w), own)
-
-
-def smoothed(keys: list[str], at: str, v: str, weights: tuple[float, float, float] = (0.25, 0.5, 0.25)) -> Column:
-    w, own = _along(keys, at), F.col(v).cast("double")
-    return weights[0] * F.coalesce(F.lag(own).over(w), own) + weights[1] * own + weights[2] * F.coalesce(F.lead(own).over(w), own)
-
-
-def median3(keys: list[str], at: str, v: str) -> Column:
-    """Middle of a value and its neighbours (edges repeat the border value)."""
-    w, own = _along(keys, at), F.col(v).cast("double")
-    return F.get(F.array_sort(F.array(F.coalesce(F.lag(own).over(w), own), own, F.coalesce(F.lead(own).over(w), own))), F.lit(1))
-
-
-def contour(keys: list[str], at: str, label: str) -> Column:
-    """Whether a label differs from a neighbour's along an axis; background is never a contour."""
-    w, own = _along(keys, at), F.col(label)
-    differs = F.coalesce(F.lag(own).over(w) != own, F.lit(False)) | F.coalesce(F.lead(own).over(w) != own, F.lit(False))
-    return (own != 0) & differs
-
-
 def tile_starts(n: Column, size: int, overlap: float = 0.25) -> Column:
     """Starts of sliding windows over n places: steps of size * (1 - overlap), the last window ends at n."""
     step = max(1, int(size * (1 - overlap)))
@@ -84,15 +55,37 @@ def minmax(v: Column, keys: list[str]) -> Column:
     return F.coalesce(F.try_divide(v - F.min(v).over(w), F.max(v).over(w) - F.min(v).over(w)), F.lit(0.0))
 
 
+def minmax_of(values: Column) -> Column:
+    """The same within an array."""
+    low, high = F.array_min(values), F.array_max(values)
+    return F.transform(values, lambda x: F.coalesce(F.try_divide(x - low, high - low), F.lit(0.0)))
+
+
 def zscore(v: Column, keys: list[str]) -> Column:
     w = Window.partitionBy(*keys)
     return F.try_divide(v - F.avg(v).over(w), F.stddev_pop(v).over(w))
 
 
 def stacked(slices: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, shape, dtype, data): packed slices of a series (z, rows, cols, dtype, pixels) put together in order of z."""
-    agg = slices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("z", "pixels"))).alias("_slices"), F.first("rows").alias("_rows"), F.first("cols").alias("_cols"), F.first("dtype").alias("dtype"))
-    return agg.select(*keys, F.array(F.size("_slices"), F.col("_rows"), F.col("_cols")).alias("shape"), "dtype", F.aggregate("_slices", F.lit(b""), lambda a, x: F.concat(a, x["pixels"])).alias("data"))
+    """(keys, shape, dtype, data): packed slices of a series (z, rows, cols, dtype, pixels) put together in order of z.
+
+    Size and type are those of the first slice. The parts are joined in one step, as text of a byte a character."""
+    first = F.min_by(F.struct("rows", "cols", "dtype"), "z").alias("_first")
+    agg = slices.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("z", "pixels"))).alias("_slices"), first)
+    data = F.encode(F.array_join(F.transform("_slices", lambda x: F.decode(x["pixels"], "ISO-8859-1")), ""), "ISO-8859-1")
+    return agg.select(*keys, F.array(F.size("_slices"), F.col("_first.rows"), F.col("_first.cols")).alias("shape"), F.col("_first.dtype").alias("dtype"), data.alias("data"))
+
+
+def packed_arrays(rows: DataFrame, keys: list[str], values: str, shape: tuple[int, ...], dtype: str = "float32") -> DataFrame:
+    """(keys, shape, dtype, data) of an array column whose elements lie in the given shape."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def run(batches):
+        for pdf in batches:
+            data = [np.asarray(x, np.dtype(dtype).newbyteorder("<")).reshape(shape).tobytes() for x in pdf[values]]
+            yield pdf[keys].assign(shape=[list(shape)] * len(pdf), dtype=dtype, data=data)
+
+    return rows.select(*keys, values).mapInPandas(run, f"{kinds}, shape array<int>, dtype string, data binary")
 
 
 def unpacked(row_shape: list[int], dtype: str, data: bytes) -> np.ndarray:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import io
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import MissingError, PlanError
 from ..functions.scalars import stem
+from ..operators.hierarchy import numbered
 
 
 def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -25,22 +32,69 @@ def with_extension(rows: DataFrame, extensions: tuple[str, ...], case_sensitive:
 
 
 def listing(spark: SparkSession, folder: str, extensions: tuple[str, ...], recursive: bool = True, case_sensitive: bool = False) -> DataFrame:
-    """(file_path, filename, file_index, total_files, size), sorted by path. One row a file, so the one window is small beside the files."""
+    """(file_path, filename, file_index, total_files, size), numbered by path."""
     found = with_extension(contents(spark, folder, recursive).select("path", "length"), extensions, case_sensitive)
-    w = Window.orderBy("path")
-    return found.select(
-        F.col("path").alias("file_path"), stem(F.element_at(F.split("path", "/"), -1)).alias("filename"),
-        (F.row_number().over(w) - 1).cast("long").alias("file_index"), F.count("*").over(Window.partitionBy()).alias("total_files"), F.col("length").alias("size"),
-    )
+    named = found.select(F.col("path").alias("file_path"), stem(F.element_at(F.split("path", "/"), -1)).alias("filename"), F.col("length").alias("size"))
+    return numbered(named, ["file_path"], "file_index", "total_files").select("file_path", "filename", "file_index", "total_files", "size")
+
+
+def others(found: DataFrame, *known: DataFrame, path: str = "path") -> DataFrame:
+    """The files that none of the known lists has."""
+    for k in known:
+        found = found.join(k.select(path), path, "left_anti")
+    return found
+
+
+def first_file(found: DataFrame, extensions: tuple[str, ...]) -> DataFrame:
+    """The first file by path that has one of the extensions; raises if there is none."""
+    out = with_extension(found, extensions).orderBy("path").limit(1)
+    if out.isEmpty():
+        raise MissingError(f"no file ending with {', '.join(extensions)}")
+    return out
+
+
+def only_file(found: DataFrame) -> DataFrame:
+    """The one file there is; raises if there are none or more."""
+    n = len(found.select("path").limit(2).collect())
+    if n != 1:
+        raise PlanError(f"{'no' if not n else 'more than one'} file")
+    return found
+
+
+def arrays(files: DataFrame) -> DataFrame:
+    """(path, shape, dtype, data) of .npy files, packed as volumes are. Object arrays, which would run code, raise."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1)):
+                a = np.load(io.BytesIO(data.as_py() or b""), allow_pickle=False)
+                raw = np.ascontiguousarray(a).astype(a.dtype.newbyteorder("<")).tobytes()
+                yield pa.record_batch([pa.array([path]), pa.array([list(a.shape)], pa.list_(pa.int32())), pa.array([a.dtype.name]), pa.array([raw], pa.binary())], names=["path", "shape", "dtype", "data"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, shape array<int>, dtype string, data binary")
+
+
+def validated(listed: DataFrame, path: str = "file_path") -> DataFrame:
+    """(ok, message): whether there are results at all, and how many of which kind."""
+    n = kinds(listed, path)
+    names = {"json": "JSON files", "nifti": "NIfTI files", "image": "image files", "other": "other files"}
+    told = F.array_compact(F.array(*[F.when(F.col(k) > 0, F.concat(F.col(k).cast("string"), F.lit(f" {what}"))) for k, what in names.items()]))
+    return n.select((F.size(told) > 0).alias("ok"), F.when(F.size(told) > 0, F.concat(F.lit("Generated "), F.array_join(told, ", "))).otherwise("No result files generated").alias("message"))
 
 
 def kinds(listed: DataFrame, path: str = "file_path") -> DataFrame:
     """Counts of JSON, NIfTI, image and other files."""
     p = F.lower(F.col(path))
-    json_, nifti, image = F.endswith(p, F.lit(".json")), p.rlike(r"\.nii(\.gz)?$"), p.rlike(r"\.(png|jpe?g|bmp|tiff?)$")
+    json_, nifti, image = F.endswith(p, F.lit(".json")), p.rlike(r"\.(nii|gz)$"), p.rlike(r"\.(png|jpe?g|tiff)$")
     return listed.agg(F.count_if(json_).alias("json"), F.count_if(nifti).alias("nifti"), F.count_if(image).alias("image"), F.count_if(~json_ & ~nifti & ~image).alias("other"))
 
 
 def digests(rows: DataFrame) -> DataFrame:
     """(path, sha256) of each file."""
     return rows.select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def tree_digest(rows: DataFrame) -> DataFrame:
+    """(sha256) of a tree: of its files' digests in order of their paths; no content leaves its task."""
+    each = digests(rows).agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("d"))
+    return each.select(F.sha2(F.array_join(F.transform("d", lambda x: x["sha256"]), ""), 256).alias("sha256"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.aggregate import shared_root
+
 
 def each_file(spark: SparkSession, folder: str, schema, sink: Callable[[DataFrame, int], None], checkpoint: str, fmt: str = "parquet", files_per_trigger: int = 1) -> StreamingQuery:
     """Calls sink on each micro-batch of so many files until the folder is exhausted; then the query ends by itself."""
@@ -27,8 +28,7 @@ def run_batches(spark: SparkSession, folder: str, schema, plan: Callable[[DataFr
 
 
 def shared_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='cairn-')}"
-    return f"{root.rstrip('/')}/cairn-stream-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/cairn-stream-{uuid.uuid4().hex}"
 
 
 def replayed(spark: SparkSession, rows: DataFrame, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:

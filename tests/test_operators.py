@@ -107,7 +107,7 @@ def test_sizes(spark, text, want):
     assert one(spark, scalars.size_bytes(F.lit(text))) == want
 
 
-@pytest.mark.parametrize("size, unit, want", [(2**30, "Mi", "1024Mi"), (216, "kib", "0.2kib"), (1024, "b", "1024b")])
+@pytest.mark.parametrize("size, unit, want", [(2**30, "Mi", "1024Mi"), (216, "kib", "0.2kib"), (1024, "b", "1024"), (3 * 10**24, "yb", "3yb")])
 def test_size_text(spark, size, unit, want):
     assert one(spark, scalars.size_text(F.lit(size), unit)) == want
 
