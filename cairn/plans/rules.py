@@ -7,15 +7,18 @@ row may satisfy several selections. Tests by the attribute's type:
 - number: a number (equal), ``[value, op]`` with op one of > >= < <= !=, ``[low, high]`` (inclusive), or a pattern
   that the number's text matches in full;
 - list of texts: a term or a list of terms that the list's text contains, ``!term`` for terms it must not contain;
-- orientation (an array of six numbers under that name): axial, coronal or sagittal.
+- orientation (an array of six numbers under that name): axial, coronal or sagittal; where rows have a patient position,
+  an unknown one raises when the test is met.
 
-A missing, empty or zero attribute never matches; an empty test is no condition. What doesn't fit raises while the plan
+Attributes that aren't columns are looked up in a map of tags, where the standard's representation tells numbers from
+texts and brackets tell lists. The tests of a selection are asked in their order. A missing, empty or zero attribute never matches; an empty test is no condition. What doesn't fit raises while the plan
 is built, before any job.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,10 +26,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import RuleError, UnsupportedError
-from ..operators.geometry import plane
+from ..operators.geometry import POSITIONS, plane
+from ..sources.dicom_format import NUMERIC, TAG_OF
 
 OPERATORS = {">": "__gt__", ">=": "__ge__", "<": "__lt__", "<=": "__le__", "!=": "__ne__"}
-ORIENTATIONS = frozenset({"imageorientationpatient", "orientation"})
+ORIENTATION = "ImageOrientationPatient"
+ORIENTATIONS = frozenset({ORIENTATION.lower(), "orientation"})
 
 
 def parsed(rules: str | dict | None) -> list[tuple[str, dict]] | None:
@@ -83,21 +88,41 @@ def terms_test(c: Column, test: object) -> Column:
     return reduce(lambda a, b: a & b, found, F.size(c) > 0)
 
 
+def tag_test(tags: Column, attribute: str, test: object) -> Column:
+    """The test of an attribute of instance files, as its own representation tells: a list of texts, a number or a text."""
+    raw = F.element_at(tags, F.lit(attribute))
+    several = F.startswith(raw, F.lit("["))
+    tests = test if isinstance(test, list) else [test]
+    shown = F.lower(raw)
+    found = [~F.contains(shown, F.lit(str(t)[1:].lower())) if str(t).startswith("!") else F.contains(shown, F.lit(str(t).lower())) for t in tests]
+    terms = reduce(lambda a, b: a & b, found, F.lit(True))
+    if TAG_OF.get(attribute, (0, ""))[1] in NUMERIC:
+        one = number_test(raw.try_cast("double"), test, raw)
+    elif isinstance(test, str):
+        one = text_test(raw, test)
+    else:
+        one = F.lit(False)  # a single text is never tested by a list or a number
+    return F.when(several, terms).otherwise(one)
+
+
 def condition(df: DataFrame, attribute: str, test: object) -> Column:
-    """The test as a column that is never null. Attributes that aren't columns are looked up in a tags map, as text."""
+    """The test as a column that is never null. Attributes that aren't columns are looked up in a tags map."""
     by_name = {f.name.lower(): f for f in df.schema}
-    f = by_name.get(attribute.lower())
-    if f is None:
+    own = by_name.get("orientation" if attribute == ORIENTATION and ORIENTATION.lower() not in by_name else attribute.lower())
+    if own is None:
         if "tags" not in by_name:
             raise RuleError(f"no attribute {attribute!r}")
-        f, c = T.StructField(attribute, T.StringType()), F.element_at("tags", F.lit(attribute))
-    else:
-        c = F.col(f"`{f.name}`")
+        return F.coalesce(tag_test(F.col("tags"), attribute, test), F.lit(False))
+    f, c = own, F.col(f"`{own.name}`")
     raw = F.element_at("tags", F.lit(attribute)) if "tags" in by_name and attribute.lower() in by_name else None
     if attribute.lower() in ORIENTATIONS and isinstance(f.dataType, T.ArrayType):
         if not isinstance(test, str):
             raise RuleError(f"an orientation is needed: {test!r}")
         out = plane(c) == test.strip().capitalize()
+        if "patientposition" in by_name:
+            lies = F.col(f"`{by_name['patientposition'].name}`")
+            why = F.concat(F.lit("an orientation needs a known patient position, not "), F.coalesce(lies, F.lit("none")))
+            out = F.when(c.isNull(), F.lit(False)).when(lies.isin(*POSITIONS), out).otherwise(F.raise_error(why))
     elif isinstance(f.dataType, T.StringType):
         out = text_test(c, test)
     elif isinstance(f.dataType, T.NumericType):
@@ -109,16 +134,23 @@ def condition(df: DataFrame, attribute: str, test: object) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _all(tests: list[Column]) -> Column:
+    """Whether all hold, asked in their order: a later test, which may raise, is asked only where those before it hold."""
+    return reduce(lambda after, t: F.when(t, after).otherwise(F.lit(False)), reversed(tests), F.lit(True))
+
+
 def compiled(df: DataFrame, rules: str | dict) -> list[tuple[str, Column]]:
     """(name, column that says whether a row matches) of each selection."""
-    return [(name, reduce(lambda a, b: a & b, [condition(df, a, t) for a, t in tests.items()], F.lit(True))) for name, tests in parsed(rules) or []]
+    return [(name, _all([condition(df, a, t) for a, t in tests.items()])) for name, tests in parsed(rules) or []]
 
 
-def select_series(series: DataFrame, rules: str | dict | None, study: list[str], order: list[str], default_name: Column | None = None, all_matched: bool = False, count: str | None = None) -> DataFrame:
+def select_series(series: DataFrame, rules: str | dict | None, study: list[str], order: list[str], default_name: Column | None = None, all_matched: bool = False, count: str | None = None, keep: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """series with selection_name and match_rank: for each study and selection the first match by order, or all.
 
     With all matches and a count column, they are ranked by descending count. Without rules every row is selected under
-    default_name. One pass over series; the rank is a window by study and selection."""
+    default_name. One pass over series; the rank is a window by study and selection. keep: a test of the caller's own, asked first."""
+    if keep:
+        series = series.where(F.coalesce(keep(series), F.lit(False)))
     found = parsed(rules)
     if found is None:
         named = series.withColumn("selection_name", F.lit("all") if default_name is None else default_name)

@@ -21,6 +21,7 @@ from ..sources.dicom_format import TAG_OF, encoded
 
 #: Classes of the objects (fixed values).
 TEXT_REPORT, PDF, CAPTURE, SEGMENTATION = "1.2.840.10008.5.1.4.1.1.88.11", "1.2.840.10008.5.1.4.1.1.104.1", "1.2.840.10008.5.1.4.1.1.7", "1.2.840.10008.5.1.4.1.1.66.4"
+PRESENTATION = "1.2.840.10008.5.1.4.1.1.11.1"
 #: Attributes of patient and study that an object takes from its source (fixed values).
 COPIED = ("PatientName", "PatientID", "PatientBirthDate", "PatientSex", "PatientAge", "StudyInstanceUID", "StudyDate", "StudyTime", "StudyID", "StudyDescription", "AccessionNumber", "ReferringPhysicianName")
 #: The longest software version that is kept.
@@ -151,3 +152,32 @@ def segmentations(rows: DataFrame, key: str, segments: list[dict], omit_empty: b
         return common(SEGMENTATION, "SEG", r["key"], r["tags"], tools, {}) | body | extra
 
     return _objects(rows.withColumn("key", F.col(key).cast("string")), columns, make)
+
+
+def presentation_states(rows: DataFrame, key: str, layer: str = "FINDINGS", description: str = "", window: tuple[float, float] = (-550.0, 1350.0), equipment: dict[str, str] | None = None, custom: dict[str, str] | None = None) -> DataFrame:
+    """Greyscale presentation states: for each finding its box as a closed line, its score as a text, over the slices it touches.
+
+    Rows: key, sop_uids array<string> (all slices in order), sop_class_uid, findings array<struct<box: array<double>
+    (x0, y0, z0, x1, y1, z1), score: double, slices: array<int>>>, tags. Findings that touch no slice are left out."""
+    extra, tools = _known(custom), equipment or {}
+    columns = ["key", "sop_uids", "sop_class_uid", "findings", "tags"]
+
+    def make(r: dict) -> dict[str, object]:
+        of = lambda places: [{"ReferencedSOPClassUID": r["sop_class_uid"], "ReferencedSOPInstanceUID": r["sop_uids"][z]} for z in places]
+        drawn = []
+        for n, f in enumerate(r["findings"]):
+            if not len(f["slices"]):
+                continue
+            x0, y0, _, x1, y1, _ = (float(x) for x in f["box"])
+            names = {"TrackingID": f"{(r['tags'] or {}).get('AccessionNumber') or r['key']}_{n}", "TrackingUID": uid_of(r["key"], "finding", n)}
+            line = {"GraphicAnnotationUnits": "PIXEL", "GraphicDimensions": 2, "NumberOfGraphicPoints": 5, "GraphicData": [x0, y0, x1, y0, x1, y1, x0, y1, x0, y0], "GraphicType": "POLYLINE", "GraphicFilled": "N"} | names
+            text = {"BoundingBoxAnnotationUnits": "PIXEL", "UnformattedTextValue": f"{f['score']:.2f}", "BoundingBoxTopLeftHandCorner": [x0, y0], "BoundingBoxBottomRightHandCorner": [x1, y1], "BoundingBoxTextHorizontalJustification": "CENTER"} | names
+            drawn.append({"ReferencedImageSequence": of(f["slices"]), "GraphicLayer": layer, "TextObjectSequence": [text], "GraphicObjectSequence": [line]})
+        source = r["tags"] or {}
+        series = [{"SeriesInstanceUID": source.get("SeriesInstanceUID") or "", "ReferencedImageSequence": of(range(len(r["sop_uids"])))}]
+        body = {"ContentLabel": "ANNOTATIONS", "PresentationCreationDate": source.get("StudyDate") or "", "PresentationCreationTime": source.get("StudyTime") or "", "ReferencedSeriesSequence": series,
+                "GraphicLayerSequence": [{"GraphicLayer": layer, "GraphicLayerOrder": 1, "GraphicLayerDescription": description}], "GraphicAnnotationSequence": drawn,
+                "SoftcopyVOILUTSequence": [{"WindowCenter": window[0], "WindowWidth": window[1]}], "PresentationLUTShape": "IDENTITY"}
+        return common(PRESENTATION, "PR", r["key"], r["tags"], tools, {}) | body | extra
+
+    return _objects(rows.withColumn("key", F.col(key).cast("string")), columns, make)

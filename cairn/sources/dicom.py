@@ -121,3 +121,12 @@ def series_of(rows: DataFrame) -> DataFrame:
 def studies_of(rows: DataFrame) -> DataFrame:
     """(study_uid, n_instances, and what the first instance by path says of study and patient)."""
     return _first(rows, ["study_uid"], STUDY_TAGS + PATIENT_TAGS).join(group_counts(rows, ["study_uid"]), ["study_uid"])
+
+
+def attributes_of(rows: DataFrame) -> DataFrame:
+    """What rules ask of a series: as series_of, with its study's attributes and, for all others, its first instance's tags and orientation.
+
+    A study's attribute counts before a series' own of that name."""
+    keys = ["study_uid", "series_uid"]
+    first = first_of_group(rows.select(*keys, "path", "tags", "orientation"), keys, F.col("path"), ["tags", "orientation"])
+    return series_of(rows).join(first, keys).join(studies_of(rows).drop("n_instances"), ["study_uid"])

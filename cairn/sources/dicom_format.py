@@ -34,6 +34,7 @@ _ELEMENTS = """
 0008 103E LO SeriesDescription
 0008 1090 LO ManufacturerModelName
 0008 1115 SQ ReferencedSeriesSequence
+0008 1140 SQ ReferencedImageSequence
 0008 1150 UI ReferencedSOPClassUID
 0008 1155 UI ReferencedSOPInstanceUID
 0008 2112 SQ SourceImageSequence
@@ -77,9 +78,12 @@ _ELEMENTS = """
 0028 0102 US HighBit
 0028 0103 US PixelRepresentation
 0028 0301 CS BurnedInAnnotation
+0028 1050 DS WindowCenter
+0028 1051 DS WindowWidth
 0028 1052 DS RescaleIntercept
 0028 1053 DS RescaleSlope
 0028 2110 CS LossyImageCompression
+0028 3110 SQ SoftcopyVOILUTSequence
 0040 A040 CS ValueType
 0040 A043 SQ ConceptNameCodeSequence
 0040 A050 CS ContinuityOfContent
@@ -103,12 +107,37 @@ _ELEMENTS = """
 0062 000F SQ SegmentedPropertyTypeCodeSequence
 0062 0020 UT TrackingID
 0062 0021 UI TrackingUID
+0070 0001 SQ GraphicAnnotationSequence
+0070 0002 CS GraphicLayer
+0070 0003 CS BoundingBoxAnnotationUnits
+0070 0005 CS GraphicAnnotationUnits
+0070 0006 ST UnformattedTextValue
+0070 0008 SQ TextObjectSequence
+0070 0009 SQ GraphicObjectSequence
+0070 0010 FL BoundingBoxTopLeftHandCorner
+0070 0011 FL BoundingBoxBottomRightHandCorner
+0070 0012 CS BoundingBoxTextHorizontalJustification
+0070 0020 US GraphicDimensions
+0070 0021 US NumberOfGraphicPoints
+0070 0022 FL GraphicData
+0070 0023 CS GraphicType
+0070 0024 CS GraphicFilled
+0070 0060 SQ GraphicLayerSequence
+0070 0062 IS GraphicLayerOrder
+0070 0068 LO GraphicLayerDescription
+0070 0080 CS ContentLabel
+0070 0082 DA PresentationCreationDate
+0070 0083 TM PresentationCreationTime
+2050 0020 CS PresentationLUTShape
 5200 9230 SQ PerFrameFunctionalGroupsSequence
 7FE0 0010 OW PixelData
 """
 NAMED = {int(g + e, 16): (vr, word) for g, e, vr, word in map(str.split, _ELEMENTS.strip().splitlines())}
 TAG_OF = {word: (tag, vr) for tag, (vr, word) in NAMED.items()}
 
+#: Representations of numbers as text or as bytes.
+NUMERIC = frozenset("DS IS US SS UL SL FL FD UV SV".split())
+
 #: Transfer syntaxes (fixed values): all others hold compressed pixels in explicit little-endian elements.
 IMPLICIT, EXPLICIT, BIG, DEFLATED = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99"
 PLAIN = (IMPLICIT, EXPLICIT, BIG, DEFLATED)
