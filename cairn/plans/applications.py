@@ -15,22 +15,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
-from ..functions.scalars import report_line
+from ..functions.scalars import report_line, report_map
+from ..operators import detect, kernels
 from ..operators.aggregate import label_volumes
 from ..operators.geometry import affine, det3, ordered_slices
 from ..operators.hierarchy import latest_of_position
 from ..operators.volume import WINDOWS, stacked, unpacked
-from ..sinks import dicom_objects, mesh, pictures
+from ..sinks import dicom_objects, mesh, pictures, results
 from ..sources import dicom
+from ..streaming.micro_batch import shared_folder
+from .flow import Flow, Step
 from .rules import select_series
 
 SERIES = ["study_uid", "series_uid"]
 Model = Callable[[np.ndarray], np.ndarray]
 
 
-def selected(instances: DataFrame, rules: str | dict | None, all_matched: bool = False) -> DataFrame:
+def selected(instances: DataFrame, rules: str | dict | None, all_matched: bool = False, keep: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Instances of the selected series, with selection_name and match_rank. The join is on series, of which there are few."""
-    found = select_series(dicom.series_of(instances), rules, ["study_uid"], ["series_uid"], F.col("series_uid"), all_matched, "n_instances")
+    found = select_series(dicom.attributes_of(instances), rules, ["study_uid"], ["series_uid"], F.col("series_uid"), all_matched, "n_instances", keep)
     return instances.join(found.select(*SERIES, "selection_name", "match_rank"), SERIES)
 
 
@@ -162,24 +165,125 @@ def series_pictures(instances: DataFrame, rules: str | dict | None = None) -> Da
     return pictures.slice_pictures(volumes(selected(instances, rules, True).drop("selection_name", "match_rank").dropDuplicates(["path"])).withColumn("key", _key(SERIES)), "key")
 
 
+def stored_once(df: DataFrame, label: str = "labels") -> DataFrame:
+    """df in the shared folder, so that what made it runs once however many sinks read it."""
+    path = f"{shared_folder(df.sparkSession)}-{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def segmentation_app(
     instances: DataFrame, rules: str | dict | None, load: Callable[[], Model], segments: list[dict], window: tuple[float, float] | str | None = None, roi: tuple[int, ...] | None = None, overlap: float = 0.25,
-    surfaces: bool = True, report: bool = False,
+    surfaces: bool = True, report: bool = False, captures: bool = False, documents: str | None = None, store: bool = True,
 ) -> dict[str, DataFrame]:
-    """Select, stack, segment; then a segmentation object, and if asked a surface and a text report, of each series.
+    """Select, stack, segment; then a segmentation object, and if asked a surface, a text report, a secondary capture of
+    each slice's overlay and a document (of the named collection) of each series.
 
-    The label volumes are what all sinks share; store them first if the model is dear."""
+    The label volumes are what all sinks share; they are stored once, unless store is off."""
     chosen = selected(instances, rules).drop("selection_name", "match_rank").dropDuplicates(["path"])
-    labels = segmented(volumes(chosen), load, window, roi, overlap).withColumn("key", _key(SERIES))
+    packed = volumes(chosen)
+    labels = segmented(packed, load, window, roi, overlap).withColumn("key", _key(SERIES))
+    return sinks_of(packed, stored_once(labels) if store else labels, segments, surfaces, report, captures, documents)
+
+
+def sinks_of(packed: DataFrame, labels: DataFrame, segments: list[dict], surfaces: bool = True, report: bool = False, captures: bool = False, documents: str | None = None) -> dict[str, DataFrame]:
+    """What is made of label volumes with a key."""
     out = {"segmentations": dicom_objects.segmentations(labels, "key", segments)}
     if surfaces:
         out["surfaces"] = mesh.meshes(labels.where(F.col("affine").isNotNull()), "key")
-    if report:
-        texts = organ_texts(labels, {s["label"]: s["value"] for s in segments})
-        out["reports"] = dicom_objects.text_reports(texts.join(labels.select(*SERIES, "key", "tags"), SERIES), "key")
+    if captures:
+        out["captures"] = dicom_objects.captures(overlay_slices(packed, labels, [s["value"] for s in segments]), "key")
+    if report or documents:
+        texts = organ_texts(labels, {s["label"]: s["value"] for s in segments}).join(labels.select(*SERIES, "key", "tags"), SERIES)
+        if report:
+            out["reports"] = dicom_objects.text_reports(texts, "key")
+        if documents:
+            out["documents"] = results.documents(texts.select(*SERIES, report_map(F.col("text")).alias("volumes"), F.map_filter("tags", lambda k, v: k.isin(*dicom.PATIENT_TAGS, *dicom.STUDY_TAGS)).alias("source")), documents)
     return out
 
 
+def overlay_slices(packed: DataFrame, labels: DataFrame, values: list[int], alpha: float = 0.7) -> DataFrame:
+    """(key, shape, data, tags): each slice in grey with the contours of its labels in colour, one row a slice."""
+    both = packed.select(*SERIES, "shape", "dtype", "data").join(labels.select(*SERIES, "key", F.col("dtype").alias("label_dtype"), F.col("data").alias("label_data")), SERIES)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in both.select(*SERIES).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                image, mask = unpacked(list(r.shape), r.dtype, r.data), unpacked(list(r.shape), r.label_dtype, r.label_data)
+                drawn = kernels.overlay(image, kernels.contours(mask, values), alpha)
+                for z, a in enumerate(drawn):
+                    yield pd.DataFrame({**{k: [getattr(r, k)] for k in SERIES}, "key": [f"{r.key}/{z}"], "shape": [list(a.shape)], "data": [a.tobytes()]})
+
+    made = both.mapInPandas(run, f"{kinds}, key string, shape array<int>, data binary")
+    return made.join(labels.select(*SERIES, "tags"), SERIES)
+
+
+def multi_model_app(instances: DataFrame, rules: str | dict | None, models: dict[str, tuple[Callable[[], Model], list[dict], dict]], store: bool = True) -> dict[str, dict[str, DataFrame]]:
+    """One volume of each selected series through several models, each with its own sinks. models: name to (load, segments,
+    options of ``segmented``). The volumes are stored once, so slices are read and stacked once."""
+    flow = Flow(store=stored_once if store else None)
+    source = Step("volumes", lambda: volumes(selected(instances, rules).drop("selection_name", "match_rank").dropDuplicates(["path"])))
+    flow.add(source)
+    for name, (load, segments, options) in models.items():
+
+        def run(volumes: DataFrame, load=load, segments=segments, options=options, name=name) -> dict[str, DataFrame]:
+            labels = segmented(volumes, load, **options).withColumn("key", F.concat_ws("/", *SERIES, F.lit(name)))
+            return sinks_of(volumes, stored_once(labels) if store else labels, segments)
+
+        flow.connect(source, Step(name, run, ("volumes",), ("segmentations", "surfaces")))
+    made = flow.run()
+    return {name: made[name] for name in models}
+
+
+def ensemble_app(instances: DataFrame, rules: str | dict | None, models: list[Callable[[], Model]], segments: list[dict], window: tuple[float, float] | str | None = None, roi: tuple[int, ...] | None = None, overlap: float = 0.25) -> dict[str, DataFrame]:
+    """All matching series, the largest first; of each study's selection the largest through all models, whose scores are
+    averaged before the largest class counts; then segmentation, report and captures."""
+    ranked = selected(instances, rules, True)
+    chosen = ranked.where("match_rank = 1").drop("selection_name", "match_rank").dropDuplicates(["path"])
+
+    def load() -> Model:
+        loaded = [m() for m in models]
+
+        def mean(v: np.ndarray) -> np.ndarray:
+            total = None
+            for m in loaded:  # one model's scores at a time
+                scores = np.asarray(m(v), float)
+                total = scores if total is None else total + scores
+            return total / len(loaded)
+
+        return mean
+
+    packed = volumes(chosen)
+    labels = segmented(packed, load, window, roi, overlap).withColumn("key", _key(SERIES))
+    return sinks_of(packed, stored_once(labels), segments, False, True, True)
+
+
+def detection_app(instances: DataFrame, rules: str | dict | None, load: Callable[[], Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]], layer: str = "FINDINGS", what: str = "Finding", least: float = 0.1, overlap: float = 0.22, most: int = 100) -> dict[str, DataFrame]:
+    """Select, stack, detect; then a presentation state and a diagnostics document of each series.
+
+    The model gives (boxes (n, 6) as x0, y0, z0, x1, y1, z1 in cells, scores (n,)) of a volume."""
+    packed = stored_once(volumes(selected(instances, rules).drop("selection_name", "match_rank").dropDuplicates(["path"])), "volumes")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packed.select(*SERIES).schema)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                boxes, scores = model(unpacked(list(r.shape), r.dtype, r.data))
+                if len(boxes):
+                    yield pd.DataFrame({**{k: [getattr(r, k)] * len(boxes) for k in SERIES}, "box": [list(map(float, b)) for b in boxes], "score": np.asarray(scores, float)})
+
+    found = packed.select(*SERIES, "shape", "dtype", "data").mapInPandas(run, f"{kinds}, box array<double>, score double")
+    inside = found.join(packed.select(*SERIES, F.reverse("shape").alias("_size")), SERIES).withColumn("box", detect.clipped(F.col("box"), F.col("_size"))).withColumn("image_id", _key(SERIES)).drop("_size")
+    kept = stored_once(detect.non_maximum(inside, overlap=overlap, least=least, most=most), "boxes").withColumn("box_id", F.col("rank"))
+    slices = packed.select(*SERIES, F.explode(F.sequence(F.lit(0), F.element_at("shape", 1) - 1)).alias("z"))
+    listed = detect.findings_of(kept, slices, SERIES)
+    facts = packed.select(*SERIES, _key(SERIES).alias("key"), "sop_uids", "sop_class_uid", "tags").join(listed, SERIES, "left")
+    full = facts.withColumn("findings", F.coalesce("findings", F.array().cast(listed.schema["findings"].dataType)))
+    return {"presentations": dicom_objects.presentation_states(full, "key", layer), "diagnostics": detect.diagnostics(full, [*SERIES, "key"], what), "detections": kept.drop("image_id")}
+
+
 def classification_app(instances: DataFrame, rules: str | dict | None, load: Callable[[], Model], classes: tuple[str, ...]) -> DataFrame:
     """Select, stack, classify; then a text report of the probabilities, one line a class, for each series. The model gives one vector a volume."""
     chosen = volumes(selected(instances, rules).drop("selection_name", "match_rank").dropDuplicates(["path"]))

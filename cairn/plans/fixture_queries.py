@@ -6,16 +6,18 @@ voxel = element of an embedding, detections = events.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import aggregate, catalog, detect, geometry, hierarchy, volume
+from ..operators import aggregate, catalog, detect, geometry, hierarchy, kernels, volume
 from ..sinks import dicom_objects, mesh, pictures, results
 from ..sources import dicom, files
-from . import rules
+from . import applications, bundles, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -205,56 +207,107 @@ def ensemble_argmax(spark, d):
     return aggregate.ensemble(rows, ["vec_id"], "klass", "p").select("vec_id", "klass", F.round("p", 6).alias("prob"))
 
 
-@query("I19 M9 I20", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings)
-SELECT vec_id, i, round(exp(v - max(v) OVER w) / sum(exp(v - m)) OVER w, 6) AS softmax, round(1 / (1 + exp(-v)), 6) AS sigmoid, round((v - lo) / (hi - lo), 6) AS scaled
-FROM (SELECT *, max(v) OVER (PARTITION BY vec_id) AS m, max(v) OVER (PARTITION BY vec_id) AS hi, min(v) OVER (PARTITION BY vec_id) AS lo FROM e) WINDOW w AS (PARTITION BY vec_id)""")
+@query("I19 M9 I20", f"""WITH e AS (SELECT vec_id, {_V} AS e FROM embeddings), x AS (SELECT vec_id, e, list_transform(e, lambda v: exp(v - list_max(e))) AS x FROM e)
+SELECT vec_id, round(list_max(x) / list_sum(x), 6) AS softmax, round(list_sum(list_transform(e, lambda v: 1 / (1 + exp(-v)))), 5) AS sigmoid, round(list_sum(list_transform(e, lambda v: (v - list_min(e)) / (list_max(e) - list_min(e)))), 5) AS scaled FROM x""")
 def softmax_prob(spark, d):
-    e = volume.lines(table(spark, d, "embeddings"), ["vec_id"], "embedding", "i").withColumn("v", F.col("v").cast("double"))
-    return e.select("vec_id", F.col("i").cast("long").alias("i"), F.round(aggregate.softmax(F.col("v"), ["vec_id"]), 6).alias("softmax"), F.round(aggregate.sigmoid(F.col("v")), 6).alias("sigmoid"), F.round(volume.minmax(F.col("v"), ["vec_id"]), 6).alias("scaled"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = table(spark, d, "embeddings").select("vec_id", v.alias("v"))
+    sums = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    return e.select("vec_id", F.round(F.array_max(aggregate.softmax_of(F.col("v"))), 6).alias("softmax"), F.round(sums(F.transform("v", aggregate.sigmoid)), 5).alias("sigmoid"), F.round(sums(volume.minmax_of(F.col("v"))), 5).alias("scaled"))
+
+
+def _near(dy: int, dx: int, of: str = "e") -> str:
+    """DuckDB's neighbour of cell i of a grid of 8 x 8; borders repeat."""
+    return f"{of}[least(greatest(i // 8 + {dy}, 0), 7) * 8 + least(greatest(i % 8 + {dx}, 0), 7) + 1]"
+
+
+def _sum(weights: list[tuple[int, int, float]], of: str = "e") -> str:
+    return "(" + " + ".join(f"{w} * {_near(dy, dx, of)}" for dy, dx, w in weights) + ")"
+
+
+_CELLS = "WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)"
+_SHOWN = "round(list_sum(o), 4) AS total, round(list_max(o), 4) AS most, round(list_sum(list_transform(range(64), lambda i: i * o[i + 1])), 3) AS placed"
+_DOWN = [(dy, dx, a * b) for dy, a in ((-1, 1), (1, -1)) for dx, b in ((-1, 0.25), (0, 0.5), (1, 0.25))]
+_ACROSS = [(dx, dy, w) for dy, dx, w in _DOWN]
 
 
-_LINES = "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS x FROM embeddings), n AS (SELECT vec_id, x, v, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY x))"
+def _sobel(of: str) -> str:
+    down, across = _sum(_DOWN, of), _sum(_ACROSS, of)
+    return f"list_transform(range(64), lambda i: sqrt(({down} * {down} + {across} * {across}) / 2))"
 
 
-def _kernel(f):
-    def run(spark, d):
-        rows = volume.lines(table(spark, d, "embeddings"), ["vec_id"], "embedding")
-        return rows.select("vec_id", F.col("x").cast("long").alias("x"), F.round(f(rows), 6).alias("v"))
+def _median(of: str) -> str:
+    return f"list_transform(range(64), lambda i: list_sort([{', '.join(_near(y, x, of) for y in (-1, 0, 1) for x in (-1, 0, 1))}])[5])"
 
-    return run
 
+def _gaussian(of: str, sigma: float) -> str:
+    side = math.exp(-0.5 / sigma**2)
+    w = {-1: side / (1 + 2 * side), 0: 1 / (1 + 2 * side), 1: side / (1 + 2 * side)}
+    return f"list_transform(range(64), lambda i: {_sum([(y, x, w[y] * w[x]) for y in w for x in w], of)})"
 
-@query("I4 N6 P1", f"{_LINES} SELECT vec_id, x, round(b - a, 6) AS v FROM n")
+
+def _grid(spark, d, kernel):
+    """Sums of each embedding as a grid of 8 x 8 cells after a kernel; no row a cell."""
+    o = F.col("o")
+    made = table(spark, d, "embeddings").select("vec_id", kernels.on_arrays(F.col("embedding"), (8, 8), kernel).alias("o"))
+    total = F.aggregate(o, F.lit(0.0), lambda a, x: a + x)
+    placed = F.aggregate(F.transform(o, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    return made.select("vec_id", F.round(total, 4).alias("total"), F.round(F.array_max(o), 4).alias("most"), F.round(placed, 3).alias("placed"))
+
+
+@query("I4 N6 P1", f"{_CELLS}, k AS (SELECT vec_id, {_sobel('e')} AS o FROM g) SELECT vec_id, {_SHOWN} FROM k")
 def neighbour_sobel(spark, d):
-    return _kernel(lambda r: volume.gradient(r, ["vec_id"], "x", "v"))(spark, d)
+    return _grid(spark, d, kernels.sobel)
 
 
-@query("I5 N6 P1", f"{_LINES} SELECT vec_id, x, round(list_sort([a, v, b])[2], 6) AS v FROM n")
+@query("I5 N6 P1", f"{_CELLS}, k AS (SELECT vec_id, {_median('e')} AS o FROM g) SELECT vec_id, {_SHOWN} FROM k")
 def neighbour_median(spark, d):
-    return _kernel(lambda r: volume.median3(["vec_id"], "x", "v"))(spark, d)
+    return _grid(spark, d, kernels.median)
 
 
-@query("I6 N6 P1 W22", f"{_LINES} SELECT vec_id, x, round(0.25 * a + 0.5 * v + 0.25 * b, 6) AS v FROM n")
+@query("I6 N6 P1", f"{_CELLS}, k AS (SELECT vec_id, {_gaussian('e', 0.3)} AS o FROM g) SELECT vec_id, {_SHOWN} FROM k")
 def neighbour_gaussian(spark, d):
-    return _kernel(lambda r: volume.smoothed(["vec_id"], "x", "v"))(spark, d)
+    return _grid(spark, d, lambda a: kernels.gaussian(a, 0.3))
+
 
+@query("P1 W22", f"{_CELLS}, s AS (SELECT vec_id, {_sobel('e')} AS s FROM g), m AS (SELECT vec_id, {_median('s')} AS m FROM s), z AS (SELECT vec_id, {_gaussian('m', 0.2)} AS z FROM m), k AS (SELECT vec_id, list_transform(z, lambda x: CASE WHEN list_max(z) <= 1 THEN floor(x * 255) ELSE floor(x) END) AS o FROM z) SELECT vec_id, {_SHOWN} FROM k")
+def edges_then_smooth(spark, d):
+    return _grid(spark, d, lambda a: kernels.picture(kernels.gaussian(kernels.median(kernels.sobel(a)))))
 
-_NEXT = "SELECT vec_id, x, v, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS b FROM {} WINDOW w AS (PARTITION BY vec_id ORDER BY x)"
 
+_LABELS = "list_transform(e, lambda v: CASE WHEN v > 0.1 THEN 3 WHEN v > 0 THEN 2 WHEN v > -0.2 THEN 1 ELSE 0 END)"
 
-@query("P1", f"{_LINES}, s AS (SELECT vec_id, x, b - a AS v FROM n), sn AS ({_NEXT.format('s')}), m AS (SELECT vec_id, x, list_sort([a, v, b])[2] AS v FROM sn), mn AS ({_NEXT.format('m')}) SELECT vec_id, x, round(0.25 * a + 0.5 * v + 0.25 * b, 6) AS v FROM mn")
-def edges_then_smooth(spark, d):
-    rows = volume.lines(table(spark, d, "embeddings"), ["vec_id"], "embedding")
-    edges = rows.withColumn("v", volume.gradient(rows, ["vec_id"], "x", "v"))
-    calm = edges.withColumn("v", volume.median3(["vec_id"], "x", "v"))
-    return calm.select("vec_id", F.col("x").cast("long").alias("x"), F.round(volume.smoothed(["vec_id"], "x", "v"), 6).alias("v"))
 
+def _labels(a):
+    return np.where(a > 0.1, 3, np.where(a > 0, 2, np.where(a > -0.2, 1, 0)))
 
-@query("I9", """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS x FROM embeddings), l AS (SELECT vec_id, x, CASE WHEN v > 0.1 THEN 2 WHEN v > 0 THEN 1 ELSE 0 END AS label FROM e)
-SELECT vec_id, x, label::BIGINT AS label FROM (SELECT *, label <> 0 AND (coalesce(lag(label) OVER w <> label, false) OR coalesce(lead(label) OVER w <> label, false)) AS c FROM l WINDOW w AS (PARTITION BY vec_id ORDER BY x)) WHERE c""")
+
+@query("I9", f"""{_CELLS}, l AS (SELECT vec_id, {_LABELS} AS l FROM g),
+k AS (SELECT vec_id, list_transform(range(64), lambda i: CASE WHEN l[i + 1] IN (1, 3) AND (i // 8 IN (0, 7) OR i % 8 IN (0, 7) OR {' OR '.join(f"{_near(y, x, 'l')} <> l[i + 1]" for y in (-1, 0, 1) for x in (-1, 0, 1) if y or x)}) THEN l[i + 1] ELSE 0 END)::DOUBLE[] AS o FROM l)
+SELECT vec_id, {_SHOWN} FROM k""")
 def contour_labels(spark, d):
-    rows = volume.lines(table(spark, d, "embeddings"), ["vec_id"], "embedding").withColumn("label", F.when(F.col("v") > F.lit(0.1), 2).when(F.col("v") > 0, 1).otherwise(0))
-    return rows.withColumn("c", volume.contour(["vec_id"], "x", "label")).where("c").select("vec_id", F.col("x").cast("long").alias("x"), F.col("label").cast("long").alias("label"))
+    def drawn(a):
+        return kernels.contours(np.where(a > 0.1, 3, np.where(a > 0, 2, np.where(a > -0.2, 1, 0))), (1, 3))
+
+    return _grid(spark, d, drawn)
+
+
+_JET = "[" + ", ".join("[" + ", ".join(str(int(c * 255)) for c in kernels.jet()[int(k / 3 * 255.0)]) + "]" for k in range(4)) + "]"
+
+
+@query("I8", f"""{_CELLS}, l AS (SELECT vec_id, {_LABELS} AS l, list_transform(e, lambda x: floor((x - list_min(e)) / (list_max(e) - list_min(e)) * 255)) AS grey FROM g),
+c AS (SELECT vec_id, unnest(range(3)) AS channel, l, grey FROM l), k AS (SELECT vec_id, channel, list_transform(range(64), lambda i: CASE WHEN l[i + 1] > 0 THEN floor(0.7::DOUBLE * {_JET}[(l[i + 1] * 3 // greatest(list_max(l), 1)) + 1][channel + 1] + (1 - 0.7::DOUBLE) * grey[i + 1]) ELSE grey[i + 1] END) AS o FROM c WHERE list_max(l) IN (1, 3))
+SELECT vec_id, channel, {_SHOWN} FROM k""")
+def overlay_colours(spark, d):
+    def channel(c):
+        def run(a):
+            labels = np.where(a > 0.1, 3, np.where(a > 0, 2, np.where(a > -0.2, 1, 0)))
+            return kernels.overlay(a, labels)[..., c] if labels.max() in (1, 3) else np.full(a.shape, np.nan)
+
+        return run
+
+    per = [_grid(spark, d, channel(c)).where(~F.isnan("total")).withColumn("channel", F.lit(c).cast("long")) for c in range(3)]
+    return per[0].unionByName(per[1]).unionByName(per[2])
 
 
 @query("I14 M5", """WITH s AS (SELECT p_partkey, p_size + 20 AS n, unnest(list_distinct(list_concat(range(0, greatest(p_size + 20 - 16, 0) + 1, 12), [greatest(p_size + 20 - 16, 0)]))) AS start FROM part)
@@ -265,10 +318,10 @@ def sliding_tiles(spark, d):
     return parts.select("p_partkey", F.col("start").cast("long").alias("start"), F.least(F.col("start") + 16, F.col("n")).cast("long").alias("stop"))
 
 
-@query("I7 I8 W15", "WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS x FROM embeddings) SELECT vec_id, x, round(CASE WHEN v > 0.1 THEN 0.6 * (v + 1) * 100 + 0.4 * 255 ELSE (v + 1) * 100 END, 6) AS v FROM e")
+@query("I7 W15", f"""WITH e AS (SELECT vec_id, {_V} AS e FROM embeddings) SELECT vec_id, round(list_sum(list_transform(e, lambda v: CASE WHEN v > 0.1 THEN 0.6 * (v + 1) * 100 + 0.4 * 255 ELSE (v + 1) * 100 END)), 4) AS v FROM e""")
 def overlay_blend(spark, d):
-    v = F.col("v").cast("double")
-    return _kernel(lambda r: volume.blended((v + 1) * 100, v, 255.0, threshold=0.1))(spark, d)
+    mixed = F.transform("embedding", lambda x: volume.blended((x.cast("double") + 1) * 100, x.cast("double"), 255.0, threshold=0.1))
+    return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(mixed, F.lit(0.0), lambda a, x: a + x), 4).alias("v"))
 
 
 @query("I17", "WITH e AS (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings) SELECT vec_id, min(i // 16) AS z_min, max(i // 16) AS z_max, min(i // 4 % 4) AS y_min, max(i // 4 % 4) AS y_max, min(i % 4) AS x_min, max(i % 4) AS x_max FROM e WHERE v > 0.2 GROUP BY 1")
@@ -292,7 +345,7 @@ def _in_boxes(spark, d):
     return detect.range_join(points, _boxes(spark, d).drop("value"), ["user_id"], "z", "z0", "z1", 100.0)
 
 
-@query("J3 W19", f"WITH {_BOXES} SELECT b.box_id, e.event_id AS z FROM b JOIN events e ON e.user_id = b.user_id AND e.event_id BETWEEN z0 AND z1")
+@query("J3", f"WITH {_BOXES} SELECT b.box_id, e.event_id AS z FROM b JOIN events e ON e.user_id = b.user_id AND e.event_id BETWEEN z0 AND z1")
 def box_slice_range_join(spark, d):
     return _in_boxes(spark, d).select("box_id", "z")
 
@@ -302,7 +355,7 @@ def box_orphans(spark, d):
     return detect.orphans(_boxes(spark, d), _in_boxes(spark, d), ["box_id"]).select("box_id", "z0")
 
 
-@query("C6 W20", "SELECT event_id, CASE WHEN value > 80 THEN 'present' WHEN value > 15 THEN 'indeterminate' ELSE 'absent' END AS band FROM events")
+@query("C6", "SELECT event_id, CASE WHEN value > 80 THEN 'present' WHEN value > 15 THEN 'indeterminate' ELSE 'absent' END AS band FROM events")
 def probability_bands(spark, d):
     return table(spark, d, "events").select("event_id", detect.band(F.col("value")).alias("band"))
 
@@ -357,7 +410,7 @@ def catalog_list(spark, d):
 def catalog_semi(spark, d):
     p = table(spark, d, "part")
     kept = catalog.tested(p, p.where("p_size = 50"), "p_brand").select("p_partkey", "p_name")
-    return kept.withColumn("place", F.row_number().over(Window.orderBy("p_name", "p_partkey")).cast("long"))
+    return hierarchy.numbered(kept, ["p_name", "p_partkey"], "place").withColumn("place", F.col("place") + 1)
 
 
 @query("G4 A14", "SELECT count(*) AS total, count(*) FILTER (p_type LIKE '%PROMO%') AS bundles, count(*) FILTER (p_size > 25) AS verified FROM part")
@@ -365,7 +418,7 @@ def catalog_summary(spark, d):
     return catalog.summary(table(spark, d, "part"), F.col("p_type").like("%PROMO%"), F.col("p_size") > 25)
 
 
-@query("J6 G5 G6", "SELECT p_partkey, arg_min(s_name, s_suppkey) AS s_name FROM part LEFT JOIN supplier ON s_nationkey = p_partkey % 40 GROUP BY 1")
+@query("J6", "SELECT p_partkey, arg_min(s_name, s_suppkey) AS s_name FROM part LEFT JOIN supplier ON s_nationkey = p_partkey % 40 GROUP BY 1")
 def catalog_fallback(spark, d):
     p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 40).cast("int").alias("s_nationkey"))
     return catalog.first_config(p, table(spark, d, "supplier").select("s_nationkey", "s_suppkey", "s_name"), "s_nationkey", "s_suppkey").select("p_partkey", "s_name")
@@ -392,13 +445,40 @@ def name_title(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", scalars.title_name(F.concat(F.lit("org/test_model"), k)).alias("title"), scalars.dependency_name(F.concat(F.lit("dep"), k, F.lit(">=1.2"))).alias("dep"), scalars.stem(F.concat(F.lit("scan."), k, F.lit(".nii.gz"))).alias("stem"))
 
 
-@query("C18 C19", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN p_size * 1000 WHEN 2 THEN p_size * 1048576 ELSE -1 END::BIGINT AS bytes FROM part")
+@query("C18 C19", """WITH b AS (SELECT p_partkey, p_size::HUGEINT * CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1048576 WHEN 3 THEN 1000000000000000000 END AS bytes FROM part)
+SELECT p_partkey, coalesce(bytes, -1)::VARCHAR AS bytes, coalesce(bytes // 1024, -1)::VARCHAR AS kib FROM b""")
 def size_parse(spark, d):
-    unit = F.get(F.array(F.lit(""), F.lit("kB"), F.lit(" MiB "), F.lit("jb")), (F.col("p_partkey") % 4).cast("int"))
-    return table(spark, d, "part").select("p_partkey", F.coalesce(scalars.size_bytes(F.concat(F.lit(" "), F.col("p_size").cast("string"), unit)), F.lit(-1)).alias("bytes"))
+    unit = F.get(F.array(F.lit(""), F.lit("kB"), F.lit(" MiB "), F.lit("EB"), F.lit("jb")), (F.col("p_partkey") % 5).cast("int"))
+    size = F.coalesce(scalars.size_bytes(F.concat(F.lit(" "), F.col("p_size").cast("string"), unit)), F.lit(-1))
+    whole = F.floor(size / 1024).cast("decimal(38,0)")
+    return table(spark, d, "part").select("p_partkey", size.cast("string").alias("bytes"), whole.cast("string").alias("kib"))
+
+
+@query("C10 C20 C26 C34", """SELECT o_orderkey, 'results_' || strftime(o_orderdate, '%Y%m%d') || '_000000.json' AS file, 7 AS n_digits, CASE o_orderkey % 3 WHEN 0 THEN '.ts,.pt' WHEN 1 THEN '.pt' ELSE '' END AS kinds, printf('%.2f%%', o_orderkey % 97 / 97.0 * 100) AS share, printf('%06d', o_orderkey % 1000) AS n FROM orders""")
+def file_names(spark, d):
+    k = F.col("o_orderkey")
+    digits = scalars.digits_of(k, 7)
+    names = F.when(k % 3 == 0, F.array(F.lit("a.ts"), F.lit("b.pt"), F.lit("c.ts"))).when(k % 3 == 1, F.array(F.lit("model.pt"))).otherwise(F.array(F.lit("x.txt")))
+    return table(spark, d, "orders").select(
+        "o_orderkey", scalars.timestamp_name("results_", F.col("o_orderdate").cast("timestamp"), ".json").alias("file"), F.when(digits.rlike(r"^[1-9]\d{6}$"), F.length(digits)).alias("n_digits"),
+        F.array_join(scalars.extensions_of(names, (".ts", ".pt", ".pth")), ",").alias("kinds"), scalars.percent(k % 97 / 97.0).alias("share"), scalars.padded(k % 1000, 6).alias("n"),
+    )
 
 
-@query("S12 U5 J9 F23 C3", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 0.2 END::DOUBLE AS temperature, CASE WHEN event_id % 3 = 0 THEN 'image' ELSE 'json' END AS output FROM events")
+@query("C32 M12", """SELECT p_partkey, CASE WHEN contains(lower(p_name), 'red') THEN 'a red part' WHEN contains(lower(p_name), 'widget') THEN 'a widget' ELSE 'no answer for ' || p_name END AS answer FROM part""")
+def phrase_answers(spark, d):
+    return table(spark, d, "part").select("p_partkey", scalars.answer_of(F.col("p_name"), {"red": "a red part", "Widget": "a widget"}, F.concat(F.lit("no answer for "), "p_name")).alias("answer"))
+
+
+@query("G5 G6", """SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN p_size % 8 = 0 ELSE NOT (p_size % 3 = 0 AND NOT contains(lower(p_type), 'promo')) END AS channel_first FROM part""")
+def channel_rule(spark, d):
+    size = F.col("p_size")
+    kind = F.when(size % 3 == 0, "image").otherwise("nifti")
+    task = F.when(F.contains(F.lower("p_type"), F.lit("promo")), "Image Classification").otherwise("segmentation")
+    return table(spark, d, "part").select("p_partkey", bundles.channel_first(kind, task, F.when(size % 4 == 0, size % 8 == 0)).alias("channel_first"))
+
+
+@query("U5 F23 C3", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 0.2 END::DOUBLE AS temperature, CASE WHEN event_id % 3 = 0 THEN 'image' ELSE 'json' END AS output FROM events")
 def map_merge_defaults(spark, d):
     defaults = F.create_map(F.lit("temperature"), F.lit("0.2"), F.lit("output"), F.lit("json"))
     own = F.map_filter(F.create_map(F.lit("temperature"), F.when(F.col("event_id") % 2 == 0, "0.9"), F.lit("output"), F.when(F.col("event_id") % 3 == 0, "image")), lambda k, v: v.isNotNull())
@@ -413,12 +493,17 @@ def file_index(spark, d):
     return table(spark, d, "events").select("event_type", "event_id", (F.row_number().over(w.orderBy("ts")) - 1).cast("long").alias("file_index"), F.count("*").over(w).alias("total_files"))
 
 
-@query("C33 T7", "SELECT s_suppkey, 'aaa bb/cccc d' AS lines FROM supplier")
+_WRAP = "list_reduce(w, lambda a, x: CASE WHEN length(regexp_extract(a, '[^/]*$')) + 1 + length(x) <= 12 THEN a || ' ' || x ELSE a || '/' || x END)"
+
+
+@query("C33 T7", f"WITH t AS (SELECT p_partkey, string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ') AS w FROM part) SELECT p_partkey, array_to_string(string_split({_WRAP}, '/')[1:5], '/') AS lines FROM t")
 def wrapped_lines(spark, d):
-    return table(spark, d, "supplier").select("s_suppkey", F.array_join(F.slice(scalars.wrapped(F.concat(F.lit("aaa bb cccc d "), F.lpad(F.col("s_suppkey").cast("string"), 7, "0")), 6), 1, 2), "/").alias("lines"))
+    text = F.concat_ws(" ", "p_name", "p_type", "p_brand")
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.slice(scalars.wrapped(text, 12), 1, 5), "/").alias("lines"))
 
 
-@query("A9 I10")
+@query("A9 I10", """WITH e AS (SELECT DISTINCT l_orderkey // 8 AS a FROM lineitem WHERE l_orderkey // 8 % 5 <> 0), r AS (SELECT a, a - row_number() OVER (ORDER BY a) AS g FROM e), m AS (SELECT a, min(a) OVER (PARTITION BY g) AS root FROM r)
+SELECT DISTINCT v::BIGINT AS a, root::BIGINT AS b FROM (SELECT a AS v, root FROM m UNION ALL SELECT a + 1, root FROM m) WHERE v <> root""")
 def connected_parts(spark, d):
     k = F.floor(F.col("l_orderkey") / 8)
     e = table(spark, d, "lineitem").select(k.alias("a"), (k + F.when(k % 5 == 0, 0).otherwise(1)).alias("b")).distinct()
@@ -427,16 +512,125 @@ def connected_parts(spark, d):
 
 # --- files
 
-@query("S1 S7 S8 N5 C22 A13")
+
+@query("S1 S7 S8 N5")
 def file_scan_listing(spark, d):
     return files.listing(spark, d, (".parquet",)).select("filename", "file_index", "total_files", "size")
 
 
-@query("R1 R2 R3 P14")
+@query("C22")
+def file_digests(spark, d):
+    found = files.contents(spark, d).where(F.col("path").rlike("(region|nation)"))
+    return files.digests(found).select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+
+
+@query("U4", "SELECT event_id FROM events WHERE event_type <> 'purchase' AND event_id % 3 <> 0")
+def unlisted_files(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").cast("string").alias("path"), "event_type", "event_id")
+    return files.others(e, e.where("event_type = 'purchase'"), e.where("event_id % 3 = 0")).select("event_id")
+
+
+@query("G8 A13", """WITH n AS (SELECT count(*) FILTER (event_id % 5 = 0) AS j, count(*) FILTER (event_id % 5 = 1) AS n, count(*) FILTER (event_id % 5 = 2) AS i, count(*) FILTER (event_id % 5 > 2) AS o FROM events)
+SELECT true AS ok, 'Generated ' || j || ' JSON files, ' || n || ' NIfTI files, ' || i || ' image files, ' || o || ' other files' AS message FROM n""")
+def results_summary(spark, d):
+    suffix = F.get(F.array(*[F.lit(x) for x in (".JSON", ".nii.gz", ".png", ".dcm", ".stl")]), (F.col("event_id") % 5).cast("int"))
+    return files.validated(table(spark, d, "events").select(F.concat(F.col("event_id").cast("string"), suffix).alias("file_path")))
+
+
+@query("R1 R2 R3 P14", "SELECT event_id, length(event_type)::INT AS n FROM events")
 def stream_files(spark, d):
     from ..streaming import micro_batch
 
-    return micro_batch.replayed(spark, table(spark, d, "region"), lambda df: df.withColumn("name_length", F.length("r_name")))
+    return micro_batch.replayed(spark, table(spark, d, "events").select("event_id", "event_type"), lambda df: df.select("event_id", F.length("event_type").alias("n")))
+
+
+# --- instance files
+
+FILE_RULES = {
+    "selections": [
+        {"name": "axial", "conditions": {"StudyDescription": "(?i)^Spleen", "Modality": "(?i)CT", "ImageType": ["PRIMARY", "ORIGINAL", "AXIAL"], "SliceThickness": [3, 5]}},
+        {"name": "oriented", "conditions": {"StudyDescription": "(.*?)", "Modality": "(?i)CT", "ImageOrientationPatient": "Axial", "SliceThickness": [2, ">"]}},
+        {"name": "plain", "conditions": {"SeriesDescription": "(?i)^(?!.*(cor|sag)).*$", "ImageType": "!derived", "SliceThickness": "^(5(\\.0+)?|5)$"}},
+    ]
+}
+
+
+def _instance_files(spark, d):
+    """An instance file for each order: the study is the customer's, the series its own."""
+    from ..sources import dicom_format
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k, c, p in zip(pdf["o_orderkey"].tolist(), pdf["o_custkey"].tolist(), pdf["o_orderpriority"]):
+                kind = ["ORIGINAL", "PRIMARY", "AXIAL"] if k % 2 else ["DERIVED", "PRIMARY"]
+                across = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0] if k % 3 else [0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+                out.append(dicom_format.encoded({
+                    "SOPClassUID": "1.2.840.10008.5.1.4.1.1.2", "SOPInstanceUID": f"1.4.{k}", "StudyInstanceUID": f"1.2.{c}", "SeriesInstanceUID": f"1.3.{k}", "StudyDescription": "Spleen study" if c % 2 else "Chest",
+                    "SeriesDescription": ("Cor " if k % 7 == 0 else "") + p, "Modality": "CT" if k % 4 else "MR", "ImageType": kind, "SliceThickness": float(k % 7), "ImageOrientationPatient": across, "PatientPosition": "HFS", "Rows": 1, "Columns": 1,
+                }))
+            yield pdf[["o_orderkey"]].assign(path=[f"{k:012d}.dcm" for k in pdf["o_orderkey"]], content=out)[["path", "content"]]
+
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").mapInPandas(run, "path string, content binary")
+
+
+@query("F5-F15 F17 F20 S2 J10", """WITH s AS (SELECT o_custkey AS study, o_orderkey AS series, o_custkey % 2 = 1 AS spleen, o_orderkey % 4 <> 0 AS ct, o_orderkey % 2 = 1 AS original, o_orderkey % 3 <> 0 AS axial, o_orderkey % 7 AS thick FROM orders),
+h AS (SELECT study, series, 'axial' AS selection_name FROM s WHERE spleen AND ct AND original AND thick BETWEEN 3 AND 5
+UNION ALL SELECT study, series, 'oriented' FROM s WHERE ct AND axial AND thick > 2 UNION ALL SELECT study, series, 'plain' FROM s WHERE thick <> 0 AND original AND thick = 5)
+SELECT study, series, selection_name, row_number() OVER (PARTITION BY study, selection_name ORDER BY series::VARCHAR) AS match_rank FROM h""")
+def select_instance_files(spark, d):
+    chosen = applications.selected(dicom.parsed(_instance_files(spark, d)), FILE_RULES, all_matched=True)
+    number = lambda c: F.element_at(F.split(c, r"\."), -1).cast("long")
+    return chosen.select(number("study_uid").alias("study"), number("series_uid").alias("series"), "selection_name", F.col("match_rank").cast("long").alias("match_rank"))
+
+
+@query("M23 F21", "SELECT o_orderkey AS series FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 7 = 5")
+def select_by_own_test(spark, d):
+    rules_ = {"selections": [{"name": "ct", "conditions": {"Modality": "CT"}}]}
+    chosen = applications.selected(dicom.parsed(_instance_files(spark, d)), rules_, True, lambda s: s["tags"]["SliceThickness"] == "5")
+    return chosen.select(F.element_at(F.split("series_uid", r"\."), -1).cast("long").alias("series"))
+
+
+_BUNDLE = """{"in": {"_target_": "LoadImaged", "keys": "image"}, "low": -0.5, "preprocessing": {"transforms": ["@in", {"_target_": "CastToTyped", "keys": "image", "dtype": "float64"}, {"_target_": "EnsureChannelFirstd", "keys": ["image"]},
+{"_target_": "ScaleIntensityRanged", "keys": "image", "a_min": "@low", "a_max": 0.5, "b_min": 0.0, "b_max": 1.0, "clip": true}]}, "inferer": {"_target_": "SlidingWindowInferer", "roi_size": [2, 2, 2], "overlap": 0.5, "sw_batch_size": 4},
+"postprocessing": {"transforms": [{"_target_": "Activationsd", "keys": "pred", "softmax": true}, {"_target_": "AsDiscreted", "keys": "pred", "argmax": true}, {"_target_": "SaveImaged", "keys": "pred"}]},
+"_meta_": {"network_data_format": {"inputs": {"image": {"num_channels": 1}}, "outputs": {"pred": {}}}}}"""
+
+
+@query("M2 M3 M5 M6 M21 F21 I14", f"WITH e AS (SELECT vec_id, {_V} AS e FROM embeddings) SELECT vec_id, len(list_filter(e, lambda x: x > 0.1)) AS n_one, 64 - len(list_filter(e, lambda x: x > 0.1)) AS n_none FROM e")
+def bundle_labels(spark, d):
+    packed = volume.packed_arrays(table(spark, d, "embeddings"), ["vec_id"], "embedding", (4, 4, 4)).withColumn("affine", F.lit(None).cast("array<array<double>>"))
+    got = bundles.inferred(packed, bundles.bundle_of({"inference": _BUNDLE}), lambda: lambda x: np.concatenate([np.full(x.shape, 0.6), x]))
+    ones = F.length(F.replace(F.hex("data"), F.lit("00"), F.lit(""))) / 2
+    return got.select("vec_id", ones.cast("long").alias("n_one"), (64 - ones).cast("long").alias("n_none"))
+
+
+_FOUND = """b AS (SELECT user_id AS k, event_id AS box_id, value / 100 AS score, event_id % 40 AS z0, event_id % 40 + event_id % 3 AS z1 FROM events WHERE event_type = 'purchase' AND user_id % 10 = 0),
+s AS (SELECT k, z FROM (SELECT DISTINCT k FROM b), range(30) r(z)), o AS (SELECT b.k, b.box_id, s.z, round_even(b.score * 100, 2) AS percent FROM b JOIN s ON s.k = b.k AND s.z BETWEEN b.z0 AND b.z1)"""
+
+
+def _found(spark, d):
+    e = table(spark, d, "events").where("event_type = 'purchase' AND user_id % 10 = 0").select(F.col("user_id").alias("k"), F.col("event_id").alias("box_id"), (F.col("value") / 100).alias("score"), (F.col("event_id") % 40).cast("double").alias("z0"))
+    x = F.col("box_id") % 50
+    box = F.array(x.cast("double"), (x + 1).cast("double"), F.col("z0"), (x + 5).cast("double"), (x + 7).cast("double"), F.col("z0") + F.col("box_id") % 3)
+    boxes = e.select("k", "box_id", "score", box.alias("box"))
+    return boxes, detect.findings_of(boxes, boxes.select("k").distinct().select("k", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("z")), ["k"])
+
+
+@query("W20 J3 J4 P13", f"WITH {_FOUND} SELECT k, box_id AS id, z::INT AS z, CASE WHEN percent > 80 THEN 'present' WHEN percent > 15 THEN 'indeterminate' ELSE 'absent' END AS qualifier FROM o")
+def finding_observations(spark, d):
+    report = detect.diagnostics(_found(spark, d)[1], ["k"], "Nodule")
+    read = F.from_json(F.get_json_object("report", "$.observations"), "array<struct<id: bigint, z: int, qualifier: string>>")
+    return report.select("k", F.explode(read).alias("o")).select("k", "o.id", "o.z", "o.qualifier")
+
+
+@query("W19", f"WITH {_FOUND} SELECT k::VARCHAR AS accession, 'PR' AS modality, true AS parse_ok FROM b GROUP BY k")
+def presentation_objects(spark, d):
+    found = _found(spark, d)[1]
+    uids = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda z: F.concat(F.lit("1.9."), z.cast("string")))
+    rows = found.select(F.col("k").alias("key"), uids.alias("sop_uids"), F.lit("1.2").alias("sop_class_uid"), "findings", F.create_map(F.lit("AccessionNumber"), F.col("k").cast("string")).alias("tags"))
+    read = dicom.parsed(dicom_objects.presentation_states(rows, "key").withColumnRenamed("name", "path"))
+    return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["Modality"].alias("modality"), "parse_ok")
 
 
 def _volumes(spark, d):
