@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, toxicity, near-duplicates, packing. Each stage reads what its predecessor wrote."""
+"""The corpus pipeline: quality rules, toxicity, near-duplicates, packing. Each stage reads what its predecessor wrote.
+
+Defined results: a null text counts as empty and is rejected by the quality rules; repeated rows are near-duplicates of
+each other, and one stays; rows with null or repeated ids are kept apart by their texts; an empty table gives no rows;
+very long texts go through whole; extra columns stay as they are up to packing, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import packing, quality, simhash, toxicity
-from cairn.llm.common import stored, table
+from cairn.llm.common import discard, stored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +30,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4,096 tokens."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Pieces of the documents, with their token ids, in sequences of at most 4,096 tokens."""
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [("quality", quality_rules), ("toxicity", toxicity_filter), ("simhash", near_dedup), ("packing", pack)]
@@ -36,8 +41,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written as Parquet and read again by the next."""
+    """All stages over the documents of sf_dir, each written as Parquet and read again by the next, then deleted."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        then = stored(stage(spark, docs, sf_dir), name)
+        discard(docs)
+        docs = then
     return docs
