@@ -18,8 +18,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 _LOCAL: dict[str, str] = {}
 
 
+#: A table below this may be one row group, which one task reads alone; its rows are dealt to all cores.
+SMALL_BYTES = 32 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_BYTES else df
 
 
 def scratch_root(spark: SparkSession) -> str:
