@@ -83,24 +83,24 @@ class File:
         self.ranks = np.full((n_pivots, len(ids)), self.named, np.uint8)
         self.ranks[near, np.arange(len(ids))[:, None]] = np.arange(self.named, dtype=np.uint8)
         wide = int(posts.max(initial=1))
-        self.posted = np.where(np.arange(wide) < posts[:, None], near[:, :wide], n_pivots)
+        self.posted = np.ascontiguousarray(np.where(np.arange(wide) < posts[:, None], near[:, :wide], n_pivots).T)
         # what two orders have on average that share pivots by chance
         self.chance = self.named * (self.named + 1) * (1 - self.named / n_pivots / 2)
 
     def footrule(self, own: np.ndarray) -> np.ndarray:
         """Footrule distances of the vectors' orders to a query's."""
         r = np.arange(self.named, dtype=np.uint8)
-        late = np.maximum(self.ranks[own[: self.named]], r[:, None]).sum(0, dtype=np.int32) - int(r.sum())
+        late = np.maximum(np.take(self.ranks, own[: self.named], axis=0), r[:, None]).sum(0, dtype=np.uint16).astype(np.int32) - int(r.sum())
         return self.named * (self.named + 1) // 2 + int(r.sum()) - self.named * self.named + 2 * late
 
     def search(self, query: np.ndarray, own: np.ndarray, place: np.ndarray, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
         """(places in the file, inner products) of the best k. place: rank of each pivot in the query's order."""
-        here = np.flatnonzero(place[self.posted].min(1) == place[self.pivot])
+        here = np.flatnonzero(np.take(place, self.posted).min(0) == place[self.pivot])
         keep = max(k, math.ceil(share * len(here)))
         if keep < len(here):
             far = (self.footrule(own)[here] - self.chance) * self.lengths[here]
             here = here[np.argpartition(far, keep - 1)[:keep]]
-        scores = (self.vectors[here] * query).sum(1)
+        scores = (np.take(self.vectors, here, axis=0) * query).sum(1)
         best = np.lexsort((self.ids[here], -scores))[:k]
         return here[best], scores[best]
 
@@ -111,9 +111,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     asked = F.coalesce(is_query, F.lit(False))
     good = vectors.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double") + 0.0).alias("v"), asked.alias("q"))
     rows = stored(good.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
-    big = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    length = big * F.sqrt(F.aggregate(F.transform("v", lambda x: (x / big) * (x / big)), F.lit(0.0), lambda a, x: a + x))
-    n, least, most, median = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v")), F.percentile_approx(length, 0.5)).first()
+
+    def lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat, size = b.column(0).flatten().to_numpy(), b.column(0).value_lengths().to_numpy()
+            if len(size):
+                begin = np.cumsum(size) - size
+                big = np.maximum.reduceat(np.abs(flat), begin)
+                rest = flat / np.repeat(big, size)
+                yield pa.record_batch([pa.array(size, pa.int32()), pa.array(big * np.sqrt(np.add.reduceat(rest * rest, begin)))], names=["size", "length"])
+
+    measured = rows.select("v").mapInArrow(lengths, "size int, length double")
+    n, least, most, median = measured.agg(F.count("*"), F.min("size"), F.max("size"), F.percentile_approx("length", 0.5)).first()
     if not n:
         return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score double")
     if least != most:
