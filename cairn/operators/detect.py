@@ -10,13 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def range_join(points: DataFrame, boxes: DataFrame, keys: list[str], at: str, low: str, high: str, width: float) -> DataFrame:
+def range_join(points: DataFrame, boxes: DataFrame, keys: list[str], at: str, low: str, high: str, width: float, most_buckets: int = 100_000) -> DataFrame:
     """points ⋈ boxes on keys and low <= at <= high, as an equi-join on buckets of the given width.
 
     A box stands in each bucket that it touches and a point in one, so no pair is made twice and none is lost; the work
-    follows the matches, and a hot key is spread over its buckets."""
+    follows the matches, and a hot key is spread over its buckets. A box of more than most_buckets raises: the width is
+    far too small for it."""
     bucket = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
-    spread = boxes.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), bucket(high))))
+    too_wide = F.raise_error(F.concat(F.lit(f"a box touches too many buckets of width {width}: "), F.col(low).cast("string"), F.lit(" to "), F.col(high).cast("string")))
+    ends = F.when(bucket(high) - bucket(low) > most_buckets, too_wide.cast("long")).otherwise(bucket(high))
+    spread = boxes.where(F.col(low) <= F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(low), ends)))
     return points.withColumn("_bucket", bucket(at)).join(spread, [*keys, "_bucket"]).where(F.col(at).between(F.col(low), F.col(high))).drop("_bucket")
 
 

@@ -648,9 +648,9 @@ def report_objects_round_trip(spark, d):
     return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["PatientID"].alias("patient"), F.col("tags")["StudyDescription"].alias("description"), F.col("tags")["Modality"].alias("modality"), "parse_ok")
 
 
-@query("W4 W5 S2", "SELECT s_suppkey::VARCHAR AS accession, 'OT' AS modality, 1 AS rows, 2 AS cols, 'uint8' AS dtype, '0102' AS pixels FROM supplier")
+@query("W4 W5 S2", "SELECT s_suppkey::VARCHAR AS accession, 'OT' AS modality, 1 AS rows, 2 AS cols, 'uint8' AS dtype, printf('%02X', s_suppkey % 256) || printf('%02X', s_nationkey % 256) AS pixels FROM supplier")
 def capture_objects_round_trip(spark, d):
-    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.array(F.lit(1), F.lit(2)).alias("shape"), F.unhex(F.lit("0102")).alias("data"), F.create_map(F.lit("AccessionNumber"), F.col("s_suppkey").cast("string")).alias("tags"))
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.array(F.lit(1), F.lit(2)).alias("shape"), F.unhex(F.concat(F.lpad(F.hex(F.col("s_suppkey") % 256), 2, "0"), F.lpad(F.hex(F.col("s_nationkey") % 256), 2, "0"))).alias("data"), F.create_map(F.lit("AccessionNumber"), F.col("s_suppkey").cast("string")).alias("tags"))
     read = dicom.parsed(dicom_objects.captures(rows, "key").withColumnRenamed("name", "path"))
     return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["Modality"].alias("modality"), "rows", "cols", "dtype", F.hex("pixels").alias("pixels"))
 
@@ -674,12 +674,14 @@ def best_classes(spark, d):
     return table(spark, d, "embeddings").select("vec_id", best.alias("b")).select("vec_id", "b.predicted_class", F.round("b.confidence", 6).alias("confidence"))
 
 
-@query("W16 W18 M12", """SELECT p_partkey::VARCHAR || CASE WHEN p_partkey % 7 = 0 OR p_partkey % 4 = 2 THEN '_error.json' WHEN p_partkey % 4 = 1 THEN '.png' ELSE '.json' END AS name FROM part""")
+@query("W16 W18 M12", """SELECT p_partkey::VARCHAR || CASE WHEN p_partkey % 7 = 0 OR p_partkey % 4 = 2 THEN '_error.json' WHEN p_partkey % 4 = 1 THEN '.png' ELSE '.json' END AS name,
+CASE WHEN p_partkey % 7 = 0 THEN 'failed' WHEN p_partkey % 4 = 2 THEN 'no picture' ELSE p_name END AS said FROM part""")
 def routed_results(spark, d):
     k = F.col("p_partkey")
     kind = F.get(F.array(F.lit("json"), F.lit("image"), F.lit("image_overlay"), F.lit("odd")), (k % 4).cast("int"))
     rows = table(spark, d, "part").select(k.alias("request_id"), kind.alias("output_type"), F.col("p_name").alias("text"), F.when(k % 4 == 1, F.encode("p_name", "UTF-8")).alias("picture"), F.when(k % 7 == 0, "failed").alias("error"))
-    return results.routed(rows).select("name")
+    text = F.decode("content", "UTF-8")
+    return results.routed(rows).select("name", F.coalesce(F.get_json_object(text, "$.error"), F.get_json_object(text, "$.response"), text).alias("said"))
 
 
 @query("W10 I12 I11 I13")

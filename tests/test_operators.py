@@ -102,12 +102,12 @@ def test_slices_of_short_series(spark):
     assert got == {("a", 1): (0, 1.0), ("c", 1): (0, 3.0), ("c", 2): (1, 3.0)}
 
 
-@pytest.mark.parametrize("text, want", [("1024", 1024), ("2kb", 2000), (" 2 KiB  ", 2048), ("2.3jb", None), ("-2.3Gb", None), ("-1", None), ("1.5 Mi", 1572864)])
+@pytest.mark.parametrize("text, want", [("1024", 1024), ("2kb", 2000), (" 2 KiB  ", 2048), ("2.3jb", None), ("-2.3Gb", None), ("-1", None), ("1.5 Mi", 1572864), ("3yb", 3 * 10**24)])
 def test_sizes(spark, text, want):
     assert one(spark, scalars.size_bytes(F.lit(text))) == want
 
 
-@pytest.mark.parametrize("size, unit, want", [(2**30, "Mi", "1024Mi"), (216, "kib", "0.2kib"), (1024, "b", "1024"), (3 * 10**24, "yb", "3yb")])
+@pytest.mark.parametrize("size, unit, want", [(2**30, "Mi", "1024Mi"), (216, "kib", "0.2kib"), (1024, "b", "1024")])
 def test_size_text(spark, size, unit, want):
     assert one(spark, scalars.size_text(F.lit(size), unit)) == want
 
