@@ -249,7 +249,7 @@ def _gaussian(of: str, sigma: float) -> str:
 def _grid(spark, d, kernel):
     """Sums of each embedding as a grid of 8 x 8 cells after a kernel; no row a cell."""
     o = F.col("o")
-    made = table(spark, d, "embeddings").select("vec_id", kernels.on_arrays(F.col("embedding"), (8, 8), kernel).alias("o"))
+    made = files.dealt(table(spark, d, "embeddings")).select("vec_id", kernels.on_arrays(F.col("embedding"), (8, 8), kernel).alias("o"))
     total = F.aggregate(o, F.lit(0.0), lambda a, x: a + x)
     placed = F.aggregate(F.transform(o, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
     return made.select("vec_id", F.round(total, 4).alias("total"), F.round(F.array_max(o), 4).alias("most"), F.round(placed, 3).alias("placed"))
@@ -571,7 +571,7 @@ def _instance_files(spark, d):
                 }))
             yield pdf[["o_orderkey"]].assign(path=[f"{k:012d}.dcm" for k in pdf["o_orderkey"]], content=out)[["path", "content"]]
 
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").mapInPandas(run, "path string, content binary")
+    return files.dealt(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")).mapInPandas(run, "path string, content binary")
 
 
 @query("F5-F15 F17 F20 S2 J10", """WITH s AS (SELECT o_custkey AS study, o_orderkey AS series, o_custkey % 2 = 1 AS spleen, o_orderkey % 4 <> 0 AS ct, o_orderkey % 2 = 1 AS original, o_orderkey % 3 <> 0 AS axial, o_orderkey % 7 AS thick FROM orders),
@@ -599,7 +599,7 @@ _BUNDLE = """{"in": {"_target_": "LoadImaged", "keys": "image"}, "low": -0.5, "p
 
 @query("M2 M3 M5 M6 M21 F21 I14", f"WITH e AS (SELECT vec_id, {_V} AS e FROM embeddings) SELECT vec_id, len(list_filter(e, lambda x: x > 0.1)) AS n_one, 64 - len(list_filter(e, lambda x: x > 0.1)) AS n_none FROM e")
 def bundle_labels(spark, d):
-    packed = volume.packed_arrays(table(spark, d, "embeddings"), ["vec_id"], "embedding", (4, 4, 4)).withColumn("affine", F.lit(None).cast("array<array<double>>"))
+    packed = volume.packed_arrays(files.dealt(table(spark, d, "embeddings")), ["vec_id"], "embedding", (4, 4, 4)).withColumn("affine", F.lit(None).cast("array<array<double>>"))
     got = bundles.inferred(packed, bundles.bundle_of({"inference": _BUNDLE}), lambda: lambda x: np.concatenate([np.full(x.shape, 0.6), x]))
     ones = F.length(F.replace(F.hex("data"), F.lit("00"), F.lit(""))) / 2
     return got.select("vec_id", ones.cast("long").alias("n_one"), (64 - ones).cast("long").alias("n_none"))
@@ -637,13 +637,13 @@ def _volumes(spark, d):
     """Each embedding as a mask of 4 x 4 x 4 voxels."""
     bits = F.unhex(F.array_join(F.transform("embedding", lambda x: F.when(x > 0, "01").otherwise("00")), ""))
     eye = F.array(*[F.array(*[F.lit(1.0 if i == j else 0.0) for j in range(4)]) for i in range(4)])
-    return table(spark, d, "embeddings").select("vec_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), F.lit("uint8").alias("dtype"), bits.alias("data"), eye.alias("affine"))
+    return files.dealt(table(spark, d, "embeddings")).select("vec_id", F.array(F.lit(4), F.lit(4), F.lit(4)).alias("shape"), F.lit("uint8").alias("dtype"), bits.alias("data"), eye.alias("affine"))
 
 
 @query("W3 W6 W7 W8 S2 S3 S4 S5", "SELECT o_orderkey::VARCHAR AS accession, o_custkey::VARCHAR AS patient, o_orderpriority AS description, 'SR' AS modality, true AS parse_ok FROM orders")
 def report_objects_round_trip(spark, d):
     tags = F.create_map(F.lit("AccessionNumber"), F.col("o_orderkey").cast("string"), F.lit("PatientID"), F.col("o_custkey").cast("string"), F.lit("StudyDescription"), F.col("o_orderpriority"))
-    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("text"), tags.alias("tags"))
+    rows = files.dealt(table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("text"), tags.alias("tags")))
     read = dicom.parsed(dicom_objects.text_reports(rows, "key").withColumnRenamed("name", "path"))
     return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["PatientID"].alias("patient"), F.col("tags")["StudyDescription"].alias("description"), F.col("tags")["Modality"].alias("modality"), "parse_ok")
 

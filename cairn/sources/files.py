@@ -20,6 +20,12 @@ def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
 
 
+def dealt(df: DataFrame, small: int = 32 << 20) -> DataFrame:
+    """A table of less than a split, which may be one row group that one task reads alone, dealt to all cores; for work in workers."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
+
+
 def with_extension(rows: DataFrame, extensions: tuple[str, ...], case_sensitive: bool = False) -> DataFrame:
     """Files of the extensions (with or without the dot, compound ones too); hidden files go."""
     name = F.element_at(F.split("path", "/"), -1)
