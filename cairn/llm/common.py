@@ -93,3 +93,21 @@ def texts_of(batch: pa.RecordBatch, at: int) -> list[str]:
 def bytes_of(batch: pa.RecordBatch, at: int) -> list[bytes]:
     """The UTF-8 bytes of a column of texts; a null text counts as the empty one."""
     return [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
+
+
+def looked_up(left: DataFrame, right: DataFrame, key: str, hot: Column, spread: Column) -> DataFrame:
+    """left with right's columns by the string column ``key``, one row of right a key; null where right has none.
+
+    hot: a condition on right's rows which the caller has proved to hold for few (say, keys that a thousandth of all rows
+    share, of which there are a thousand at most). Those are broadcast, and left's rows that they serve are then dealt by
+    ``spread`` instead of by their key, so that no key's rows meet in one task."""
+    more = [c for c in right.columns if c != key]
+    packed = right.select(F.col(key).alias("k_"), F.struct(*more).alias("v_"), hot.alias("hot_"))
+    few = packed.where("hot_").select(F.col("k_").alias("hot_k_"), F.col("v_").alias("hot_v_"))
+    half = left.join(F.broadcast(few), left[key] == F.col("hot_k_"), "left")
+    served = F.col("hot_k_").isNotNull() | F.col(key).isNull()
+    half = half.withColumns({"served_": served, "at_": F.when(served, F.hex(F.xxhash64(spread))).otherwise(F.col(key))})
+    rest = packed.where(~F.col("hot_")).select(F.lit(False).alias("not_served_"), "k_", "v_")
+    both = half.join(rest, (F.col("served_") == F.col("not_served_")) & (F.col("at_") == F.col("k_")), "left")
+    found = F.coalesce("hot_v_", "v_")
+    return both.select(*[F.col(c) for c in left.columns], *[found[c].alias(c) for c in more])

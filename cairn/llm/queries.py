@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm, licenses, packing, permutation_index, quality, sentencepiece_codec, simhash, token_counts, toxicity, warc
+from . import collocations, hmm, importance, licenses, packing, permutation_index, quality, reputation, sentencepiece_codec, simhash, token_counts, toxicity, warc
 from .common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,9 +58,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+def op13_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judged(table(spark, sf_dir, "pages"), reputation.RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": quality.JUDGED_SQL}
+    return {"op9_quality": quality.JUDGED_SQL, "op11_importance": importance.RESAMPLED_SQL, "op12_collocations": collocations.PHRASES_SQL, "op13_reputation": reputation.JUDGED_SQL}
