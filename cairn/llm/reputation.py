@@ -3,13 +3,13 @@
 A page's outcome (1 bad, 0 good, null unknown) is by default what the rules say of it; a caller may give a column of its
 own. Outcomes are counted by host, registered domain and suffix. Each level is beta-binomial: a host's prior has the mean
 of its domain and a strength worked out from how far hosts stray from their domains (moments over all hosts); the domain
-shrinks to its suffix, the suffix to all pages. A page without a rule is blocked if the share of bad pages of its host is
+shrinks to its suffix likewise, the suffix to an even prior, so a suffix without outcomes tells nothing. A page without a rule is blocked if the share of bad pages of its host is
 above LIMIT by a lower bound: the posterior's mean less Z of its standard deviations.
 
 Only the url is read. Pages are counted before they move (one row a host and task); reputations come back to pages by
 host, hosts of a thousandth of all pages or more by broadcast (a thousand at most), so no host meets in one task.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the prior of all pages;
+Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and a suffix of their own, the empty one;
 empty tables give no rows; repeated rows and ids are judged each by itself and counted each; a rule's path must begin
 the url's path, so an empty path fits no rule with a path; of rules of equal length that of the longer host wins, then
 the first given. Without any outcome nothing is known to be bad, and all is allowed. Ports and user names are part of the
@@ -32,6 +32,8 @@ SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au",
 LIMIT = 0.5
 #: ... by so many standard deviations of the posterior.
 Z = 1.645
+#: Outcomes that the even prior of a suffix weighs as.
+EVEN = 2.0
 #: Hosts of more than 1/HOT of all pages (so fewer than HOT hosts) are broadcast.
 HOT = 1000
 
@@ -105,18 +107,15 @@ def _strength(units: DataFrame, parent: Column) -> float:
 
 def reputations(hosts: DataFrame) -> DataFrame:
     """hosts (host, domain, suffix, pages, n, bad) with mean and bound of the posterior share of bad pages."""
-    total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("pages").alias("pages"), F.count("*").alias("hosts")).first()
-    n, bad, held = total["n"] or 0, total["bad"] or 0, total["hosts"] or 0
-    start = (bad + 1) / (n + 2)
+    held = hosts.count()
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("hosts").alias("hosts")]
     domains = stored(hosts.groupBy("domain", "suffix").agg(*sums[:2], F.count("*").alias("hosts")), "domains")
-    suffixes = stored(domains.groupBy("suffix").agg(*sums), "suffixes")
+    suffixes = domains.groupBy("suffix").agg(*sums)
 
     def shrunk(mean: Column, strength: float) -> Column:
         return (mean * strength + F.col("bad")) / (F.col("n") + strength)
 
-    s = _strength(suffixes, F.lit(start))
-    by_suffix = suffixes.select("suffix", shrunk(F.lit(start), s).alias("suffix_mean"), F.col("hosts").alias("of_suffix"))
+    by_suffix = suffixes.select("suffix", shrunk(F.lit(0.5), EVEN).alias("suffix_mean"), F.col("hosts").alias("of_suffix"))
     under = looked_up(domains, by_suffix, "suffix", F.col("of_suffix") * HOT > held, F.col("domain"))
     d = _strength(under, F.col("suffix_mean"))
     by_domain = under.select("domain", shrunk(F.col("suffix_mean"), d).alias("domain_mean"), F.col("hosts").alias("of_domain"))
@@ -158,10 +157,7 @@ s AS (SELECT p.*, rhost || rpath AS rule, ruled FROM p LEFT JOIN r ON (host = rh
       QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC NULLS LAST) = 1),
 h AS (SELECT host, count(*) AS pages, count(ruled) AS n, count(*) FILTER (ruled = 'block') AS bad, string_split(regexp_replace(host, '^.*@|:[0-9]*$', ''), '.') AS l FROM s GROUP BY host),
 g AS (SELECT *, l[-1] AS suffix, CASE WHEN len(l) > 1 THEN l[-2] || '.' || l[-1] ELSE l[-1] END AS domain FROM h),
-t AS (SELECT (sum(bad) + 1) / (sum(n) + 2) AS m FROM g),
-fs AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(m) AS m FROM g, t GROUP BY suffix),
-rs AS (SELECT least(0.5, greatest(0.001, coalesce(sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) AS r FROM fs),
-ps AS (SELECT suffix, (m * (1 - r) / r + bad) / (n + (1 - r) / r) AS ms FROM fs, rs),
+ps AS (SELECT suffix, (1 + sum(bad)) / (2 + sum(n)) AS ms FROM g GROUP BY suffix),
 fd AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad, any_value(ms) AS m FROM g JOIN ps USING (suffix) GROUP BY domain, suffix),
 rd AS (SELECT least(0.5, greatest(0.001, coalesce(sum((bad - n * m) * (bad - n * m) - n * m * (1 - m)) / nullif(sum(n * (n - 1) * m * (1 - m)), 0), 0))) AS r FROM fd),
 pd AS (SELECT domain, (m * (1 - r) / r + bad) / (n + (1 - r) / r) AS m FROM fd, rd),

@@ -214,8 +214,7 @@ def brute_shares(pages):
     deep = {h: 2 if ".".join(labels[h][-2:]) in reputation.SUFFIXES else 1 for h in unit}
     number = {h: bool(re.match(r"[0-9.]+$", name[h])) for h in unit}
     up = {h: (name[h], name[h]) if number[h] else (".".join(labels[h][-deep[h] - 1 :]), ".".join(labels[h][-deep[h] :])) for h in unit}
-    n, bad = sum(u[0] for u in unit.values()), sum(u[1] for u in unit.values())
-    mean = {None: (bad + 1) / (n + 2)}
+    mean = {None: 0.5}
     for level in (1, 0, None):
         own, parent = {}, {}
         for h, u in unit.items():
@@ -227,7 +226,7 @@ def brute_shares(pages):
         m = {k: mean[parent[k]] for k in own}
         over = sum((b - c * m[k]) ** 2 - c * m[k] * (1 - m[k]) for k, (c, b) in own.items())
         most = sum(c * (c - 1) * m[k] * (1 - m[k]) for k, (c, b) in own.items())
-        r = min(0.5, max(0.001, over / most if most else 0.0))
+        r = 1 / 3 if level == 1 else min(0.5, max(0.001, over / most if most else 0.0))
         mean |= {k: (m[k] * (1 - r) / r + b) / (c + (1 - r) / r) for k, (c, b) in own.items()}
     return {h: (mean[h], mean[h] - 1.645 * math.sqrt(mean[h] * (1 - mean[h]) / (unit[h][0] + (1 - r) / r + 1))) for h in unit}
 
