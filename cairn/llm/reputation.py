@@ -123,7 +123,9 @@ def reputations(hosts: DataFrame) -> DataFrame:
     h = _strength(both, F.col("domain_mean"))
     mean = shrunk(F.col("domain_mean"), h)
     weight = F.col("n") + h
-    return both.select("host", "domain", "suffix", "pages", "n", "bad", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("bound"))
+    out = stored(both.select("host", "domain", "suffix", "pages", "n", "bad", mean.alias("mean"), (mean - Z * F.sqrt(mean * (1 - mean) / (weight + 1))).alias("bound")), "reputations")
+    discard(domains)
+    return out
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id", url_col: str = "url", outcome: Column | None = None, limit: float = LIMIT) -> DataFrame:
@@ -137,7 +139,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...], id_col: str = "page_id", u
     suffix, domain = suffix_and_domain(F.col("host"))
     hosts = stored(counted.select("host", domain.alias("domain"), suffix.alias("suffix"), "pages", "n", "bad"), "hosts")
     rows = hosts.agg(F.sum("pages")).first()[0] or 0
-    known = stored(reputations(hosts).select("host", "pages", "n", "bad", "mean", "bound"), "reputations")
+    known = reputations(hosts).select("host", "pages", "n", "bad", "mean", "bound")
     discard(hosts)
     out = looked_up(seen, known, "host", F.col("pages") * HOT > rows, F.struct("id", "url"))
     verdict = F.coalesce("ruled", F.when(F.col("bound") > limit, "block").otherwise("allow"))
