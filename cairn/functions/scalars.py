@@ -10,12 +10,19 @@ UNITS = {"b": 1} | {f"{p}{s}": base**n for n, p in enumerate("kmgtpezy", 1) for
 
 
 def size_bytes(text: Column) -> Column:
-    """Bytes of a size such as "2 KiB", as decimal(38, 0); null for anything else, negative sizes and unknown units included."""
-    pattern = r"(?i)^\s*((?:[1-9]\d+|\d)(?:\.\d+)?)\s*([a-z]{1,3})?\s*$"
-    number, unit = F.regexp_extract(text, pattern, 1), F.lower(F.regexp_extract(text, pattern, 2))
+    """Bytes of a size such as "2 KiB", as decimal(38, 0), parts of a byte cut off.
+
+    What stands before the trailing letters must be a plain number without sign, exponent or needless zeros in front; the
+    letters must be a unit (none: bytes). Null for anything else. Exact to 22 whole digits and six places."""
+    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
+    number = F.regexp_replace(trimmed, r"\s*[A-Za-z]*$", "")
+    unit = F.lower(F.regexp_extract(trimmed, r"[A-Za-z]*$", 0))
+    whole, places = F.substring_index(number, ".", 1), F.split(number, r"\.")
+    digits = F.forall(places, lambda x: x.rlike("^[0-9]+$")) & (F.size(places) <= 2)
+    plain = digits & ((F.length(whole) == 1) | ~F.startswith(whole, F.lit("0")))
     table = F.create_map(*[x for k, v in UNITS.items() for x in (F.lit(k), F.lit(str(v)))])
     factor = F.try_element_at(table, F.when(unit == "", F.lit("b")).otherwise(unit)).cast("decimal(25,0)")
-    return F.when(number != "", F.floor(number.try_cast("decimal(12,6)") * factor).cast("decimal(38,0)"))
+    return F.when(plain, F.floor(number.try_cast("decimal(28,6)") * factor).cast("decimal(38,0)"))
 
 
 def size_text(size: Column, unit: str) -> Column:
@@ -81,7 +88,8 @@ def display_name(name: Column, model_id: Column) -> Column:
 
 
 def valid_model_id(model_id: Column) -> Column:
-    return F.coalesce(model_id.rlike(r"^[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?(?:/[A-Za-z0-9](?:[A-Za-z0-9._-]*[A-Za-z0-9])?)*$") & ~F.contains(model_id, F.lit("..")), F.lit(False))
+    """Whether it is parts of letters, digits, underscores and hyphens, one slash between two parts."""
+    return F.coalesce(F.forall(F.split(model_id, "/", -1), lambda part: part.rlike("^[A-Za-z0-9_-]+$")), F.lit(False))
 
 
 def stem(filename: Column) -> Column:
@@ -125,6 +133,7 @@ def report_line(name: Column, ml: Column) -> Column:
 
 
 def report_map(text: Column) -> Column:
-    """Lines "key: value" as a map: keys without spaces, values trimmed; other lines are passed over."""
-    entries = F.transform(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.replace(F.substring_index(x, ":", 1), F.lit(" "), F.lit("")), F.trim(F.regexp_replace(x, "^[^:]*:", ""))))
-    return F.map_from_entries(entries)
+    """Lines "key: value" as a map: keys without spaces, values trimmed; other lines are passed over, the last of a key's counts."""
+    entries = F.transform(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.replace(F.substring_index(x, ":", 1), F.lit(" "), F.lit("")).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
+    last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda y: y["key"] == x["key"]))
+    return F.map_from_entries(last)

@@ -233,29 +233,6 @@ class Bundle:
     names: Names = field(default_factory=Names)
 
 
-def dimensions(meta: object) -> int | None:
-    """Whether an input is of two or three dimensions, by what its description says; None if it doesn't say."""
-    if not isinstance(meta, dict):
-        return None
-    for k in ("spatial_dims", "spatial_ndim", "num_spatial_dims", "ndim"):
-        if isinstance(meta.get(k), int) and meta[k] in (2, 3):
-            return meta[k]
-    for k in ("spatial_size", "input_shape", "size"):
-        if isinstance(meta.get(k), (list, tuple)) and len(meta[k]) in (2, 3):
-            return len(meta[k])
-    told = [str(meta[k]).lower() for k in ("format", "data_format", "input_format", "model_type") if k in meta] + [str(k).lower() for k in meta]
-    for text in told:
-        for n in (2, 3):
-            if f"{n}d" in text:
-                return n
-    for k in ("description", "model_name", "architecture", "network"):
-        text = str(meta.get(k, "")).lower()
-        for n in (2, 3):
-            if any(x in text for x in (f"_{n}d", f"-{n}d", f" {n}d ", f"{n}d_", f"{n}d-")):
-                return n
-    return None
-
-
 def bundle_of(texts: dict[str, str], meta: str | dict | None = None, names: Names = Names()) -> Bundle:
     """A bundle from its configurations' texts by name; later ones count before earlier ones."""
     config: dict = {}

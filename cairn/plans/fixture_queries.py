@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import scalars
+from ..functions import metadata, scalars
 from ..operators import aggregate, catalog, detect, geometry, hierarchy, kernels, volume
 from ..sinks import dicom_objects, mesh, pictures, results
 from ..sources import dicom, files
@@ -433,10 +433,11 @@ def preferred_file(spark, d):
 # --- names and sizes
 
 @query("C23 C24 C25 C27 F26", """WITH n AS (SELECT p_partkey, 'Org/' || p_name || '-' || p_partkey AS id FROM part)
-SELECT p_partkey, regexp_replace(regexp_replace(id, '[^a-zA-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS ident, NOT contains(id, ' ') AS valid, CASE WHEN contains(lower(id), 'red') THEN 'colour' WHEN contains(lower(id), 'gear') THEN 'gear' ELSE 'other' END AS kind FROM n""")
+SELECT p_partkey, regexp_replace(regexp_replace(id, '[^a-zA-Z0-9_]', '_', 'g'), '^_+|_+$', '', 'g') AS ident, p_partkey % 6 IN (0, 1, 2) AS valid, CASE WHEN contains(lower(id), 'red') THEN 'colour' WHEN contains(lower(id), 'gear') THEN 'gear' ELSE 'other' END AS kind FROM n""")
 def name_sanitise(spark, d):
     ident = F.concat(F.lit("Org/"), "p_name", F.lit("-"), F.col("p_partkey").cast("string"))
-    return table(spark, d, "part").select("p_partkey", scalars.identifier(ident).alias("ident"), scalars.valid_model_id(F.replace(ident, F.lit("#"), F.lit("."))).alias("valid"), scalars.first_keyword(ident, {"red": "colour", "gear": "gear"}, "other").alias("kind"))
+    made = F.element_at(F.array(*[F.lit(x) for x in ("org/model-1", "_own/x_", "a-", "org/v1.2", "a//b", "a/b/")]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", scalars.identifier(ident).alias("ident"), scalars.valid_model_id(made).alias("valid"), scalars.first_keyword(ident, {"red": "colour", "gear": "gear"}, "other").alias("kind"))
 
 
 @query("C24 C25 C31 S8", "SELECT s_suppkey, 'TestModel' || s_suppkey AS title, 'dep' || s_suppkey AS dep, 'scan.' || s_suppkey || '.nii' AS stem FROM supplier")
@@ -445,11 +446,12 @@ def name_title(spark, d):
     return table(spark, d, "supplier").select("s_suppkey", scalars.title_name(F.concat(F.lit("org/test_model"), k)).alias("title"), scalars.dependency_name(F.concat(F.lit("dep"), k, F.lit(">=1.2"))).alias("dep"), scalars.stem(F.concat(F.lit("scan."), k, F.lit(".nii.gz"))).alias("stem"))
 
 
-@query("C18 C19", """WITH b AS (SELECT p_partkey, p_size::HUGEINT * CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1048576 WHEN 3 THEN 1000000000000000000 END AS bytes FROM part)
+@query("C18 C19", """WITH b AS (SELECT p_partkey, (p_size::HUGEINT + CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1048576 ELSE 1000000000000 END) * CASE p_partkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 1000 WHEN 2 THEN 1048576 WHEN 3 THEN 1000000000000000000 END AS bytes FROM part)
 SELECT p_partkey, coalesce(bytes, -1)::VARCHAR AS bytes, coalesce(bytes // 1024, -1)::VARCHAR AS kib FROM b""")
 def size_parse(spark, d):
     unit = F.get(F.array(F.lit(""), F.lit("kB"), F.lit(" MiB "), F.lit("EB"), F.lit("jb")), (F.col("p_partkey") % 5).cast("int"))
-    size = F.coalesce(scalars.size_bytes(F.concat(F.lit(" "), F.col("p_size").cast("string"), unit)), F.lit(-1))
+    number = F.col("p_size") + F.get(F.array(F.lit(0), F.lit(1048576), F.lit(10**12)), (F.col("p_partkey") % 3).cast("int"))
+    size = F.coalesce(scalars.size_bytes(F.concat(F.lit(" "), number.cast("string"), unit)), F.lit(-1))
     whole = F.floor(size / 1024).cast("decimal(38,0)")
     return table(spark, d, "part").select("p_partkey", size.cast("string").alias("bytes"), whole.cast("string").alias("kib"))
 
@@ -478,6 +480,15 @@ def channel_rule(spark, d):
     return table(spark, d, "part").select("p_partkey", bundles.channel_first(kind, task, F.when(size % 4 == 0, size % 8 == 0)).alias("channel_first"))
 
 
+_DIMS = [("{\"spatial_dims\": 3}", 3), ("{\"ndim\": \"2\", \"spatial_size\": [96, 96]}", 2), ("{\"size\": [1, 2, 3, 4], \"data_format\": \"Volume3D\"}", 3), ("{\"unet_2d\": 1, \"description\": \"a 3d net\"}", 2), ("{\"network\": \"net-3D, flat\"}", 3), ("{\"description\": \"2dots\"}", None), ("[2, 3]", None)]
+
+
+@query("C28", f"SELECT p_partkey, CASE p_partkey % {len(_DIMS)} {' '.join(f'WHEN {k} THEN {n}' for k, (_, n) in enumerate(_DIMS) if n)} END::INT AS dims FROM part")
+def described_dims(spark, d):
+    meta = F.element_at(F.array(*[F.lit(x) for x, _ in _DIMS]), (F.col("p_partkey") % len(_DIMS) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", metadata.spatial_dims(meta).alias("dims"))
+
+
 @query("U5 F23 C3", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 0.9 ELSE 0.2 END::DOUBLE AS temperature, CASE WHEN event_id % 3 = 0 THEN 'image' ELSE 'json' END AS output FROM events")
 def map_merge_defaults(spark, d):
     defaults = F.create_map(F.lit("temperature"), F.lit("0.2"), F.lit("output"), F.lit("json"))

@@ -102,7 +102,8 @@ def test_slices_of_short_series(spark):
     assert got == {("a", 1): (0, 1.0), ("c", 1): (0, 3.0), ("c", 2): (1, 3.0)}
 
 
-@pytest.mark.parametrize("text, want", [("1024", 1024), ("2kb", 2000), (" 2 KiB  ", 2048), ("2.3jb", None), ("-2.3Gb", None), ("-1", None), ("1.5 Mi", 1572864), ("3yb", 3 * 10**24)])
+@pytest.mark.parametrize("text, want", [("1024", 1024), ("2kb", 2000), (" 2 KiB  ", 2048), ("2.3jb", None), ("-2.3Gb", None), ("-1", None), ("1.5 Mi", 1572864), ("3yb", 3 * 10**24), ("1048576", 2**20), ("1073741824", 2**30), ("1000000000000000", 10**15), ("2000000b", 2 * 10**6),
+                                        ("1234567kb", 1234567000), ("0.3 Gib", 322122547), ("007", None), ("1e3", None), ("1.", None), (".5", None), ("1.2.3", None), ("5kibs", None), ("", None), ("kb", None), ("9 mb x", None), ("0", 0)])
 def test_sizes(spark, text, want):
     assert one(spark, scalars.size_bytes(F.lit(text))) == want
 
@@ -120,7 +121,7 @@ def test_identifier(spark, name, want):
 def test_names(spark):
     assert one(spark, scalars.title_name(F.lit("ORG/test_model"))) == "TestModel"
     assert one(spark, scalars.display_name(F.lit(""), F.lit("ORG/spleen_ct_segmentation"))) == "Spleen Ct Segmentation"
-    assert [one(spark, scalars.valid_model_id(F.lit(x))) for x in ("a/b-1", "a;rm", "", "a//b", "a..b", "/a")] == [True, False, False, False, False, False]
+    assert [one(spark, scalars.valid_model_id(F.lit(x))) for x in ("a/b-1", "a;rm", "", "a//b", "a..b", "/a", "org/model_v1.2", "_private/model", "org/model_", "a-", "a/", None, "a b")] == [True, *[False] * 6, True, True, True, False, False, False]
     assert one(spark, scalars.stem(F.lit("a.nii.gz"))) == "a.nii"
     assert one(spark, scalars.wrapped(F.lit("aa bb verylongword c"), 5)) == ["aa bb", "verylongword", "c"]
 
@@ -128,6 +129,7 @@ def test_names(spark):
 def test_report_text(spark):
     assert one(spark, scalars.report_line(F.lit("liver"), F.lit(12))) == "Liver Volume: 12 mL"
     assert one(spark, scalars.report_map(F.lit("Liver Volume: 12 mL\nnothing\nA b: c: d "))) == {"LiverVolume": "12 mL", "Ab": "c: d"}
+    assert one(spark, scalars.report_map(F.lit("a: 1\nb: 2\na : 3\nb:"))) == {"a": "3", "b": ""} and one(spark, scalars.report_map(F.lit("none"))) == {}
 
 
 def test_rounding_of_volumes(spark):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from cairn import session
 from cairn.errors import ExistsError, KindError, MissingError, PlanError, PortError, RuleError, UnsupportedError
+from cairn.functions import metadata
 from cairn.operators import detect, hierarchy, kernels, volume
 from cairn.plans import applications as apps
 from cairn.plans import bundles, rules
@@ -238,10 +239,11 @@ def test_windows_are_checked():
 
 @pytest.mark.parametrize(
     "meta, want",
-    [({"spatial_dims": 3}, 3), ({"ndim": 5, "size": [1, 2]}, 2), ({"format": "Image2D"}, 2), ({"net_3d": 1}, 3), ({"description": "a unet_2d model"}, 2), ({"description": "about 2dots"}, None), ({}, None), (None, None)],
+    [({"spatial_dims": 3}, 3), ({"ndim": 5, "size": [1, 2]}, 2), ({"format": "Image2D"}, 2), ({"net_3d": 1}, 3), ({"description": "a unet_2d model"}, 2), ({"description": "about 2dots"}, None), ({}, None), (None, None), ({"ndim": "3", "format": ["a", "3D"]}, 3), ({"ndim": 3.0, "spatial_size": [1, 2, 3, 4], "input_shape": [96, 96, 96]}, 3), ({"ndim": True, "x": 1}, None),
+     ({"network": "Net 2D now", "ndim": None}, 2), ({"description": "3d", "architecture": "b-3D"}, 3), ({"b2d3d": 0}, 2), ([1, 2], None), ({"format": None, "size": "12"}, None)],
 )
-def test_dimensions(meta, want):
-    assert bundles.dimensions(meta) == want
+def test_dimensions(spark, meta, want):
+    assert spark.range(1).select(metadata.spatial_dims(F.lit(json.dumps(meta)))).first()[0] == want
 
 
 # applications
