@@ -555,6 +555,19 @@ def stream_files(spark, d):
     return micro_batch.replayed(spark, table(spark, d, "events").select("event_id", "event_type"), lambda df: df.select("event_id", F.length("event_type").alias("n")))
 
 
+@query("R4 K8", "SELECT user_id, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total FROM events GROUP BY ALL")
+def stream_counters(spark, d):
+    """Ten micro-batches; stopped after the fourth and started again from what it left."""
+    from ..streaming import micro_batch, state
+
+    root = micro_batch.shared_folder(spark)
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", "value")
+    rows.repartition(10).write.parquet(f"{root}/in")
+    given = spark.read.parquet(f"{root}/in").schema, ["user_id", "event_type"], F.round(F.col("value") * 100), F.col("event_id"), f"{root}/out", f"{root}/checkpoint"
+    state.count_files(spark, f"{root}/in", *given, batches=4, salts=2)
+    return state.count_files(spark, f"{root}/in", *given, salts=2)
+
+
 # --- instance files
 
 FILE_RULES = {
