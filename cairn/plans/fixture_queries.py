@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata, scalars
-from ..operators import aggregate, catalog, detect, geometry, hierarchy, kernels, volume
+from ..operators import aggregate, catalog, chunks, detect, geometry, hierarchy, kernels, volume
 from ..sinks import dicom_objects, mesh, pictures, results
 from ..sources import dicom, files
 from . import applications, bundles, rules
@@ -318,6 +318,34 @@ def sliding_tiles(spark, d):
     return parts.select("p_partkey", F.col("start").cast("long").alias("start"), F.least(F.col("start") + 16, F.col("n")).cast("long").alias("stop"))
 
 
+def _label_slices(spark, d):
+    """A volume for each label: its embeddings, as slices of 8 x 8, in order of their ids."""
+    place = (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("int")
+    rows = table(spark, d, "embeddings").select("label", place.alias("z"), F.transform("embedding", lambda x: F.floor(x.cast("double") * 100)).alias("v"))
+    packed = volume.packed_arrays(rows, ["label", "z"], "v", (8, 8))
+    return packed.select("label", "z", F.get("shape", 0).alias("rows"), F.get("shape", 1).alias("cols"), "dtype", F.col("data").alias("pixels"))
+
+
+@query("M5 I14 A12", """WITH s AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS z, embedding FROM embeddings),
+v AS (SELECT label, z, i // 8 AS y, i % 8 AS x, floor(e::DOUBLE * 100) AS v FROM (SELECT label, z, unnest(embedding) AS e, unnest(range(64)) AS i FROM s)),
+n AS (SELECT label, max(z) + 1 AS n FROM s GROUP BY label),
+a AS (SELECT label, unnest(CASE WHEN n <= 16 THEN [-((16 - n) // 2)] ELSE list_distinct(list_concat(range(0, n - 16, 12), [n - 16])) END) AS z0 FROM n),
+w AS (SELECT * FROM a, (VALUES (0), (2)) AS b(y0), (VALUES (0), (2)) AS c(x0)),
+m AS (SELECT w.label, z0, y0, x0, sum(v) / 576 AS m FROM w JOIN v ON v.label = w.label AND z BETWEEN z0 AND z0 + 15 AND y BETWEEN y0 AND y0 + 5 AND x BETWEEN x0 AND x0 + 5 GROUP BY ALL),
+p AS (SELECT v.label, z, y, x, avg(m) AS p FROM v JOIN m ON v.label = m.label AND z BETWEEN z0 AND z0 + 15 AND y BETWEEN y0 AND y0 + 5 AND x BETWEEN x0 AND x0 + 5 GROUP BY ALL)
+SELECT label AS series, (p > 0.1371)::INT AS label, count(*) AS n FROM p GROUP BY ALL""")
+def windows_of_blocks(spark, d):
+    """Windows of 16 x 6 x 6 over chunked volumes; a window's score is its mean, a voxel's that of the windows that hold it."""
+    size, tiling = (8, 4, 8), chunks.Tiling((16, 6, 6), 0.25, batch=4)
+
+    def load():
+        return lambda a: np.stack([np.full(a.shape, 0.1371), np.broadcast_to(a.mean((1, 2, 3), np.float64)[:, None, None, None], a.shape)], 1)
+
+    scores = chunks.inferred(chunks.blocks_of(_label_slices(spark, d), ["label"], size), ["label"], size, tiling, load)
+    counts = chunks.label_counts(chunks.labelled(scores.withColumnRenamed("label", "series"), ["series"], size), ["series"])
+    return counts
+
+
 @query("I7 W15", f"""WITH e AS (SELECT vec_id, {_V} AS e FROM embeddings) SELECT vec_id, round(list_sum(list_transform(e, lambda v: CASE WHEN v > 0.1 THEN 0.6 * (v + 1) * 100 + 0.4 * 255 ELSE (v + 1) * 100 END)), 4) AS v FROM e""")
 def overlay_blend(spark, d):
     mixed = F.transform("embedding", lambda x: volume.blended((x.cast("double") + 1) * 100, x.cast("double"), 255.0, threshold=0.1))
