@@ -58,19 +58,22 @@ def checkpointing(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(root)
 
 
-def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(a, b): for each vertex that isn't its part's smallest, that smallest. Stars by turns; each round is checkpointed in the shared folder."""
+def connected(edges: DataFrame, most_rounds: int = 60, within: str | None = None) -> DataFrame:
+    """(a, b): for each vertex that isn't its part's smallest, that smallest. Stars by turns; each round is checkpointed in the shared folder.
+
+    within: a column that is never null (a struct of columns that may be) and whose values have vertices of their own."""
     checkpointing(edges.sparkSession)
-    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    of = [within] if within else []
+    now = edges.where("a <> b").select(*of, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     seen = None
     for _ in range(most_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64(*of, "a", "b").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return now
         seen = mark
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        up = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = up.groupBy("a").agg(F.min("b").alias("m"))
-        now = up.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        both = now.unionByName(now.select(*of, F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(*of, "a").agg(F.least("a", F.min("b")).alias("m"))
+        up = both.join(low, [*of, "a"]).where("b > a").select(*of, F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = up.groupBy(*of, "a").agg(F.min("b").alias("m"))
+        now = up.join(low, [*of, "a"]).where("b <> m").select(*of, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select(*of, "a", F.col("m").alias("b"))).distinct().checkpoint()
     raise RuntimeError(f"no fixed point after {most_rounds} rounds")

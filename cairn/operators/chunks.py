@@ -248,6 +248,17 @@ def labelled(scores: DataFrame, keys: list[str], size: tuple[int, int, int]) ->
     return scores.mapInPandas(run, schema)
 
 
+def as_labels(volume: DataFrame, keys: list[str]) -> DataFrame:
+    """A chunked volume of whole numbers from 0 to 255 as chunked labels."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(data=[np.frombuffer(x, "<f4").astype(np.uint8).tobytes() for x in pdf["data"]])
+
+    held = volume.select(*keys, "shape", "block", "data")
+    return held.mapInPandas(run, held.schema)
+
+
 def label_counts(labels: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, label, n): voxels of each label, 0 included. A block's bytes are counted where it lies, before any shuffle."""
     schema = _schema(labels, keys, ("label", T.IntegerType()), ("n", T.LongType()))

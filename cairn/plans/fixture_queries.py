@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata, scalars
-from ..operators import aggregate, catalog, chunks, detect, geometry, hierarchy, kernels, volume
+from ..operators import aggregate, catalog, chunks, detect, geometry, hierarchy, kernels, runs, volume
 from ..sinks import dicom_objects, mesh, pictures, results
 from ..sources import dicom, files
 from . import applications, bundles, rules
@@ -549,6 +549,24 @@ def connected_parts(spark, d):
     return aggregate.connected(e)
 
 
+@query("I10 A12 A9", """WITH RECURSIVE v AS (SELECT vec_id, i, CASE WHEN e > 0.1 THEN 2 WHEN e > -0.05 THEN 1 ELSE 0 END AS l FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings)),
+s AS (SELECT i, j FROM range(64) AS a(i), range(64) AS b(j) WHERE abs(i // 16 - j // 16) + abs(i // 4 % 4 - j // 4 % 4) + abs(i % 4 - j % 4) = 1),
+e AS (SELECT a.vec_id, a.i AS a, b.i AS b FROM v AS a JOIN s ON a.i = s.i JOIN v AS b ON b.vec_id = a.vec_id AND b.i = j AND a.l = b.l WHERE a.l > 0),
+r(vec_id, a, b) AS (SELECT vec_id, i, i FROM v WHERE l > 0 UNION SELECT r.vec_id, r.a, e.b FROM r JOIN e ON r.vec_id = e.vec_id AND r.b = e.a),
+c AS (SELECT vec_id, a AS i, min(b) AS root FROM r GROUP BY ALL), p AS (SELECT vec_id, l, root, count(*) AS n FROM c JOIN v USING (vec_id, i) GROUP BY ALL)
+SELECT vec_id, l AS label, sum(n) OVER w::BIGINT AS voxels, count(*) OVER w AS parts, n AS largest, root AS first FROM p
+WINDOW w AS (PARTITION BY vec_id, l) QUALIFY row_number() OVER (PARTITION BY vec_id, l ORDER BY n DESC, root) = 1""")
+def mask_parts(spark, d):
+    """Two labels in volumes of 4 x 4 x 4, cut into blocks of 2 x 4 x 3."""
+    kind = F.transform("embedding", lambda e: F.when(e.cast("double") > 0.1, "02").when(e.cast("double") > -0.05, "01").otherwise("00"))
+    z = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    held = files.dealt(table(spark, d, "embeddings")).select("vec_id", kind.alias("k"), z.alias("z"))
+    slices = held.select("vec_id", "z", F.lit(4).alias("rows"), F.lit(4).alias("cols"), F.lit("uint8").alias("dtype"), F.unhex(F.array_join(F.slice("k", F.col("z") * 16 + 1, F.lit(16)), "")).alias("pixels"))
+    labels = chunks.as_labels(chunks.blocks_of(slices, ["vec_id"], (2, 4, 3)), ["vec_id"])
+    parts = runs.parts_of(runs.runs_of(labels, ["vec_id"], (2, 4, 3)), ["vec_id"])
+    return runs.labels_of(parts, ["vec_id"])
+
+
 # --- files
 
 
