@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
@@ -22,7 +22,7 @@ from ..operators.geometry import affine, det3, ordered_slices
 from ..operators.hierarchy import latest_of_position
 from ..operators.volume import WINDOWS, stacked, unpacked
 from ..sinks import dicom_objects, mesh, pictures, results
-from ..sources import dicom
+from ..sources import dicom, files, headers
 from ..streaming.micro_batch import shared_folder
 from .flow import Flow, Step
 from .rules import select_series
@@ -33,8 +33,24 @@ Model = Callable[[np.ndarray], np.ndarray]
 
 def selected(instances: DataFrame, rules: str | dict | None, all_matched: bool = False, keep: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Instances of the selected series, with selection_name and match_rank. The join is on series, of which there are few."""
+    return instances.join(selected_series(instances, rules, all_matched, keep), SERIES)
+
+
+def selected_series(instances: DataFrame, rules: str | dict | None, all_matched: bool = False, keep: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+    """(study_uid, series_uid, selection_name, match_rank): the selected series by themselves, by one pass over the instances."""
     found = select_series(dicom.attributes_of(instances), rules, ["study_uid"], ["series_uid"], F.col("series_uid"), all_matched, "n_instances", keep)
-    return instances.join(found.select(*SERIES, "selection_name", "match_rank"), SERIES)
+    return found.select(*SERIES, "selection_name", "match_rank")
+
+
+def selected_files(spark: SparkSession, folder: str, rules: str | dict | None, all_matched: bool = False) -> DataFrame:
+    """Instances of the selected series, as ``selected`` gives them: headers are scanned without pixels, then only chosen files are read whole.
+
+    The chosen files' paths are stored in between, so headers are scanned once."""
+    held = stored_once(headers.instances(spark, folder))
+    chosen = held.select(*SERIES, "path").join(selected_series(held, rules, all_matched), SERIES)
+    # a file may be chosen by several selections; it is read once
+    whole = dicom.parsed(files.contents_of(chosen.select("path").distinct(), folder))
+    return whole.join(chosen.select("path", "selection_name", "match_rank"), "path")
 
 
 def real_values(slices: DataFrame) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import metadata, scalars
 from ..operators import aggregate, catalog, chunks, detect, geometry, hierarchy, kernels, runs, volume
 from ..sinks import dicom_objects, mesh, pictures, results
-from ..sources import dicom, files
+from ..sinks.files import saved
+from ..sources import dicom, files, headers
 from . import applications, bundles, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -649,7 +650,7 @@ h AS (SELECT study, series, 'axial' AS selection_name FROM s WHERE spleen AND ct
 UNION ALL SELECT study, series, 'oriented' FROM s WHERE ct AND axial AND thick > 2 UNION ALL SELECT study, series, 'plain' FROM s WHERE thick <> 0 AND original AND thick = 5)
 SELECT study, series, selection_name, row_number() OVER (PARTITION BY study, selection_name ORDER BY series::VARCHAR) AS match_rank FROM h""")
 def select_instance_files(spark, d):
-    chosen = applications.selected(dicom.parsed(_instance_files(spark, d)), FILE_RULES, all_matched=True)
+    chosen = applications.selected_series(dicom.parsed(_instance_files(spark, d), False), FILE_RULES, all_matched=True)
     number = lambda c: F.element_at(F.split(c, r"\."), -1).cast("long")
     return chosen.select(number("study_uid").alias("study"), number("series_uid").alias("series"), "selection_name", F.col("match_rank").cast("long").alias("match_rank"))
 
@@ -657,10 +658,49 @@ def select_instance_files(spark, d):
 @query("M23 F21", "SELECT o_orderkey AS series FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 7 = 5")
 def select_by_own_test(spark, d):
     rules_ = {"selections": [{"name": "ct", "conditions": {"Modality": "CT"}}]}
-    chosen = applications.selected(dicom.parsed(_instance_files(spark, d)), rules_, True, lambda s: s["tags"]["SliceThickness"] == "5")
+    chosen = applications.selected_series(dicom.parsed(_instance_files(spark, d), False), rules_, True, lambda s: s["tags"]["SliceThickness"] == "5")
     return chosen.select(F.element_at(F.split("series_uid", r"\."), -1).cast("long").alias("series"))
 
 
+def _written_files(spark, d):
+    """The folder of an instance file for each supplier, a slice of 64 x 64."""
+    from ..sources import dicom_format
+    from ..streaming.micro_batch import shared_folder
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k, n in zip(pdf["s_suppkey"].tolist(), pdf["s_nationkey"].tolist()):
+                out.append(dicom_format.encoded({
+                    "SOPClassUID": "1.2.840.10008.5.1.4.1.1.2", "SOPInstanceUID": f"1.4.{k}", "StudyInstanceUID": f"1.2.{n}", "SeriesInstanceUID": f"1.3.{k}", "PatientID": str(n), "Modality": "CT" if k % 4 else "MR",
+                    "SliceThickness": float(k % 7), "ImageOrientationPatient": [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], "Rows": 64, "Columns": 64, "BitsAllocated": 16, "PixelRepresentation": 0, "PixelData": int(k % 65536).to_bytes(2, "little") * 4096,
+                }))
+            yield pdf.assign(name=[f"{n}/{k}.dcm" for k, n in zip(pdf["s_suppkey"], pdf["s_nationkey"])], content=out)[["name", "content"]]
+
+    folder = shared_folder(spark)
+    saved(files.dealt(table(spark, d, "supplier").select("s_suppkey", "s_nationkey")).mapInPandas(run, "name string, content binary"), folder)
+    return folder
+
+
+@query("S2 F22 S4", "SELECT s_suppkey AS series, s_nationkey::VARCHAR AS patient, 64 AS rows, s_suppkey % 7::DOUBLE AS thickness, true AS in_part FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 7 > 2")
+def scan_headers(spark, d):
+    """Header-only: both filters are tested in the scan, and no pixels are read."""
+    schema = "path string, length long, bytes_read long, SeriesInstanceUID string, PatientID string, Modality string, SliceThickness double, Rows int"
+    found = headers.headers(spark, _written_files(spark, d), schema, first_bytes=512).where("Modality = 'CT' AND SliceThickness > 2.0")
+    number = F.element_at(F.split("SeriesInstanceUID", r"\."), -1).cast("long")
+    return found.select(number.alias("series"), F.col("PatientID").alias("patient"), F.col("Rows").alias("rows"), F.col("SliceThickness").alias("thickness"), (F.col("bytes_read") < F.col("length") / 4).alias("in_part"))
+
+
+@query("S2 F5-F20 S15", """WITH h AS (SELECT s_suppkey AS series, s_nationkey AS study, 'thick' AS selection_name FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 7 BETWEEN 3 AND 5 UNION ALL SELECT s_suppkey, s_nationkey, 'other' FROM supplier WHERE s_suppkey % 4 = 0)
+SELECT series, selection_name, (row_number() OVER (PARTITION BY study, selection_name ORDER BY '1.3.' || series))::BIGINT AS match_rank, 8192 AS n_bytes, printf('%04X', series % 256 * 256 + series // 256 % 256) AS first_pixel FROM h""")
+def select_written_files(spark, d):
+    """Rules over headers, then only the chosen files' pixels."""
+    rules_ = {"selections": [{"name": "thick", "conditions": {"Modality": "CT", "SliceThickness": [3, 5]}}, {"name": "other", "conditions": {"Modality": "MR"}}]}
+    chosen = applications.selected_files(spark, _written_files(spark, d), rules_, all_matched=True)
+    number = F.element_at(F.split("series_uid", r"\."), -1).cast("long")
+    return chosen.select(number.alias("series"), "selection_name", F.col("match_rank").cast("long").alias("match_rank"), F.length("pixels").alias("n_bytes"), F.hex(F.substring("pixels", 1, 2)).alias("first_pixel"))
+
+
 _BUNDLE = """{"in": {"_target_": "LoadImaged", "keys": "image"}, "low": -0.5, "preprocessing": {"transforms": ["@in", {"_target_": "CastToTyped", "keys": "image", "dtype": "float64"}, {"_target_": "EnsureChannelFirstd", "keys": ["image"]},
 {"_target_": "ScaleIntensityRanged", "keys": "image", "a_min": "@low", "a_max": 0.5, "b_min": 0.0, "b_max": 1.0, "clip": true}]}, "inferer": {"_target_": "SlidingWindowInferer", "roi_size": [2, 2, 2], "overlap": 0.5, "sw_batch_size": 4},
 "postprocessing": {"transforms": [{"_target_": "Activationsd", "keys": "pred", "softmax": true}, {"_target_": "AsDiscreted", "keys": "pred", "argmax": true}, {"_target_": "SaveImaged", "keys": "pred"}]},

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import PlanError
-from ..operators.hierarchy import first_of_group, group_counts, usable_instances
+from ..operators.hierarchy import usable_instances
 from .dicom_format import PLAIN, decoded
 from .files import contents
 
@@ -107,26 +107,32 @@ def failures(spark: SparkSession, folder: str) -> DataFrame:
     return instances(spark, folder, False).where("NOT parse_ok").select("path", "parse_error")
 
 
-def _first(rows: DataFrame, keys: list[str], tags: tuple[str, ...]) -> DataFrame:
-    tagged = rows.select(*keys, "path", *[F.col("tags")[t].alias(t) for t in tags])
-    return first_of_group(tagged, keys, F.col("path"), list(tags))
+def _firsts(rows: DataFrame, keys: list[str], **columns: Column) -> DataFrame:
+    """(keys, path, n_instances, columns): of each group its size and what its first instance by path has; one aggregate."""
+    return rows.groupBy(*keys).agg(F.min("path").alias("path"), F.count("*").alias("n_instances"), F.min_by(F.struct(*[c.alias(k) for k, c in columns.items()]), "path").alias("first"))
+
+
+def _tags(names: tuple[str, ...], of: str = "first.tags") -> list[Column]:
+    return [F.col(of)[t].alias(t) if t != "SeriesNumber" else F.col(of)[t].try_cast("int").alias(t) for t in names]
 
 
 def series_of(rows: DataFrame) -> DataFrame:
-    """(study_uid, series_uid, n_instances, and what the first instance by path says of the series)."""
+    """(study_uid, series_uid, what the first instance by path says of the series, n_instances)."""
     keys = ["study_uid", "series_uid"]
-    return _first(rows, keys, SERIES_TAGS).withColumn("SeriesNumber", F.col("SeriesNumber").try_cast("int")).join(group_counts(rows, keys), keys)
+    return _firsts(rows, keys, tags=F.col("tags")).dropna(subset=keys).select(*keys, *_tags(SERIES_TAGS), "n_instances")
 
 
 def studies_of(rows: DataFrame) -> DataFrame:
-    """(study_uid, n_instances, and what the first instance by path says of study and patient)."""
-    return _first(rows, ["study_uid"], STUDY_TAGS + PATIENT_TAGS).join(group_counts(rows, ["study_uid"]), ["study_uid"])
+    """(study_uid, what the first instance by path says of study and patient, n_instances)."""
+    return _firsts(rows, ["study_uid"], tags=F.col("tags")).dropna(subset=["study_uid"]).select("study_uid", *_tags(STUDY_TAGS + PATIENT_TAGS), "n_instances")
 
 
 def attributes_of(rows: DataFrame) -> DataFrame:
     """What rules ask of a series: as series_of, with its study's attributes and, for all others, its first instance's tags and orientation.
 
-    A study's attribute counts before a series' own of that name."""
+    A study's attribute counts before a series' own of that name. One aggregate over instances, by series; a study's first
+    instance is that of its first series, found among the study's series."""
     keys = ["study_uid", "series_uid"]
-    first = first_of_group(rows.select(*keys, "path", "tags", "orientation"), keys, F.col("path"), ["tags", "orientation"])
-    return series_of(rows).join(first, keys).join(studies_of(rows).drop("n_instances"), ["study_uid"])
+    series = _firsts(rows, keys, tags=F.col("tags"), orientation=F.col("orientation")).dropna(subset=keys)
+    of_study = F.first(F.col("first.tags")).over(Window.partitionBy("study_uid").orderBy("path"))
+    return series.withColumn("study_tags", of_study).select("study_uid", "series_uid", *_tags(SERIES_TAGS), "n_instances", "first.tags", "first.orientation", *_tags(STUDY_TAGS + PATIENT_TAGS, "study_tags"))

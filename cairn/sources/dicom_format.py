@@ -175,13 +175,15 @@ class _Reader:
             return tag, vr, self.take("I", at + 8)[0], at + 12
         return tag, vr, self.take("H", at + 6)[0], at + 8
 
-    def elements(self, at: int, end: int, closing: int | None = None) -> tuple[dict, int]:
-        """Values by tag up to the end, or to the closing mark."""
+    def elements(self, at: int, end: int, closing: int | None = None, stop: int | None = None) -> tuple[dict, int]:
+        """Values by tag up to the end, to the closing mark, or to the first tag from ``stop`` on; then the place is beyond the end."""
         out: dict[int, object] = {}
         while at < end:
             tag, vr, n, at = self.head(at)
             if tag == closing:
                 return out, at
+            if stop is not None and tag >= stop:
+                return out, end + 1
             if vr == "SQ" or (n == _OPEN and tag != _PIXELS):
                 out[tag], at = self.items(at, end if n == _OPEN else min(end, at + n), n == _OPEN)
             elif n == _OPEN:  # encapsulated pixels: fragments, no values of ours
@@ -244,6 +246,24 @@ def decoded(data: bytes) -> tuple[dict[str, object], str]:
     return _named(found), syntax
 
 
+def decoded_head(data: bytes) -> tuple[dict[str, object], str, bool]:
+    """As ``decoded`` for the beginning of a file: what stands before the pixels, and whether they were reached.
+
+    Raises FormatError where the bytes end within an element; more of the file may mend that."""
+    if data[128:132] != b"DICM":
+        raise FormatError("no DICM mark after the preamble")
+    reader, at, meta = _Reader(data, True, False), 132, {}
+    while at + 2 <= len(data) and reader.take("H", at)[0] == 2:
+        tag, vr, n, begin = reader.head(at)
+        if begin + n > len(data):
+            raise FormatError("cut off in the first group")
+        meta[tag], at = reader.value(vr, data[begin : begin + n]), begin + n
+    syntax = str(meta.get(TAG_OF["TransferSyntaxUID"][0]) or IMPLICIT)
+    body = zlib.decompressobj(-15).decompress(data[at:]) if syntax == DEFLATED else data[at:]
+    found, end = _Reader(body, syntax != IMPLICIT, syntax == BIG).elements(0, len(body), stop=_PIXELS)
+    return _named(found), syntax, end > len(body)
+
+
 def _named(found: dict) -> dict[str, object]:
     plain = lambda v: [_named(x) for x in v] if isinstance(v, list) and v and isinstance(v[0], dict) else v
     return {NAMED[t][1] if t in NAMED else f"{t:08X}": plain(v) for t, v in found.items()}

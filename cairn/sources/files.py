@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import MissingError, PlanError
 from ..functions.scalars import stem
@@ -20,6 +21,26 @@ def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
 
 
+def contents_of(paths: DataFrame, folder: str) -> DataFrame:
+    """paths with the content of each file: tasks open the files themselves, so what isn't listed isn't read.
+
+    folder: the URI that the paths (as ``headers`` gives them) lie in. A file that has gone raises."""
+    schema = T.StructType([*paths.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, _ = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for at in range(b.num_rows):
+                one = b.slice(at, 1)
+                with store.open_input_file(one.column(b.schema.get_field_index("path"))[0].as_py()) as f:
+                    data = pa.array([f.read()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*one.columns, data], names=[*b.schema.names, "content"])
+
+    return paths.mapInArrow(run, schema)
+
+
 def dealt(df: DataFrame, small: int = 32 << 20) -> DataFrame:
     """A table of less than a split, which may be one row group that one task reads alone, dealt to all cores; for work in workers."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
