@@ -40,13 +40,14 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, row_group: int | None = None) -> DataFrame:
     """df, written to the shared folder and read again: its lineage ends here, and a lost executor costs no recomputation.
 
-    Give it back with ``discard`` when no later plan reads it."""
+    row_group: bytes of a row group, for tables of long rows. Give it back with ``discard`` when no later plan reads it."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/cairn-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.size", row_group) if row_group else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cairn_path = path
     return out

@@ -36,7 +36,9 @@ MIN_WORDS = 20
 PERCENT = 25
 SEED = 7
 #: A block ends at so many rows, or after the row with which it has so many numbers.
-BLOCK_ROWS, BLOCK_NUMBERS = 1024, 1 << 20
+BLOCK_ROWS, BLOCK_NUMBERS = 256, 1 << 17
+#: Bytes of a row group of the stored matrix; Spark's reader decodes one at a time.
+ROW_GROUP = 8 << 20
 
 #: A-Z lower-cased; all that parts words becomes a space.
 _LETTERS = bytes(x + 32 if 65 <= x <= 90 else x if x >= 128 or 48 <= x <= 57 or 97 <= x <= 122 else 32 for x in range(256))
@@ -95,8 +97,9 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            at, counts = (batch.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
-            sums += np.bincount(at, counts, buckets).astype(np.int64)  # doubles, exact below 2^53
+            for k in range(batch.num_rows):
+                at, counts = (batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+                np.add.at(sums, at, counts)
         some = np.flatnonzero(sums)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some], pa.int64())], names=["bucket", "n"])
@@ -121,8 +124,8 @@ def products(matrix: DataFrame, by_bucket: np.ndarray, id_col: str = "doc_id") -
         for batch in batches:
             for k in range(batch.num_rows):
                 ids, words, starts, at, counts = (batch.column(c).slice(k, 1).flatten() for c in range(5))
-                starts, at, counts = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in (starts, at, counts))
-                total = lambda x: (c := np.concatenate([[0], np.cumsum(x)]))[starts[1:]] - c[starts[:-1]]
+                starts, at, counts = (x.to_numpy(zero_copy_only=False) for x in (starts, at, counts))
+                total = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int64)]))[starts[1:]] - c[starts[:-1]]
                 features = total(counts)
                 weight = np.where(features > 0, total(by_bucket[at] * counts) // np.maximum(features, 1), 0)
                 yield pa.RecordBatch.from_arrays([ids, words.cast(pa.int64()), pa.array(features, pa.int64()), pa.array(weight, pa.int64())], names=schema.names)
@@ -157,7 +160,7 @@ def resampled(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_c
     if id_col in ("n_words", "n_features", "weight", "score", "rank"):
         docs = docs.select(F.col(id_col).alias("id"), text_col)
         return resampled(docs, target, "id", text_col, target_col, percent, min_words, seed, max_n, buckets).toDF(id_col, *("n_words", "n_features", "weight", "score", "rank"))
-    matrix = stored(blocks(docs, id_col, text_col, max_n, buckets), "matrix")
+    matrix = stored(blocks(docs, id_col, text_col, max_n, buckets), "matrix", ROW_GROUP)
     wanted = blocks(target.select(F.lit(0).alias("id"), F.col(target_col).alias("text")), "id", "text", max_n, buckets)
     gain = gains(column_sums(matrix, buckets), column_sums(wanted, buckets))
     rows = products(matrix, gain, id_col)
