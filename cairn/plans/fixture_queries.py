@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import metadata, scalars
+from ..functions import metadata, scalars, table_functions
 from ..operators import aggregate, catalog, chunks, detect, geometry, hierarchy, kernels, runs, volume
 from ..sinks import dicom_objects, mesh, pictures, results
 from ..sinks.files import saved
@@ -394,7 +394,22 @@ def nms_topk(spark, d):
     return detect.best(table(spark, d, "events"), ["user_id"], "value", 0.1, 10, ["event_id"]).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("T6 M13 I15")
+def _greedy(inner, most_seen: int = 1000, most: int = 100) -> str:
+    """DuckDB's greedy suppression over a list c of boxes {b: lows and highs, s: score, l: label}, best first; inner: the overlap of k and x."""
+    return f"list_reduce(list_transform(c[1:{most_seen}], lambda x: [x]), lambda acc, y: CASE WHEN len(acc) >= {most} OR len(list_filter(acc, lambda k: k.l = y[1].l AND {inner} > 0.22)) > 0 THEN acc ELSE list_concat(acc, y) END)"
+
+
+def _shared(d: int) -> str:
+    """The shared part of boxes k and y[1] of d axes, of what they cover together; 0 where they cover nothing."""
+    side = lambda b, i: f"greatest({b}.b[{i + d}] - {b}.b[{i}], 0)"
+    size = lambda b: " * ".join(side(b, i) for i in range(1, d + 1))
+    inner = " * ".join(f"greatest(least(k.b[{i + d}], y[1].b[{i + d}]) - greatest(k.b[{i}], y[1].b[{i}]), 0)" for i in range(1, d + 1))
+    return f"coalesce(({inner}) / nullif({size('k')} + {size('y[1]')} - ({inner}), 0), 0)"
+
+
+@query("T6 M13 I15", f"""WITH e AS (SELECT user_id, event_id, value, event_id::DOUBLE % 97 AS a FROM events WHERE value >= 0.1),
+b AS (SELECT user_id, list({{'b': [a, a % 13, a + 12 + value % 5, a % 13 + 9], 's': value, 'l': 0, 'i': event_id}} ORDER BY value DESC, [a, a % 13, a + 12 + value % 5, a % 13 + 9]) AS c FROM e GROUP BY user_id)
+SELECT user_id AS image_id, k.i AS event_id, k.s AS score FROM (SELECT user_id, unnest({_greedy(_shared(2))}) AS k FROM b)""")
 def nms_greedy(spark, d):
     e = table(spark, d, "events")
     at = F.col("event_id").cast("double") % 97
@@ -402,6 +417,35 @@ def nms_greedy(spark, d):
     return detect.non_maximum(e.select(F.col("user_id").alias("image_id"), "event_id", box.alias("box"), F.col("value").alias("score"))).select("image_id", "event_id", "score")
 
 
+@query("M13 M20 I15 T6", f"""WITH e AS (SELECT user_id, event_id, value, event_id % 89 AS a, event_id % 7 AS g, event_id % 3 AS l FROM events WHERE value >= 10),
+x AS (SELECT user_id, value, l, a + 5 + 0.5 * 10 AS mx, g + 4 - 0.25 * 8 AS my, 2 + 1.5 + 0.0 * 3 AS mz, 10 * exp(0.1 * g) / 2 AS hx, 8 * exp(0.2) / 2 AS hy, 3 * exp(-0.3) / 2 AS hz, a, g FROM e),
+b AS (SELECT user_id, list({{'b': [mx - hx, my - hy, mz - hz, mx + hx, my + hy, mz + hz]::DOUBLE[], 's': value, 'l': l}} ORDER BY value DESC, l, a, g) AS c FROM x GROUP BY user_id),
+k AS (SELECT user_id, {_greedy(_shared(3), 200, 20)} AS k FROM b)
+SELECT user_id, rank::INT AS rank, k[rank].l::INT AS label, k[rank].s AS score, round(k[rank].b[1], 6) AS x0, round(k[rank].b[6], 6) AS z1 FROM k, range(1, 21) AS r(rank) WHERE rank <= len(k)""")
+def decoded_detections(spark, d):
+    """The table function from SQL: anchors of 10 x 8 x 3, shifted and stretched by their deltas."""
+    table_functions.register(spark)
+    k = F.col("event_id")
+    a, g = (k % 89).cast("double"), (k % 7).cast("double")
+    anchor = F.array(a, g, F.lit(2.0), a + 10, g + 8, F.lit(5.0))
+    delta = F.array(F.lit(0.5), F.lit(-0.25), F.lit(0.0), g * 0.1, F.lit(0.2), F.lit(-0.3))
+    rows = table(spark, d, "events").select("user_id", (k % 3).cast("int").alias("label"), F.col("value").alias("score"), anchor.alias("anchor"), delta.alias("delta"))
+    found = spark.sql("SELECT * FROM cairn_detections(TABLE({anchors}), keys => 'user_id', least => 10.0D, candidates => 200, most => 20)", anchors=rows)
+    return found.select("user_id", "rank", "label", "score", F.round(F.get("box", 0), 6).alias("x0"), F.round(F.get("box", 5), 6).alias("z1"))
+
+
+@query("M1 M20", "SELECT vec_id, round(list_sum(list_transform(range(64), lambda i: embedding[i + 1]::DOUBLE * (i % 5 - 2))), 6) AS score FROM embeddings")
+def predicted_scores(spark, d):
+    """A model that each task loads once, over batches."""
+
+    def load():
+        weights = np.arange(64) % 5 - 2.0
+        return lambda pdf: pdf[["vec_id"]].assign(score=np.stack(pdf["embedding"].to_numpy()).astype(float) @ weights)
+
+    rows = files.dealt(table(spark, d, "embeddings").select("vec_id", "embedding"))
+    return volume.predicted(rows, load, "vec_id long, score double").select("vec_id", F.round("score", 6).alias("score"))
+
+
 # --- reports
 
 @query("C4 C5 C30 W3 J8", """WITH t AS (SELECT o_custkey, unnest(string_split(string_agg('Order' || o_orderkey || ' Volume: ' || (o_orderkey % 977) || ' mL', chr(10) ORDER BY o_orderkey), chr(10))) AS line FROM orders GROUP BY 1)
