@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata, scalars, table_functions
 from ..operators import aggregate, catalog, chunks, detect, geometry, hierarchy, kernels, runs, volume
-from ..sinks import dicom_objects, mesh, pictures, results
+from ..sinks import dicom_objects, mesh, pictures, results, store
 from ..sinks.files import saved
 from ..sources import dicom, files, headers
 from . import applications, bundles, rules
@@ -848,7 +848,29 @@ def slice_pictures(spark, d):
     return pictures.slice_pictures(_volumes(spark, d), "vec_id").select("name", F.hex(F.substring("content", 1, 4)).alias("mark"))
 
 
-@query("W17 W11 S16", "SELECT 'nations' AS collection, n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+@query("W17", "SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS collection, n_nationkey::BIGINT AS k, n_name || CASE WHEN n_nationkey % 5 = 0 THEN ' again' ELSE '' END AS name FROM nation")
 def stored_documents(spark, d):
-    docs = results.documents(table(spark, d, "nation").select("n_nationkey", "n_name"), "nations")
-    return docs.select("collection", F.get_json_object("document", "$.n_nationkey").cast("long").alias("k"), F.get_json_object("document", "$.n_name").alias("name"))
+    """Three batches, of which the second mends every fifth document and is written twice."""
+    from ..streaming.micro_batch import shared_folder
+
+    folder = shared_folder(spark)
+    rows = table(spark, d, "nation").select(F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd").alias("collection"), "n_nationkey", "n_name")
+
+    def documents(part, name):
+        return part.select("collection", store.document_id("n_nationkey").alias("id"), F.to_json(F.struct("n_nationkey", name.alias("n_name"))).alias("document"))
+
+    store.append(documents(rows.where("n_nationkey < 15"), F.col("n_name")), folder, 1)
+    again = documents(rows.where("n_nationkey % 5 = 0"), F.concat("n_name", F.lit(" again")))
+    store.append(documents(rows.where("n_nationkey >= 15"), F.col("n_name")), folder, 2)
+    store.append(again, folder, 3)
+    store.append(again, folder, 3)
+    return store.read(spark, folder).select("collection", F.get_json_object("document", "$.n_nationkey").cast("long").alias("k"), F.get_json_object("document", "$.n_name").alias("name"))
+
+
+@query("W11 S16", "SELECT s_suppkey AS series, 'set ' || s_suppkey || '/b_seg.nii.gz over ' || s_suppkey || '/a' || s_suppkey % 3 || '.nii.gz' AS said FROM supplier")
+def filled_templates(spark, d):
+    """Each series' mask and density by file name, put into a template."""
+    k = F.col("s_suppkey").cast("string")
+    names = F.explode(F.array(*[F.concat(k, F.lit("/"), x) for x in (F.lit("b_seg.nii.gz"), F.concat(F.lit("a"), (F.col("s_suppkey") % 3).cast("string"), F.lit(".nii.gz")), F.lit("c.nii.gz"), F.lit("d.json"))]))
+    found = results.mask_and_density(table(spark, d, "supplier").select(F.col("s_suppkey").alias("series"), names.alias("path")), keys=["series"])
+    return found.select("series", results.filled("set {mask} over {density}", {"mask": F.col("mask"), "density": F.col("density")}).alias("said"))

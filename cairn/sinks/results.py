@@ -50,10 +50,10 @@ def filled(template: str, values: dict[str, Column]) -> Column:
     return out
 
 
-def mask_and_density(files: DataFrame, path: str = "path") -> DataFrame:
-    """(mask, density): the first segmentation file and the first other volume file by path."""
+def mask_and_density(files: DataFrame, path: str = "path", keys: list[str] | None = None) -> DataFrame:
+    """(keys, mask, density): the first segmentation file and the first other volume file by path, of all or of each group."""
     mask, volume = F.endswith(F.col(path), F.lit("_seg.nii.gz")), F.endswith(F.col(path), F.lit(".nii.gz"))
-    return files.agg(F.min(F.when(mask, F.col(path))).alias("mask"), F.min(F.when(volume & ~mask, F.col(path))).alias("density"))
+    return files.groupBy(*(keys or [])).agg(F.min(F.when(mask, F.col(path))).alias("mask"), F.min(F.when(volume & ~mask, F.col(path))).alias("density"))
 
 
 def documents(rows: DataFrame, collection: str) -> DataFrame:
