@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError
 from ..functions.scalars import report_line, report_map
-from ..operators import detect, kernels
+from ..operators import checks, detect, kernels
 from ..operators.aggregate import label_volumes
 from ..operators.geometry import affine, det3, ordered_slices
 from ..operators.hierarchy import latest_of_position
@@ -80,15 +80,13 @@ def real_values(slices: DataFrame) -> DataFrame:
 def volumes(instances: DataFrame, keys: list[str] | None = None, ras: bool = True) -> DataFrame:
     """(keys, shape, dtype, data, affine, sop_uids, sop_class_uid, positions, tags) of each series.
 
-    Of instances at the same position the latest acquisition counts; slices without place or pixels, or of another size
-    than the series' first, go. A series of one slice has no affine. tags are those of the first slice."""
+    Of instances at the same position the latest acquisition counts; slices that ``checks.checked_slices`` refuses go before
+    any worker starts. A series of one slice has no affine. tags are those of the first slice."""
     keys = keys or SERIES
     once = latest_of_position(instances, keys, F.col("position"), F.col("acquisition_number"), [F.col("path"), F.col("sop_uid")])
     plain = [*keys, "path", "sop_uid", "sop_class_uid", "position", "orientation", "pixel_spacing", "rows", "cols", "dtype", "slope", "intercept", "photometric", "pixels"]
-    real = real_values(once.where(F.col("position").isNotNull() & F.col("orientation").isNotNull()).select(*plain)).where(F.col("pixels").isNotNull())
-    head = real.groupBy(*keys).agg(F.min_by(F.struct("rows", "cols"), F.struct("path", "sop_uid")).alias("_size"))
-    even = real.join(head, keys).where((F.col("rows") == F.col("_size.rows")) & (F.col("cols") == F.col("_size.cols")))
-    placed = ordered_slices(even, keys, "path")
+    even = checks.passed(checks.checked_slices(once.select(*plain), keys))
+    placed = ordered_slices(real_values(even), keys, "path")
     packed = stacked(placed, keys)
     facts = placed.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("z", "position", "sop_uid"))).alias("_s"),

@@ -10,11 +10,12 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import metadata, scalars, table_functions
-from ..operators import aggregate, catalog, chunks, detect, geometry, hierarchy, kernels, runs, volume
+from ..operators import aggregate, catalog, checks, chunks, detect, geometry, hierarchy, kernels, runs, volume
 from ..sinks import dicom_objects, mesh, pictures, results, store
 from ..sinks.files import saved
 from ..sources import dicom, files, headers
@@ -745,6 +746,58 @@ def select_written_files(spark, d):
     return chosen.select(number.alias("series"), "selection_name", F.col("match_rank").cast("long").alias("match_rank"), F.length("pixels").alias("n_bytes"), F.hex(F.substring("pixels", 1, 2)).alias("first_pixel"))
 
 
+@query("F24 F25 K19", """WITH s AS (SELECT l_orderkey AS series, l_orderkey || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey || '/' || l_quantity AS path, 2 + (l_quantity % 10 = 0)::INT AS n, l_partkey AS p, l_suppkey AS q, l_linenumber AS z,
+CASE WHEN l_partkey % 11 = 0 THEN 'no position' WHEN l_suppkey % 13 = 0 THEN 'no orientation' WHEN l_partkey % 17 = 0 THEN 'unknown type' WHEN l_partkey % 19 = 0 THEN 'too few pixels' END AS own FROM lineitem),
+f AS (SELECT series, arg_min(n, path) AS n0, arg_min(z % 5 = 0, path) AS tilted FROM s WHERE own IS NULL GROUP BY series),
+r AS (SELECT coalesce(own, CASE WHEN n <> n0 THEN 'another rows' WHEN (z % 5 = 0) <> tilted THEN 'another orientation' END, 'kept') AS reason FROM s LEFT JOIN f USING (series))
+SELECT reason, count(*) AS n FROM r GROUP BY reason""")
+def refused_slices(spark, d):
+    """Slices of mixed series by what keeps them out of their volumes; each order is a series."""
+    p, q, z = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
+    n = F.when(F.col("l_quantity") % 10 == 0, 3).otherwise(2)
+    text = lambda c: F.col(c).cast("string")
+    across = F.when(z % 5 == 0, F.array(*[F.lit(x) for x in (0.0, 1.0, 0.0, 0.0, 0.0, 1.0)])).otherwise(F.array(*[F.lit(x) for x in (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)]))
+    slices = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("series"), F.concat_ws("/", text("l_orderkey"), text("l_linenumber"), text("l_partkey"), text("l_suppkey"), F.format_string("%.1f", "l_quantity")).alias("path"), F.lit("1").alias("sop_uid"),
+        F.when(p % 11 != 0, F.array(F.lit(0.0), F.lit(0.0), z.cast("double"))).alias("position"), F.when(q % 13 != 0, across).alias("orientation"), F.when(p % 17 == 0, "float16").otherwise("uint16").alias("dtype"), n.alias("rows"), F.lit(2).alias("cols"),
+        F.encode(F.repeat(F.lit("a"), n * 4 - F.when(p % 19 == 0, 1).otherwise(0)), "UTF-8").alias("pixels"),
+    )
+    seen = checks.checked_slices(slices, ["series"])
+    return seen.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@query("S15", """SELECT CASE WHEN s_suppkey % 7 = 0 THEN 'lost.raw' ELSE 'v.mhd' END AS file, s_suppkey AS k, CASE WHEN s_suppkey % 7 = 0 THEN 'no header names it' WHEN s_suppkey % 5 = 0 THEN 'its data file is not there' WHEN s_suppkey % 11 = 0 THEN '23 bytes where 24 were due' END AS reason,
+CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0 THEN 12 * s_suppkey + 66 END AS total, CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0 AND s_suppkey % 11 <> 0 THEN '2x3x2' END AS shape FROM supplier""")
+def paired_files(spark, d):
+    """Headers and raw files, of which some lack their other half; a third compressed, a half with the high byte first."""
+    import zlib
+
+    from ..sources import metaimage
+    from ..streaming.micro_batch import shared_folder
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k in pdf["s_suppkey"].tolist():
+                raw = (np.arange(12, dtype=">i2" if k % 2 else "<i2") + k).astype(">i2" if k % 2 else "<i2").tobytes()[: 23 if k % 11 == 0 else 24]
+                raw = zlib.compress(raw) if k % 3 == 0 else raw
+                if k % 7 == 0:
+                    out.append((f"{k}/lost.raw", raw))
+                    continue
+                if k % 5:
+                    out.append((f"{k}/v.raw", raw))
+                head = f"ObjectType = Image\nNDims = 3\nDimSize = 2 3 2\nElementType = MET_SHORT\nElementSpacing = 1 1 2.5\nBinaryDataByteOrderMSB = {k % 2 == 1}\nCompressedData = {k % 3 == 0}\nElementDataFile = v.raw\n"
+                out.append((f"{k}/v.mhd", head.encode()))
+            yield pd.DataFrame(out, columns=["name", "content"])
+
+    folder = shared_folder(spark)
+    saved(files.dealt(table(spark, d, "supplier").select("s_suppkey")).mapInPandas(run, "name string, content binary"), folder)
+    found = metaimage.volumes(spark, folder)
+    bytes_ = lambda i: F.conv(F.hex(F.substring("data", 2 * i + 2, 1)), 16, 10).cast("long") * 256 + F.conv(F.hex(F.substring("data", 2 * i + 1, 1)), 16, 10).cast("long")
+    part = F.split("path", "/")
+    return found.select(F.element_at(part, -1).alias("file"), F.element_at(part, -2).cast("long").alias("k"), "reason", sum((bytes_(i) for i in range(1, 12)), bytes_(0)).alias("total"), F.array_join("shape", "x").alias("shape"))
+
+
 _BUNDLE = """{"in": {"_target_": "LoadImaged", "keys": "image"}, "low": -0.5, "preprocessing": {"transforms": ["@in", {"_target_": "CastToTyped", "keys": "image", "dtype": "float64"}, {"_target_": "EnsureChannelFirstd", "keys": ["image"]},
 {"_target_": "ScaleIntensityRanged", "keys": "image", "a_min": "@low", "a_max": 0.5, "b_min": 0.0, "b_max": 1.0, "clip": true}]}, "inferer": {"_target_": "SlidingWindowInferer", "roi_size": [2, 2, 2], "overlap": 0.5, "sw_batch_size": 4},
 "postprocessing": {"transforms": [{"_target_": "Activationsd", "keys": "pred", "softmax": true}, {"_target_": "AsDiscreted", "keys": "pred", "argmax": true}, {"_target_": "SaveImaged", "keys": "pred"}]},

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import urllib.parse
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,17 +26,24 @@ def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
 def contents_of(paths: DataFrame, folder: str) -> DataFrame:
     """paths with the content of each file: tasks open the files themselves, so what isn't listed isn't read.
 
-    folder: the URI that the paths (as ``headers`` gives them) lie in. A file that has gone raises."""
+    folder: the URI (or absolute path) whose store the paths, URIs or places in that store, lie in. A file that has gone raises."""
     schema = T.StructType([*paths.schema.fields, T.StructField("content", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, _ = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(folder)
+        scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", folder)
         for b in batches:
-            for at in range(b.num_rows):
-                one = b.slice(at, 1)
-                with store.open_input_file(one.column(b.schema.get_field_index("path"))[0].as_py()) as f:
+            at = b.schema.get_field_index("path")
+            for k in range(b.num_rows):
+                one = b.slice(k, 1)
+                path = one.column(at)[0].as_py()
+                if path.startswith("file:"):
+                    path = urllib.parse.unquote("/" + path[len("file:") :].lstrip("/"))
+                elif scheme and path.startswith(scheme[0]):
+                    path = store.from_uri(path)[1]
+                with store.open_input_file(path) as f:
                     data = pa.array([f.read()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*one.columns, data], names=[*b.schema.names, "content"])
 
