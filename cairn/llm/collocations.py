@@ -5,7 +5,8 @@ by ranges of (first word, language, further words), sorted backwards, and counte
 as equal prefixes stand together, a count is whole when its prefix leaves the stack, and rare ones are let go there. Ranges
 keep a first word together unless it is so frequent that its range must be cut, at its second or third word; only prefixes
 at a range's two ends can then be split, and their parts are added up afterwards. So no frequent word or pair meets in one
-task, whatever share of the rows it has. Equal suffixes are counted within a task before they move.
+task, whatever share of the rows it has. Equal suffixes are counted within a task before they move. Where ranges end is
+taken from a sample of texts; it decides where rows go, never what is counted.
 
 Counts of a phrase's parts are joined to it afterwards by (language, part): parts with a thousandth of all words or more
 (a thousand of each length at most) by broadcast, all others by shuffle.
@@ -17,15 +18,18 @@ as stated; columns other than text and language don't matter. Words are compared
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, looked_up, slices, stored, texts_of
+from .common import bytes_of, discard, looked_up, slices, stored, texts_of
 
 MAX_N, MIN_COUNT, TOP = 3, 10, 2000
 #: A phrase goes where a longer one that holds it has at least this percentage of its count.
@@ -33,8 +37,10 @@ HELD_PERCENT = 50
 NO_LANG = "und"
 #: Parts with more than 1/HOT of all words are broadcast.
 HOT = 1000
-#: Distinct suffixes that a task counts before it hands them on.
-COUNTED = 200_000
+#: Suffixes that a task counts at once before it hands them on.
+COUNTED = 100_000
+#: Texts (about) that ranges are cut by, and of whose suffixes each so-many-th.
+CUT_TEXTS, CUT_EVERY = 20_000, 29
 #: Words of a piece that are taken at once.
 STEP = 50_000
 
@@ -54,12 +60,26 @@ def lang_key(lang: str) -> bytes:
     return lang.replace("%", "%25").replace("\0", "%00").encode()
 
 
-def suffixes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_n: int = MAX_N) -> DataFrame:
-    """(key, n): suffixes of at most max_n words, as first word, language, further words parted by byte 0; counted in part."""
+def suffixes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_n: int = MAX_N, cuts: list[str] | None = None, every: int = 1) -> DataFrame:
+    """(key, n): suffixes of at most max_n words, as first word, language, further words parted by byte 0; counted in part.
+
+    cuts: with them a column range, the number of cuts that are at most the key. every: of a task's suffixes only each
+    so-many-th, for a sample."""
+    ordered = [c.encode() for c in cuts or ()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())], names=["key", "n"])
+        held: list[bytes] = []
+        names = ["key", "n"] + ["range"] * (cuts is not None)
+
+        def out() -> pa.RecordBatch:
+            counts = Counter(held[::every])
+            keys = pa.array(list(counts), pa.binary())
+            columns = [keys.view(pa.string()), pa.array(counts.values(), pa.int32())]
+            if cuts is not None:
+                columns.append(pa.array([bisect_right(ordered, k) for k in counts], pa.int32()))
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
         for batch in slices(batches):
             for text, lang in zip(bytes_of(batch, 0), texts_of(batch, 1)):
                 own = lang_key(lang)
@@ -67,61 +87,98 @@ def suffixes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ma
                     for at in range(0, len(words), STEP):
                         w = words[at : at + STEP + max_n - 1]
                         whole = max(0, len(w) - max_n + 1)
-                        counts.update(map(b"\0".join, zip(w[:whole], repeat(own), *[w[k : whole + k] for k in range(1, max_n)])))
+                        held += map(b"\0".join, zip(w[:whole], repeat(own), *[w[k : whole + k] for k in range(1, max_n)]))
                         if at + STEP >= len(words):  # the suffixes that the piece's end cuts short
-                            counts.update(b"\0".join((w[k], own, *w[k + 1 :])) for k in range(whole, len(w)))
-                        if len(counts) >= COUNTED:
+                            held += [b"\0".join((w[k], own, *w[k + 1 :])) for k in range(whole, len(w))]
+                        if len(held) >= COUNTED:
                             yield out()
-                            counts.clear()
-        if counts:
+        if held:
             yield out()
 
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG))
-    return docs.select(F.col(text_col).cast("string"), lang.alias("lang")).mapInArrow(run, "key binary, n long")
+    schema = "key string, n int" + ", range int" * (cuts is not None)
+    return docs.select(F.col(text_col).cast("string"), lang.alias("lang")).mapInArrow(run, schema)
+
+
+def range_cuts(docs: DataFrame, text_col: str, lang_col: str, max_n: int, ranges: int) -> list[str]:
+    """Keys that part suffixes in ranges of about equal size, by a sample of texts; counts don't depend on them."""
+    rows = docs.count()
+    some = docs.sample(min(1.0, CUT_TEXTS / max(1, rows)), seed=7)
+    keys = stored(suffixes(some, text_col, lang_col, max_n, every=CUT_EVERY).select("key"), "cuts")
+    lows = keys.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("range")).agg(F.min("key").alias("low")).collect()  # a row a range
+    discard(keys)
+    return sorted(r.low for r in lows)[1:]
 
 
 class Stack:
-    """The open prefixes of sorted suffixes and their counts so far; finished ones go to ``found`` as (lang, words, count).
+    """The prefixes of sorted suffixes that are open, each with its count so far; a batch of suffixes at a time.
 
-    Prefixes of the first and the last suffix may go on in another range, so they are handed on whatever their count."""
+    A prefix leaves the stack when a suffix comes that doesn't have it, or ends before it. Its count is whole then, unless it
+    was open at the range's first or last suffix: such prefixes may go on in another range, and are handed on whatever
+    their count."""
 
     def __init__(self, least: int):
-        self.least, self.found = least, ([], [], [])
-        self.open: list[bytes] = []
-        self.sums: list[int] = []
+        self.least = least
+        self.open: list[bytes] = []  # first word, language, further words
+        self.sums: list[int] = []  # of each depth
         self.whole: list[bool] = []
-        self.lang = b""
         self.words_of: Counter[bytes] = Counter()  # of each language
-
-    def close(self, to: int, whole: bool = True) -> None:
-        """Ends all prefixes deeper than ``to``."""
-        while len(self.open) > to:
-            n = self.sums.pop()
-            if n >= self.least or not (whole and self.whole[-1]):
-                for column, x in zip(self.found, (self.lang, b" ".join(self.open), n)):
-                    column.append(x)
-            self.open.pop(), self.whole.pop()
-            if self.sums:
-                self.sums[-1] += n
-
-    def push(self, words: list[bytes], lang: bytes, n: int) -> None:
-        at = 0
-        if lang == self.lang:
-            for a, b in zip(words, self.open):
-                if a != b:
-                    break
-                at += 1
-        first = not self.words_of
-        if at < len(self.open):
-            self.close(at)
-        self.lang = lang
-        more = words[at:]
-        if more:
-            self.open += more
-            self.sums += [0] * len(more)
-            self.whole += [not first] * len(more)
-        self.sums[-1] += n
-        self.words_of[lang] += n
+        self.found: list[tuple[bytes, bytes, int]] = []  # language, words, count
+
+    def give(self, key: list[bytes], depth: int, n: int) -> None:
+        self.found.append((key[1], b" ".join([key[0], *key[2 : depth + 2]]), n))
+
+    def pop(self, depth: int) -> None:
+        """Ends the open prefix of a depth, if there is one."""
+        if len(self.sums) > depth and (self.sums[depth] >= self.least or not self.whole[depth]):
+            self.give(self.open, depth, self.sums[depth])
+
+    def push(self, keys: pa.Array, n: np.ndarray) -> None:
+        parts = pc.split_pattern(keys, "\0")
+        words, begin = parts.values, parts.offsets.to_numpy()
+        size, begin = np.diff(begin) - 1, begin[:-1]
+        langs = words.take(pa.array(begin + 1)).dictionary_encode()
+        codes = langs.indices.to_numpy()
+        for lang, total in zip(langs.dictionary.to_pylist(), np.bincount(codes, n, len(langs.dictionary))):
+            self.words_of[lang.encode()] += int(total)
+        first_key, last_key = (keys[k].as_py().encode().split(b"\0") for k in (0, -1))
+        fresh = not self.open
+        same = np.zeros(len(keys), bool)  # as the row before, in all words so far
+        same[1:] = codes[1:] == codes[:-1]
+        sums, whole = [], []
+        for depth in range(max(len(self.sums), int(size.max()))):
+            rows = np.flatnonzero(size > depth)
+            begins = size[0] > depth and not fresh and len(self.sums) > depth and first_key[: depth + 2] == self.open[: depth + 2]
+            if not begins:
+                self.pop(depth)
+            if not len(rows):
+                continue
+            own = words.take(pa.array(begin[rows] + (depth + 1 if depth else 0)))
+            now = np.zeros(len(keys), bool)
+            now[rows[1:]] = same[rows[1:]] & (rows[1:] == rows[:-1] + 1) & pc.equal(own[1:], own[:-1]).to_numpy(zero_copy_only=False)
+            same = now
+            heads = np.flatnonzero(~same[rows])
+            counts = np.add.reduceat(n[rows], heads)
+            heads = rows[heads]
+            if begins:
+                counts[0] += self.sums[depth]
+            partial = (begins and not self.whole[depth]) or (fresh and size[0] > depth)
+            goes_on = size[-1] > depth
+            ended = len(heads) - goes_on
+            for k in np.flatnonzero(counts[:ended] >= self.least).tolist():
+                self.give(keys[int(heads[k])].as_py().encode().split(b"\0"), depth, int(counts[k]))
+            if partial and ended and counts[0] < self.least:
+                self.give(first_key, depth, int(counts[0]))
+            if goes_on:
+                sums.append(int(counts[-1]))
+                whole.append(not (partial and len(heads) == 1))
+        self.open, self.sums, self.whole = last_key, sums, whole
+
+    def end(self) -> None:
+        self.whole = [False] * len(self.whole)
+        for depth in range(len(self.sums)):
+            self.pop(depth)
+        self.open, self.sums, self.whole = [], [], []
 
 
 def prefix_counts(sorted_suffixes: DataFrame, least: int = MIN_COUNT) -> DataFrame:
@@ -133,25 +190,21 @@ def prefix_counts(sorted_suffixes: DataFrame, least: int = MIN_COUNT) -> DataFra
         stack = Stack(least)
 
         def out() -> pa.RecordBatch:
-            lang, words, n = stack.found
-            stack.found = ([], [], [])
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.binary()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["lang", "words", "n"])
+            columns = [pa.array(x, t) for x, t in zip(zip(*stack.found), (pa.binary(), pa.binary(), pa.int64()))]
+            stack.found = []
+            return pa.RecordBatch.from_arrays(columns, names=["lang", "words", "n"])
 
         for batch in batches:
-            push = stack.push
-            for key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first, lang, *more = key.split(b"\0")
-                push([first, *more], lang, n)
-            if len(stack.found[0]) > 10_000:
+            if batch.num_rows:
+                stack.push(batch.column(0), batch.column(1).to_numpy().astype(np.int64))
+            if len(stack.found) > 10_000:
                 yield out()
-        stack.close(0, whole=False)
-        for lang, n in stack.words_of.items():
-            for column, x in zip(stack.found, (lang, b"", n)):
-                column.append(x)
-        if stack.found[0]:
+        stack.end()
+        stack.found += [(lang, b"", n) for lang, n in stack.words_of.items()]
+        if stack.found:
             yield out()
 
-    raw = sorted_suffixes.mapInArrow(run, "lang binary, words binary, n long")
+    raw = sorted_suffixes.select("key", "n").mapInArrow(run, "lang binary, words binary, n long")
     lang = F.replace(F.replace(F.col("lang").cast("string"), F.lit("%00"), F.lit("\0")), F.lit("%25"), F.lit("%"))
     return raw.select(lang.alias("lang"), F.replace(F.col("words").cast("string"), F.lit("\t"), F.lit("\0")).alias("words"), "n")
 
@@ -159,7 +212,9 @@ def prefix_counts(sorted_suffixes: DataFrame, least: int = MIN_COUNT) -> DataFra
 def grams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_n: int = MAX_N, least: int = MIN_COUNT) -> DataFrame:
     """(lang, words, n): every run of at most max_n words that occurs ``least`` times or more, and, as the empty run, each
     language's number of words."""
-    parts = suffixes(docs, text_col, lang_col, max_n).repartitionByRange(F.desc("key")).sortWithinPartitions(F.desc("key"))
+    ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = range_cuts(docs, text_col, lang_col, max_n, ranges)
+    parts = suffixes(docs, text_col, lang_col, max_n, cuts).repartitionById(len(cuts) + 1, F.col("range")).sortWithinPartitions(F.desc("key"))
     return prefix_counts(parts, least).groupBy("lang", "words").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("words") == ""))
 
 

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,8 +98,10 @@ def test_blocks_are_the_matrix(spark):
     assert len(got) == 1 and got[0].ids == [0, 1, 2, 3] and got[0].words == [3, 0, 0, 5000]
     b = lambda f: zlib.crc32(f.encode()) % 10000
     assert got[0].starts == [0, 4, 4, 4, 6]
-    assert dict(zip(got[0].buckets[:4], got[0].counts[:4])) == {b("a"): 2, b("b"): 1, b("a b"): 1, b("b a"): 1}
-    assert dict(zip(got[0].buckets[4:], got[0].counts[4:])) == {b("c"): 5000, b("c c"): 4999}
+    buckets, counts = importance._numbers(pa.scalar(bytes(got[0].buckets)), 6).tolist(), importance._numbers(pa.scalar(bytes(got[0].counts)), 6).tolist()
+    assert len(got[0].buckets) == 12 and len(got[0].counts) == 12  # 5,000 needs two bytes
+    assert dict(zip(buckets[:4], counts[:4])) == {b("a"): 2, b("b"): 1, b("a b"): 1, b("b a"): 1}
+    assert dict(zip(buckets[4:], counts[4:])) == {b("c"): 5000, b("c c"): 4999}
 
 
 # 12
@@ -162,14 +166,36 @@ def test_counts_are_whole_wherever_ranges_are_cut(spark):
     """Each cut of the sorted suffixes in two gives the same sums."""
     suffixes = sorted([b"a\0en", b"a\0en\0b", b"a\0en\0b\0c", b"a\0en\0b\0d", b"a\0de\0b\0c", b"b\0en\0a", b"c\0en"], reverse=True)
     want = Counter({("en", "a"): 12, ("en", "a b"): 9, ("en", "a b c"): 3, ("en", "a b d"): 3, ("de", "a"): 3, ("de", "a b"): 3, ("de", "a b c"): 3, ("en", "b"): 3, ("en", "b a"): 3, ("en", "c"): 3, ("en", ""): 18, ("de", ""): 3})
-    for at in range(1, len(suffixes)):
-        df = spark.sparkContext.parallelize([suffixes[:at], suffixes[at:]], 2).flatMap(lambda x: [(bytearray(k), 3) for k in x]).toDF("key binary, n long")
+    for at in range(0, len(suffixes) + 1):
+        df = spark.sparkContext.parallelize([suffixes[:at], suffixes[at:]], 2).flatMap(lambda x: [(k.decode(), 3) for k in x]).toDF("key string, n int")
         got = Counter()
         for lang, words, n in collocations.prefix_counts(df, 4).collect():
             got[lang, words] += n
         assert got.items() <= want.items() and all(got[k] == v for k, v in want.items() if v >= 4)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100, 1000])
+def test_the_stack_goes_on_between_batches(size):
+    rng = random.Random(size)
+    rows = Counter(b"\0".join([rng.choice([b"a", b"b", b"ab"]), rng.choice([b"de", b"en"]), *[rng.choice([b"a", b"b", b"ba"]) for _ in range(rng.randrange(3))]]) for _ in range(400))
+    keys = sorted(rows, reverse=True)
+    want = Counter()
+    for k in keys:
+        first, lang, *more = k.split(b"\0")
+        for d in range(len(more) + 1):
+            want[lang, b" ".join([first, *more[:d]])] += rows[k]
+    stack = collocations.Stack(10)
+    for at in range(0, len(keys), size):
+        part = keys[at : at + size]
+        stack.push(pa.array([k.decode() for k in part]), np.array([rows[k] for k in part], np.int64))
+    stack.end()
+    got = {(lang, words): n for lang, words, n in stack.found}
+    edges = {(lang, b" ".join([first, *more[:d]])) for first, lang, *more in (keys[0].split(b"\0"), keys[-1].split(b"\0")) for d in range(len(more) + 1)}
+    assert len(got) == len(stack.found) and got.items() <= want.items()
+    assert set(got) == {k for k, n in want.items() if n >= 10} | edges
+    assert stack.words_of == Counter({lang: sum(n for k, n in rows.items() if k.split(b"\0")[1] == lang) for lang in (b"de", b"en")})
+
+
 def test_exact_beyond_64_bits(spark, monkeypatch):
     big = [("en", "", 9 * 10**14), ("en", "a", 3 * 10**14 + 1), ("en", "b", 2 * 10**14 + 3), ("en", "a b", 10**14 + 7)]
     monkeypatch.setattr(collocations, "grams", lambda *a: spark.createDataFrame(big, "lang string, words string, n long"))
