@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import re
-import urllib.parse
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ def contents_of(paths: DataFrame, folder: str) -> DataFrame:
                 one = b.slice(k, 1)
                 path = one.column(at)[0].as_py()
                 if path.startswith("file:"):
-                    path = urllib.parse.unquote("/" + path[len("file:") :].lstrip("/"))
+                    path = "/" + path[len("file:") :].lstrip("/")
                 elif scheme and path.startswith(scheme[0]):
                     path = store.from_uri(path)[1]
                 with store.open_input_file(path) as f:
