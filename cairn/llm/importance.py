@@ -60,11 +60,24 @@ def bucket_counts(text: bytes, max_n: int = 2, buckets: int = BUCKETS) -> tuple[
     return len(words), at, counts
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    most = int(a.max()) if len(a) else 0
+    return a.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4")
+
+
+def _numbers(data: pa.Scalar, n: int) -> np.ndarray:
+    """What _narrow made of n numbers."""
+    raw = data.as_buffer()
+    return np.frombuffer(raw, f"<u{raw.size // n}") if n else np.zeros(0, np.uint8)
+
+
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_n: int = 2, buckets: int = BUCKETS) -> DataFrame:
-    """(ids, words, starts, buckets, counts): blocks of compressed sparse rows of the documents' bucket counts."""
+    """(ids, words, starts, buckets, counts): blocks of compressed sparse rows of the documents' bucket counts.
+
+    buckets and counts are bytes: whole numbers of one, two or four bytes each, as the block's largest needs."""
     id_type = docs.schema[id_col].dataType
     ids = T.ArrayType(id_type)
-    schema = T.StructType([T.StructField(n, t) for n, t in (("ids", ids), ("words", T.ArrayType(T.IntegerType())), ("starts", T.ArrayType(T.IntegerType())), ("buckets", T.ArrayType(T.IntegerType())), ("counts", T.ArrayType(T.IntegerType())))])
+    schema = T.StructType([T.StructField(n, t) for n, t in (("ids", ids), ("words", T.ArrayType(T.IntegerType())), ("starts", T.ArrayType(T.IntegerType())), ("buckets", T.BinaryType()), ("counts", T.BinaryType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, words, at, counts, held = [], [], [], [], 0
@@ -72,8 +85,8 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
         def block(kind: pa.DataType) -> pa.RecordBatch:
             one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t))
             starts = np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32)
-            flat = [np.concatenate(x).astype(np.int32) for x in (at, counts)]
-            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows), kind), one(words, pa.int32()), one(starts, pa.int32()), one(flat[0], pa.int32()), one(flat[1], pa.int32())], names=schema.names)
+            flat = [pa.array([_narrow(np.concatenate(x)).tobytes()], pa.binary()) for x in (at, counts)]
+            return pa.RecordBatch.from_arrays([one(pa.concat_arrays(rows), kind), one(words, pa.int32()), one(starts, pa.int32()), *flat], names=schema.names)
 
         kind = None
         for batch in slices(batches):
@@ -97,15 +110,15 @@ def column_sums(matrix: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            for k in range(batch.num_rows):
-                at, counts = (batch.column(c).slice(k, 1).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
-                np.add.at(sums, at, counts)
+            for starts, at, counts in zip(*batch.columns):
+                n = starts.values[-1].as_py()
+                np.add.at(sums, _numbers(at, n), _numbers(counts, n).astype(np.int64))
         some = np.flatnonzero(sums)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some], pa.int64())], names=["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for bucket, n in matrix.select("buckets", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():  # a row a bucket
+    for bucket, n in matrix.select("starts", "buckets", "counts").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():  # a row a bucket
         out[bucket] = n
     return out
 
@@ -123,8 +136,9 @@ def products(matrix: DataFrame, by_bucket: np.ndarray, id_col: str = "doc_id") -
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, words, starts, at, counts = (batch.column(c).slice(k, 1).flatten() for c in range(5))
-                starts, at, counts = (x.to_numpy(zero_copy_only=False) for x in (starts, at, counts))
+                ids, words, starts = (batch.column(c).slice(k, 1).flatten() for c in range(3))
+                starts = starts.to_numpy(zero_copy_only=False)
+                at, counts = (_numbers(batch.column(c)[k], int(starts[-1])) for c in (3, 4))
                 total = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int64)]))[starts[1:]] - c[starts[:-1]]
                 features = total(counts)
                 weight = np.where(features > 0, total(by_bucket[at] * counts) // np.maximum(features, 1), 0)
