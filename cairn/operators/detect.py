@@ -95,11 +95,28 @@ def diagnostics(found: DataFrame, keys: list[str], what: str = "Finding") -> Dat
     return found.join(lists, keys, "left").select(*keys, report.alias("report"))
 
 
+def _solved(matrix: Column, point: list[Column]) -> list[Column]:
+    """The grid place of a patient place, by the affine's inverse: ratios of determinants; null where it has none."""
+    m = [[F.get(F.get(matrix, F.lit(i)), F.lit(j)) for j in range(3)] for i in range(3)]
+    off = [p - F.get(F.get(matrix, F.lit(i)), F.lit(3)) for i, p in enumerate(point)]
+    det = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    swap = lambda j: [[off[i] if k == j else m[i][k] for k in range(3)] for i in range(3)]
+    return [F.try_divide(det(*swap(j)), det(*m)) for j in range(3)]
+
+
 def to_grid(box: Column, matrix: Column) -> Column:
-    """A box (x0, y0, z0, x1, y1, z1) of patient places in the grid of a diagonal affine, ends in order."""
+    """The least box of the grid that holds a box (x0, y0, z0, x1, y1, z1) of patient places, for any affine that can be inverted."""
+    end = lambda k: F.get(box, F.lit(k))
+    corners = [_solved(matrix, [end(3 * (n >> i & 1) + i) for i in range(3)]) for n in range(8)]
+    return F.array(*[F.least(*[c[i] for c in corners]) for i in range(3)], *[F.greatest(*[c[i] for c in corners]) for i in range(3)])
+
+
+def to_patient(box: Column, matrix: Column) -> Column:
+    """The least box of patient places that holds a box of the grid, for any affine."""
+    end = lambda k: F.get(box, F.lit(k))
     cell = lambda i, j: F.get(F.get(matrix, F.lit(i)), F.lit(j))
-    at = lambda k: F.try_divide(F.get(box, F.lit(k)) - cell(k % 3, 3), cell(k % 3, k % 3))
-    return F.array(*[F.least(at(k), at(k + 3)) for k in range(3)], *[F.greatest(at(k), at(k + 3)) for k in range(3)])
+    corners = [[sum((cell(i, j) * end(3 * (n >> j & 1) + j) for j in range(3)), cell(i, 3)) for i in range(3)] for n in range(8)]
+    return F.array(*[F.least(*[c[i] for c in corners]) for i in range(3)], *[F.greatest(*[c[i] for c in corners]) for i in range(3)])
 
 
 def clipped(box: Column, size: Column) -> Column:

@@ -831,13 +831,18 @@ def finding_observations(spark, d):
     return report.select("k", F.explode(read).alias("o")).select("k", "o.id", "o.z", "o.qualifier")
 
 
-@query("W19", f"WITH {_FOUND} SELECT k::VARCHAR AS accession, 'PR' AS modality, true AS parse_ok FROM b GROUP BY k")
+@query("W19", f"""WITH {_FOUND}, t AS (SELECT DISTINCT b.k, b.box_id, score, box_id % 50 AS x FROM b JOIN o USING (k, box_id))
+SELECT k.k::VARCHAR AS accession, 'PR' AS modality, coalesce(string_agg(concat_ws(',', x, x + 1, x + 5, x + 1, x + 5, x + 7, x, x + 7, x, x + 1), ' ' ORDER BY box_id), '') AS lines, coalesce(string_agg(printf('%.2f', score), ' ' ORDER BY box_id), '') AS texts
+FROM (SELECT DISTINCT k FROM b) AS k LEFT JOIN t ON t.k = k.k GROUP BY k.k""")
 def presentation_objects(spark, d):
+    """Every line and text of each file, read back."""
     found = _found(spark, d)[1]
     uids = F.transform(F.sequence(F.lit(0), F.lit(29)), lambda z: F.concat(F.lit("1.9."), z.cast("string")))
     rows = found.select(F.col("k").alias("key"), uids.alias("sop_uids"), F.lit("1.2").alias("sop_class_uid"), "findings", F.create_map(F.lit("AccessionNumber"), F.col("k").cast("string")).alias("tags"))
-    read = dicom.parsed(dicom_objects.presentation_states(rows, "key").withColumnRenamed("name", "path"))
-    return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["Modality"].alias("modality"), "parse_ok")
+    at = "GraphicAnnotationSequence."
+    read = dicom.nested(dicom_objects.presentation_states(rows, "key"), {"accession": "AccessionNumber", "modality": "Modality", "data": f"{at}GraphicObjectSequence.GraphicData", "texts": f"{at}TextObjectSequence.UnformattedTextValue"})
+    line = lambda x: F.array_join(F.transform(scalars.numbers(x), lambda v: v.cast("int").cast("string")), ",")
+    return read.select(F.get("accession", 0).alias("accession"), F.get("modality", 0).alias("modality"), F.array_join(F.transform("data", line), " ").alias("lines"), F.array_join("texts", " ").alias("texts"))
 
 
 def _volumes(spark, d):
@@ -855,22 +860,34 @@ def report_objects_round_trip(spark, d):
     return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["PatientID"].alias("patient"), F.col("tags")["StudyDescription"].alias("description"), F.col("tags")["Modality"].alias("modality"), "parse_ok")
 
 
-@query("W4 W5 S2", "SELECT s_suppkey::VARCHAR AS accession, 'OT' AS modality, 1 AS rows, 2 AS cols, 'uint8' AS dtype, printf('%02X', s_suppkey % 256) || printf('%02X', s_nationkey % 256) AS pixels FROM supplier")
+@query("W5 S2", "SELECT s_suppkey::VARCHAR AS accession, 'OT' AS modality, 1 AS rows, 2 AS cols, 'uint8' AS dtype, printf('%02X', s_suppkey % 256) || printf('%02X', s_nationkey % 256) AS pixels FROM supplier")
 def capture_objects_round_trip(spark, d):
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.array(F.lit(1), F.lit(2)).alias("shape"), F.unhex(F.concat(F.lpad(F.hex(F.col("s_suppkey") % 256), 2, "0"), F.lpad(F.hex(F.col("s_nationkey") % 256), 2, "0"))).alias("data"), F.create_map(F.lit("AccessionNumber"), F.col("s_suppkey").cast("string")).alias("tags"))
     read = dicom.parsed(dicom_objects.captures(rows, "key").withColumnRenamed("name", "path"))
     return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["Modality"].alias("modality"), "rows", "cols", "dtype", F.hex("pixels").alias("pixels"))
 
 
-@query("W1 W2", """WITH v AS (SELECT vec_id, unnest(embedding) > 0 AS b, unnest(range(64)) // 16 AS z FROM embeddings)
-SELECT vec_id::VARCHAR AS accession, count(DISTINCT z) FILTER (WHERE b)::VARCHAR AS frames FROM v GROUP BY vec_id""")
+@query("W1 W2", """WITH v AS (SELECT vec_id, e > 0 AS b, i // 16 AS z, i % 16 AS p FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings)),
+f AS (SELECT vec_id, z, coalesce((sum(pow(2, p % 8)) FILTER (b AND p < 8))::BIGINT, 0) AS low, coalesce((sum(pow(2, p % 8)) FILTER (b AND p >= 8))::BIGINT, 0) AS high FROM v GROUP BY ALL HAVING bool_or(b))
+SELECT vec_id::VARCHAR AS accession, count(*)::VARCHAR AS frames, 'part' AS labels, string_agg((z + 1)::VARCHAR, ' ' ORDER BY z) AS places, string_agg(printf('%02X%02X', low, high), '' ORDER BY z) AS bits FROM f GROUP BY vec_id""")
 def segmentation_frames(spark, d):
+    """Every frame's place and voxels, and the segment, read back."""
     slices = F.sequence(F.lit(1), F.lit(4))
     rows = _volumes(spark, d).select(F.col("vec_id").alias("key"), "shape", "dtype", "data", F.transform(slices, lambda k: F.concat(F.lit("1.2."), k.cast("string"))).alias("sop_uids"), F.lit("1.2").alias("sop_class_uid"),
                                      F.transform(slices, lambda k: F.array(F.lit(0.0), F.lit(0.0), k.cast("double"))).alias("positions"), F.create_map(F.lit("AccessionNumber"), F.col("vec_id").cast("string")).alias("tags"))
     part = {"label": "part", "value": 1, "category": ("85756007", "SCT", "Tissue"), "type": ("85756007", "SCT", "Tissue")}
-    read = dicom.parsed(dicom_objects.segmentations(rows, "key", [part]).withColumnRenamed("name", "path"))
-    return read.select(F.col("tags")["AccessionNumber"].alias("accession"), F.col("tags")["NumberOfFrames"].alias("frames"))
+    at = "PerFrameFunctionalGroupsSequence."
+    read = dicom.nested(dicom_objects.segmentations(rows, "key", [part]), {"accession": "AccessionNumber", "frames": "NumberOfFrames", "labels": "SegmentSequence.SegmentLabel", "places": f"{at}PlanePositionSequence.ImagePositionPatient", "bits": "PixelData"})
+    depth = lambda x: F.get(scalars.numbers(x), 2).cast("int").cast("string")
+    return read.select(*[F.get(c, 0).alias(c) for c in ("accession", "frames")], F.array_join("labels", " ").alias("labels"), F.array_join(F.transform("places", depth), " ").alias("places"), F.get("bits", 0).alias("bits"))
+
+
+@query("W4", "SELECT s_suppkey::VARCHAR AS accession, 'OT' AS modality, 'application/pdf' AS kind, hex(encode('%PDF-1.4 ' || s_name || CASE WHEN length(s_name) % 2 = 0 THEN chr(0) ELSE '' END)) AS document FROM supplier")
+def pdf_objects(spark, d):
+    """Encapsulated documents, read back byte by byte (a byte more where the format asks for an even number)."""
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.encode(F.concat(F.lit("%PDF-1.4 "), "s_name"), "UTF-8").alias("content"), F.create_map(F.lit("AccessionNumber"), F.col("s_suppkey").cast("string")).alias("tags"))
+    read = dicom.nested(dicom_objects.pdfs(rows, "key"), {"accession": "AccessionNumber", "modality": "Modality", "kind": "MIMETypeOfEncapsulatedDocument", "document": "EncapsulatedDocument"})
+    return read.select(*[F.get(c, 0).alias(c) for c in ("accession", "modality", "kind", "document")])
 
 
 @query("W13 M10 M11", """WITH p AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS p FROM embeddings)
@@ -896,9 +913,51 @@ def mask_meshes(spark, d):
     return mesh.meshes(_volumes(spark, d), "vec_id").select("name", F.length("content").alias("n_bytes"))
 
 
-@query("W9 W15 I7", "SELECT vec_id::VARCHAR || '/' || z || '.png' AS name, '89504E47' AS mark FROM embeddings, range(4) r(z)")
+def _read_back(spark, rows):
+    """(name, values): pictures written as files and read by Spark's own reader; red, green, blue by pixel."""
+    from ..sources import images
+    from ..streaming.micro_batch import shared_folder
+
+    folder = shared_folder(spark)
+    saved(rows, folder)
+    read = images.rgb(spark, folder, channel_first=False)
+    return read.select(F.element_at(F.split("path", "cairn-stream-[0-9a-f]+/"), -1).alias("name"), "values")
+
+
+@query("W9", """WITH v AS (SELECT vec_id, i // 16 AS z, i, e > 0 AS b FROM (SELECT vec_id, unnest(embedding) AS e, unnest(range(64)) AS i FROM embeddings))
+SELECT vec_id::VARCHAR || '/' || z || '.png' AS name, string_agg(CASE WHEN b THEN '111' ELSE '000' END, '' ORDER BY i) AS pixels FROM v GROUP BY vec_id, z""")
 def slice_pictures(spark, d):
-    return pictures.slice_pictures(_volumes(spark, d), "vec_id").select("name", F.hex(F.substring("content", 1, 4)).alias("mark"))
+    """Every pixel of each slice's picture, read back."""
+    read = _read_back(spark, pictures.slice_pictures(_volumes(spark, d), "vec_id"))
+    return read.select("name", F.array_join(F.transform("values", lambda x: x.cast("int").cast("string")), "").alias("pixels"))
+
+
+@query("W15 I7", """WITH g AS (SELECT vec_id, embedding AS e, list_transform(embedding, lambda v: round_even((v::DOUBLE - list_min(embedding)::DOUBLE) / (list_max(embedding)::DOUBLE - list_min(embedding)::DOUBLE) * 255, 0)) AS g FROM embeddings)
+SELECT vec_id::VARCHAR || '_overlay.png' AS name, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN e[i]::DOUBLE > 0.1 THEN trunc((1 - 0.4::DOUBLE) * g[i] + 0.4::DOUBLE * 255)::INT || ',' || trunc((1 - 0.4::DOUBLE) * g[i])::INT ELSE g[i]::INT || ',' || g[i]::INT END), ' ') AS pixels FROM g""")
+def overlay_pictures(spark, d):
+    """Red and green of every pixel of each overlay, read back."""
+    packed = volume.packed_arrays(files.dealt(table(spark, d, "embeddings")), ["vec_id"], "embedding", (8, 8), "float64")
+    mask = volume.packed_arrays(files.dealt(table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (x.cast("double") > 0.1).cast("int")).alias("m"))), ["vec_id"], "m", (8, 8), "uint8")
+    pairs = packed.join(mask.select("vec_id", F.col("dtype").alias("mask_dtype"), F.col("data").alias("mask")), "vec_id")
+    read = _read_back(spark, pictures.overlays(pairs, "vec_id"))
+    text = lambda i: F.get("values", i).cast("int").cast("string")
+    return read.select("name", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(text(3 * i), F.lit(","), text(3 * i + 1))), " ").alias("pixels"))
+
+
+@query("I15", """WITH b AS (SELECT event_id, event_id % 50 AS x, event_id % 31 AS y, event_id % 17 AS z, event_id % 5 + 1 AS s FROM events),
+c AS (SELECT event_id, unnest([x, x, x, x, x + 3, x + 3, x + 3, x + 3]) AS x, unnest([y, y, y + s, y + s, y, y, y + s, y + s]) AS y, unnest([z, z + 2, z, z + 2, z, z + 2, z, z + 2]) AS z FROM b),
+p AS (SELECT event_id, 0.8::DOUBLE * (x - 10) + 0.6::DOUBLE * (y + 20) AS i, (-0.6::DOUBLE * (x - 10) + 0.8::DOUBLE * (y + 20)) / 2 AS j, (z - 5) / -2.5::DOUBLE AS k FROM c)
+SELECT event_id, round(min(i), 6) AS i0, round(max(i), 6) AS i1, round(min(j), 6) AS j0, round(max(j), 6) AS j1, round(min(k), 6) AS k0, round(max(k), 6) AS k1, true AS back FROM p GROUP BY event_id""")
+def grid_boxes(spark, d):
+    """Boxes of patient places in the grid of a turned affine with a mirrored axis, and around them again."""
+    k = F.col("event_id")
+    x, y, z, s = (k % n for n in (50, 31, 17, 5))
+    box = F.array(*[v.cast("double") for v in (x, y, z, x + 3, y + s + 1, z + 2)])
+    matrix = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in ((0.8, -1.2, 0, 10), (0.6, 1.6, 0, -20), (0, 0, -2.5, 5), (0, 0, 0, 1))])
+    got = table(spark, d, "events").select("event_id", box.alias("box"), detect.to_grid(box, matrix).alias("g")).withColumn("p", detect.to_patient(F.col("g"), matrix))
+    holds = F.forall(F.sequence(F.lit(0), F.lit(2)), lambda i: (F.get("p", i) <= F.get("box", i) + 1e-9) & (F.get("p", i + 3) >= F.get("box", i + 3) - 1e-9))
+    ends = [F.round(F.get("g", i + 3 * n), 6).alias(f"{c}{n}") for i, c in enumerate("ijk") for n in (0, 1)]
+    return got.select("event_id", *ends, holds.alias("back"))
 
 
 @query("W17", "SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS collection, n_nationkey::BIGINT AS k, n_name || CASE WHEN n_nationkey % 5 = 0 THEN ' again' ELSE '' END AS name FROM nation")

@@ -136,3 +136,39 @@ def attributes_of(rows: DataFrame) -> DataFrame:
     series = _firsts(rows, keys, tags=F.col("tags"), orientation=F.col("orientation")).dropna(subset=keys)
     of_study = F.first(F.col("first.tags")).over(Window.partitionBy("study_uid").orderBy("path"))
     return series.withColumn("study_tags", of_study).select("study_uid", "series_uid", *_tags(SERIES_TAGS), "n_instances", "first.tags", "first.orientation", *_tags(STUDY_TAGS + PATIENT_TAGS, "study_tags"))
+
+
+def _found(values: object, path: list[str]) -> Iterator[object]:
+    """The values at the path, through all items of the sequences on it, in order."""
+    if isinstance(values, list):
+        for item in values:
+            yield from _found(item, path)
+    elif isinstance(values, dict) and path[0] in values:
+        if len(path) == 1:
+            yield values[path[0]]
+        else:
+            yield from _found(values[path[0]], path[1:])
+
+
+def nested(objects: DataFrame, paths: dict[str, str], name: str = "name") -> DataFrame:
+    """(name, parse_error, and for each path an array<string>) of objects (name, content).
+
+    A path is keywords joined by dots, such as SegmentSequence.SegmentLabel; the values of all items come in order, lists
+    as ``tags`` has them, bytes in hexadecimal digits. An object that can't be read has a reason and nulls."""
+    kinds = f"{name} string, parse_error string, " + ", ".join(f"{k} array<string>" for k in paths)
+    shown = lambda v: v.hex().upper() if isinstance(v, bytes) else _text(v)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.schema([(name, pa.string()), ("parse_error", pa.string()), *((k, pa.list_(pa.string())) for k in paths)])
+        for b in batches:
+            for at in range(0, b.num_rows, 16):
+                part, rows = b.slice(at, 16), []
+                for key, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    try:
+                        values, _ = decoded(data or b"")
+                        rows.append({name: key, "parse_error": None} | {k: [shown(v) for v in _found(values, p.split("."))] for k, p in paths.items()})
+                    except Exception as e:  # one bad object never ends the load: its reason is its row
+                        rows.append({name: key, "parse_error": f"{type(e).__name__}: {e}"} | dict.fromkeys(paths))
+                yield pa.RecordBatch.from_pylist(rows, shape)
+
+    return objects.select(name, "content").mapInArrow(run, kinds)
