@@ -357,14 +357,16 @@ def test_toxicity_of_odd_texts(spark):
 # 8
 
 
-@pytest.mark.parametrize("kind", ["equal", "wide", "long tail"])
-@pytest.mark.parametrize("n", [1500, 6000])
-def test_recall_by_lengths(spark, kind, n):
-    """0.9 of the nearest are found whatever the vectors' lengths."""
-    rng = np.random.default_rng(n)
-    x = rng.normal(size=(n, 32))
+@pytest.mark.parametrize("n, d, kind", [(1500, 32, "equal"), (1500, 32, "long tail"), (6000, 32, "wide"), (6000, 64, "shifted"), (6000, 256, "equal"), (3000, 256, "clustered")])
+def test_recall(spark, n, d, kind):
+    """0.9 of the nearest are found whatever the vectors' lengths, middle, groups and dimensions."""
+    rng = np.random.default_rng(n + d)
+    x = rng.normal(size=(n, d))
+    if kind == "clustered":
+        x = rng.normal(size=(60, d))[rng.integers(0, 60, n)] + 0.3 * x
     x /= np.linalg.norm(x, axis=1)[:, None]
-    x *= {"equal": np.ones((n, 1)), "wide": rng.uniform(0.2, 3, (n, 1)), "long tail": np.exp(0.5 * rng.normal(size=(n, 1)))}[kind]
+    x *= {"wide": rng.uniform(0.2, 3, (n, 1)), "long tail": np.exp(0.5 * rng.normal(size=(n, 1)))}.get(kind, 1.0)
+    x += 0.3 * (kind == "shifted")
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     ask = F.col("vec_id") % 20 == 0
     out = permutation_index.nearest(df, ask, block_rows=500).collect()  # files are split and share blocks
@@ -381,6 +383,21 @@ def test_recall_by_lengths(spark, kind, n):
     assert hit >= 0.9 * 20 * len(found)
 
 
+def test_trial_answers_are_exact(spark):
+    x = np.random.default_rng(0).integers(-2, 3, (300, 4)).astype(float)  # many ties
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, v array<double>").repartition(5)
+    asked = x[:3]
+    assert permutation_index.exact(rows, asked, 7) == [sorted(range(300), key=lambda k: (-float(x[k] @ q), k))[:7] for q in asked]
+
+
+def test_vectors_that_are_all_the_middle(spark):
+    df = spark.createDataFrame([(k, [1.0, 2.0]) for k in range(30)], "vec_id long, embedding array<double>")
+    out = permutation_index.nearest(df, F.col("vec_id") == 3).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [k for k in range(21) if k != 3]
+    huge = spark.createDataFrame([(k, [1e308 * (1 - k % 3), 1e300 * k]) for k in range(1, 40)], "vec_id long, embedding array<double>")
+    assert permutation_index.nearest(huge, F.col("vec_id") == 0).collect() == []
+
+
 def test_a_query_opens_a_falling_share_of_files():
     pivots = [max(permutation_index.LEAST_PIVOTS, math.ceil(permutation_index.PIVOTS_A_ROOT * math.sqrt(n))) for n in (2_000, 50_000, 1_000_000)]
     share = [permutation_index.opened_files(p) / p for p in pivots]
