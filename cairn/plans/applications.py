@@ -8,6 +8,7 @@ class scores (classes, z, y, x). It is loaded once for each task and runs on one
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError
 from ..functions.scalars import report_line, report_map
-from ..operators import checks, detect, kernels
+from ..operators import checks, chunks, detect, kernels
 from ..operators.aggregate import label_volumes
 from ..operators.geometry import affine, det3, ordered_slices
 from ..operators.hierarchy import latest_of_position
@@ -100,23 +101,23 @@ def volumes(instances: DataFrame, keys: list[str] | None = None, ras: bool = Tru
     return packed.join(named, keys).join(tags, keys)
 
 
-def tiled(volume: np.ndarray, model: Model, roi: tuple[int, ...], overlap: float = 0.25) -> np.ndarray:
-    """The mean of the model's class scores over windows that slide along each axis; each window is as large as the roi or the volume."""
-    if not 0 <= overlap < 1:
-        raise PlanError(f"overlap must be in [0, 1): {overlap}")
-    starts = []
-    for n, size in zip(volume.shape, roi):
-        last, step = max(0, n - size), max(1, int(size * (1 - overlap)))
-        starts.append(sorted({*range(0, last, step), last}))
-    total, seen = None, np.zeros(volume.shape)
-    for corner in np.array(np.meshgrid(*starts, indexing="ij")).reshape(volume.ndim, -1).T:
-        place = tuple(slice(a, a + size) for a, size in zip(corner, roi))
-        scores = model(volume[place])
+def tiled(volume: np.ndarray, model: Model, roi: tuple[int, ...], overlap: float | tuple[float, ...] = 0.25, gaussian: bool = False) -> np.ndarray:
+    """The mean of the model's class scores over windows that slide along each axis; a volume smaller than the roi lies in the middle of zeros.
+
+    One task holds the volume, and the model gets one window at a time; ``operators.chunks`` spreads windows over tasks."""
+    tiling = chunks.Tiling(tuple(roi), overlap, gaussian=gaussian)
+    sizes, weights = tiling.sizes(volume.shape), tiling.weights(tiling.sizes(volume.shape))
+    before = [max(0, (s - n) // 2) for s, n in zip(sizes, volume.shape)]
+    padded = np.pad(volume, [(lo, max(0, s - n) - lo) for s, n, lo in zip(sizes, volume.shape, before)])
+    total, seen = None, np.zeros(padded.shape)
+    for corner in product(*tiling.starts(volume.shape)):
+        place = tuple(slice(a + lo, a + lo + size) for a, lo, size in zip(corner, before, sizes))
+        scores = model(padded[place])
         if total is None:
-            total = np.zeros((len(scores), *volume.shape))
-        total[(slice(None), *place)] += scores
-        seen[place] += 1
-    return total / seen
+            total = np.zeros((len(scores), *padded.shape))
+        total[(slice(None), *place)] += scores * weights
+        seen[place] += weights
+    return (total / seen)[(slice(None), *[slice(lo, lo + n) for lo, n in zip(before, volume.shape)])]
 
 
 def segmented(packed: DataFrame, load: Callable[[], Model], window: tuple[float, float] | str | None = None, roi: tuple[int, ...] | None = None, overlap: float = 0.25) -> DataFrame:

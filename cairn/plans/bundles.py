@@ -9,6 +9,7 @@ built. Names such as ``@image_key`` are looked up in the configuration; expressi
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from ..errors import PlanError, UnsupportedError
 from ..operators import kernels
+from ..operators.chunks import Tiling
 from ..operators.volume import largest_component, unpacked
 from .applications import tiled
 
@@ -47,12 +49,15 @@ def inferer_of(kind: Inferer | str) -> Inferer:
 
 @dataclass(frozen=True)
 class Windows:
-    """How a model meets a volume: whole, or in windows that slide."""
+    """How a model meets a volume: whole, or in windows that slide.
+
+    batch: windows at once where windows are spread over tasks (``tiling``); a model of one volume gets one at a time."""
 
     kind: Inferer = Inferer.SIMPLE
     roi: tuple[int, ...] | None = None
     overlap: float | tuple[float, ...] = 0.25
     batch: int = 4
+    gaussian: bool = False
 
     def __post_init__(self) -> None:
         each = self.overlap if isinstance(self.overlap, tuple) else (self.overlap,)
@@ -63,6 +68,11 @@ class Windows:
         if self.kind is Inferer.SLIDING_WINDOW and not self.roi:
             raise PlanError("sliding windows need a size")
 
+    @property
+    def tiling(self) -> Tiling:
+        """The same windows for chunked volumes."""
+        return Tiling(self.roi or (0, 0, 0), self.overlap, max(1, self.batch), self.gaussian)
+
 
 @dataclass(frozen=True)
 class Names:
@@ -91,6 +101,7 @@ def _each(f: Callable[..., np.ndarray]) -> Callable[..., None]:
         for k in keys:
             item[k] = f(item[k], **options)
 
+    run.options = set(list(inspect.signature(f).parameters)[1:])
     return run
 
 
@@ -219,6 +230,9 @@ def steps_of(item: dict | list | None, config: dict, without: tuple[str, ...] =
         keys = options.pop("keys", None)
         if keys is None:
             raise UnsupportedError(f"{name} has no keys: only keyed steps are run")
+        known = getattr(STEPS[plain], "options", None) or set(list(inspect.signature(STEPS[plain]).parameters)[2:])
+        if unknown := set(options) - known:
+            raise UnsupportedError(f"{name} has no option {', '.join(sorted(unknown))}")
         out.append((plain, [keys] if isinstance(keys, str) else list(keys), options))
     return out
 
@@ -246,8 +260,28 @@ def bundle_of(texts: dict[str, str], meta: str | dict | None = None, names: Name
     kind = str(own.get("_target_", "")).rsplit(".", 1)[-1]
     if kind not in ("SimpleInferer", "SlidingWindowInferer"):
         raise UnsupportedError(f"no inferer {kind!r}")
-    windows = Windows() if kind == "SimpleInferer" else Windows(Inferer.SLIDING_WINDOW, tuple(own["roi_size"]), own.get("overlap", 0.25), own.get("sw_batch_size", 1))
-    return Bundle(steps_of(config.get(names.preprocessing), config), steps_of(config.get(names.postprocessing), config), windows, form.get("inputs") or {"image": {}}, form.get("outputs") or {"pred": {}}, names)
+    windows = Windows() if kind == "SimpleInferer" else _windows(own)
+    inputs, outputs = form.get("inputs") or {"image": {}}, form.get("outputs") or {"pred": {}}
+    if len(inputs) > 1 or len(outputs) > 1:
+        raise UnsupportedError(f"one input and one output are run, not {', '.join(inputs)} to {', '.join(outputs)}")
+    return Bundle(steps_of(config.get(names.preprocessing), config), steps_of(config.get(names.postprocessing), config), windows, inputs, outputs, names)
+
+
+#: What a configuration says of windows; devices and progress bars change no result.
+_WINDOW_OPTIONS = {"roi_size", "overlap", "sw_batch_size", "mode", "device", "sw_device", "progress", "cache_roi_weight_map", "padding_mode"}
+
+
+def _windows(own: dict) -> Windows:
+    """Sliding windows of a configuration; what isn't done is refused."""
+    if unknown := {k for k in own if not k.startswith("_")} - _WINDOW_OPTIONS:
+        raise UnsupportedError(f"windows have no option {', '.join(sorted(unknown))}")
+    overlap, mode = own.get("overlap", 0.25), str(own.get("mode", "constant")).lower()
+    if mode not in ("constant", "gaussian") or own.get("padding_mode", "constant") != "constant":
+        raise UnsupportedError(f"no windows of mode {mode!r}, padded by {own.get('padding_mode', 'constant')!r}")
+    roi = own.get("roi_size")
+    if not isinstance(roi, (list, tuple)) or len(roi) != 3:
+        raise PlanError(f"windows need three sizes: {roi!r}")
+    return Windows(Inferer.SLIDING_WINDOW, tuple(roi), tuple(overlap) if isinstance(overlap, list) else overlap, own.get("sw_batch_size", 1), mode == "gaussian")
 
 
 def applied(volume: np.ndarray, matrix: np.ndarray, bundle: Bundle, model: Model) -> np.ndarray:
@@ -267,7 +301,7 @@ def applied(volume: np.ndarray, matrix: np.ndarray, bundle: Bundle, model: Model
         if len(item[key]) != 1:
             raise UnsupportedError("windows slide over one channel")
         roi = tuple(n if r <= 0 else r for r, n in zip(w.roi, item[key].shape[1:]))
-        scores = tiled(item[key][0], lambda x: np.asarray(model(x[None])), roi, max(w.overlap) if isinstance(w.overlap, tuple) else w.overlap)
+        scores = tiled(item[key][0], lambda x: np.asarray(model(x[None])), roi, w.overlap, w.gaussian)
     item[out] = scores
     for name, keys, options in bundle.after:
         STEPS[name](item, [k for k in keys if k in item], **options)

@@ -19,7 +19,7 @@ from ..operators import aggregate, catalog, checks, chunks, detect, geometry, hi
 from ..sinks import dicom_objects, mesh, pictures, results, store
 from ..sinks.files import saved
 from ..sources import dicom, files, headers
-from . import applications, bundles, rules
+from . import applications, bundles, presets, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -812,6 +812,22 @@ def bundle_labels(spark, d):
     return got.select("vec_id", ones.cast("long").alias("n_one"), (64 - ones).cast("long").alias("n_none"))
 
 
+@query("M7 P5 P6 P7", """WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE * 600 AS hu FROM embeddings)
+SELECT vec_id, count(*) FILTER (hu > 84) AS liver, count(*) FILTER (hu > 37.5) AS organs, count(*) FILTER (hu > 56) AS pancreas FROM v GROUP BY vec_id""")
+def preset_labels(spark, d):
+    """The middle of each preset's intensity window as the threshold of a plain model, over volumes of 4 x 4 x 4."""
+    rows = files.dealt(table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 600).alias("v")))
+    eye = F.array(*[F.array(*[F.lit(1.0 if i == j else 0.0) for j in range(4)]) for i in range(4)])
+    packed = volume.packed_arrays(rows, ["vec_id"], "v", (4, 4, 4)).withColumn("affine", eye)
+    ones = F.length(F.replace(F.hex("data"), F.lit("00"), F.lit(""))) / 2
+    out = None
+    for name, column in (("liver_tumour", "liver"), ("multi_organ", "organs"), ("pancreas", "pancreas")):
+        own = presets.preset(name, spacing=(1.0, 1.0, 1.0), roi=(6, 6, 6))
+        got = presets.labels(packed, own, lambda: lambda x: np.concatenate([np.full(x.shape, 0.5), x])).select("vec_id", ones.cast("long").alias(column))
+        out = got if out is None else out.join(got, "vec_id")
+    return out
+
+
 _FOUND = """b AS (SELECT user_id AS k, event_id AS box_id, value / 100 AS score, event_id % 40 AS z0, event_id % 40 + event_id % 3 AS z1 FROM events WHERE event_type = 'purchase' AND user_id % 10 = 0),
 s AS (SELECT k, z FROM (SELECT DISTINCT k FROM b), range(30) r(z)), o AS (SELECT b.k, b.box_id, s.z, round_even(b.score * 100, 2) AS percent FROM b JOIN s ON s.k = b.k AND s.z BETWEEN b.z0 AND b.z1)"""
 

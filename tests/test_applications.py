@@ -2,9 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cairn.errors import PlanError
+from cairn.errors import MissingError, PlanError
 from cairn.plans import applications as apps
+from cairn.plans import presets
 from cairn.sources import dicom, dicom_format
 
 CT = {"SOPClassUID": "1.2.840.10008.5.1.4.1.1.2", "StudyInstanceUID": "1.5", "Modality": "CT", "Rows": 4, "Columns": 3, "BitsAllocated": 16, "PixelRepresentation": 1, "RescaleSlope": 2.0, "RescaleIntercept": -10.0, "PhotometricInterpretation": "MONOCHROME2", "ImageOrientationPatient": [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], "PixelSpacing": [0.5, 0.25]}
@@ -71,3 +73,40 @@ def test_windows_slide():
     assert np.allclose(apps.tiled(v, model, (4, 8, 3), 0.5), model(v))
     with pytest.raises(PlanError):
         apps.tiled(v, model, (4, 4, 4), 1.0)
+
+
+@pytest.mark.parametrize("name", sorted(presets.PRESETS))
+def test_presets_run_on_files(spark, folder, name):
+    """Each preset's rules, window, model and objects; the model's label is what lies above the window's middle."""
+    own = presets.preset(name, roi=(4, 4, 4), spacing=(0.25, 0.5, 3.0))
+    instances = dicom.loaded(spark, folder).withColumns({"tags": F.map_concat(F.map_filter("tags", lambda k, v: k != "ImageType"), F.create_map(F.lit("ImageType"), F.lit("['ORIGINAL', 'PRIMARY']")))})
+    low, high = own.window
+    above = (np.arange(-10, 400) > (low + high) / 2).argmax() - 10
+    load = lambda: lambda v: np.concatenate([np.full(v.shape, 0.5), v])
+    out = presets.run(own, instances, load, store=False)
+    assert set(out) == {"segmentations"} | ({"surfaces"} if own.surfaces else set())
+    (seg,) = out["segmentations"].collect()
+    back, _ = dicom_format.decoded(bytes(seg.content))
+    assert [s["SegmentLabel"] for s in back["SegmentSequence"]] == [s["label"] for s in own.segments] and above < 190
+    frames = back["PerFrameFunctionalGroupsSequence"]
+    first = [f["SegmentIdentificationSequence"][0]["ReferencedSegmentNumber"] for f in frames]
+    bits = np.unpackbits(np.frombuffer(back["PixelData"], np.uint8), bitorder="little")[: len(frames) * 12]
+    assert set(first) == {1} and len(frames) == 5 and int(bits.sum()) == 6 + 5  # 190 and 390 lie above, 0 below
+
+
+def test_presets_are_checked():
+    with pytest.raises(MissingError):
+        presets.preset("other")
+    assert presets.preset("multi_organ").bundle.windows.roi == (96, 96, 96) and len(presets.preset("multi_organ").segments) == 13
+    assert presets.preset("liver_tumour").bundle.windows.tiling.overlap == (0.6, 0.6, 0.6)
+
+
+def test_small_volumes_are_padded():
+    v = np.ones((2, 3, 1))
+    seen = []
+
+    def model(x):
+        seen.append(x.shape)
+        return x[None] * 2
+
+    assert np.array_equal(apps.tiled(v, model, (4, 3, 4), (0.5, 0.0, 0.25), gaussian=True), v[None] * 2) and set(seen) == {(4, 3, 4)}

@@ -213,9 +213,19 @@ def test_bundles_refuse_what_they_do_not_know():
         ({"preprocessing": {"transforms": [{"_target_": "Spacingd", "keys": "image", "pixdim": "$1+1"}]}}, UnsupportedError),
         ({"preprocessing": {"transforms": [{"_target_": "Spacingd", "keys": "image", "pixdim": "@nowhere"}]}}, PlanError),
         ({"preprocessing": {"transforms": [{"_target_": "Spacing", "pixdim": [1, 1, 1]}]}}, UnsupportedError),
+        ({"preprocessing": {"transforms": [{"_target_": "ScaleIntensityRanged", "keys": "image", "a_min": 0, "a_max": 1, "b_mean": 0}]}}, UnsupportedError),
+        ({"inferer": {"_target_": "SlidingWindowInferer", "roi_size": [2, 2, 2], "mode": "other"}}, UnsupportedError),
+        ({"inferer": {"_target_": "SlidingWindowInferer", "roi_size": [2, 2, 2], "padding_mode": "reflect"}}, UnsupportedError),
+        ({"inferer": {"_target_": "SlidingWindowInferer", "roi_size": [2, 2, 2], "odd": 1}}, UnsupportedError),
+        ({"inferer": {"_target_": "SlidingWindowInferer", "roi_size": [2, 2]}}, PlanError),
+        ({"inferer": {"_target_": "SlidingWindowInferer", "roi_size": [2, 2, 2], "overlap": [0.5, 0.5, 1.0]}}, PlanError),
+        ({"_meta_": {"network_data_format": {"inputs": {"image": {}, "more": {}}, "outputs": {"pred": {}}}}}, UnsupportedError),
+        ({"_meta_": {"network_data_format": {"inputs": {"image": {}}, "outputs": {"pred": {}, "more": {}}}}}, UnsupportedError),
     ):
         with pytest.raises(error):
             bundles.bundle_of({"inference": config(**own)})
+    each = bundles.bundle_of({"inference": config(inferer={"_target_": "SlidingWindowInferer", "roi_size": [2, 2, 2], "overlap": [0.5, 0.0, 0.25], "mode": "gaussian", "sw_batch_size": 3})}).windows
+    assert each.overlap == (0.5, 0.0, 0.25) and each.gaussian and each.tiling.batch == 3
     with pytest.raises(PlanError):
         bundles.bundle_of({}, names=bundles.Names(configs="other"))
     with pytest.raises(PlanError):
