@@ -1,7 +1,8 @@
 """WARC responses to derived records: linked metadata and plain-text conversions.
 
-Each response record gives a metadata record (title, language, links and the source's headers, as warc-fields) and a
-conversion record (the page's plain text). Both name the response they derive from (WARC-Refers-To, with its target
+Each response record gives a metadata record (title, language, links and the source's headers, as warc-fields) and, if it
+is text, a conversion record (the page's plain text). Transfer and content codings (chunked, gzip, deflate) are undone
+first; the digest of the source stays that of the payload as stored. Both name the response they derive from (WARC-Refers-To, with its target
 URI and date), and carry their own block digests as well as the source's payload digest. Record ids are UUIDs of the
 source's id, so that a task that runs again gives the same records.
 
@@ -9,7 +10,8 @@ source's id, so that a task that runs again gives the same records.
 that Spark lists, and ``as_records`` gives derived records as the bytes of the file format.
 
 Defined results: a null page or header counts as empty; a response without an id has null ids for itself and its
-derived records are still made, without links; a record that can't be parsed comes back with its error and no
+derived records are still made, without links; a body of another type than text, or of a coding that isn't known, gives a
+metadata record only, which says so; of a damaged coding what can be read is converted; a record that can't be parsed comes back with its error and no
 content; a charset that isn't one of pages counts as UTF-8, with what can't be read replaced; repeated rows each give
 their records; an empty table gives none; very long pages are read whole, in time linear in their length; other columns
 are ignored, whatever their names.
@@ -49,12 +51,18 @@ _ENDLESS = frozenset(("script", "style"))
 _DROPPED = _ENDLESS | {"noscript", "template", "svg"}
 _IN_HEAD = frozenset(("meta", "link", "base"))
 _BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article section header footer nav main aside blockquote pre hr title form dl dt dd body".split())
-_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)\b")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: A tag in plain order, its values in double quotes; all others are scanned attribute by attribute.
+_PLAIN = re.compile(r"""</?[a-zA-Z][^\s"'>=/]*(?:\s+[^\s"'>=/]+(?:="[^"]*")?)*\s*/?>""")
+_PLAIN_VALUES = re.compile(r"""\s([^\s"'>=/]+)="([^"]*)\"""")
+_BETWEEN = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
 _CLOSERS = {name: re.compile(rf"</{name}\s*>", re.I) for name in (*_DROPPED, "title")}
-_HREF = re.compile(r"\bhref\s*=\s*", re.I)
-_BARE = re.compile(r"[^\s>]+")
-_LANG = re.compile(r"\blang\s*=\s*[\"']?([A-Za-z0-9-]+)", re.I)
+_BARE = re.compile(r"[^\s>]*")
+_LANG = re.compile(r"[A-Za-z0-9-]+")
 _CHARSET = re.compile(r"charset=[\"']?([\w.:-]+)", re.I)
+_META_CHARSET = re.compile(r"<meta\s[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", re.I)
 _SURROGATE = re.compile("[\ud800-\udfff]")
 #: Text encodings that no page is read by: they aren't safe or linear.
 _ODD_CHARSETS = frozenset(("idna", "punycode", "undefined", "unicode_escape", "raw_unicode_escape", "utf_7"))
@@ -89,14 +97,41 @@ class Page:
             self._none_after[name] = at
         return found
 
-    def _link(self, at: int, end: int) -> None:
-        if not (m := _HREF.search(self.page, at, end)):
-            return
-        quote = self.page[m.end() : m.end() + 1]
-        if quote in ("'", '"') and (z := self.page.find(quote, m.end() + 1)) >= 0:
-            self.links.append(self.page[m.end() + 1 : z])
-        elif bare := _BARE.match(self.page, m.end(), end):
-            self.links.append(bare[0])
+    def _quote(self, mark: str, at: int) -> int:
+        """Where the mark stands next; that there is none is found out once."""
+        if at >= self._none_after.get(mark, len(self.page) + 1):
+            return -1
+        found = self.page.find(mark, at)
+        if found < 0:
+            self._none_after[mark] = at
+        return found
+
+    def _tag(self, lt: int, at: int) -> tuple[dict[str, str], int]:
+        """(attributes, where the tag's ">" stands or -1) of a tag that begins at lt and whose name ends at at; a name's first value counts.
+
+        A ">" within quotes ends nothing. A quote that nothing closes is part of a bare value."""
+        page = self.page
+        if m := _PLAIN.match(page, lt):
+            return dict(reversed([(k.lower(), v) for k, v in _PLAIN_VALUES.findall(page, at, m.end())])), m.end() - 1
+        found: dict[str, str] = {}
+        while True:
+            at = _BETWEEN.match(page, at).end()
+            if at >= len(page):
+                return found, -1
+            if page[at] == ">":
+                return found, at
+            m = _ATTRIBUTE.match(page, at)
+            name, at, value = m[0].lower(), m.end(), ""
+            if m := _EQUALS.match(page, at):
+                at = m.end()
+                mark = page[at : at + 1]
+                end = self._quote(mark, at + 1) if mark and mark in "\"'" else -1
+                if end >= 0:
+                    value, at = page[at + 1 : end], end + 1
+                else:
+                    m = _BARE.match(page, at)
+                    value, at = m[0], m.end()
+            found.setdefault(name, value)
 
     def _read(self) -> None:
         page, parts, at, in_head = self.page, self.parts, 0, False
@@ -110,15 +145,18 @@ class Page:
                 parts.append(" ")
                 at = end + 3 if end >= 0 else len(page)
                 continue
-            begins = page[lt + 1 : lt + 3].lstrip("/")[:1]
-            gt = page.find(">", lt) if begins in ("!", "?") or (begins.isascii() and begins.isalpha()) else -2
+            begins, named, attributes = page[lt + 1 : lt + 3].lstrip("/")[:1], _NAME.match(page, lt), {}
+            if named:
+                attributes, gt = self._tag(lt, named.end())
+            else:
+                gt = self._quote(">", lt) if begins in ("!", "?") else -2
             if gt < 0:
                 if gt == -1:  # no tag ends after this
                     break
                 parts.append("<")
                 in_head, at = False, lt + 1
                 continue
-            named, closing, at = _NAME.match(page, lt, gt + 1), page[lt + 1] == "/", gt + 1
+            closing, at = page[lt + 1] == "/", gt + 1
             name = named[1].lower() if named else ""
             if name in _DROPPED and not closing and (name in _ENDLESS or page[gt - 1] != "/"):
                 end = self._closed(name, at)
@@ -127,14 +165,15 @@ class Page:
                     at = end.end() if end else len(page)
                     continue
             if name == "a" and not closing:
-                self._link(lt, gt)
+                if "href" in attributes:
+                    self.links.append(attributes["href"])
             elif name == "title" and not closing and (self.title is None or in_head) and (end := self._closed(name, at)):
                 self.title = page[at : end.start()] if self.title is None else self.title
                 if in_head:
                     at = end.end()
                     continue
-            elif name == "html" and self.language is None and (m := _LANG.search(page, lt, gt)):
-                self.language = m[1]
+            elif name == "html" and self.language is None and (m := _LANG.match(attributes.get("lang", "").strip())):
+                self.language = m[0]
             if name == "head":
                 in_head = not closing
                 continue
@@ -162,33 +201,127 @@ def plain_text(page: str) -> str:
     return Page(page).text()
 
 
-def decoded(payload: bytes, headers: str) -> str:
-    """The page by the charset of its headers; by UTF-8 where that is none, unknown or no encoding of pages."""
-    m, name = _CHARSET.search(headers), "utf-8"
+def header_values(headers: str) -> dict[str, str]:
+    """Values by lower-case name; of a name that comes again, all, parted by commas."""
+    out: dict[str, str] = {}
+    for line in headers.replace("\r\n", "\n").split("\n")[1:]:
+        name, colon, value = line.partition(":")
+        if colon:
+            name = name.strip().lower()
+            out[name] = f"{out[name]}, {value.strip()}" if name in out else value.strip()
+    return out
+
+
+def unchunked(data: bytes) -> bytes:
+    """A chunked body put together; as it is where it isn't chunked after all, and what is there where its end is missing."""
+    out, at = [], 0
+    while at < len(data):
+        end = data.find(b"\n", at, at + 1024)
+        size = data[at : max(at, end)].split(b";")[0].strip()
+        if end < 0 or not size or size.strip(b"0123456789abcdefABCDEF"):
+            return data if not out else b"".join(out)
+        n = int(size, 16)
+        if not n:
+            break
+        out.append(data[end + 1 : end + 1 + n])
+        at = end + 1 + n
+        at = at + 2 if data[at : at + 2] == b"\r\n" else at + 1 if data[at : at + 1] == b"\n" else at
+    return b"".join(out)
+
+
+def inflated(data: bytes, coding: str) -> bytes | None:
+    """The body without a coding; what could be read of a damaged one; null for codings that aren't known."""
+    if coding in ("", "identity"):
+        return data
+    if coding in ("gzip", "x-gzip") and data[:2] != b"\x1f\x8b":
+        return data  # said to be, and isn't
+    if coding not in ("gzip", "x-gzip", "deflate"):
+        return None
+    for bits in (47,) if coding != "deflate" else (47, -15):
+        out, rest = [], data
+        try:
+            while rest:  # members one after the other
+                one = zlib.decompressobj(bits)
+                for at in range(0, len(rest), 1 << 16):
+                    out.append(one.decompress(rest[at : at + (1 << 16)]))
+                    if one.eof:
+                        break
+                rest = (one.unused_data + rest[at + (1 << 16) :]) if one.eof and bits == 47 else b""
+                rest = rest if rest[:2] == b"\x1f\x8b" else b""
+            return b"".join(out)
+        except zlib.error:
+            if any(out):
+                return b"".join(out)
+    return data
+
+
+#: Types besides text/ that are read as pages, and as plain text.
+_PAGES, _TEXTS = ("text/html", "application/xhtml+xml", "application/xml", "text/xml"), ("application/json", "application/ld+json", "application/javascript", "application/x-ndjson")
+_MARKS = ((codecs.BOM_UTF8, "utf-8"), (codecs.BOM_UTF16_LE, "utf-16-le"), (codecs.BOM_UTF16_BE, "utf-16-be"))
+
+
+def body_of(payload: bytes, headers: str) -> tuple[str, bytes | None]:
+    """(media type, body without transfer and content codings); no body where a coding isn't known."""
+    values = header_values(headers)
+    kind = values.get("content-type", "").split(";")[0].strip().lower() or "text/html"
+    body: bytes | None = payload
+    if "chunked" in values.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    for coding in reversed([x.strip().lower() for x in values.get("content-encoding", "").split(",")]):
+        body = inflated(body, coding) if body is not None else None
+    return kind, body
+
+
+def decoded(body: bytes, headers: str) -> str:
+    """The page by its byte order mark, the charset of its headers, or that which its first kilobyte names; else by UTF-8.
+
+    Names that are unknown or no encoding of pages count as UTF-8."""
+    name = "utf-8"
+    mark = next(((m, n) for m, n in _MARKS if body.startswith(m)), None)
+    if mark:
+        body, name = body[len(mark[0]) :], mark[1]
+    else:
+        told = _CHARSET.search(header_values(headers).get("content-type", ""))
+        told = told or _META_CHARSET.search(body[:1024].decode("latin-1"))
+        try:
+            found = codecs.lookup(told[1]) if told else None
+            if found and found._is_text_encoding and found.name.replace("-", "_") not in _ODD_CHARSETS:
+                name = found.name if not (told.re is _META_CHARSET and found.name.startswith("utf-16")) else "utf-8"
+        except (LookupError, ValueError):  # unknown names
+            pass
     try:
-        found = codecs.lookup(m[1]) if m else None
-        if found and found._is_text_encoding and found.name.replace("-", "_") not in _ODD_CHARSETS:
-            name = found.name
-        page = payload.decode(name, "replace")
-    except (LookupError, ValueError):  # unknown names; codecs that refuse the bytes
-        page = payload.decode("utf-8", "replace")
+        page = body.decode(name, "replace")
+    except (LookupError, ValueError):  # codecs that refuse the bytes
+        page = body.decode("utf-8", "replace")
     return _SURROGATE.sub("\ufffd", page)
 
 
 def derived_records(record_id: str | None, uri: str | None, date: str | None, headers: str | None, payload: bytes | None) -> list[tuple]:
     headers, payload = headers or "", payload or b""
-    page, source = Page(decoded(payload, headers)), digest(payload)
-    kept = [x for x in headers.replace("\r\n", "\n").split("\n")[1:] if ":" in x]
-    fields = page.fields() + [("source-header", x.strip()) for x in kept]
+    source = digest(payload)
+    kind, body = body_of(payload, headers)
+    fields, text = [], None
+    if body is None:
+        fields.append(("not-converted", f"content coding {header_values(headers).get('content-encoding')}"))
+    elif kind in _PAGES or kind.endswith("+xml"):
+        page = Page(decoded(body, headers))
+        fields, text = page.fields(), page.text()
+    elif kind.startswith("text/") or kind in _TEXTS:
+        lines = (" ".join(x.split()) for x in decoded(body, headers).split("\n"))
+        text = "\n".join(x for x in lines if x)
+    else:
+        fields.append(("not-converted", f"content type {kind}"))
+    fields += [("source-header", x.strip()) for x in headers.replace("\r\n", "\n").split("\n")[1:] if ":" in x]
+    made = [("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields))] + ([("conversion", "text/plain", text)] if text is not None else [])
     out = []
-    for kind, mime, block in (("metadata", "application/warc-fields", "".join(f"{k}: {v}\r\n" for k, v in fields)), ("conversion", "text/plain", page.text())):
+    for what, mime, block in made:
         data = block.encode()
-        out.append((derived_id(record_id, kind), kind, record_id, uri, date, uri, date, mime, len(data), digest(data), source, headers, block))
+        out.append((derived_id(record_id, what), what, record_id, uri, date, uri, date, mime, len(data), digest(data), source, headers, block))
     return out
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
-    """Two derived records for each response (columns as in RESPONSES)."""
+    """The derived records of each response (columns as in RESPONSES): metadata, and a conversion where it is text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(n, pa.int64() if t == "long" else pa.string()) for n, t in (f.split() for f in DERIVED.split(", "))])

@@ -1,10 +1,13 @@
 """Cases beyond the fixtures: single bits and pairs of bits, odd marks, hostile pages, samples, empty tables and clashing columns."""
 
 import base64
+import gzip
 import hashlib
+import html
 import math
 import random
 import time
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
@@ -173,7 +176,7 @@ class Reader(HTMLParser):
         self.close()
 
     def handle_starttag(self, tag, attrs):
-        if tag == "a" and (at := dict(attrs).get("href")):
+        if tag == "a" and (at := next((v for k, v in attrs if k == "href"), None)):  # a name's first value counts
             self.links.append(at.strip())
         if tag == "title" and self.title is None:
             self.title, self.in_title = "", True
@@ -219,6 +222,57 @@ def test_every_page_is_an_independent_parsers(spark):
             assert r.block_digest == "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def random_page(rng):
+    """Tags with quoted, bare, repeated and odd attributes; no markup that ends nowhere."""
+    value = lambda: rng.choice(['"a > b"', "'c > d'", '"e\'f"', "'g\"h'", "bare", "x/y", '""', '"&amp;"', '"<p>"'])
+    out = []
+    for _ in range(rng.randrange(1, 30)):
+        name = rng.choice(["a", "p", "div", "b", "li", "A", "x-y", "h1"])
+        own = "".join(rng.choice([" ", "  ", "\n"]) + rng.choice(["href", "data-href", "HREF", "title", "id", "x:href"]) + rng.choice(["", "=" + value(), " = " + value()]) for _ in range(rng.randrange(4)))
+        out.append(f"<{name}{own}{rng.choice(['', '', ' ', ' /'])}>" + rng.choice(["one two", " ", "&lt;b&gt;", "3 < 4", ""]) + rng.choice([f"</{name}>", f"</{name} >", ""]))
+    return "".join(out)
+
+
+def test_random_pages_are_an_independent_parsers():
+    rng = random.Random(8)
+    for _ in range(1500):
+        page = random_page(rng)
+        own, got = Reader(page), warc.Page(page)
+        lines = [" ".join(x.split()) for x in "".join(own.out).split("\n")]
+        assert got.text() == "\n".join(x for x in lines if x), page
+        assert [html.unescape(x).strip() for x in got.links if x.strip()] == [x for x in own.links if x], page
+
+
+def test_attributes_are_whole_names_and_quotes_hold():
+    page = warc.Page('<a title="a > b" href="x">link</a><a data-href="wrong" href="right">two</a><a href=bare>3</a><a href = \'q\' href=no>4</a><html xml:lang="xx" lang=\'pt-BR\'>')
+    assert page.links == ["x", "right", "bare", "q"] and page.text() == "linktwo34" and page.language == "pt-BR"
+    assert warc.plain_text("<a href='never closed>one</a><p>two") in ("one\ntwo", "two")
+
+
+def response(body, *headers):
+    return [(r[1], r[12], r[10]) for r in warc.derived_records("<urn:uuid:1>", "u", "d", "HTTP/1.1 200 OK\r\n" + "".join(h + "\r\n" for h in headers), body)]
+
+
+def test_codings_types_and_charsets():
+    page = "<title>é</title><p>Grüße".encode()
+    zipped, chunks = gzip.compress(page), lambda data: b"".join(b"%x;ext=1\r\n%s\r\n" % (len(data[k : k + 7]), data[k : k + 7]) for k in range(0, len(data), 7)) + b"0\r\nTrailer: x\r\n\r\n"
+    raw = zlib.compress(page)[2:-4]
+    for body, headers in [(page, []), (zipped, ["Content-Encoding: gzip"]), (zipped + zipped[:0], ["content-encoding:  GZIP "]), (zlib.compress(page), ["Content-Encoding: deflate"]), (raw, ["Content-Encoding: deflate"]),
+                          (chunks(page), ["Transfer-Encoding: chunked"]), (chunks(zipped), ["Transfer-Encoding: chunked", "Content-Encoding: gzip"]), (gzip.compress(zlib.compress(page)), ["Content-Encoding: deflate, gzip"]), (page, ["Content-Encoding: gzip"])]:
+        (meta, text) = response(body, "Content-Type: text/html", *headers)
+        assert text[1] == "Grüße" and meta[1].startswith("title: é\r\n") and meta[2] == text[2] == warc.digest(body), headers
+    assert response(zipped[: len(zipped) - 12], "Content-Encoding: gzip")[1][1].startswith("Gr")  # cut short
+    assert response(chunks(page)[:-9], "Transfer-Encoding: chunked")[1][1] == "Grüße"
+    for headers, why in [(["Content-Type: image/png"], "content type image/png"), (["Content-Encoding: br"], "content coding br")]:
+        (meta,) = response(b"\x89PNG", *headers)
+        assert meta[1].startswith(f"not-converted: {why}\r\n")
+    assert response(b"a <b>\n\n c  d", "Content-Type: text/plain")[1][1] == "a <b>\nc d"
+    latin = "<meta charset='iso-8859-1'><p>Grüße".encode("latin-1")
+    assert response(latin)[1][1] == "Grüße" and response(latin, "Content-Type: text/html; charset=utf-8")[1][1] == "Gr\ufffd\ufffde"
+    assert response('<meta http-equiv="Content-Type" content="text/html; charset=cp1251"><p>да'.encode("cp1251"))[1][1] == "да"
+    assert response(b"\xff\xfe" + "<p>ж".encode("utf-16-le"), "Content-Type: text/html; charset=latin-1")[1][1] == "ж"
+
+
 def test_records_carry_the_payloads_digest(spark, tmp_path):
     pages = spark.createDataFrame([(k, f"http://e/{k}", f"<p>page {k}</p>") for k in range(5)], "page_id long, url string, html string")
     derived = warc.derivatives(warc.responses_of(pages))
