@@ -54,7 +54,7 @@ _BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 article sectio
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 #: A tag in plain order, its values in double quotes; all others are scanned attribute by attribute.
 _PLAIN = re.compile(r"""</?[a-zA-Z][^\s"'>=/]*(?:\s+[^\s"'>=/]+(?:="[^"]*")?)*\s*/?>""")
-_PLAIN_VALUES = re.compile(r"""\s([^\s"'>=/]+)="([^"]*)\"""")
+_PLAIN_VALUES = re.compile(r"""\s([^\s"'>=/]+)(?:="([^"]*)")?""")
 _BETWEEN = re.compile(r"[\s/]*")
 _ATTRIBUTE = re.compile(r"=?[^\s/>=]*")
 _EQUALS = re.compile(r"\s*=\s*")
