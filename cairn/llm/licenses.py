@@ -10,8 +10,8 @@ all, so other texts are passed over without loss. Templates are a parameter: a l
 
 Defined results: a null or empty text has no license; texts that repeat a notice get a row for each stretch; a notice
 may be spread over twice its template's length; repeated rows each get their rows; an empty table gives none; of
-templates over the same words those with the most matched words are reported, equals all; very long texts are scanned
-whole, by windows of a template's length, in time linear in theirs; columns other than the id and the text are ignored,
+templates over the same words those with the most matched words are reported, equals all (words may stand between a
+template's, all together as many as it has); very long texts are scanned whole, by windows of a few template lengths, in time linear in theirs; columns other than the id and the text are ignored,
 whatever their names.
 """
 
@@ -21,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -121,12 +122,25 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def within(found: list[tuple[int, int]], spread: int, need: float) -> list[tuple[int, int]]:
+    """The matched places without those far off at the ends, so that they lie within the spread; none if fewer than needed are left."""
+    lo, hi = 0, len(found) - 1
+    while hi - lo + 1 >= need and found[hi][0] - found[lo][0] >= spread:
+        if found[lo + 1][0] - found[lo][0] >= found[hi][0] - found[hi - 1][0]:
+            lo += 1
+        else:
+            hi -= 1
+    return found[lo : hi + 1] if hi - lo + 1 >= need else []
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, coverage: float = COVERAGE):
         self.coverage = coverage
         self.templates = [(name, kind, tokens(text)[0]) for name, kind, text in templates]
         self.bags = [Counter(words) for _, _, words in self.templates]
         self.marks = [frozenset(words) - _COMMON for _, _, words in self.templates]
+        #: The longest run of words between two marks of a template.
+        self.between = [max((len(list(g)) for on, g in groupby(words, marks.__contains__) if not on), default=0) for (_, _, words), marks in zip(self.templates, self.marks)]
         self.vocabulary = frozenset().union(*self.bags) if self.bags else frozenset()
 
     def scan(self, text: str) -> Iterator[tuple[str, str, float, int, int, int]]:
@@ -148,7 +162,7 @@ class Scanner:
             return
         words, begin, end_of = tokens(text)
         have = self.vocabulary.intersection(words)
-        for (name, kind, template), bag, marks in zip(self.templates, self.bags, self.marks):
+        for (name, kind, template), bag, marks, between in zip(self.templates, self.bags, self.marks, self.between):
             need = self.coverage * len(template)
             if sum(n for w, n in bag.items() if w in have) < need:
                 continue
@@ -156,7 +170,7 @@ class Scanner:
             reach = len(template)
             runs: list[list[int]] = []
             for p in places:
-                if runs and p - runs[-1][-1] <= 2 + reach // 4:
+                if runs and p - runs[-1][-1] <= 2 + reach + between:
                     runs[-1].append(p)
                 else:
                     runs.append([p])
@@ -168,7 +182,8 @@ class Scanner:
                     stretch = words[lo:end]
                     own = Counter(stretch)
                     found = align(stretch, template) if sum(min(n, own[w]) for w, n in bag.items()) >= need else []
-                    if len(found) >= need:
+                    found = within(found, 2 * reach + 8, need)
+                    if found:
                         first, last = lo + found[0][0], lo + found[-1][0]
                         yield name, kind, len(found) / len(template), len(found), begin[first], end_of[last]
                         lo = last + 1  # the same notice may follow again

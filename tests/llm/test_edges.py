@@ -131,6 +131,25 @@ def test_notices_that_the_exhaustive_best_covers_are_found():
                 assert any(n == name for n, *_ in found), (name, kind, cut)
 
 
+def test_notices_with_foreign_words_between_are_found():
+    """As many foreign words as the template has, in one place or in many."""
+    rng = random.Random(6)
+    scan, prose = licenses.Scanner().scan, "once upon a time there lived seven sailors near some harbour town".split()
+    for name, kind, text in licenses.TEMPLATES:
+        words, n = text.split(), len(licenses.tokens(text)[0])
+        for extra in sorted({1, n // 4, n // 2, n}):
+            for places in (1, 3, extra):
+                out = list(words)
+                at = [rng.randint(1, len(words) - 1) for _ in range(places)] if places > 1 else [len(words) // 2]
+                for k in range(extra):
+                    out.insert(at[k % len(at)], rng.choice(prose))
+                around = " ".join(rng.choice(prose) for _ in range(40))
+                assert any(m == name for m, *_ in scan(f"{around} {' '.join(out)} {around}")), (name, kind, extra, places)
+    assert any(m == "MIT" for m, *_ in scan("Released under the terms and conditions of the MIT License."))
+    far = licenses.TEMPLATES[1][2].split()
+    assert not list(scan(" ".join(far[:40] + prose * 30 + far[40:])))  # farther apart than a notice may be
+
+
 def test_many_notices_take_linear_time():
     scan, line = licenses.Scanner().scan, "Released under the MIT License.\n"
     for text, n in ((line * 20_000, 20_000), ("mit license under " * 60_000, 0), ((line + "word " * 40) * 4000, 4000)):
