@@ -1,17 +1,18 @@
 """Cost-balanced packing of documents into training sequences.
 
 A piece of n tokens costs n + n * n / window (linear work and attention within the piece). Documents are dealt in
-descending order, each to the sequence of lowest cost that still has room for all of it. A batch has one sequence more
-than its tokens need, so what fits a window is hardly ever cut; when no sequence has room, a document is cut and fills
-the rooms largest first. A small batch has just as many places as tokens: full sequences, and for what is over ones of
-descending powers of two, which need no padding.
-
-Documents become ids first and are then dealt to tasks evenly, whatever their source or order, so that each task sees
-the corpus's own mix of lengths; a task packs what it gets in batches of bounded tokens. Sequence ids carry the
-partition's number and don't clash. The same input partitions give the same sequences again after a loss.
-
-Defined results: a null or empty text has its end id alone; repeated rows are packed each; equal lengths go by the order
-read; a text longer than a batch is a batch by itself, cut at windows; an empty table gives no rows; columns other than
+descending order, each to the sequence of lowest cost that still has room for all of it. A batch has a spare window for each
+PADDED that its tokens fill (two at most), so from PADDED windows on what fits a window is hardly ever cut. What no window
+has room for is cut: it fills rooms, largest first, until no more than the spare is padded, and then sequences of descending
+powers of two, which need no padding; all together these hold less than a window. A batch of fewer windows has none to
+spare, as one would be more than a hundredth of it; it is packed by the same steps, without padding, and cuts more.
+
+Documents become ids first and are then dealt to tasks evenly by a hash of id and ids, whatever their source or order, so
+that each task sees the corpus's own mix of lengths; a task sorts what it gets by that hash and packs it in batches of
+bounded tokens. Sequence ids carry the partition's number and don't clash. So neither input partitions nor the order in
+which rows arrive changes sequences, and a task that runs again after a loss makes the same.
+
+Defined results: a null or empty text has its end id alone; repeated rows are packed each; equal lengths go by that hash; a text longer than a batch is a batch by itself, cut at windows; an empty table gives no rows; columns other than
 the id and the text are ignored, whatever their names.
 """
 
@@ -39,8 +40,8 @@ WINDOW = 4096
 END_ID = 2
 #: Tokens that a task packs at a time, at least, if it has so many; at most twice that and one document.
 BATCH_TOKENS = 1 << 22
-#: From so many full sequences on, a batch has a spare one: padding of less than two windows in so many.
-SPARE_FROM = 256
+#: So many full windows have a spare one; a batch has less than two windows of padding in any case.
+PADDED = 128
 KEPT_WORDS = 400_000
 
 #: The split pattern of this vocabulary's family (a fixed value).
@@ -123,18 +124,12 @@ def cost(tokens: int, window: int = WINDOW) -> float:
     return tokens + tokens * tokens / window
 
 
-def capacities(total: int, window: int = WINDOW) -> list[int]:
-    """Places of the sequences for so many tokens: full windows and a spare one, or powers of two for the rest of a small batch."""
-    full, rest = divmod(total, window)
-    if full >= SPARE_FROM:
-        return [window] * (full + (rest > 0) + 1)
-    return [window] * full + [1 << k for k in reversed(range(window.bit_length())) if rest >> k & 1]
-
-
 def deal(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece."""
-    room = capacities(sum(lengths), window)
-    used, spent = [0] * len(room), [0.0] * len(room)
+    total = sum(lengths)
+    spare = min(total // (PADDED * window) * window, 2 * window - 1)
+    full = (total + spare) // window
+    room, used, spent = [window] * full, [0] * full, [0.0] * full
     pieces: list[tuple[int, int, int, int, int]] = []
 
     def put(doc: int, start: int, n: int, seq: int) -> None:
@@ -144,7 +139,7 @@ def deal(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int,
         spent[seq] += cost(n, window)
 
     # what is longer than a window fills whole sequences first
-    full, nxt, left = sum(r == window for r in room), 0, []
+    nxt, left = 0, []
     for doc, n in enumerate(lengths):
         start = 0
         while n - start >= window and nxt < full:
@@ -153,9 +148,9 @@ def deal(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int,
         if n > start:
             left.append((n - start, doc, start))
     left.sort(key=lambda x: (-x[0], x[1]))
-    cheap = [(0.0, s) for s in range(nxt, len(room))]
-    heapq.heapify(cheap)
+    cheap = [(0.0, s) for s in range(nxt, full)]
     tight: list[tuple[int, int]] = []  # (-room, sequence): met when it had too little room for what came
+    over: list[tuple[int, int, int]] = []  # what no sequence has room for
     for n, doc, start in left:
         while tight and -tight[0][0] >= n:
             seq = heapq.heappop(tight)[1]
@@ -168,14 +163,33 @@ def deal(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int,
             seq = cheap[0][1]
             put(doc, start, n, seq)
             heapq.heapreplace(cheap, (spent[seq], seq))
-            continue
-        while n:
-            seq = heapq.heappop(tight)[1]
-            k = min(n, room[seq])
-            put(doc, start, k, seq)
-            start, n = start + k, n - k
-            if room[seq]:
-                heapq.heappush(tight, (-room[seq], seq))
+        else:
+            over.append((n, doc, start))
+    over.reverse()  # the longest is cut first
+    free = sum(room)
+    rooms = sorted((s for s in range(full) if room[s]), key=lambda s: (room[s], -s))
+    while over and free > spare:
+        n, doc, start = over.pop()
+        seq = rooms[-1]
+        k = min(n, room[seq])
+        put(doc, start, k, seq)
+        free -= k
+        if not room[seq]:
+            rooms.pop()
+        else:
+            rooms.sort(key=lambda s: (room[s], -s))
+        if n > k:
+            over.append((n - k, doc, start + k))
+    rest = sum(n for n, _, _ in over)
+    for power in reversed(range(rest.bit_length())):
+        if rest >> power & 1:
+            room.append(1 << power), used.append(0), spent.append(0.0)
+            while room[-1]:
+                n, doc, start = over.pop()
+                k = min(n, room[-1])
+                put(doc, start, k, len(room) - 1)
+                if n > k:
+                    over.append((n - k, doc, start + k))
     return pieces
 
 
@@ -240,5 +254,7 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
         if held:
             yield out(len(held), len(names))
 
-    spread = F.xxhash64(F.monotonically_increasing_id())
-    return tokenized(docs, path, end_id, id_col, text_col).repartition(spread).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    # rows without an id may be very many copies of one text, so they are told apart by their place
+    spread = F.xxhash64("id", "ids", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
+    dealt = tokenized(docs, path, end_id, id_col, text_col).withColumn("h", spread).repartition("h").sortWithinPartitions("h")
+    return dealt.select("id", "ids").mapInArrow(run, schema).withColumnRenamed("id", id_col)

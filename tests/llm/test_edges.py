@@ -489,7 +489,7 @@ def test_what_fits_is_hardly_cut(spark):
     for d, s, n, q, o in pieces:
         by_doc.setdefault(d, []).append((s, n))
         by_seq.setdefault(q, []).append((o, n))
-    assert sum(lengths) // 4096 >= packing.SPARE_FROM
+    assert sum(lengths) // 4096 >= 256
     assert not [d for d, p in by_doc.items() if len(p) > 1 and lengths[d] <= 4096]
     for d, p in by_doc.items():
         assert sorted(p)[0][0] == 0 and sum(n for _, n in p) == lengths[d]
@@ -502,6 +502,34 @@ def test_what_fits_is_hardly_cut(spark):
     assert len(by_seq) * 4096 - sum(lengths) < 2 * 4096
 
 
+@pytest.mark.parametrize("windows, most_cut", [(0.5, 12), (20, 30), (130, 30), (254, 0), (256, 0), (1000, 0)])
+def test_one_rule_for_every_size(windows, most_cut):
+    """Padding stays below one in a hundred tokens and two windows; what fits is cut in small batches only."""
+    rng = random.Random(5)
+    lengths = []
+    while sum(lengths) < windows * 4096:
+        lengths.append(min(9000, int(rng.lognormvariate(5.5, 1.3)) + 1))
+    pieces, by_doc, by_seq = packing.deal(lengths), {}, {}
+    for d, s, n, q, _ in pieces:
+        by_doc.setdefault(d, []).append((s, n))
+        by_seq[q] = by_seq.get(q, 0) + n
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in by_seq.values())
+    assert max(by_seq.values()) <= 4096 and padding <= min(sum(lengths) / 100, 2 * 4096)
+    for d, p in by_doc.items():
+        at = 0
+        for s, n in sorted(p):
+            assert s == at
+            at += n
+        assert at == lengths[d]
+    assert sum(len(p) > 1 and lengths[d] <= 4096 for d, p in by_doc.items()) <= most_cut
+
+
+def test_sequences_do_not_depend_on_input_partitions(spark):
+    docs, path = spark.read.parquet(f"{D}/documents.parquet"), P.path("word_bpe_49k.json")
+    one, seven = (sorted(map(tuple, packing.packed(docs.repartition(n), path).collect())) for n in (1, 7))
+    assert one == seven
+
+
 def test_batches_of_a_task(spark):
     """Batches hold all documents once, whatever their bound; ids are those of the library."""
     docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").repartition(3)
