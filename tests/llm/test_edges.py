@@ -328,6 +328,19 @@ def test_the_sample_moves_no_texts(spark, parts):
     assert quality.kept(df).count() == 0
 
 
+def test_the_sample_reads_some_files_only(spark, tmp_path):
+    path = str(tmp_path / "many files")
+    spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(40).write.parquet(path)
+    docs = spark.read.parquet(path)
+    some = quality.some_files(docs)
+    assert 0 < some.count() < 400 and len({r[0] for r in some.select("_metadata.file_path").collect()}) == 16
+    rows = lambda df: (df.collect(), int(df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numFiles").value()))[1]
+    assert rows(some.select("text")) == 16
+    assert quality.some_files(docs.repartition(3)).count() == some.count()
+    assert quality.some_files(docs.distinct()).count() == 400 == quality.some_files(spark.range(400)).count()
+    assert quality.measured(docs, quality.OWN, "text")[0][1] > 0
+
+
 def test_empty_and_long_texts_are_judged(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, kept string")
     assert quality.judged(empty).count() == 0 and quality.kept(empty).schema == empty.schema
