@@ -142,6 +142,16 @@ NUMERIC = frozenset("DS IS US SS UL SL FL FD UV SV".split())
 IMPLICIT, EXPLICIT, BIG, DEFLATED = "1.2.840.10008.1.2", "1.2.840.10008.1.2.1", "1.2.840.10008.1.2.2", "1.2.840.10008.1.2.1.99"
 PLAIN = (IMPLICIT, EXPLICIT, BIG, DEFLATED)
 
+#: Character sets by their defined terms (fixed values); the plain set, and any term that isn't here, is read as UTF-8.
+CHARSETS = {
+    "ISO_IR 100": "latin_1", "ISO_IR 101": "iso8859_2", "ISO_IR 109": "iso8859_3", "ISO_IR 110": "iso8859_4", "ISO_IR 144": "iso8859_5", "ISO_IR 127": "iso8859_6", "ISO_IR 126": "iso8859_7", "ISO_IR 138": "iso8859_8",
+    "ISO_IR 148": "iso8859_9", "ISO_IR 203": "iso8859_15", "ISO_IR 166": "tis_620", "ISO_IR 13": "shift_jis", "ISO_IR 192": "utf_8", "GB18030": "gb18030", "GBK": "gbk",
+    "ISO 2022 IR 87": "iso2022_jp", "ISO 2022 IR 159": "iso2022_jp_2", "ISO 2022 IR 13": "shift_jis", "ISO 2022 IR 149": "euc_kr", "ISO 2022 IR 58": "gb2312",
+}
+_CHARSET_TAG = 0x00080005
+#: Representations whose texts may be in another character set.
+_WIDE = frozenset("LO LT PN SH ST UC UT".split())
+
 #: Representations whose length has four bytes, and those that are numbers.
 _LONG = {"OB", "OD", "OF", "OL", "OV", "OW", "SQ", "SV", "UC", "UN", "UR", "UT", "UV"}
 _NUMBERS = {"US": "H", "SS": "h", "UL": "I", "SL": "i", "FL": "f", "FD": "d", "UV": "Q", "SV": "q"}
@@ -154,9 +164,15 @@ class FormatError(ValueError):
     """Bytes that aren't a file of this format."""
 
 
+def _charset(term: object) -> str:
+    """The encoding of a defined term; of several, the first that names one (the others are reached by escapes within its texts)."""
+    named = [CHARSETS[t] for t in (term if isinstance(term, list) else [term]) if t in CHARSETS]
+    return named[0] if named else "utf_8"
+
+
 class _Reader:
     def __init__(self, data: bytes, explicit: bool, big: bool):
-        self.data, self.explicit, self.order = data, explicit, ">" if big else "<"
+        self.data, self.explicit, self.order, self.charset = data, explicit, ">" if big else "<", "utf_8"
 
     def take(self, fmt: str, at: int) -> tuple:
         try:
@@ -193,6 +209,8 @@ class _Reader:
                     raise FormatError(f"element {tag:08X} goes beyond the end")
                 out[tag] = self.value(vr, self.data[at : at + n])
                 at += n
+                if tag == _CHARSET_TAG:
+                    self.charset = _charset(out[tag])
         if closing is not None:
             raise FormatError("a sequence without its end")
         return out, at
@@ -205,7 +223,9 @@ class _Reader:
                 return found, at
             if tag != _ITEM:
                 raise FormatError(f"{tag:08X} where an item was due")
+            outer = self.charset  # an item may have a set of its own
             item, at = self.elements(at, end, _ITEM_END) if n == _OPEN else self.elements(at, min(end, at + n))
+            self.charset = outer
             found.append(item)
         if open_:
             raise FormatError("a sequence without its end")
@@ -225,7 +245,7 @@ class _Reader:
             size = struct.calcsize(code)
             got = list(struct.unpack(f"{self.order}{len(raw) // size}{code}", raw[: len(raw) // size * size]))
             return got[0] if len(got) == 1 else got or None
-        text = raw.decode("utf-8", "replace") if vr == "UT" or not raw.isascii() else raw.decode("ascii")
+        text = raw.decode(self.charset if vr in _WIDE else "utf_8", "replace")
         text = text.rstrip("\0 ") if vr in ("UT", "ST", "LT") else text.strip("\0 ")
         if vr in ("UT", "ST", "LT") or "\\" not in text:
             return text

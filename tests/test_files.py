@@ -245,3 +245,23 @@ def test_bundle_configs(spark):
     bad = spark.createDataFrame([("p", zipped(**{"a/../../x.json": ""}))], "path string, content binary")
     with pytest.raises(Exception, match="leaves the archive"):
         models.members(bad, "json").collect()
+
+
+@pytest.mark.parametrize(
+    "term, encoding, name",
+    [("ISO_IR 100", "latin-1", "Müller^Äneas"), ("ISO_IR 144", "iso8859_5", "Люкceмбypг"), ("ISO_IR 126", "iso8859_7", "Διονυσιος"), ("GB18030", "gb18030", "王^小东"), ("ISO_IR 13", "shift_jis", "ﾔﾏﾀﾞ^ﾀﾛｳ"), (["", "ISO 2022 IR 149"], "euc_kr", "홍^길동"), (["", "ISO 2022 IR 87"], "iso2022_jp", "Yamada^Tarou=山田^太郎"), ("ISO_IR 192", "utf-8", "Ω"), ("ODD", "utf-8", "é"), (None, "utf-8", "é")],
+)
+def test_texts_are_read_by_their_character_set(term, encoding, name):
+    values = {"SOPClassUID": "1.2", "SOPInstanceUID": "1.3", "PatientName": "@NAME@", "ContentSequence": [{"TextValue": "@NAME@"}], "Modality": "CT"} | ({"SpecificCharacterSet": term} if term else {})
+    data, raw = dicom_format.encoded(values), name.encode(encoding)
+    raw += b" " * (len(raw) % 2)
+    for head in (b"PN", b"UT"):
+        at = data.index(b"@NAME@", data.index(head))
+        size = 2 if head == b"PN" else 4
+        data = data[: at - size] + len(raw).to_bytes(size, "little") + raw + data[at + 6 :]
+    # the sequence and its item hold another number of bytes now
+    sq = data.index(b"SQ")
+    item = len(raw) + 12
+    data = data[: sq + 4] + (item + 8).to_bytes(4, "little") + data[sq + 8 : sq + 12] + item.to_bytes(4, "little") + data[sq + 16 :]
+    got, _ = dicom_format.decoded(data)
+    assert got["PatientName"] == name and got["ContentSequence"][0]["TextValue"] == name and got["Modality"] == "CT"
