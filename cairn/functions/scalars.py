@@ -137,3 +137,12 @@ def report_map(text: Column) -> Column:
     entries = F.transform(F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.replace(F.substring_index(x, ":", 1), F.lit(" "), F.lit("")).alias("key"), F.trim(F.regexp_replace(x, "^[^:]*:", "")).alias("value")))
     last = F.filter(entries, lambda x, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries), F.lit(1))), lambda y: y["key"] == x["key"]))
     return F.map_from_entries(last)
+
+
+def merged(*maps: Column) -> Column:
+    """Maps as one; of a key that comes again the last map's value counts, null values included. A null map counts as empty."""
+    out = None
+    for m in maps:
+        some = F.coalesce(m, F.create_map().cast("map<string,string>"))
+        out = some if out is None else F.map_concat(F.map_filter(out, lambda k, v, some=some: ~F.map_contains_key(some, k)), some)
+    return out

@@ -567,8 +567,7 @@ def described_dims(spark, d):
 def map_merge_defaults(spark, d):
     defaults = F.create_map(F.lit("temperature"), F.lit("0.2"), F.lit("output"), F.lit("json"))
     own = F.map_filter(F.create_map(F.lit("temperature"), F.when(F.col("event_id") % 2 == 0, "0.9"), F.lit("output"), F.when(F.col("event_id") % 3 == 0, "image")), lambda k, v: v.isNotNull())
-    kept = F.map_filter(defaults, lambda k, v: ~F.map_contains_key(own, k))
-    merged = F.map_concat(kept, own)
+    merged = scalars.merged(defaults, own)
     return table(spark, d, "events").select("event_id", F.element_at(merged, "temperature").cast("double").alias("temperature"), F.element_at(merged, "output").alias("output"))
 
 

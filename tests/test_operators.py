@@ -132,6 +132,12 @@ def test_report_text(spark):
     assert one(spark, scalars.report_map(F.lit("a: 1\nb: 2\na : 3\nb:"))) == {"a": "3", "b": ""} and one(spark, scalars.report_map(F.lit("none"))) == {}
 
 
+def test_maps_merge_with_the_last_value(spark):
+    maps = spark.createDataFrame([({"a": "1", "b": "2"}, {"b": "3", "c": None}, None), (None, {"x": "y"}, {"x": None})], "p map<string,string>, q map<string,string>, r map<string,string>")
+    got = [r.m for r in maps.select(scalars.merged(F.col("p"), F.col("q"), F.col("r")).alias("m")).collect()]
+    assert got == [{"a": "1", "b": "3", "c": None}, {"x": None}]
+
+
 def test_rounding_of_volumes(spark):
     rows = spark.createDataFrame([(2500,), (3500,), (1999,)], "n long")
     assert [r.volume_ml for r in aggregate.label_volumes(rows, "n", F.lit(1.0)).orderBy("n").collect()] == [2, 2, 4]
