@@ -139,10 +139,10 @@ def report_map(text: Column) -> Column:
     return F.map_from_entries(last)
 
 
-def merged(*maps: Column) -> Column:
+def merged(first: Column, *more: Column) -> Column:
     """Maps as one; of a key that comes again the last map's value counts, null values included. A null map counts as empty."""
-    out = None
-    for m in maps:
-        some = F.coalesce(m, F.create_map().cast("map<string,string>"))
-        out = some if out is None else F.map_concat(F.map_filter(out, lambda k, v, some=some: ~F.map_contains_key(some, k)), some)
-    return out
+    plain = lambda m: F.coalesce(m, F.create_map().cast("map<string,string>"))
+    if not more:
+        return plain(first)
+    last = plain(more[-1])
+    return F.map_concat(F.map_filter(merged(first, *more[:-1]), lambda k, v: ~F.map_contains_key(last, k)), last)
