@@ -2,50 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from . import micro_batch
 
-#: The store of keyed state with a schema (a fixed value).
+#: The store that keeps state on disk, not on the heap (a fixed value).
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_TALLY = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.LongType())])
-
-
-class Tally(StatefulProcessor):
-    """Keeps (rows, sum) of each group; gives the group's standing after each batch that touched it."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tally = handle.getValueState("tally", _TALLY)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        n, total = self.tally.get() if self.tally.exists() else (0, 0)
-        for pdf in rows:  # parts of the group, never all of it
-            n, total = n + len(pdf), total + int(pdf["value"].sum())
-        self.tally.update((n, total))
-        yield pd.DataFrame({"key": [key[0]], "salt": [key[1]], "n": [n], "total": [total]})
-
-    def close(self) -> None:
-        pass
 
 
 def tallied(stream: DataFrame, keys: list[str], value: Column, spread: Column, salts: int = 8) -> DataFrame:
     """(keys, salt, n, total): standings of counters over all batches so far, for what this batch touched.
 
-    Each key has ``salts`` counters, so a key with a third of the rows is counted by that many tasks; ``totals`` adds them
-    up. value: whole numbers, null counts as 0. State is kept by the keys' JSON text, as nulls among them, which are keys
-    like others, don't survive the worker; so keys are of types that JSON holds."""
-    kinds = T.StructType([stream.schema[k] for k in keys])
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    rows = stream.select(key.alias("key"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int").alias("salt"), F.coalesce(value.cast("long"), F.lit(0)).alias("value"))
-    out = T.StructType([rows.schema["key"], rows.schema["salt"], *_TALLY.fields])
-    standing = rows.groupBy("key", "salt").transformWithStateInPandas(Tally(), out, "Update", "None")
-    return standing.withColumn("key", F.from_json("key", kinds)).select("key.*", "salt", "n", "total")
+    A streaming aggregate: a batch's rows are added up before the shuffle, and counters never leave the JVM. Each key has
+    ``salts`` counters, so a key with a third of the rows is counted by that many tasks; ``totals`` adds them up. value:
+    whole numbers, null counts as 0. Nulls among the keys are keys like others."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int").alias("salt")
+    rows = stream.select(*keys, salt, F.coalesce(value.cast("long"), F.lit(0)).cast("long").alias("value"))
+    return rows.groupBy(*keys, "salt").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def totals(standings: DataFrame, keys: list[str]) -> DataFrame:
