@@ -56,9 +56,12 @@ def suppressed(boxes: np.ndarray, order: np.ndarray, overlap: float, most: int)
     return kept
 
 
-def non_maximum(detections: DataFrame, image: str = "image_id", box: str = "box", score: str = "score", overlap: float = 0.22, least: float = 0.1, candidates: int = 1000, most: int = 100) -> DataFrame:
-    """At most `most` boxes an image by greedy suppression over its best candidates. Groups are bounded by `candidates`."""
-    top = best(detections, [image], score, least, candidates, [F.col(box)])
+def non_maximum(detections: DataFrame, image: str = "image_id", box: str = "box", score: str = "score", overlap: float = 0.22, least: float = 0.1, candidates: int = 1000, most: int = 100, ties: list[str] | None = None) -> DataFrame:
+    """At most `most` boxes an image by greedy suppression over its best candidates. Groups are bounded by `candidates`.
+
+    Of equal scores the smaller box counts first, of equal boxes that which comes first by ties: name columns that tell rows
+    apart, or which of two such rows stays depends on how rows arrive."""
+    top = best(detections, [image], score, least, candidates, [F.col(box), *map(F.col, ties or [])])
 
     def run(groups: Iterator[pd.DataFrame]) -> pd.DataFrame:
         rows = groups.sort_values("rank", kind="stable")
