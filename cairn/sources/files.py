@@ -7,7 +7,9 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,25 @@ def dealt(df: DataFrame, small: int = 32 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
 
 
+def parts(batches: Iterable[pd.DataFrame], rows: int = 128) -> Iterator[pd.DataFrame]:
+    """Small slices of pandas batches, so that what is made of them, files and the like, exists for few rows at a time."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
+def by_bytes(batch: pa.RecordBatch, at: int, most_bytes: int = 1 << 20, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of an Arrow batch whose contents (the column ``at``) have so many bytes together, or a single file of more."""
+    sizes, start, held = [n or 0 for n in pc.binary_length(batch.column(at)).to_pylist()], 0, 0
+    for k, n in enumerate(sizes):
+        if k > start and (held + n > most_bytes or k - start == most_rows):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += n
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
 def with_extension(rows: DataFrame, extensions: tuple[str, ...], case_sensitive: bool = False) -> DataFrame:
     """Files of the extensions (with or without the dot, compound ones too); hidden files go."""
     name = F.element_at(F.split("path", "/"), -1)
