@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 from collections.abc import Iterable, Iterator
@@ -150,6 +151,36 @@ def digests(rows: DataFrame) -> DataFrame:
     return rows.select("path", F.sha2("content", 256).alias("sha256"))
 
 
+def folder_digests(spark: SparkSession, folder: str, whole: int = 256 << 20) -> DataFrame:
+    """(path, sha256) of each file below a folder, of any length.
+
+    Files of up to ``whole`` bytes come through Spark's reader, which holds a file in memory and refuses 2 GB and more.
+    Longer ones are opened by their tasks, one file a task, and read in steps; a digest is one sequence, so a file is read by one task."""
+    found = contents(spark, folder)
+    schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("sha256", T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with _opened(path) as f:
+                    while step := f.read(8 << 20):
+                        digest.update(step)
+                yield pa.record_batch([pa.array([path]), pa.array([digest.hexdigest()])], names=["path", "sha256"])
+
+    long_ = found.where(F.col("length") > whole).select("path")
+    return digests(found.where(F.col("length") <= whole)).unionByName(long_.repartition("path").mapInArrow(run, schema))
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_input_stream(at)
+
+
 def tree_digest(rows: DataFrame) -> DataFrame:
     """(sha256) of a tree: of its files' digests in order of their paths; no content leaves its task."""
     each = digests(rows).agg(F.array_sort(F.collect_list(F.struct("path", "sha256"))).alias("d"))
