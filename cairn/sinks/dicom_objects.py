@@ -7,6 +7,7 @@ loss gives the same file.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,8 +33,14 @@ OUT = "name string, content binary"
 BATCH_BYTES = 1 << 22
 
 
+def _uuid(name: str) -> int:
+    """uuid.uuid5 of the name, as a number, without its object."""
+    n = int.from_bytes(hashlib.sha1(uuid.NAMESPACE_OID.bytes + name.encode(), usedforsecurity=False).digest()[:16])
+    return n & ~(0xF000 << 64 | 0xC000 << 48) | 5 << 76 | 0x8000 << 48
+
+
 def uid_of(*parts: object) -> str:
-    return f"2.25.{uuid.uuid5(uuid.NAMESPACE_OID, chr(0).join(map(str, parts))).int}"
+    return f"2.25.{_uuid(chr(0).join(map(str, parts)))}"
 
 
 def common(kind: str, modality: str, key: object, tags: dict[str, str] | None, equipment: dict[str, str], custom: dict[str, str]) -> dict[str, object]:
@@ -42,7 +49,7 @@ def common(kind: str, modality: str, key: object, tags: dict[str, str] | None, e
     out: dict[str, object] = {k: source.get(k) or "" for k in COPIED}
     out |= {
         "StudyInstanceUID": source.get("StudyInstanceUID") or uid_of(key, "study"), "SeriesInstanceUID": uid_of(kind, key, "series"), "SOPInstanceUID": uid_of(kind, key, "instance"), "SOPClassUID": kind,
-        "Modality": modality, "SpecificCharacterSet": "ISO_IR 192", "InstanceNumber": 1, "SeriesNumber": uuid.uuid5(uuid.NAMESPACE_OID, str(key)).int % 9000 + 1000,
+        "Modality": modality, "SpecificCharacterSet": "ISO_IR 192", "InstanceNumber": 1, "SeriesNumber": _uuid(str(key)) % 9000 + 1000,
         "SeriesDate": source.get("StudyDate") or "", "SeriesTime": source.get("StudyTime") or "", "ContentDate": source.get("StudyDate") or "", "ContentTime": source.get("StudyTime") or "",
         "Manufacturer": equipment.get("Manufacturer", ""), "ManufacturerModelName": equipment.get("ManufacturerModelName", ""), "DeviceSerialNumber": equipment.get("DeviceSerialNumber", ""),
         "SoftwareVersions": equipment.get("SoftwareVersions", "")[:VERSION_CHARS],

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..errors import PlanError
 from ..operators.hierarchy import usable_instances
 from .dicom_format import PLAIN, decoded
-from .files import contents
+from .files import by_bytes, contents
 
 #: Columns of an instance.
 INSTANCE = (
@@ -80,8 +80,7 @@ def parsed(files: DataFrame, with_pixels: bool = True) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 16):  # pixels of few files at a time
-                part = b.slice(at, 16)
+            for part in by_bytes(b, 1):  # pixels of few files at a time
                 rows = [instance(p, d or b"", with_pixels) for p, d in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 rows = [r | {"tags": list(r["tags"].items()) if r.get("tags") is not None else None} for r in rows]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -161,8 +160,8 @@ def nested(objects: DataFrame, paths: dict[str, str], name: str = "name") -> Dat
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.schema([(name, pa.string()), ("parse_error", pa.string()), *((k, pa.list_(pa.string())) for k in paths)])
         for b in batches:
-            for at in range(0, b.num_rows, 16):
-                part, rows = b.slice(at, 16), []
+            for part in by_bytes(b, 1):
+                rows = []
                 for key, data in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     try:
                         values, _ = decoded(data or b"")
