@@ -79,6 +79,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(n)).cast("int")
 
 
+#: Bytes of an Arrow batch between an executor and a worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand rows to workers in batches of BATCH_BYTES, where the engine's own are 16 times as large.
+
+    A batch lies in the executor, outside its heap, and in the worker, for each task; operators cut it into slices anyway."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Small slices of Arrow batches, so that Python objects exist for few rows at a time."""
     for batch in batches:

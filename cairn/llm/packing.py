@@ -27,6 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -42,7 +43,10 @@ END_ID = 2
 BATCH_TOKENS = 1 << 22
 #: So many full windows have a spare one; a batch has less than two windows of padding in any case.
 PADDED = 128
+#: Entries of each of a worker's two tables of words; a full one is emptied.
 KEPT_WORDS = 400_000
+#: Pieces that a task hands on at a time: 4 MB of ids at most, of which a worker and its executor hold a few copies.
+HANDED_ON = 256
 
 #: The split pattern of this vocabulary's family (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,7 +63,8 @@ class WordIds:
     vocabulary's pattern and merged by tiktoken, the word end written as a byte that UTF-8 never has; the library
     encodes all others, and whole texts that hold special strings."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
+        self.kept = kept
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -85,7 +90,7 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         got = self.parts.get(part)
         if got is None:
-            if len(self.parts) >= KEPT_WORDS:
+            if len(self.parts) >= self.kept:
                 self.parts.clear()
             got = np.array(self.merge(part.encode() + b"\xff"), "<u4").tobytes()
             if len(part) <= 64:
@@ -97,7 +102,7 @@ class WordIds:
             got = b"".join([self._part(p) for p in self.pattern.findall(word.lower())])
         else:
             got = np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.words) >= KEPT_WORDS:
+        if len(self.words) >= self.kept:
             self.words.clear()
         if len(word) <= 64:
             self.words[word] = got
@@ -111,13 +116,13 @@ class WordIds:
         return b"".join([get(w) or self._word(w) for w in words])
 
 
-_IDS: dict[str, WordIds] = {}
+_IDS: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _IDS:
-        _IDS[path] = WordIds(path)
-    return _IDS[path]
+def word_ids(path: str, kept: int = KEPT_WORDS) -> WordIds:
+    if (path, kept) not in _IDS:
+        _IDS[path, kept] = WordIds(path, kept)
+    return _IDS[path, kept]
 
 
 def cost(tokens: int, window: int = WINDOW) -> float:
@@ -193,14 +198,14 @@ def deal(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int,
     return pieces
 
 
-def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tokenized(docs: DataFrame, path: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", kept: int = KEPT_WORDS) -> DataFrame:
     """(id, ids): each text's ids and the end id, as little-endian 32-bit numbers; 16-bit ones if the vocabulary allows it."""
     end = np.array([end_id], "<u4").tobytes()
     kind = docs.schema[id_col].dataType.simpleString()
     narrow = number_type(path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = word_ids(path)
+        own = word_ids(path, kept)
         for b in slices(batches, 256):
             made = [np.frombuffer(own.ids(text) + end, "<u4").astype(narrow).tobytes() for text in texts_of(b, 1)]
             yield pa.record_batch([b.column(0), pa.array(made, pa.binary())], names=["id", "ids"])
@@ -213,10 +218,26 @@ def number_type(path: str) -> str:
     return "<u2" if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
 
 
-def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, batch_tokens: int = BATCH_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """A row for each piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), with_ids also ids array<int>."""
+def handed_on(own: list[np.ndarray], ids: pa.Array, first: int, names: list[str], window: int = WINDOW, rows: int = HANDED_ON) -> Iterator[pa.RecordBatch]:
+    """The pieces of documents (their ids own, their names ids), so many rows at a time; first is the number of the first sequence."""
+    lengths = [len(x) for x in own]
+    found = sorted(deal(lengths, window))
+    for at in range(0, len(found), rows):
+        doc, start, n, seq, offset = (np.array(x, np.int64) for x in zip(*found[at : at + rows]))
+        parts = [own[d][s : s + k].astype("<u4") for d, s, k in zip(doc.tolist(), start.tolist(), n.tolist())]
+        columns = [ids.take(pa.array(doc)), start, n, np.array([zlib.crc32(p.tobytes()) for p in parts], np.int64), np.array([lengths[d] for d in doc.tolist()], np.int64), seq + first, offset]
+        if "ids" in names:
+            columns.append(pa.array([p.view("<i4") for p in parts], pa.list_(pa.int32())))
+        yield pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=names)
+
+
+def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, batch_tokens: int = BATCH_TOKENS, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, kept: int = KEPT_WORDS) -> DataFrame:
+    """A row for each piece: (id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset), with_ids also ids array<int>.
+
+    kept: entries of a worker's tables of words, which decide on time and memory only."""
     kind, number = docs.schema[id_col].dataType.simpleString(), number_type(path)
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
+    columns = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
@@ -224,19 +245,14 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
         held: list[np.ndarray] = []
         size, half = 0, None  # half: how many documents and arrays of ids make up the first batch of those held
 
-        def out(docs_n: int, names_n: int) -> pa.RecordBatch:
+        def out(docs_n: int, names_n: int) -> Iterator[pa.RecordBatch]:
             nonlocal first
-            own, ids = held[:docs_n], pa.concat_arrays(names[:names_n])
-            lengths = [len(x) for x in own]
-            found = sorted(deal(lengths, window))
-            doc, start, n, seq, offset = (np.array(x, np.int64) for x in zip(*found))
-            parts = [own[d][s : s + k].astype("<u4") for d, s, k, _, _ in found]
-            columns = [ids.take(pa.array(doc)), start, n, np.array([zlib.crc32(p.tobytes()) for p in parts], np.int64), np.array(lengths, np.int64)[doc], seq + first, offset]
-            if with_ids:
-                columns.append(pa.array([p.view("<i4") for p in parts], pa.list_(pa.int32())))
-            first += int(seq.max()) + 1
+            last = first
+            for b in handed_on(held[:docs_n], pa.concat_arrays(names[:names_n]), first, columns, window):
+                last = max(last, pc.max(b.column(5)).as_py() + 1)
+                yield b
+            first = last
             del held[:docs_n], names[:names_n]
-            return pa.record_batch([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], names=[f.split()[0] for f in schema.split(", ")])
 
         for b in slices(batches, 256):
             at = 0
@@ -247,14 +263,14 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_I
                     names.append(b.column(0).slice(at, k + 1 - at))
                     at = k + 1
                     if half is not None:
-                        yield out(*half)
+                        yield from out(*half)
                     half, size = (len(held), len(names)), sum(map(len, held))
             if at < b.num_rows:
                 names.append(b.column(0).slice(at))
         if held:
-            yield out(len(held), len(names))
+            yield from out(len(held), len(names))
 
     # rows without an id may be very many copies of one text, so they are told apart by their place
     spread = F.xxhash64("id", "ids", F.when(F.col("id").isNull(), F.monotonically_increasing_id()))
-    dealt = tokenized(docs, path, end_id, id_col, text_col).withColumn("h", spread).repartition("h").sortWithinPartitions("h")
+    dealt = tokenized(docs, path, end_id, id_col, text_col, kept).withColumn("h", spread).repartition("h").sortWithinPartitions("h")
     return dealt.select("id", "ids").mapInArrow(run, schema).withColumnRenamed("id", id_col)

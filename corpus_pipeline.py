@@ -11,7 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import packing, quality, simhash, toxicity
-from cairn.llm.common import discard, stored, table
+from cairn.llm.common import discard, small_batches, stored, table
+
+#: Entries of a worker's tables of words in packing: its workers stay alive while other stages run.
+KEPT_WORDS = 1 << 16
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,17 +24,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below one half; the model is fitted on the labelled documents of sf_dir."""
+    small_batches(spark)
     return toxicity.clean(docs, toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each component of linked fingerprints."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents, with their token ids, in sequences of at most 4,096 tokens."""
-    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+    small_batches(spark)
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True, kept=KEPT_WORDS)
 
 
 STAGES = [("quality", quality_rules), ("toxicity", toxicity_filter), ("simhash", near_dedup), ("packing", pack)]
