@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import PlanError
+from ..sources.files import rows_by_bytes
 
 Box = tuple[tuple[int, int], ...]
 _PLACE = T.ArrayType(T.IntegerType())
@@ -112,16 +113,17 @@ def blocks_of(slices: DataFrame, keys: list[str], size: tuple[int, int, int]) ->
     schema = _schema(slices, keys, ("block", _PLACE), ("z", T.IntegerType()), ("data", T.BinaryType()))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                own = row._asdict()
-                a = np.frombuffer(own["pixels"], np.dtype(own["dtype"]).newbyteorder("<")).reshape(own["rows"], own["cols"]).astype("<f4")
+        for pdf in rows_by_bytes(batches, "pixels"):
+            found, sources = [], []
+            for i, (z, rows, cols, dtype, pixels) in enumerate(zip(*(pdf[c].tolist() for c in ("z", "rows", "cols", "dtype", "pixels")))):
+                a = np.frombuffer(pixels, np.dtype(dtype).newbyteorder("<")).reshape(rows, cols).astype("<f4")
                 shape = (1, *a.shape)
-                found = []
                 for place in _blocks_under(tuple((0, n) for n in shape), (1, *size[1:])):
                     box = _box(place, (1, *size[1:]), shape)
-                    found.append(([own["z"] // size[0], *place[1:]], int(own["z"]), _packed(a[_within(box[1:], ((0, 0), (0, 0)))])))
-                yield pd.DataFrame({**{k: [own[k]] * len(found) for k in keys}, **dict(zip(("block", "z", "data"), map(list, zip(*found))))})
+                    found.append(([z // size[0], *place[1:]], int(z), _packed(a[_within(box[1:], ((0, 0), (0, 0)))])))
+                    sources.append(i)
+            if found:
+                yield pdf[keys].iloc[sources].assign(**dict(zip(("block", "z", "data"), map(list, zip(*found)))))
 
     cuts = slices.select(*keys, "z", "rows", "cols", "dtype", "pixels").mapInPandas(cut, schema)
     # a cut is some rows of a slice, so a block's bytes are its cuts' one after the other, joined as text of a byte a character

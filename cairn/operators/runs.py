@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .aggregate import connected
+from ..sources.files import rows_by_bytes
+from .aggregate import checkpointing, connected
 from .chunks import _box, _size
 
 _INTS = ("label", "z", "y", "x0", "x1")
@@ -41,14 +42,17 @@ def runs_of(labels: DataFrame, keys: list[str], size: tuple[int, int, int]) -> D
     schema = T.StructType([*(labels.schema[k] for k in keys), labels.schema["shape"], labels.schema["block"], *(T.StructField(n, T.IntegerType()) for n in _INTS)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for own in pdf.to_dict("records"):
-                box = _box(tuple(own["block"]), size, tuple(own["shape"]))
-                found = line_runs(np.frombuffer(own["data"], np.uint8).reshape(_size(box)))
+        for pdf in rows_by_bytes(batches, "data"):
+            found, sources = [], []
+            for i, (shape, place, data) in enumerate(zip(pdf["shape"], pdf["block"], pdf["data"])):
+                box = _box(tuple(place), size, tuple(shape))
+                own = line_runs(np.frombuffer(data, np.uint8).reshape(_size(box)))
                 shift = (0, box[0][0], box[1][0], box[2][0], box[2][0])
-                n = len(found[0])
-                if n:
-                    yield pd.DataFrame({**{k: [own[k]] * n for k in keys}, "shape": [list(own["shape"])] * n, "block": [list(own["block"])] * n, **{c: (x + s).astype(np.int32) for c, x, s in zip(_INTS, found, shift)}})
+                found.append(np.stack([(x + s).astype(np.int32) for x, s in zip(own, shift)]))
+                sources.append(np.full(len(own[0]), i))
+            at = np.concatenate(sources)
+            if len(at):
+                yield pdf[[*keys, "shape", "block"]].iloc[at].assign(**dict(zip(_INTS, np.concatenate(found, axis=1))))
 
     return labels.select(*keys, "shape", "block", "data").mapInPandas(run, schema)
 
@@ -76,6 +80,8 @@ def edges_of(runs: DataFrame, keys: list[str]) -> DataFrame:
 def parts_of(runs: DataFrame, keys: list[str]) -> DataFrame:
     """runs with part: the number of the part's first voxel in order of place."""
     names = [c for c in runs.columns]
+    checkpointing(runs.sparkSession)
+    runs = runs.checkpoint()  # read three times: by both sides of the edges' join, and below
     roots = connected(edges_of(runs, keys), within="volume").select(F.col("volume").alias("volume_"), F.col("a").alias("a_"), F.col("b").alias("b_"))
     own = runs.withColumns({"volume": F.struct(*keys), "id": _place(F.col("z"), F.col("y"), F.col("x0"))})
     joined = own.join(roots, (F.col("volume") == F.col("volume_")) & (F.col("id") == F.col("a_")), "left")

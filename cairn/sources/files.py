@@ -65,6 +65,20 @@ def parts(batches: Iterable[pd.DataFrame], rows: int = 128) -> Iterator[pd.DataF
             yield pdf.iloc[at : at + rows]
 
 
+def rows_by_bytes(batches: Iterable[pd.DataFrame], column: str, most_bytes: int = 1 << 20, most_rows: int = 128) -> Iterator[pd.DataFrame]:
+    """Slices of pandas batches whose contents have so many bytes together, or a single row of more."""
+    for pdf in batches:
+        start = held = 0
+        for k, data in enumerate(pdf[column]):
+            n = len(data or b"")
+            if k > start and (held + n > most_bytes or k - start == most_rows):
+                yield pdf.iloc[start:k]
+                start, held = k, 0
+            held += n
+        if start < len(pdf):
+            yield pdf.iloc[start:]
+
+
 def by_bytes(batch: pa.RecordBatch, at: int, most_bytes: int = 1 << 20, most_rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Slices of an Arrow batch whose contents (the column ``at``) have so many bytes together, or a single file of more."""
     sizes, start, held = [n or 0 for n in pc.binary_length(batch.column(at)).to_pylist()], 0, 0

@@ -180,3 +180,19 @@ def test_predictions_load_once_a_task(spark):
     got = volume.predicted(rows, load, "v long, calls long").collect()
     assert [r.v for r in got] == [2 * k for k in range(10)] and got[0].calls == 1
     assert volume.predicted(rows.limit(0), load, "v long, calls long").collect() == []
+
+
+def test_parts_read_the_runs_once(spark):
+    """Work in Python before the parts isn't done again for each side of a join."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    labels = spark.createDataFrame([(k, [2, 2, 2], [0, 0, 0], bytearray([1, 1, 0, 0, 0, 0, 0, 1])) for k in range(10)], "k long, shape array<int>, block array<int>, data binary")
+    found = runs.runs_of(labels.mapInPandas(told, labels.schema), ["k"], (2, 2, 2))
+    got = runs.labels_of(runs.parts_of(found, ["k"]), ["k"]).collect()
+    assert sorted(r.k for r in got) == list(range(10)) and {(r.voxels, r.parts, r.largest, r.first) for r in got} == {(3, 2, 2, 0)}
+    assert seen.value == 10
