@@ -357,3 +357,22 @@ def test_numbered(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(5)
     got = hierarchy.numbered(df, ["k"], "at", "total").collect()
     assert all(r.k == r["at"] and r.total == 1000 for r in got) and len(got) == 1000
+
+
+def test_volumes_leave_a_bundle_by_bytes_not_one_at_a_time(monkeypatch, spark):
+    """Many small volumes are one frame; large ones are still frames of their own."""
+    import pandas as pd
+
+    plan = bundles.bundle_of({"inference": json.dumps({})})
+    packed = spark.createDataFrame([(1, [1, 1, 2], "float32", bytearray(8), [[1.0]])], "k long, shape array<int>, dtype string, data binary, affine array<array<double>>")
+    taken = []
+    monkeypatch.setattr(type(packed), "mapInPandas", lambda self, run, schema: taken.append(run) or self)
+    bundles.inferred(packed, plan, lambda: lambda x: x)
+
+    def frames(n, side):
+        data = np.arange(side**3, dtype="<f4").tobytes()
+        return list(taken[0](iter([pd.DataFrame({"k": range(n), "shape": [[side] * 3] * n, "dtype": "float32", "data": [data] * n, "affine": [None] * n})])))
+
+    small = frames(100, 2)
+    assert len(small) == 1 and small[0]["k"].tolist() == list(range(100)) and set(small[0]["data"]) == {np.arange(8, dtype="<f4").tobytes()}
+    assert [len(f) for f in frames(3, 64)] == [1, 1, 1]
