@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,25 +36,38 @@ def overlaid(picture: np.ndarray, mask: np.ndarray, alpha: float = 0.4, colour:
     return np.where((mask > threshold)[..., None], (1 - alpha) * base + alpha * np.array(colour), base).astype(np.uint8)
 
 
+def _frames(made: Iterable[tuple[str, bytes]], most_bytes: int = 1 << 20, most_rows: int = 512) -> Iterator[pd.DataFrame]:
+    """(name, content) of so many bytes or rows together, or of a single picture of more."""
+    held, n = [], 0
+    for name, content in made:
+        if held and (n + len(content) > most_bytes or len(held) == most_rows):
+            yield pd.DataFrame(held, columns=["name", "content"])
+            held, n = [], 0
+        held.append((name, content))
+        n += len(content)
+    if held:
+        yield pd.DataFrame(held, columns=["name", "content"])
+
+
 def slice_pictures(volumes: DataFrame, key: str) -> DataFrame:
     """(name, content): a colour PNG <key>/<z>.png for each slice of packed volumes (shape, dtype, data)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
         for pdf in batches:
             for k, s, t, d in zip(pdf[key], pdf["shape"], pdf["dtype"], pdf["data"]):
                 for z, a in enumerate(unpacked(list(s), t, d)):
                     flat = a if a.dtype == np.uint8 else grey(a)
-                    yield pd.DataFrame({"name": [f"{k}/{z}.png"], "content": [png(np.repeat(flat[..., None], 3, -1))]})
+                    yield f"{k}/{z}.png", png(np.repeat(flat[..., None], 3, -1))
 
-    return volumes.select(key, "shape", "dtype", "data").mapInPandas(run, "name string, content binary")
+    return volumes.select(key, "shape", "dtype", "data").mapInPandas(lambda batches: _frames(made(batches)), "name string, content binary")
 
 
 def overlays(pairs: DataFrame, name: str, alpha: float = 0.4, colour: tuple[int, int, int] = (255, 0, 0), threshold: float = 0.5) -> DataFrame:
     """(name, content): <name>_overlay.png of rows with a picture (shape, dtype, data) and a mask of its shape (mask_dtype, mask)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, bytes]]:
         for pdf in batches:
-            made = [png(overlaid(unpacked(list(s), t, d), unpacked(list(s), mt, m), alpha, colour, threshold)) for s, t, d, mt, m in zip(pdf["shape"], pdf["dtype"], pdf["data"], pdf["mask_dtype"], pdf["mask"])]
-            yield pd.DataFrame({"name": pdf[name].astype(str) + "_overlay.png", "content": made})
+            for k, s, t, d, mt, m in zip(pdf[name].astype(str), pdf["shape"], pdf["dtype"], pdf["data"], pdf["mask_dtype"], pdf["mask"]):
+                yield f"{k}_overlay.png", png(overlaid(unpacked(list(s), t, d), unpacked(list(s), mt, m), alpha, colour, threshold))
 
-    return pairs.select(name, "shape", "dtype", "data", "mask_dtype", "mask").mapInPandas(run, "name string, content binary")
+    return pairs.select(name, "shape", "dtype", "data", "mask_dtype", "mask").mapInPandas(lambda batches: _frames(made(batches)), "name string, content binary")

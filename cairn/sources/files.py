@@ -25,10 +25,11 @@ def contents(spark: SparkSession, folder: str, recursive: bool = True) -> DataFr
     return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder)
 
 
-def contents_of(paths: DataFrame, folder: str) -> DataFrame:
+def contents_of(paths: DataFrame, folder: str, most_bytes: int = 1 << 20, most_rows: int = 512) -> DataFrame:
     """paths with the content of each file: tasks open the files themselves, so what isn't listed isn't read.
 
-    folder: the URI (or absolute path) whose store the paths, URIs or places in that store, lie in. A file that has gone raises."""
+    folder: the URI (or absolute path) whose store the paths, URIs or places in that store, lie in. A file that has gone raises.
+    Files are handed on so many bytes or rows together, or a single one of more."""
     schema = T.StructType([*paths.schema.fields, T.StructField("content", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,21 +38,28 @@ def contents_of(paths: DataFrame, folder: str) -> DataFrame:
         store, root = fs.FileSystem.from_uri(folder)
         scheme = re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", folder)
         for b in batches:
-            at = b.schema.get_field_index("path")
-            for k in range(b.num_rows):
-                one = b.slice(k, 1)
-                path = one.column(at)[0].as_py()
+            start, held, read = 0, 0, []
+            for path in b.column(b.schema.get_field_index("path")).to_pylist():
                 if path.startswith("file:"):
                     path = "/" + path[len("file:") :].lstrip("/")
                 elif scheme and path.startswith(scheme[0]):
                     path = store.from_uri(path)[1]
                 with store.open_input_file(path) as f:
-                    data = pa.array([f.read()], pa.binary())
-                yield pa.RecordBatch.from_arrays([*one.columns, data], names=[*b.schema.names, "content"])
+                    if read and (held + f.size() > most_bytes or len(read) == most_rows):
+                        yield _with_contents(b.slice(start, len(read)), read)
+                        start, held, read = start + len(read), 0, []
+                    read.append(f.read())
+                held += len(read[-1])
+            if read:
+                yield _with_contents(b.slice(start), read)
 
     return paths.mapInArrow(run, schema)
 
 
+def _with_contents(batch: pa.RecordBatch, read: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(read, pa.binary())], names=[*batch.schema.names, "content"])
+
+
 def dealt(df: DataFrame, small: int = 32 << 20) -> DataFrame:
     """A table of less than a split, which may be one row group that one task reads alone, dealt to all cores; for work in workers."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

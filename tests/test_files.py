@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cairn.errors import PlanError
 from cairn.sinks import dicom_objects, files, mesh, pictures, results
 from cairn.sources import dicom, dicom_format, images, models, nifti, prompts
+from cairn.sources import files as sources
 
 IMAGE = {"SOPClassUID": "1.2.840.10008.5.1.4.1.1.2", "StudyInstanceUID": "1.5", "SeriesInstanceUID": "1.6", "Modality": "CT", "SeriesNumber": 3, "ImageType": ["ORIGINAL", "PRIMARY"], "PatientName": "Ä^B", "Rows": 2, "Columns": 2, "BitsAllocated": 16, "PixelRepresentation": 1}
 
@@ -167,6 +168,98 @@ def test_pictures(spark, tmp_path):
     assert names == ["v/0.png", "v/1.png"]
 
 
+def filtered(a, kinds):
+    """A PNG of the picture whose lines have the given filters, written from the format's own definition."""
+    rows, cols, channels = a.shape
+    at = lambda y, x, c: int(a[y, x, c]) if x >= 0 and y >= 0 else 0
+    lines = b""
+    for y, kind in zip(range(rows), kinds):
+        lines += bytes([kind])
+        for x in range(cols):
+            for c in range(channels):
+                left, up, both = at(y, x - 1, c), at(y - 1, x, c), at(y - 1, x - 1, c)
+                nearest = min((left, up, both), key=lambda v: abs(left + up - both - v))
+                lines += bytes([(at(y, x, c) - (0, left, up, (left + up) // 2, nearest)[kind]) % 256])
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    packed = zlib.compress(lines)
+    head = struct.pack(">2I5B", cols, rows, 8, {1: 0, 2: 4, 3: 2, 4: 6}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"tEXt", b"a\0b") + chunk(b"IDAT", packed[:9]) + chunk(b"IDAT", packed[9:]) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("channel_first", [True, False])
+def test_pictures_of_known_names(spark, tmp_path, channel_first):
+    """Files found by their index and decoded in workers are what Spark's listing and its reader give."""
+    rng = np.random.default_rng(1)
+    made = {f"{n}/{k}.png": filtered(rng.integers(0, 256, (6, 5, n), np.uint8), rng.permutation([0, 1, 2, 3, 4, 4])) for n in (1, 3, 4) for k in range(4)} | {"x.png": pictures.png(np.array([[7, 9]]))}
+    written = files.indexed(spark.createDataFrame([*made.items(), (None, b"no")], "name string, content binary"), f"file://{tmp_path}/out", f"file://{tmp_path}/index")
+    got = {r.name: (r.shape, r["values"]) for r in images.rgb_of(sources.contents_of(written, f"file://{tmp_path}/out"), channel_first).collect()}
+    want = {r.path.split("/out/")[1]: (r["shape"], r["values"]) for r in images.rgb(spark, f"{tmp_path}/out", channel_first).collect()}
+    assert set(got) == set(made) and got == want
+
+
+def test_pictures_that_are_not_known():
+    a = np.arange(18, dtype=np.uint8).reshape(2, 3, 3)
+    good = filtered(a, [4, 3])
+    assert (images.png_pixels(good) == a).all()
+    assert images.png_pixels(filtered(a[..., :2], [1, 2])).tolist() == a[..., :2].tolist()
+    deep = struct.pack(">2I5B", 1, 1, 16, 0, 0, 0, 0)
+    chunk = struct.pack(">I", len(deep)) + b"IHDR" + deep + struct.pack(">I", zlib.crc32(b"IHDR" + deep))
+    for data, said in ((b"GIF", "no PNG"), (good[:-12], "ends early"), (good[:50] + b"?" + good[51:], "damaged"), (good[:8] + chunk + good[-12:], "16 bits")):
+        with pytest.raises(ValueError, match=said):
+            images.png_pixels(data)
+
+
+def test_pictures_leave_by_bytes_not_one_at_a_time(monkeypatch, spark, tmp_path):
+    """Many small slices are one frame, many small files one batch; large ones are still handed on one by one."""
+    import pandas as pd
+    import pyarrow as pa
+
+    rows, taken = volumes(spark, np.zeros((1, 1, 1), np.uint8)), []
+    monkeypatch.setattr(type(rows), "mapInPandas", lambda self, run, schema: taken.append(run) or self)
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, run, schema: taken.append(run) or self)
+    pictures.slice_pictures(rows, "key")
+
+    def frames(n, side):
+        a = np.random.default_rng(1).integers(0, 256, (2, side, side), np.uint8)
+        return list(taken[0](iter([pd.DataFrame({"key": range(n), "shape": [list(a.shape)] * n, "dtype": "uint8", "data": [a.tobytes()] * n})])))
+
+    small = frames(50, 2)
+    assert len(small) == 1 and small[0]["name"].tolist() == [f"{k}/{z}.png" for k in range(50) for z in range(2)]
+    assert [len(f) for f in frames(2, 800)] == [1, 1, 1, 1]
+
+    contents = [b"a"] * 700 + [b"b" * (1 << 20)] * 2 + [b""]
+    for k, data in enumerate(contents):
+        (tmp_path / str(k)).write_bytes(data)
+    sources.contents_of(spark.createDataFrame([("p",)], "path string"), str(tmp_path))
+    read = list(taken[1](iter([pa.record_batch([pa.array([f"{tmp_path}/{k}" for k in range(len(contents))])], names=["path"])])))
+    assert [b.num_rows for b in read] == [512, 188, 1, 2] and [c for b in read for c in b.column(1).to_pylist()] == contents
+    assert [p for b in read for p in b.column(0).to_pylist()] == [f"{tmp_path}/{k}" for k in range(len(contents))]
+
+
+@pytest.mark.parametrize("name", ["slice_pictures", "overlay_pictures"])
+def test_pictures_are_read_back_without_a_listing(spark, name):
+    """Spark's picture source lists the folder into the driver and makes a task of each 32 files."""
+    from cairn.plans import fixture_queries as q
+
+    plan = q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "FileScan image" not in plan._jdf.queryExecution().toString()
+
+
+def test_pictures_of_one_row_group_are_made_by_all_tasks(spark, tmp_path):
+    """Over 32 MB in one row group, which one task of a scan reads alone."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from cairn.plans import fixture_queries as q
+
+    n = 140000
+    values = pa.ListArray.from_arrays(pa.array(np.arange(0, 64 * n + 1, 64, dtype=np.int32)), pa.array(np.random.default_rng(1).random(64 * n, np.float32)))
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": values}), tmp_path / "embeddings.parquet", row_group_size=n)
+    assert (tmp_path / "embeddings.parquet").stat().st_size > 32 << 20
+    held = [r["count"] for r in q._volumes(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(held) == n and max(held) < n / 2
+
+
 def enclosed(raw):
     c = np.frombuffer(raw[84:], np.dtype([("n", "<f4", 3), ("c", "<f4", (3, 3)), ("a", "<u2")]))["c"].astype(float)
     return (c[:, 0] * np.cross(c[:, 1], c[:, 2])).sum() / 6
